@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, minhash, quality, secret_scan, toxicity
+from . import decontaminate, exact_dedup, licences, line_dedup, minhash, pieces, quality, secret_scan, token_file, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,15 +52,34 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_file.read_digests(spark, token_file.write_tokens(docs, vocabulary("word_bpe_49k.json"), end_id=2))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # imports this module in turn
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_secrets": op2_secrets,
         "op3_near_dedup": op3_near_dedup,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_pieces": op5_pieces,
         "op6_quality": op6_quality,
         "op7_line_dedup": op7_line_dedup,
         "op8_decontaminate": op8_decontaminate,
+        "op9_licences": op9_licences,
+        "op10_token_file": op10_token_file,
+        "pipeline": pipeline,
     }
 
 
