@@ -217,6 +217,8 @@ def _passes(key: np.ndarray, other: np.ndarray, score: np.ndarray, step: np.ndar
 
 def solve(units: list[bytes], v: Vocabulary):
     """Best path of each unit: (ids, where each unit's begin, score, loss of the second best path)."""
+    if not units:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0), np.zeros(0)
     size = np.fromiter(map(len, units), np.int64, len(units))
     buf = np.frombuffer(b"\0".join(units) + b"\0", np.uint8)
     begins = np.cumsum(size + 1) - size - 1

@@ -32,10 +32,11 @@ for _c in b".,;:!?|\"'()[]{}#%&*$-_/\\+=<>~`^@":
 def grams(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, feature) pairs, sorted, as two arrays; `wanted`: flags of features to keep."""
     buf, starts = buffer_of(texts)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(np.append(starts, len(buf))))
+    buf = np.concatenate((np.full(1, 32, np.uint8), buf))  # so owner[i] owns the byte after place i
     low = LOWER[buf].astype(np.uint64)
     low[_GAPS[buf]] = 32
     n = len(low)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(np.append(starts, n)))
     gap = np.cumsum(low == 32)
     keys = []
     for k in LENGTHS:
