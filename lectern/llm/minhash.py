@@ -4,10 +4,13 @@ A document's set holds its distinct five-word shingles (white-space words, A-Z l
 hash of each shingle goes to one of BANDS * ROWS bins, whose minima form the sketch; an empty bin
 takes the minimum of a bin that a hash of its number and of the attempt picks. Documents with equal
 sets form a class and are compared once. Classes that share a band's bucket are candidates: every
-bucket is a star, each member paired with the smallest one only, and pairs are verified on full
-sets. Where a verified star leaves a bucket in several components, further stars follow around the
-members outside the bucket's largest component, four times as many in each round, until every
-bucket is one component or all its cross-component pairs have been compared. Nothing is capped.
+bucket is a star, each member paired with the centre only, the one that meets most others, and pairs
+are verified on full sets. Where a verified star leaves a bucket in several components, further stars
+follow around the members outside the bucket's largest component, from four a bucket on and four
+times as many in each round, until every bucket is one component or all its cross-component pairs
+have been compared, or ruled out: by the triangle inequality over the distances to the bucket's
+centre, by the number of a set's shingles that other components hold at all, or by sketches that
+differ in more bins than those of linked sets do but for a chance of 3e-5. Nothing is capped.
 
 Defined cases: null, empty and blank texts have an empty set, n_shingles 0, and link with nothing;
 fewer than five words form one shingle; repeated rows and equal sets share a component; rows
@@ -84,12 +87,41 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return sketch
 
 
-def bands_of(sets: list[np.ndarray]) -> np.ndarray:
-    """A key for each band of each set; the band's number is part of it."""
-    part = mix(sketches(sets)).reshape(len(sets), BANDS, ROWS) * _ROW
+def bands_of(sketch: np.ndarray) -> np.ndarray:
+    """A key for each band of each sketch; the band's number is part of it."""
+    part = mix(sketch).reshape(len(sketch), BANDS, ROWS) * _ROW
     return signed(mix(part.sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * GOLD))
 
 
+def marks_of(sketch: np.ndarray) -> np.ndarray:
+    """Four bits of each bin of each sketch, sixteen bins to a long."""
+    four = (mix(sketch) & np.uint64(15)).reshape(len(sketch), BINS // 16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return signed(np.bitwise_or.reduce(four, axis=2))
+
+
+def _unlike(a, b):
+    """In how many bins two marks differ."""
+    def differing(x, y):
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, x: total + x)
+
+
+def _most_unlike(n, percent: int, sigmas: float = 4.0):
+    """Bins in which sets of `n` shingles that are alike enough differ at most, but for a chance of 3e-5.
+
+    Filled bins repeat others, so that a sketch is worth fewer samples than it has bins.
+    """
+    full = BINS * (1 - F.exp(-n / BINS))
+    extra = (BINS - full) / full
+    worth = full * (1 + extra) * (1 + extra) / ((1 + extra) * (1 + extra) + extra)
+    p = percent / 100 + (1 - percent / 100) / 16
+    return BINS * (1 - p + sigmas * F.sqrt(p * (1 - p) / worth))
+
+
 def class_of(s: np.ndarray) -> bytes:
     """128 bits that name a set."""
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -100,17 +132,17 @@ def _sketched(batches):
         for first, end, texts in slices(batch):
             sets = shingle_sets(texts)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
-            cut = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0))))
-            some = [s for s in sets if len(s)]
-            keys = bands_of(some).ravel() if some else np.zeros(0, np.int64)
+            lists = np.concatenate(([0], np.cumsum(n > 0))).astype(np.int32)
+            sketch = sketches([s for s in sets if len(s)])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(first, end - first).cast(pa.int64()),
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array(n),
-                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(keys)),
+                    pa.ListArray.from_arrays(pa.array(lists * BANDS), pa.array(bands_of(sketch).ravel())),
+                    pa.ListArray.from_arrays(pa.array(lists * (BINS // 16)), pa.array(marks_of(sketch).ravel())),
                 ],
-                names=["doc_id", "node", "n", "bands"],
+                names=["doc_id", "node", "n", "bands", "marks"],
             )
 
 
@@ -151,14 +183,25 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough, by the exact sizes of intersection and union."""
+def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the exact sizes of intersection and union of their sets."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("of_b"))
     both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    union = F.size("of_a") + F.size("of_b") - common
-    return both.where(100 * common >= percent * union).select("a", "b")
+    return both.select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b") - common).alias("union"))
+
+
+def _links(distances: DataFrame, percent: int) -> DataFrame:
+    return distances.where(100 * F.col("common") >= percent * F.col("union")).select("a", "b")
+
+
+def _shared(parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, shared): how many of its shingles stand in another component's nodes as well."""
+    rows = sets.join(parts, "node").select("node", "part", F.explode("set").alias("shingle"))
+    common = rows.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("shingle")
+    counts = rows.join(common, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    return written(parts.select("node").join(counts, "node", "left").na.fill(0, ["shared"]), "near-shared")
 
 
 def _joined(links: DataFrame, parts: DataFrame) -> DataFrame:
@@ -191,16 +234,16 @@ def _joined(links: DataFrame, parts: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
-    rows = written(docs.select("doc_id", "text").mapInArrow(_sketched, "doc_id long, node binary, n long, bands array<long>"), "near-rows")
-    one = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    rows = written(docs.select("doc_id", "text").mapInArrow(_sketched, "doc_id long, node binary, n long, bands array<long>, marks array<long>"), "near-rows")
+    one = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     spread = one.select("node", "n", F.explode("bands").alias("bucket"))
-    stars = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    members = written(spread.join(stars.select("bucket", "low"), "bucket"), "near-members")
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    members = _centred(written(spread.join(shared, "bucket"), "near-shared-buckets"))
     out = rows.select("doc_id", "node", F.col("n").alias("n_shingles"))
-    nodes = written(members.select("node").distinct(), "near-nodes")
+    nodes = written(one.select("node", "bands", "marks").join(members.select("node").distinct(), "node"), "near-nodes")
     ids = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     if nodes.isEmpty():
-        parts = nodes.withColumn("part", F.col("node"))
+        parts = nodes.select("node", F.col("node").alias("part"))
     else:
         parts = _components(docs, members, nodes, percent)
     # names of parts are nodes; rows of other classes stand alone in their class
@@ -212,31 +255,63 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _centred(members: DataFrame) -> DataFrame:
+    """(bucket, node, n, low): low is the bucket's centre, the member that meets most others.
+
+    Of edited copies the least edited meets the others most often, so its star links most of them.
+    """
+    meets = members.groupBy("node").agg(F.sum("held").alias("meets"))
+    rows = members.select("bucket", "node", "n").join(meets, "node")
+    centre = rows.groupBy("bucket").agg(F.max_by("node", F.struct("meets", "node")).alias("low"))
+    return written(members.select("bucket", "node", "n").join(centre, "bucket"), "near-members")
+
+
 def _components(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(node, part) of the candidate classes."""
-    sets = written(_sets_of(docs, nodes), "near-sets")
+    sets = written(_sets_of(docs, nodes.select("node")), "near-sets")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     size_of = members.select(F.col("node").alias("low"), F.col("n").alias("low_n")).distinct()
-    pairs = members.where("node <> low").join(size_of, "low").where(fits(F.col("n"), F.col("low_n")))
-    pairs = pairs.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    parts = _joined(written(_linked(pairs, sets, percent), "near-links"), nodes.select("node", F.col("node").alias("part")))
+    spokes = members.where("node <> low").select("low", "node", "n").distinct().join(size_of, "low")
+    spokes = written(spokes.select(F.col("low").alias("a"), F.col("node").alias("b"), "n", "low_n"), "near-spokes")
+    met = written(_distances(spokes.where(fits(F.col("n"), F.col("low_n"))).select("a", "b"), sets), "near-met")
+    parts = _joined(written(_links(met, percent), "near-links"), nodes.select("node", F.col("node").alias("part")))
+    # Jaccard distance is a metric: how far a member is from its centre bounds how near two members
+    # can be. Where sizes alone ruled a link out, they give a lower bound.
+    far = spokes.join(met, ["a", "b"], "left").select(
+        F.col("a").alias("low"),
+        F.col("b").alias("node"),
+        F.coalesce(1 - F.col("common") / F.col("union"), 1 - F.least("n", "low_n") / F.greatest("n", "low_n")).alias("from_"),
+        F.coalesce(1 - F.col("common") / F.col("union"), F.lit(1.0)).alias("to"),
+    )
     # members but the centre, which has met all of its bucket
-    rest = members.where("node <> low").select("bucket", "node", "n")
+    rest = members.where("node <> low").join(far, ["low", "node"]).select("bucket", "node", "n", "from_", "to")
+    reach = 1 - percent / 100 + 1e-9
     centres = 4
     while True:
         now = rest.join(parts, "node")
         sizes = now.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("held"))
         mixed = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("held", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", "main")
         now = written(now.join(mixed, "bucket"), "near-mixed")
-        strays = now.where("part <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("part").alias("a_part"))
+        strays = now.where("part <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("part").alias("a_part"), F.col("from_").alias("a_from"), F.col("to").alias("a_to"))
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("a"))
-        strays = written(strays.withColumn("rank", rank).where(F.col("rank") <= centres).drop("rank"), "near-strays")
+        # a stray that is among the first of one bucket is a centre of all its buckets, and then done
+        chosen = strays.withColumn("rank", rank).where(F.col("rank") <= centres).select("a").distinct()
+        strays = written(strays.join(chosen, "a"), "near-strays")
         if strays.isEmpty():
             return parts
-        pairs = strays.join(now, "bucket").where((F.col("part") != F.col("a_part")) & fits(F.col("n"), F.col("a_n")))
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        parts = _joined(written(_linked(pairs, sets, percent), "near-links"), parts)
-        rest = written(now.select("bucket", "node", "n").join(strays.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti"), "near-rest")
+        in_others = _shared(now.select("node", "part").distinct(), sets)
+        known = nodes.join(in_others, "node")
+        strays = strays.join(known.select(*[F.col(c).alias(f"a_{c}") for c in known.columns]).withColumnRenamed("a_node", "a"), "a")
+        now = now.join(known, "node")
+        once = F.array_min(F.array_intersect("bands", "a_bands")) == F.col("bucket")
+        like = _unlike(F.col("marks"), F.col("a_marks")) <= _most_unlike(F.least("n", "a_n"), percent)
+        # an intersection has at most the shingles that other components hold too
+        enough = (100 + percent) * F.least("shared", "a_shared") >= percent * (F.col("n") + F.col("a_n"))
+        near = (F.col("from_") - F.col("a_to") <= reach) & (F.col("a_from") - F.col("to") <= reach)
+        pairs = strays.join(now, "bucket").where((F.col("part") != F.col("a_part")) & fits(F.col("n"), F.col("a_n")) & enough & near & once & like)
+        pairs = written(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "near-pairs")
+        parts = _joined(written(_links(_distances(pairs, sets), percent), "near-links"), parts)
+        rest = written(now.select("bucket", "node", "n", "from_", "to").join(strays.select(F.col("a").alias("node")).distinct(), "node", "left_anti"), "near-rest")
         centres *= 4
 
 
