@@ -6,11 +6,11 @@ takes the minimum of a bin that a hash of its number and of the attempt picks. D
 sets form a class and are compared once. Classes that share a band's bucket are candidates: every
 bucket is a star, each member paired with the centre only, the one that meets most others, and pairs
 are verified on full sets. Where a verified star leaves a bucket in several components, further stars
-follow around the members outside the bucket's largest component, from four a bucket on and four
+follow around the members outside the bucket's largest component, from one a bucket on and four
 times as many in each round, until every bucket is one component or all its cross-component pairs
 have been compared, or ruled out: by the triangle inequality over the distances to the bucket's
 centre, by the number of a set's shingles that other components hold at all, or by sketches that
-differ in more bins than those of linked sets do but for a chance of 3e-5. Nothing is capped.
+differ in more bins than those of linked sets do but for a chance of 3e-7. Nothing is capped.
 
 Defined cases: null, empty and blank texts have an empty set, n_shingles 0, and link with nothing;
 fewer than five words form one shingle; repeated rows and equal sets share a component; rows
@@ -110,16 +110,21 @@ def _unlike(a, b):
     return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, x: total + x)
 
 
-def _most_unlike(n, percent: int, sigmas: float = 4.0):
-    """Bins in which sets of `n` shingles that are alike enough differ at most, but for a chance of 3e-5.
+def _most_unlike(n, percent: int, sigmas: float = 5.0):
+    """Bins in which sets of `n` or more shingles that are alike enough differ at most, but for a chance of 3e-7.
 
-    Filled bins repeat others, so that a sketch is worth fewer samples than it has bins.
+    Three things spread the share of equal bins: a sketch samples a part of the shingles only, and
+    none twice; filled bins repeat others; and marks of four bits may be equal by chance.
     """
-    full = BINS * (1 - F.exp(-n / BINS))
-    extra = (BINS - full) / full
-    worth = full * (1 + extra) * (1 + extra) / ((1 + extra) * (1 + extra) + extra)
-    p = percent / 100 + (1 - percent / 100) / 16
-    return BINS * (1 - p + sigmas * F.sqrt(p * (1 - p) / worth))
+    alike = percent / 100
+    drawn = BINS * (1 - F.exp(-n / BINS))
+    union = 2 * n / (1 + alike)
+    missed = 1 - BINS * (1 - F.exp(-union / BINS)) / union
+    copied = (BINS - drawn) / drawn
+    sampled = alike * (1 - alike) / drawn * (missed + copied / ((1 + copied) * (1 + copied)))
+    chance = (1 - alike) * 15 / 256 / BINS
+    bound = BINS * ((1 - alike) * 15 / 16 + sigmas * F.sqrt(sampled * (225 / 256) + chance))
+    return F.when(n < 16, BINS).otherwise(bound)
 
 
 def class_of(s: np.ndarray) -> bytes:
@@ -286,7 +291,7 @@ def _components(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent:
     # members but the centre, which has met all of its bucket
     rest = members.where("node <> low").join(far, ["low", "node"]).select("bucket", "node", "n", "from_", "to")
     reach = 1 - percent / 100 + 1e-9
-    centres = 4
+    centres = 1
     while True:
         now = rest.join(parts, "node")
         sizes = now.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("held"))

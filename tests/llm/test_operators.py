@@ -444,3 +444,18 @@ def test_broken_blocks_are_told():
 
 def test_sf_tables_exist():
     assert os.path.exists(SMALL)
+
+
+def test_linked_sets_have_like_marks(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (16, 30, 105, 350, 1400):
+        common = n * 6 // 7
+        for _ in range(150):
+            u = rng.integers(0, 2**63, 2 * n - common).astype(np.uint64) * np.uint64(2)
+            marks = minhash.marks_of(minhash.sketches([np.unique(u[:n]), np.unique(u[n - common :])])).tolist()
+            rows.append((n, *marks))
+    frame = spark.createDataFrame(rows, "n long, a array<long>, b array<long>")
+    F = minhash.F
+    got = frame.select("n", minhash._unlike(F.col("a"), F.col("b")).alias("x"), minhash._most_unlike(F.col("n"), 75).alias("most")).collect()
+    assert all(r["x"] <= r["most"] for r in got) and any(r["x"] > 0.7 * r["most"] for r in got)
