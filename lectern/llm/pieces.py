@@ -192,8 +192,8 @@ def lattice(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, v: Vocabulary
     return start, end, ids.astype(np.int64), score
 
 
-def _passes(key: np.ndarray, other: np.ndarray, score: np.ndarray, step: np.ndarray, n: int, roots: np.ndarray):
-    """Best score to each place `key` from `other`, in rounds of `step`; and the edge that gives it."""
+def _passes(key: np.ndarray, other: np.ndarray, score: np.ndarray, step: np.ndarray, n: int, roots: np.ndarray, edges: bool = True):
+    """Best score to each place `key` from `other`, in rounds of `step`; with `edges` the edge that gives it."""
     order = np.argsort(step * np.int64(n) + key, kind="stable")
     key, other, score, step = key[order], other[order], score[order], step[order]
     best = np.full(n, NONE)
@@ -207,10 +207,12 @@ def _passes(key: np.ndarray, other: np.ndarray, score: np.ndarray, step: np.ndar
         h = head[head_cut[r] : head_cut[r + 1]] - a
         cand = best[other[a:b]] + score[a:b]
         top = np.maximum.reduceat(cand, h)
-        size = np.diff(np.append(h, b - a))
-        hit = np.flatnonzero(cand == np.repeat(top, size))
         spot = key[a:b]
         best[spot[h]] = top
+        if not edges:
+            continue
+        size = np.diff(np.append(h, b - a))
+        hit = np.flatnonzero(cand == np.repeat(top, size))
         by[spot[hit[::-1]]] = order[a:b][hit[::-1]]
     return best, by
 
@@ -232,7 +234,7 @@ def solve(units: list[bytes], v: Vocabulary):
     tail = np.zeros(len(buf) + 1, np.int64)
     tail[:-1] = np.repeat(ends, size + 1)
     fore, by = _passes(end, start, score, end - base[start], len(buf) + 1, begins)
-    back, _ = _passes(start, end, score, tail[start] - start, len(buf) + 1, ends)
+    back, _ = _passes(start, end, score, tail[start] - start, len(buf) + 1, ends, edges=False)
     on_path = np.zeros(len(start), bool)
     at = ends[size > 0]
     unit = np.flatnonzero(size > 0)
@@ -375,7 +377,7 @@ def encode_pieces(docs: DataFrame, model: str, n: int = 3) -> DataFrame:
         v = vocabulary_at(model)
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
-            for first, end, texts in slices(batch):
+            for first, end, texts in slices(batch, limit=3 << 20):
                 flat, cut, score, more = segment(texts, n, v)
                 back = decode(flat, cut, v)
                 same = [a == b.replace(SPACE, b" ") for a, b in zip(back, texts)]
