@@ -83,8 +83,14 @@ def in_bitmap(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def texts_of(column) -> list[bytes]:
-    """UTF-8 bytes of an Arrow string column, null as empty."""
-    import pyarrow as pa
+#: Rows that go to a task's Python at once; a batch of texts then takes a few MB, not tens.
+BATCH_ROWS = 1000
 
-    return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, after the session's Arrow batches were bounded: whole texts make wide rows."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, in_bitmap, membership_bitmap, written
+from .common import BITMAP_BITS, in_bitmap, membership_bitmap, small_batches, written
 from .textbatch import GOLD, LOWER, buffer_of, mix, per_text, signed, slices, word_hashes, words_of
 
 # Eight of twelve positions each.
@@ -136,7 +136,7 @@ def _confirmed(rows: DataFrame, overlap: int, share: float) -> DataFrame:
 
 def leaks(keyed: DataFrame, items: DataFrame, overlap: int, share: float) -> DataFrame:
     """(row_key, items, n_items, longest) of the rows (row_key, text) that hold benchmark passages."""
-    bench = written(_benchmark(items), "leaks-bench")
+    bench = written(_benchmark(small_batches(items)), "leaks-bench")
     masks = [*MASKS, *_short_masks(bench)]
     seeds = written(_hashed(bench, "item_key", masks, None).withColumnRenamed("place", "item_place"), "leaks-seeds")
     low = F.col("hash").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))

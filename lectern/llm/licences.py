@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .decontaminate import _GAPS
 from .textbatch import LOWER, buffer_of, mix, slices, word_hashes, words_of
 
@@ -273,4 +274,4 @@ def scan_licences(docs: DataFrame, sample: int = 2000, sure: float = 0.5, cover:
                     names=["doc_id", "n_lines", "n_licences", "families", "found"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

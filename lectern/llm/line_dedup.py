@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .textbatch import slices
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -118,7 +118,7 @@ def line_keys(docs: DataFrame, shortest: int) -> DataFrame:
                     keys += own
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), ids.take(pa.array(rows, pa.int64()))], names=["key", "doc"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key binary, doc long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "key binary, doc long")
 
 
 def _shard(n: int):

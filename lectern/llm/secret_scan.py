@@ -18,6 +18,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 KINDS = ("assign", "access", "hex", "random")
 
 # The base patterns.
@@ -115,4 +117,4 @@ def scan_secrets(docs: DataFrame, vocabulary: str, most_ratio: float = 2.2) -> D
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(scan, SCHEMA)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, small_batches
 from .textbatch import buffer_of, per_text, slices, word_hashes, words_of
 
 MAGIC = b"LTK1"
@@ -353,7 +353,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
         if names:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     out = ordered.mapInArrow(run, "part int, group int, doc_ids array<long>, sizes array<long>, n_ids long, data binary")
     out.write.option("compression", "none").parquet(path)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textbatch import GOLD, LOWER, WHITE, buffer_of, mix, slices
 
 BITS = 20
@@ -117,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500):
     sample = [known.where(F.col("toxic") == k).orderBy(*order).limit(per_label) for k in (0, 1)]
     picked = sample[0].unionByName(sample[1]).select(F.col("doc_id").alias("_labelled"), "toxic")
     # 2 * per_label rows of two numbers: a fixed bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_labelled"))
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_labelled"))
 
     def featured(batches):
         for batch in batches:
