@@ -165,7 +165,7 @@ def lattice(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, v: Vocabulary
     pos = np.concatenate([[0], np.cumsum(ends - begins)])[:-1]
     pos = np.arange(int((ends - begins).sum())) - np.repeat(pos - begins, ends - begins)
     first_byte = (buf[pos] & 0xC0) != 0x80
-    pos, last = pos[first_byte], last[first_byte]
+    pos, last = pos[first_byte].astype(np.int32), last[first_byte].astype(np.int32)
     lead = buf[pos]
     width = np.minimum(1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0), last - pos)
     alone = np.zeros(len(buf), bool)
@@ -181,16 +181,16 @@ def lattice(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, v: Vocabulary
         parts.append((act[piece], act[piece] + n, got[piece]))
         alive = got != -2
         act, act_last = act[alive], act_last[alive]
-    start, end, ids = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
-    wide = np.zeros(len(buf), np.int64)
+    start, end, ids = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 3
+    wide = np.zeros(len(buf), np.int32)
     wide[pos] = width
     alone[start[end - start == wide[start]]] = True
     bare = pos[~alone[pos]]
     start = np.concatenate((start, bare))
     end = np.concatenate((end, bare + wide[bare]))
     score = np.concatenate((v.scores[ids], v.fallback * wide[bare]))
-    ids = np.concatenate((ids, np.full(len(bare), -1)))
-    return start, end, ids.astype(np.int64), score
+    ids = np.concatenate((ids, np.full(len(bare), -1, np.int32)))
+    return start, end.astype(np.int32), ids.astype(np.int32), score
 
 
 def _passes(key: np.ndarray, other: np.ndarray, score: np.ndarray, step: np.ndarray, n: int, roots: np.ndarray, edges: bool = True):
@@ -230,9 +230,9 @@ def solve(units: list[bytes], v: Vocabulary):
     # longer pieces first among equals
     order = np.argsort(start - end, kind="stable")
     start, end, ids, score = start[order], end[order], ids[order], score[order]
-    base = np.zeros(len(buf) + 1, np.int64)
+    base = np.zeros(len(buf) + 1, np.int32)
     base[:-1] = np.repeat(begins, size + 1)
-    tail = np.zeros(len(buf) + 1, np.int64)
+    tail = np.zeros(len(buf) + 1, np.int32)
     tail[:-1] = np.repeat(ends, size + 1)
     fore, by = _passes(end, start, score, end - base[start], len(buf) + 1, begins)
     back, _ = _passes(start, end, score, tail[start] - start, len(buf) + 1, ends, edges=False)
@@ -253,16 +253,16 @@ def solve(units: list[bytes], v: Vocabulary):
     owners, edges = owners[order], edges[order]
     top = fore[ends]
     loss = np.full(len(units), np.inf)
-    unit_of = np.zeros(len(buf) + 1, np.int64)
+    unit_of = np.zeros(len(buf) + 1, np.int32)
     unit_of[:-1] = np.repeat(np.arange(len(units)), size + 1)
     off = np.flatnonzero(~on_path & (fore[start] > NONE / 2) & (back[end] > NONE / 2))
-    through = fore[start[off]] + score[off] + back[end[off]]
-    np.minimum.at(loss, unit_of[start[off]], top[unit_of[start[off]]] - through)
+    owner = unit_of[start[off]]
+    np.minimum.at(loss, owner, top[owner] - fore[start[off]] - score[off] - back[end[off]])
     # an edge of bytes stands for as many ids as it has bytes
     got = ids[edges]
     many = np.where(got < 0, end[edges] - start[edges], 1)
     cut = np.cumsum(many) - many
-    flat = np.repeat(got, many)
+    flat = np.repeat(got, many).astype(np.int64)
     bytes_at = np.flatnonzero(flat < 0)
     within = bytes_at - np.repeat(cut, many)[bytes_at]
     flat[bytes_at] = v.byte_id[buf[np.repeat(start[edges], many)[bytes_at] + within]]
@@ -378,7 +378,7 @@ def encode_pieces(docs: DataFrame, model: str, n: int = 3) -> DataFrame:
         v = vocabulary_at(model)
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
-            for first, end, texts in slices(batch, limit=3 << 20):
+            for first, end, texts in slices(batch, limit=3 << 19):
                 flat, cut, score, more = segment(texts, n, v)
                 back = decode(flat, cut, v)
                 same = [a == b.replace(SPACE, b" ") for a, b in zip(back, texts)]
