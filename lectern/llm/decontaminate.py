@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BITMAP_BITS, in_bitmap, membership_bitmap, small_batches, written
-from .textbatch import GOLD, LOWER, buffer_of, mix, per_text, signed, slices, word_hashes, words_of
+from .textbatch import GOLD, LOWER, buffer_of, mix, per_text, signed, slices, tidy, word_hashes, words_of
 
 # Eight of twelve positions each.
 MASKS = ("111011010011", "110110011101", "101110110110", "111100101101")
@@ -75,7 +75,7 @@ def _short_masks(bench: DataFrame) -> list[str]:
             n = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(n[(n > 0) & (n < SPAN)].astype(np.int64))], names=["n"])
 
-    return ["1" * r["n"] for r in bench.select("text").mapInArrow(lengths, "n long").distinct().orderBy("n").collect()]
+    return ["1" * r["n"] for r in bench.select("text").mapInArrow(tidy(lengths), "n long").distinct().orderBy("n").collect()]
 
 
 def _hashed(rows: DataFrame, key: str, masks: list[str], bits: np.ndarray | None) -> DataFrame:
@@ -94,7 +94,7 @@ def _hashed(rows: DataFrame, key: str, masks: list[str], bits: np.ndarray | None
                         owner, place, h = owner[keep], place[keep], h[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(keys[first + owner]), pa.array(place.astype(np.int64)), pa.array(h)], names=[key, "place", "hash"])
 
-    return rows.select(key, "text").mapInArrow(run, f"{key} long, place long, hash long")
+    return rows.select(key, "text").mapInArrow(tidy(run), f"{key} long, place long, hash long")
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
@@ -131,7 +131,7 @@ def _confirmed(rows: DataFrame, overlap: int, share: float) -> DataFrame:
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row_key", "item_key", "item", "length"])
 
-    return rows.mapInArrow(run, "row_key long, item_key long, item long, length long")
+    return rows.mapInArrow(tidy(run), "row_key long, item_key long, item long, length long")
 
 
 def leaks(keyed: DataFrame, items: DataFrame, overlap: int, share: float) -> DataFrame:
@@ -153,7 +153,7 @@ def leaks(keyed: DataFrame, items: DataFrame, overlap: int, share: float) -> Dat
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(near, batch.column("row_key").to_numpy() % (1 << BITMAP_BITS))))
 
-    rows = keyed.select("row_key", "text").mapInArrow(screen, "row_key long, text string").dropDuplicates(["row_key"])
+    rows = keyed.select("row_key", "text").mapInArrow(tidy(screen), "row_key long, text string").dropDuplicates(["row_key"])
     sure = _confirmed(rows.join(lists, "row_key").select("row_key", "text", "hits"), overlap, share)
     return written(
         sure.groupBy("row_key").agg(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 from .decontaminate import _GAPS
-from .textbatch import LOWER, buffer_of, mix, slices, word_hashes, words_of
+from .textbatch import LOWER, buffer_of, mix, slices, tidy, word_hashes, words_of
 
 WINDOW, STRIDE = 40, 20
 FEATURES = 1 << 15
@@ -274,4 +274,4 @@ def scan_licences(docs: DataFrame, sample: int = 2000, sure: float = 0.5, cover:
                     names=["doc_id", "n_lines", "n_licences", "families", "found"],
                 )
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
-from .textbatch import slices
+from .textbatch import slices, tidy
 
 WHITE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -118,7 +118,7 @@ def line_keys(docs: DataFrame, shortest: int) -> DataFrame:
                     keys += own
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), ids.take(pa.array(rows, pa.int64()))], names=["key", "doc"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "key binary, doc long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(tidy(run), "key binary, doc long")
 
 
 def _shard(n: int):
@@ -179,7 +179,7 @@ class LineIndex:
         drops = asked.where("last_doc IS NOT NULL AND (doc_id IS NULL OR doc_id < last_doc)").groupBy("row").agg(F.collect_list("key").alias("drops"))
         open_ = split.where("keys IS NOT NULL").join(drops, "row", "left").select("doc_id", "text", "drops")
         done = split.where("keys IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("drops"))
-        return open_.unionByName(done).mapInArrow(_dropper(self.shortest), "doc_id long, n_lines long, n_dropped long, kept string")
+        return open_.unionByName(done).mapInArrow(tidy(_dropper(self.shortest)), "doc_id long, n_lines long, n_dropped long, kept string")
 
 
 def _built(refs: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def _screened(docs: DataFrame, screens: dict[int, bytes] | None, shards: int, sh
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id").cast(pa.int64()), part.column("text").cast(pa.string()), pa.array(keys, pa.list_(pa.binary()))], names=["row", "doc_id", "text", "keys"])
 
     rows = docs.select("doc_id", "text").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    return rows.mapInArrow(run, "row long, doc_id long, text string, keys array<binary>")
+    return rows.mapInArrow(tidy(run), "row long, doc_id long, text string, keys array<binary>")
 
 
 def _dropper(shortest: int):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BITMAP_BITS, in_bitmap, membership_bitmap, small_batches, written
-from .textbatch import GOLD, LOWER, buffer_of, mix, per_text, signed, slices, word_hashes, words_of
+from .textbatch import GOLD, LOWER, buffer_of, mix, per_text, signed, slices, tidy, word_hashes, words_of
 
 WORDS = 5
 BANDS, ROWS = 48, 6
@@ -184,7 +184,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     names=["node", "set"],
                 )
 
-    rows = docs.select("text").mapInArrow(make, "node binary, set array<long>")
+    rows = docs.select("text").mapInArrow(tidy(make), "node binary, set array<long>")
     return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -239,7 +239,7 @@ def _joined(links: DataFrame, parts: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
-    rows = written(small_batches(docs).select("doc_id", "text").mapInArrow(_sketched, "doc_id long, node binary, n long, bands array<long>, marks array<long>"), "near-rows")
+    rows = written(small_batches(docs).select("doc_id", "text").mapInArrow(tidy(_sketched), "doc_id long, node binary, n long, bands array<long>, marks array<long>"), "near-rows")
     one = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     spread = one.select("node", "n", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")

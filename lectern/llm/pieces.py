@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import small_batches
-from .textbatch import BYTE_VALUES, mix, powers, slices
+from .textbatch import BYTE_VALUES, mix, powers, slices, tidy
 
 SPACE = "▁".encode()
 _P, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
@@ -394,7 +394,7 @@ def encode_pieces(docs: DataFrame, model: str, n: int = 3) -> DataFrame:
                     names=["doc_id", "n_pieces", "score", "ids", "alternatives", "round_trip"],
                 )
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id long, n_pieces long, score double, ids array<int>, alternatives {ALTERNATIVES}, round_trip boolean")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(tidy(run), f"doc_id long, n_pieces long, score double, ids array<int>, alternatives {ALTERNATIVES}, round_trip boolean")
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
@@ -408,4 +408,4 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
             texts = decode(np.concatenate(lists) if lists else np.zeros(0, np.int64), cut, v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=["doc_id", "text"])
 
-    return small_batches(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return small_batches(encoded).select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import small_batches
+from .textbatch import tidy
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -117,4 +118,4 @@ def scan_secrets(docs: DataFrame, vocabulary: str, most_ratio: float = 2.2) -> D
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"],
             )
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(scan, SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(tidy(scan), SCHEMA)

@@ -39,7 +39,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
-def slices(batch, column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+def slices(batch, column: str = "text", limit: int = 2 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, end row, UTF-8 texts) of at most `limit` bytes, or of one row; null is empty.
 
     One text is never cut, so that a slice takes as much memory as the longest text may need.
@@ -86,5 +86,29 @@ def per_text(starts: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.append(np.searchsorted(begins, starts), len(begins))
 
 
+def tidy(function):
+    """`function` over batches, giving free memory back to the system at its end.
+
+    Spark keeps a task's Python for later tasks, and one task may use several; the allocators would
+    else hold on to what the largest batch took.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            _powers.clear()
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

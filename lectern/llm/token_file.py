@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, small_batches
-from .textbatch import buffer_of, per_text, slices, word_hashes, words_of
+from .textbatch import buffer_of, per_text, slices, tidy, word_hashes, words_of
 
 MAGIC = b"LTK1"
 BLOCK = 4096
@@ -355,7 +355,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    out = ordered.mapInArrow(run, "part int, group int, doc_ids array<long>, sizes array<long>, n_ids long, data binary")
+    out = ordered.mapInArrow(tidy(run), "part int, group int, doc_ids array<long>, sizes array<long>, n_ids long, data binary")
     out.write.option("compression", "none").parquet(path)
     return path
 
@@ -387,4 +387,4 @@ def _read(spark, path: str, last: str, made) -> DataFrame:
                 start = batch.column("before")[row].as_py() + cut[:-1]
                 yield pa.RecordBatch.from_arrays([names.cast(pa.int64()), pa.array(start), pa.array(sizes), made([ids[a:b] for a, b in zip(cut[:-1], cut[1:])])], names=["doc_id", "start", "n_tokens", name])
 
-    return groups.select("part", "group", "doc_ids", "sizes", "data").join(before, ["part", "group"]).mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
+    return groups.select("part", "group", "doc_ids", "sizes", "data").join(before, ["part", "group"]).mapInArrow(tidy(run), f"doc_id long, start long, n_tokens long, {last}")

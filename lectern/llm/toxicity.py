@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .textbatch import GOLD, LOWER, WHITE, buffer_of, mix, slices
+from .textbatch import GOLD, LOWER, WHITE, buffer_of, mix, slices, tidy
 
 BITS = 20
 LENGTHS = (4, 5, 6)
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500):
                     names=["toxic", "features"],
                 )
 
-    got = rows.select("text", "toxic").mapInArrow(featured, "toxic int, features array<int>").toArrow()
+    got = rows.select("text", "toxic").mapInArrow(tidy(featured), "toxic int, features array<int>").toArrow()
     lists = got.column("features").combine_chunks()
     cut = lists.offsets.to_numpy().astype(np.int64)
     owner = np.repeat(np.arange(len(cut) - 1, dtype=np.int32), np.diff(cut))
@@ -154,5 +154,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2500) ->
                 names=["doc_id", "score", "predicted"],
             )
 
-    out = docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double, predicted int")
+    out = docs.select("doc_id", "text").mapInArrow(tidy(score), "doc_id long, score double, predicted int")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
