@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -85,10 +86,15 @@ def in_bitmap(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 #: Rows that go to a task's Python at once; a batch of texts then takes a few MB, not tens.
 BATCH_ROWS = 1000
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """`df`, after the session's Arrow batches were bounded: whole texts make wide rows."""
+    """`df`, after the session's Arrow batches were bounded: whole texts make wide rows.
+
+    The tasks' Python is told where this package is, for drivers that run elsewhere.
+    """
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     conf = df.sparkSession.conf
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
