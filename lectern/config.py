@@ -59,3 +59,10 @@ REFERENCE = r"\[\d{4}[a-z]?\]|\[\d{1,3}\]|doi\s*:|doi\.org|arxiv|\(\d{4}\)"
 ET_AL = r"等人|et al\.?"
 #: Scheme of stored images; a setting of the site, with no default.
 MEDIA_SCHEME = "media-store://"
+#: Where the mirrored feed's direct links go, and what its list pages hold.
+MIRROR_HOST, MIRROR_SUMMARY_CHARS = "mp.weixin.qq.com", 200
+LIST_ENTRIES, LIST_BLOCK_CHARS = 20, 3000
+LIST_SKIPPED = ("/author/", "/tag/", "/category/", "/page/")
+CHUNK_CHARS, IMAGE_BYTES = 2000, 15 * 1024 * 1024
+NOTE_ID_MINUTES, SECTIONS_A_PAGE, HIGHLIGHTS, HEADLINE_WORDS = 60, 3, 5, 30
+LABEL_CHARS, NODE_CHARS = 24, 30

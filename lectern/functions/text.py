@@ -120,6 +120,14 @@ def _looked_up(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
+def topic_mark(slug: Column) -> Column:
+    return _looked_up(C.TOPIC_MARKS, slug)
+
+
+def topic_label(slug: Column) -> Column:
+    return _looked_up(C.TOPIC_LABELS, slug)
+
+
 def topic_heading(slug: Column) -> Column:
     mark = F.coalesce(_looked_up(C.TOPIC_MARKS, slug), F.lit("📌"))
     return F.concat(F.lit("## "), mark, F.lit(" "), F.coalesce(_looked_up(C.TOPIC_LABELS, slug), humanize_slug(slug)), F.lit(" [["), slug, F.lit("]]"))
@@ -201,3 +209,76 @@ def flexible_date(raw: Column, fetched: Column) -> Column:
         .when(raw.rlike("(?i)今天|today"), fetched)
         .when(F.abs(F.datediff(fetched, iso)) <= 3650, iso)
     )
+
+
+def topic_sections(body: Column) -> Column:
+    """Parts of a topic page that begin with a dated heading, in order; what comes before goes."""
+    parts = F.split(body, r"(?m)^(?=## \d{4}-\d{2}-\d{2}\s*$)", -1)
+    return F.filter(parts, lambda x: x.rlike(r"^## \d{4}-\d{2}-\d{2}\s*(\n|$)"))
+
+
+def without_title_block(body: Column) -> Column:
+    """Without a first `# title` line and the quotes under it."""
+    bare = F.regexp_replace(body, r"\A\n+", "")
+    titled = bare.rlike(r"\A# .+\n")
+    rest = F.regexp_replace(F.regexp_replace(bare, r"\A# .+\n\n*", ""), r"\A(?:> .*(?:\n|\z))+", "")
+    return F.when(titled, F.regexp_replace(rest, r"\A\n+", "")).otherwise(bare)
+
+
+def legacy_gist(body: Column, most: int = C.EXCERPT_CHARS) -> Column:
+    """The part under the concept heading, else the whole body, on one line and cut."""
+    own = F.regexp_extract(body, r"(?s)## 概念\s*/\s*事件\s*\n+(.+?)(?:\n##|\z)", 1)
+    line = F.replace(F.regexp_replace(F.when(own != "", own).otherwise(body), r"(?U)^\s+|\s+$", ""), F.lit("\n"), F.lit(" "))
+    cut = F.concat(F.regexp_replace(F.substring(line, 1, most), r"(?U)\s+$", ""), F.lit("…"))
+    return F.when(F.length(line) <= most, line).otherwise(cut)
+
+
+def chart_label(text: Column, most: int = C.LABEL_CHARS) -> Column:
+    """Free text as a label of a chart: without the marks that end one, and never the word `end` alone."""
+    bare = F.replace(F.trim(F.regexp_replace(text, r'["|\[\]\n`]', "")), F.lit("#"), F.lit("＃"))
+    return F.substring(F.when(F.lower(bare) == "end", F.concat(bare, F.lit(" "))).otherwise(bare), 1, most)
+
+
+def chart_is_sound(code: Column) -> Column:
+    """Whether a chart block has its fences, a known kind, and brackets and quotes in pairs."""
+    lines = F.split(F.regexp_replace(code, r"(?U)\A\s+|\s+\z", ""), "\n", -1)
+    inner = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
+    count = lambda mark: F.regexp_count(inner, F.lit(mark))
+    kind = F.trim(F.try_element_at(lines, F.lit(2)))
+    return F.coalesce(
+        (F.size(lines) >= 3) & (lines[0] == "```mermaid") & (F.try_element_at(lines, F.lit(-1)) == "```")
+        & kind.rlike("^(flowchart|pie|xychart-beta|quadrantChart)")
+        & (count(r"\[") == count(r"\]")) & (count(r"\(") == count(r"\)")) & (count('"') % 2 == 0)
+        & ~(kind.startswith("quadrantChart") & inner.rlike(r"\b\d+\.0\b")),
+        F.lit(False),
+    )
+
+
+def chart_coordinate(share: Column) -> Column:
+    """Two decimals, half to even; whole numbers without a point."""
+    return F.regexp_replace(F.bround(share, 2).cast("string"), r"\.0$", "")
+
+
+def headline(text: Column, words: list[str], most: int = C.HEADLINE_WORDS) -> Column:
+    """The `most` words from the first one sought on, those sought marked; the beginning if there is none."""
+    shown = F.split(F.trim(text), r"(?U)\s+")
+    sought = lambda w: F.regexp_replace(F.lower(w), r"(?U)^\W+|\W+$", "").isin(words)
+    at = F.greatest(F.array_position(F.transform(shown, sought), True), F.lit(1))
+    return F.array_join(F.transform(F.slice(shown, at.cast("int"), F.lit(most)), lambda w: F.when(sought(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)), " ")
+
+
+def images(html: Column) -> Column:
+    """Images of a page: where each is, its text, its file ending, and whether it shows anything."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
+    of = lambda tag, name: F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*["']([^"']*)["']""", 1)
+    inline = lambda x: F.when((x != "") & ~x.startswith("data:"), x)
+
+    def one(tag):
+        first = F.regexp_extract(of(tag, "srcset"), r"^(https?://[^\s,]+)", 1)
+        src = F.coalesce(inline(of(tag, "data-src")), inline(of(tag, "data-original")), inline(of(tag, "src")), inline(first))
+        dot = lambda n: of(tag, n).isin("0", "1")
+        ending = F.lower(F.regexp_extract(src, r"^[^?#]*(\.[A-Za-z0-9]+)(?:[?#]|$)", 1))
+        kind = F.when(ending == ".jpeg", ".jpg").when(ending.isin(".png", ".jpg", ".gif", ".webp", ".svg", ".avif", ".bmp"), ending).otherwise(".bin")
+        return F.struct(src.alias("src"), of(tag, "alt").alias("alt"), kind.alias("ending"), (src.isNotNull() & ~(dot("width") & dot("height"))).alias("shown"))
+
+    return F.transform(tags, one)

@@ -138,14 +138,17 @@ def granularity(assigned: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
+def health_state(failures: Column) -> Column:
+    return F.when(failures >= C.DEAD_FAILURES, "dead").when(failures >= C.DEGRADED_FAILURES, "degraded").otherwise("alive")
+
+
 def source_health(attempts: DataFrame) -> DataFrame:
     """After each attempt of a source: failures since its last success, and its state."""
     w = Window.partitionBy("source_name").orderBy("ts", "seq")
     ran = attempts.withColumn("island", F.sum(F.col("success").cast("long")).over(w))
     inside = Window.partitionBy("source_name", "island").orderBy("ts", "seq")
     failures = F.sum((~F.col("success")).cast("long")).over(inside)
-    state = F.when(failures >= C.DEAD_FAILURES, "dead").when(failures >= C.DEGRADED_FAILURES, "degraded").otherwise("alive")
-    return ran.select("source_name", "seq", failures.alias("failures"), state.alias("state"))
+    return ran.select("source_name", "seq", failures.alias("failures"), health_state(failures).alias("state"))
 
 
 def classify_daily(is_recap: Column, zettel_id: Column, channel: Column) -> Column:

@@ -8,7 +8,7 @@ import sys
 import duckdb
 import pytest
 
-from lectern.plans.queries import QUERIES, SQL
+from lectern.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
