@@ -45,3 +45,27 @@ def set_once(index: DataFrame, notes: DataFrame, key: str, column: str) -> DataF
     came = notes.groupBy(key).agg(F.max(column).alias("_new"))
     rows = index.join(came, key, "left")
     return rows.select(*[F.coalesce("_new", column).alias(column) if c == column else F.col(c) for c in index.columns])
+
+
+def write_batch(tables: dict[str, DataFrame], records: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """A batch's records into documents, tags and links, in that order; the new versions.
+
+    `records` has the documents' columns, `version`, `tags` and `link_targets`. Each table is written
+    below `folder` and read again, so that links see the documents of the same batch; a second run of
+    a batch writes the same. Links with an end that doesn't exist aren't added: `dangling` has them.
+    """
+    spark = records.sparkSession
+
+    def put(name: str, frame: DataFrame) -> DataFrame:
+        frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    documents, tags, links = (tables[n] for n in ("documents", "tags", "links"))
+    last = records.groupBy("doc_id").agg(F.max_by(F.struct(*records.columns), "version").alias("_row")).select("_row.*")
+    now = put("documents", upsert(documents, last.select(*documents.columns, "version"), "doc_id"))
+    own = put("tags", replace_tags(tags, last.select("doc_id", "tags")))
+    wanted = last.select(F.col("doc_id").alias("from_id"), F.explode("link_targets").alias("to_id")).where("from_id <> to_id").distinct()
+    ids = now.select(F.col("doc_id").alias("id"))
+    both = put("links", add_links(links, wanted, ids))
+    dangling = put("dangling", wanted.join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id"))
+    return {"documents": now, "tags": own, "links": both, "dangling": dangling}

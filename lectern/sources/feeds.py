@@ -157,3 +157,25 @@ def unreadable(landed: DataFrame, as_xml: bool = True) -> DataFrame:
     else:
         sound = F.from_json("payload", _PAPERS).isNotNull()
     return landed.where(~F.coalesce(sound, F.lit(False))).select("source_name")
+
+
+def entries(landed: DataFrame, as_of: Column, papers: str, prefix: str) -> DataFrame:
+    """Entries of payloads of any kind: `reader` is rss, atom, json or mirror; another one is an error.
+
+    Each reader scans the payloads of its own kind only, where the table is laid out by `reader`.
+    """
+    kinds = ("rss", "atom", "json", "mirror")
+    known = F.when(F.col("reader").isin(*kinds), True).otherwise(F.raise_error(F.concat(F.lit("unknown reader: "), F.coalesce("reader", F.lit("none")))))
+    of = lambda kind: landed.where(F.col("reader") == kind)
+    # the check stands in one branch alone, as each branch sees all kinds before its filter
+    checked = landed.where(known).where(F.col("reader") == "rss")
+    got = rss(checked, as_of).unionByName(atom_papers(of("atom"))).unionByName(mirror_feed(of("mirror")))
+    return got.unionByName(json_papers(of("json"), papers, prefix).drop("upvotes"))
+
+
+def demoted(found: DataFrame, health: DataFrame, registry: DataFrame) -> DataFrame:
+    """Entries of degraded sources are doubtful: the state seen in use (`state`) goes before the registry's."""
+    known = registry.select("source_name", "reliability").join(health.select("source_name", "state"), "source_name", "full_outer")
+    bad = known.select("source_name", (F.coalesce("state", "reliability") == "degraded").alias("bad"))
+    rows = found.join(bad, "source_name", "left")
+    return rows.withColumn("low_confidence", F.col("low_confidence") | F.coalesce("bad", F.lit(False))).drop("bad")

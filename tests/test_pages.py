@@ -150,3 +150,65 @@ def test_streamed_index(spark, tmp_path):
     assert {r.pos: r.decision for r in got.collect()} == {1: "new", 2: "drop", 3: "re_coverage", 4: "new", 5: "later", 6: "new"}
     index = {r.normalized_url: r.kept_in_daily for r in spark.read.parquet(str(tmp_path / "s" / "state" / "2")).collect()}
     assert index == {"h.org/a": ["2026-01-01", "2026-01-03", "2026-01-20"], "h.org/b": ["2026-01-03"]}
+
+
+def test_readers_by_kind(spark):
+    feed = "<rss><channel><item><title>a</title><link>u</link><description>d</description><pubDate>05 Jul 2026 00:00:00 GMT</pubDate></item></channel></rss>"
+    atom = "<feed><entry><id>i</id><title>t</title><summary>s</summary><published>2026-07-01</published></entry></feed>"
+    rows = [("s1", "rss", feed, None), ("s2", "atom", atom, None), ("s3", "json", "[]", dt.date(2026, 7, 4)), ("s3", "json", '[{"paper": {"id": "9", "title": "p"}}]', dt.date(2026, 7, 5)), ("s4", "mirror", feed, None)]
+    schema = "source_name string, reader string, payload string, query_date date"
+    day = F.lit(dt.date(2026, 7, 5))
+    got = R.entries(spark.createDataFrame(rows, schema), day, "papers", "https://p/").collect()
+    assert sorted((r.source_name, r.url, r.low_confidence) for r in got) == [("papers", "https://p/9", True), ("s1", "u", False), ("s2", "i", False), ("s4", "u", True)]
+    bad = R.entries(spark.createDataFrame([*rows, ("s5", "fax", "", None)], schema), day, "papers", "https://p/")
+    try:
+        bad.collect()
+        raise AssertionError("an unknown reader passed")
+    except Exception as error:  # noqa: BLE001
+        assert "unknown reader: fax" in str(error)
+
+
+def test_degraded_sources_are_doubtful(spark):
+    found = spark.createDataFrame([("a", False), ("b", False), ("c", False), ("d", True)], "source_name string, low_confidence boolean")
+    registry = spark.createDataFrame([("a", "degraded"), ("b", "stable")], "source_name string, reliability string")
+    health = spark.createDataFrame([("a", "alive"), ("b", "degraded")], "source_name string, state string")
+    got = {r.source_name: r.low_confidence for r in R.demoted(found, health, registry).collect()}
+    assert got == {"a": False, "b": True, "c": False, "d": True}
+
+
+def test_only_public_addresses(spark):
+    from lectern.sources.guard import allowed
+
+    hop = lambda *a, url="https://h.org/x": {"url": url, "addresses": list(a)}
+    rows = [
+        (0, [hop("93.184.216.34")]), (1, [hop("93.184.216.34"), hop("10.0.0.1")]), (2, [hop("93.184.216.34", "127.0.0.1")]), (3, [hop()]),
+        (4, [hop("93.184.216.34", url="file:///etc/x")]), (5, [hop("169.254.1.1")]), (6, [hop("::ffff:10.0.0.1")]), (7, [hop("224.0.0.1")]),
+        (8, [hop("93.184.216.34")] * 7), (9, []), (10, [hop("nonsense")]), (11, None),
+    ]
+    frame = spark.createDataFrame(rows, "i int, hops array<struct<url: string, addresses: array<string>>>")
+    assert [r.i for r in frame.where(allowed(F.col("hops"))).collect()] == [0]
+
+
+def test_write_batch(spark, tmp_path):
+    from lectern.operators import store as S
+
+    doc = "doc_id string, title string"
+    tables = {
+        "documents": spark.createDataFrame([("a", "old"), ("b", "b")], doc),
+        "tags": spark.createDataFrame([("a", "x"), ("b", "y")], "doc_id string, tag string"),
+        "links": spark.createDataFrame([("b", "a")], "from_id string, to_id string"),
+    }
+    records = spark.createDataFrame([("a", "mid", 1, ["q"], ["gone"]), ("a", "new", 2, [], ["c", "a", "lost"]), ("c", "c", 1, ["z", "z"], ["a"])], f"{doc}, version int, tags array<string>, link_targets array<string>")
+    for _ in range(2):  # a second run writes the same
+        got = S.write_batch(tables, records, str(tmp_path / "v1"))
+        rows = {n: sorted(map(tuple, f.collect())) for n, f in got.items()}
+        assert rows == {"documents": [("a", "new"), ("b", "b"), ("c", "c")], "tags": [("b", "y"), ("c", "z")], "links": [("a", "c"), ("b", "a"), ("c", "a")], "dangling": [("a", "lost")]}
+
+
+def test_topic_entries_come_once(spark):
+    schema = "topic_slug string, link_id string, entry_date date, seq long, line string"
+    d = dt.date(2026, 7, 5)
+    old = spark.createDataFrame([("t", "a", d, 1, "- [[a]]")], schema)
+    new = spark.createDataFrame([("t", "a", d, 5, "x"), ("t", "b", d, 7, "second"), ("t", "b", d, 6, "first"), ("u", "a", d, 8, "other")], schema)
+    got = sorted((r.topic_slug, r.link_id, r.line) for r in P.add_topic_entries(old, new).collect())
+    assert got == [("t", "a", "- [[a]]"), ("t", "b", "first"), ("u", "a", "other")]
