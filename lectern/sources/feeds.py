@@ -165,12 +165,14 @@ def entries(landed: DataFrame, as_of: Column, papers: str, prefix: str) -> DataF
     Each reader scans the payloads of its own kind only, where the table is laid out by `reader`.
     """
     kinds = ("rss", "atom", "json", "mirror")
-    known = F.when(F.col("reader").isin(*kinds), True).otherwise(F.raise_error(F.concat(F.lit("unknown reader: "), F.coalesce("reader", F.lit("none")))))
     of = lambda kind: landed.where(F.col("reader") == kind)
-    # the check stands in one branch alone, as each branch sees all kinds before its filter
-    checked = landed.where(known).where(F.col("reader") == "rss")
-    got = rss(checked, as_of).unionByName(atom_papers(of("atom"))).unionByName(mirror_feed(of("mirror")))
-    return got.unionByName(json_papers(of("json"), papers, prefix).drop("upvotes"))
+    # a branch of its own, so that no pushed filter hides a row of an unknown kind
+    unknown = landed.where(~F.coalesce(F.col("reader").isin(*kinds), F.lit(False)))
+    error = F.raise_error(F.concat(F.lit("unknown reader: "), F.coalesce("reader", F.lit("none"))))
+    empty, none = F.lit(""), F.lit(None).cast("date")
+    failed = _entries(unknown.where(error.cast("boolean")), empty, empty, none, empty, F.lit(True), empty)
+    got = rss(of("rss"), as_of).unionByName(atom_papers(of("atom"))).unionByName(mirror_feed(of("mirror")))
+    return got.unionByName(json_papers(of("json"), papers, prefix).drop("upvotes")).unionByName(failed)
 
 
 def demoted(found: DataFrame, health: DataFrame, registry: DataFrame) -> DataFrame:
