@@ -299,7 +299,7 @@ def _components(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent:
         now = written(now.join(mixed, "bucket"), "near-mixed")
         strays = now.where("part <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("part").alias("a_part"), F.col("from_").alias("a_from"), F.col("to").alias("a_to"))
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("a"))
-        # a stray that is among the first of one bucket is a centre of all its buckets, and then done
+        # a stray that is among the first of one bucket is a centre of all buckets in which it is a stray, and done there
         chosen = strays.withColumn("rank", rank).where(F.col("rank") <= centres).select("a").distinct()
         strays = written(strays.join(chosen, "a"), "near-strays")
         if strays.isEmpty():
@@ -316,7 +316,7 @@ def _components(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent:
         pairs = strays.join(now, "bucket").where((F.col("part") != F.col("a_part")) & fits(F.col("n"), F.col("a_n")) & enough & near & once & like)
         pairs = written(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "near-pairs")
         parts = _joined(written(_links(_distances(pairs, sets), percent), "near-links"), parts)
-        rest = written(now.select("bucket", "node", "n", "from_", "to").join(strays.select(F.col("a").alias("node")).distinct(), "node", "left_anti"), "near-rest")
+        rest = written(now.select("bucket", "node", "n", "from_", "to").join(strays.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti"), "near-rest")
         centres *= 4
 
 
