@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns plus a token-efficiency test under a tiktoken vocabulary.
 
 Random strings need many tokens: a candidate run of key characters whose characters-per-token
-ratio is low is reported, unless it looks like a known digest or identifier.
+ratio is low is reported, unless it is a digest, a UUID or without letters.
 
 Defined cases: a null text counts as empty and has no spans; offsets are code points, end
 exclusive; spans of different kinds may overlap, and ties at one start are ordered by kind as in
@@ -32,7 +32,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.A)
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-WORDY = re.compile(r"[A-Za-z]+(?:[_-][A-Za-z]+)*|[A-Z0-9_-]*?[0-9_-]+", re.A)
+NUMBER = re.compile(r"[0-9+/_=-]*", re.A)
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 
 SCHEMA = (
@@ -41,11 +41,11 @@ SCHEMA = (
 
 
 def known_identifier(run: str) -> bool:
-    """Digests in hex, UUIDs, plain words joined by dashes, and numbers are not secrets by themselves."""
+    """Digests in hex, UUIDs and runs without letters are not secrets by themselves."""
     plain = run.strip("=-_/+")
     if len(plain) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", plain):
         return True
-    return bool(UUID.fullmatch(plain) or WORDY.fullmatch(plain))
+    return bool(UUID.fullmatch(plain) or NUMBER.fullmatch(plain))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -57,11 +57,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, tokens_in, most_ratio: float) -> list[tuple[int, int, int]]:
-    """Runs that mix letters with digits and have few characters a token."""
+    """Runs that have few characters a token."""
     out = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if any(c.isdigit() for c in run) and not known_identifier(run) and len(run) <= most_ratio * tokens_in(run):
+        if not known_identifier(run) and len(run) <= most_ratio * tokens_in(run):
             out.append((m.start(), 3, m.end()))
     return out
 
