@@ -138,10 +138,22 @@ class LineIndex:
     def _counted(self, postings: DataFrame) -> DataFrame:
         return postings.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc")).select("key", _shard(self.shards).alias("shard"), "n_docs", "last_doc")
 
+    def _hold(self, keys: int) -> None:
+        """Raise the number of shards where `keys` keys would make them too large; a task takes one whole."""
+        want = -(-keys // SHARD_KEYS)
+        if want <= self.shards:
+            return
+        self.shards = max(want, 2 * self.shards)
+        if not self.filters.isEmpty():
+            self.refs = written(self.refs.withColumn("shard", _shard(self.shards)), "lines-refs")
+            self.filters = written(_built(self.refs), "lines-filters")
+
     def insert(self, docs: DataFrame) -> None:
         fresh = not self.filters.isEmpty()
         new = line_keys(docs, self.shortest)
         delta = written(self._counted(new), "lines-delta")
+        self._hold(self.refs.count() + delta.count())
+        delta = delta.withColumn("shard", _shard(self.shards))
         self.postings = self.postings.unionByName(new) if not fresh else written(self.postings.unionByName(new), "lines-postings")
         if not fresh:
             self.refs = delta
@@ -198,7 +210,7 @@ def _filter_in(rows: pa.Table) -> Cuckoo:
 
 
 def _asked(delta: DataFrame, filters: DataFrame) -> DataFrame:
-    """`delta` with known: whether a key's shard may hold it. A shard's keys are few by their number of shards."""
+    """`delta` with known: whether a key's shard may hold it. A shard has SHARD_KEYS keys on average at most, by `_hold`."""
 
     def ask(rows, cells):
         there = _filter_in(cells)
@@ -270,8 +282,7 @@ def _dropper(shortest: int):
 
 def dedup_lines(docs: DataFrame, least: int = 5, shortest: int = 40) -> DataFrame:
     """Index all of `docs`, then tell per row: doc_id, n_lines, n_dropped, kept."""
-    rows = docs.count()
-    index = LineIndex(docs.sparkSession, shards=max(4, rows * 16 // SHARD_KEYS), shortest=shortest)
+    index = LineIndex(docs.sparkSession, shards=4, shortest=shortest)
     index.insert(docs)
     return index.kept(docs, least)
 
