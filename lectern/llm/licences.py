@@ -1,17 +1,20 @@
 """Licence scans: a trained paragraph classifier, confirmed against templates.
 
-Paragraphs are the lines of a text. A multinomial logistic regression over hashed word unigrams and
+Paragraphs are runs of lines that have words, and also each line alone, so that a notice counts
+whether it is wrapped or stands among other lines. A multinomial logistic regression over hashed word unigrams and
 bigrams tells the licence family of a window of at most WINDOW words, one class being "unknown". It
 is trained here: on the templates below, cut and disturbed by fixed rules, and, for the unknown
 class, on lines of the corpus and on licence words out of order. Its temperature is fitted on
-examples kept apart. A window counts when its family's calibrated probability reaches `sure` and a
-template of that family is covered by `cover` or more of its bigrams.
+examples kept apart. A window counts when the calibrated probability that it holds a licence reaches `sure`.
+Each family is then confirmed where `cover` or more of the bigrams of one of its templates stand in
+the window, at places that no better covered family took: so a window may hold several families.
 
 The unknown class is fitted on `sample` lines of the corpus at most, those of the documents whose
 hashed ids are smallest; every line of every document is then scored.
 
 Defined cases: null and empty texts have one empty line and no licence; a line may hold several
-families, each reported once with its best window; ties go to the family that comes first in
+families, each reported once with its best window; a notice over several lines is reported at the
+line where its window starts, unless one of the lines has been reported for the family alone; ties go to the family that comes first in
 FAMILIES; repeated rows and rows without id are scanned each; an empty table gives an empty result;
 extra columns are not read.
 """
@@ -127,6 +130,67 @@ def windows_of(cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return line, first, np.minimum(first + WINDOW, cut[line + 1])
 
 
+def paragraphs(cut: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, end line) of the runs of two lines or more that have words."""
+    some = np.diff(cut) > 0
+    follows = np.zeros(len(some), bool)
+    follows[1:] = some[1:] & some[:-1] & (owner[1:] == owner[:-1])
+    first = np.flatnonzero(some & ~follows)
+    breaks = np.append(np.flatnonzero(~follows), len(some))
+    end = breaks[np.searchsorted(breaks, first, side="right")]
+    return first[end - first > 1], end[end - first > 1]
+
+
+def wrapped(cut: np.ndarray, pair: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end word, bigram slots) of windows of paragraphs; bigrams run over line ends."""
+    line, stop = paragraphs(cut, owner)
+    begin, end = cut[line], cut[stop]
+    nth, first, last = windows_of(np.stack((begin, end), axis=1).ravel()) if len(line) else (np.zeros(0, int),) * 3
+    own = nth % 2 == 0  # the others lie between paragraphs
+    return first[own], last[own], (pair % np.uint64(FEATURES)).astype(np.int32)
+
+
+def shortest_span(own: np.ndarray, template: np.ndarray) -> tuple[int, int]:
+    """(begin, end) of the shortest stretch of bigrams that has all those of `template` that are there."""
+    at = np.flatnonzero(np.isin(own, template))
+    missing = len(np.unique(own[at]))
+    held: dict[int, int] = {}
+    best, first = (0, len(own)), 0
+    for i in at:
+        held[own[i]] = held.get(own[i], 0) + 1
+        while len(held) == missing:
+            if i + 1 - at[first] < best[1] - best[0]:
+                best = (int(at[first]), int(i) + 1)
+            left = own[at[first]]
+            held[left] -= 1
+            if not held[left]:
+                del held[left]
+            first += 1
+    return best
+
+
+def confirmed(own: np.ndarray, pairs: list[list[np.ndarray]], cover: float) -> list[tuple[int, float]]:
+    """(family, cover) of the families with a template in a window's bigrams, each at places of its own."""
+    free = np.ones(len(own), bool)
+    out: list[tuple[int, float]] = []
+    while True:
+        best = (0.0, 0, 0.0, own)
+        there = own[free]
+        for family, templates in enumerate(pairs):
+            if any(f == family for f, _ in out):
+                continue
+            for t in templates:
+                held = np.isin(t, there)
+                share = float(held.mean())
+                if share >= cover and (share * int(held.sum()), -family) > (best[0], -best[1]):
+                    best = (share * int(held.sum()), family, share, t)
+        if not best[0]:
+            return out
+        out.append((best[1], best[2]))
+        begin, end = shortest_span(np.where(free, own, 0), best[3])
+        free[begin:end] = False
+
+
 def logits(first: np.ndarray, end: np.ndarray, one: np.ndarray, two: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Class scores of windows; weights has a last row of zeros for slot -1."""
     sums = np.zeros((len(one) + 1, len(bias)))
@@ -251,15 +315,22 @@ def scan_licences(docs: DataFrame, sample: int = 2000, sure: float = 0.5, cover:
             for first_row, end_row, texts in slices(batch):
                 cut, one, two, pair, owner, n_lines = word_features(texts)
                 line, first, end = windows_of(cut)
-                p = softmax(logits(first, end, one, two, weights, bias) / temperature) if len(line) else np.zeros((0, UNKNOWN + 1))
+                more, more_end, over = wrapped(cut, pair, owner)
+                scored = [logits(a, b, one, slots, weights, bias) for a, b, slots in ((first, end, two), (more, more_end, over)) if len(a)]
+                p = softmax(np.concatenate(scored) / temperature) if scored else np.zeros((0, UNKNOWN + 1))
+                first, end = np.concatenate((first, more)), np.concatenate((end, more_end))
+                line, last = (np.searchsorted(cut, at, side="right") - 1 for at in (first, end - 1))
                 found: list[dict] = [{} for _ in texts]
+                told_at: dict[tuple[int, int], list[tuple[int, int]]] = {}
                 line_at = np.cumsum(n_lines) - n_lines
-                for w in np.flatnonzero((p[:, :UNKNOWN] >= sure).any(axis=1)):
+                for w in np.flatnonzero(1 - p[:, UNKNOWN] >= sure):
                     own = pair[first[w] : max(end[w] - 1, first[w])]
-                    family = int(np.argmax(p[w, :UNKNOWN]))
-                    share = max(float(np.isin(t, own).mean()) for t in pairs[family])
-                    if share >= cover:
-                        doc = int(owner[line[w]])
+                    doc = int(owner[line[w]])
+                    for family, share in confirmed(own, pairs, cover):
+                        spots = told_at.setdefault((doc, family), [])
+                        if last[w] > line[w] and any(a <= last[w] and line[w] <= b for a, b in spots):
+                            continue
+                        spots.append((int(line[w]), int(last[w])))
                         key = (int(line[w] - line_at[doc]), family)
                         found[doc][key] = max(found[doc].get(key, (0.0, 0.0)), (float(p[w, family]), share))
                 told = [[{"line": k[0], "family": FAMILIES[k[1]], "probability": v[0], "cover": v[1]} for k, v in sorted(f.items())] for f in found]
