@@ -4,11 +4,11 @@ Tokens are runs of ASCII letters, digits and other non-ASCII bytes, A-Z lower-ca
 looks at some positions of a token window and ignores the rest, so that a hash of what it sees
 survives substitutions at the others. Hashes of the benchmark's windows are joined with those of the
 documents' windows; around each hit the whole item is laid on the document along the hit's diagonal,
-and the best stretch decides: at least `overlap` tokens (or all of a shorter item), at least `share`
-of them equal.
+and the longest stretch with at least `share` of its tokens equal decides: it must have at least
+`overlap` tokens, or all of a shorter item.
 
-Defined cases: null and empty texts, or items, have no tokens and no hits; items of fewer tokens
-than a mask spans are looked up whole; items with equal texts report the smallest item_id; repeated
+Defined cases: null and empty texts, or items, have no tokens and no hits; items of fewer
+than 13 tokens have masks of their own length, which any fifth of substitutions leaves one of; items with equal texts report the smallest item_id; repeated
 rows are judged each by its own text; rows and items without id work alike (an item without id is
 left out of the list, but counts); empty tables give clean documents; extra columns are kept by
 `drop_leaks` and not read.
@@ -16,6 +16,9 @@ left out of the list, but counts); empty tables give clean documents; extra colu
 
 from __future__ import annotations
 
+from fractions import Fraction
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,9 +27,10 @@ from pyspark.sql import functions as F
 from .common import BITMAP_BITS, in_bitmap, membership_bitmap, small_batches, written
 from .textbatch import GOLD, LOWER, buffer_of, mix, per_text, signed, slices, tidy, word_hashes, words_of
 
-# Eight of twelve positions each.
-MASKS = ("111011010011", "110110011101", "101110110110", "111100101101")
-SPAN = 12
+# Seven positions each: in every stretch of 13 to 20 tokens one of them meets no substitution,
+# wherever a fifth of the tokens is substituted.
+MASKS = ("11110111", "110100010111", "110011001101", "10101101011", "1111010011", "1100101000111", "1110000100111")
+SPAN = 13
 
 _GAPS = np.ones(256, bool)
 _GAPS[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = False
@@ -66,8 +70,18 @@ def _benchmark(items: DataFrame) -> DataFrame:
     return one.select("item", "text", F.xxhash64("text").alias("item_key"))
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks of n tokens, of which a fifth of substitutions, wherever they stand, leaves one whole.
+
+    Positions are dealt to groups; each mask leaves out as many groups as there may be substitutions.
+    """
+    out = n // 5
+    groups = min(n, out and out + 2)
+    return ["".join("0" if j % max(groups, 1) in gone else "1" for j in range(n)) for gone in combinations(range(groups), out)]
+
+
 def _short_masks(bench: DataFrame) -> list[str]:
-    """Full masks for the lengths of items that are shorter than SPAN tokens; at most SPAN - 1 of them."""
+    """Masks for the lengths of items that are shorter than SPAN tokens."""
 
     def lengths(batches):
         for batch in batches:
@@ -75,18 +89,25 @@ def _short_masks(bench: DataFrame) -> list[str]:
             n = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(n[(n > 0) & (n < SPAN)].astype(np.int64))], names=["n"])
 
-    return ["1" * r["n"] for r in bench.select("text").mapInArrow(tidy(lengths), "n long").distinct().orderBy("n").collect()]
+    return [mask for r in bench.select("text").mapInArrow(tidy(lengths), "n long").distinct().orderBy("n").collect() for mask in short_masks(r["n"])]
 
 
 def _hashed(rows: DataFrame, key: str, masks: list[str], bits: np.ndarray | None) -> DataFrame:
-    """(key, place, hash) of all windows; with `bits`, of those whose two slots are set."""
+    """(key, place, hash) of all windows; with `bits`, of those whose two slots are set.
+
+    Without `bits` texts are items, and those of fewer tokens than SPAN have masks of their length only.
+    """
 
     def run(batches):
         for batch in batches:
             keys = batch.column(key).to_numpy()
             for first, _, texts in slices(batch):
-                for owner, place, h in windows(texts, masks):
+                size = np.diff(tokens_of(texts)[1]) if bits is None else None
+                for mask, (owner, place, h) in zip(masks, windows(texts, masks)):
                     h = signed(h)
+                    if bits is None:
+                        own = size[owner] >= SPAN if mask in MASKS else size[owner] == len(mask)
+                        owner, place, h = owner[own], place[own], h[own]
                     if bits is not None:
                         slots = h & ((1 << BITMAP_BITS) - 1), (h >> BITMAP_BITS) & ((1 << BITMAP_BITS) - 1)
                         keep = in_bitmap(bits, slots[0])
@@ -108,6 +129,18 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return end - begin, int(equal[begin:end].sum())
 
 
+def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
+    """(length, equal tokens) of the longest stretch of which at least `share` is equal."""
+    part = Fraction(share).limit_denominator(10_000)
+    counts = np.concatenate(([0], np.cumsum(equal, dtype=np.int64)))
+    sums = counts * part.denominator - np.arange(len(counts)) * part.numerator
+    # the last place from which on no sum is as high as at the begin
+    above = -np.maximum.accumulate(sums[::-1])[::-1]
+    end = np.searchsorted(above, -sums, side="right") - 1
+    begin = int(np.argmax(end - np.arange(len(end))))
+    return int(end[begin]) - begin, int(counts[end[begin]] - counts[begin])
+
+
 def _confirmed(rows: DataFrame, overlap: int, share: float) -> DataFrame:
     """(row_key, item) of the candidates (item, text, at) in the list `hits` that hold on the text."""
 
@@ -125,8 +158,8 @@ def _confirmed(rows: DataFrame, overlap: int, share: float) -> DataFrame:
                         if item is None:
                             item = known[hit["item_key"]] = tokens_of([hit["item_text"].encode()])[0]
                         a, b = max(0, -hit["at"]), min(len(item), len(doc) - hit["at"])
-                        length, same = best_stretch(item[a:b] == doc[a + hit["at"] : b + hit["at"]])
-                        if length >= min(overlap, len(item)) and same >= share * length:
+                        length, _ = longest_stretch(item[a:b] == doc[a + hit["at"] : b + hit["at"]], share)
+                        if length >= max(min(overlap, len(item)), 1):
                             out.append((keys[i], hit["item_key"], hit["item"], length))
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row_key", "item_key", "item", "length"])
