@@ -8,8 +8,9 @@ may go to every task. A document's perplexity is held against a quantile of the
 perplexities in its language.
 
 Defined cases: null and empty texts have perplexity null and aren't rejected; so does a corpus
-without trusted text; a language that has fewer than `least` trusted documents, or none named,
-takes the quantile over all languages; rows without id are scored but never trusted; rows repeated
+without trusted text; a language that has fewer than `least` trusted documents takes the quantile
+over all languages, scaled by the median and the lower spread of its own documents; where it has fewer than `least`
+documents, or none is named and trusted, they aren't judged: max_perplexity is null and rejected false; rows without id are scored but never trusted; rows repeated
 are counted and scored again; extra columns are kept by `keep_good` and not read.
 """
 
@@ -200,11 +201,12 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return near.join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi").select("text")
 
 
-def limits(scores: DataFrame, labels: DataFrame, quantile: float, least: int, prior: int) -> tuple[DataFrame, tuple[float, float]]:
-    """Per language (_lang, _mean, _limit), and (mean, limit) over all languages.
+def limits(scores: DataFrame, labels: DataFrame, quantile: float, least: int, prior: int) -> DataFrame:
+    """Per language that can be judged: _lang, _mean, _limit.
 
     A text's cost a byte is taken together with `prior` bytes of the mean cost, so that chance
-    doesn't decide on short texts; the limit is a quantile of that figure over trusted documents.
+    doesn't decide on short texts; the limit is a quantile of that figure over trusted documents. Where a language has few of those, mean and limit
+    over all languages are scaled by the median and the lower spread of its own documents.
     """
     known = written(scores.where("_bytes > 0").join(trusted_ids(labels), F.col("doc_id") == F.col("_trusted"), "left_semi").select("_lang", "_cost", "_bytes"), "quality-trusted")
     mean = F.sum("_cost") / F.sum("_bytes")
@@ -215,19 +217,29 @@ def limits(scores: DataFrame, labels: DataFrame, quantile: float, least: int, pr
     means = known.groupBy("_lang").agg(mean.alias("_mean"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     with_mean = known.join(F.broadcast(written(means, "quality-means")) if means.count() <= 10_000 else means, "_lang")
     found = with_mean.groupBy("_lang").agg(F.first("_mean").alias("_mean"), cut(F.col("_mean")).alias("_limit"))
-    return written(found, "quality-limits"), (float(all_mean), float(all_limit) if all_limit is not None else float("inf"))
-
-
-def judged(rows: DataFrame, found: DataFrame, overall: tuple[float, float], prior: int) -> DataFrame:
+    low_middle = lambda m: F.percentile_approx(level(m), [0.1, 0.5], 10_000)
+    trusted = known.agg(low_middle(F.lit(all_mean)).alias("x")).first()["x"]
+    if trusted:
+        # junk costs more than the median: what lies below it tells how widely good documents spread
+        reach = (all_limit - trusted[1]) / max(trusted[1] - trusted[0], 1e-9)
+        own = scores.where("_bytes > 0 AND _lang <> ''").join(means.select("_lang"), "_lang", "left_anti")
+        middle = own.groupBy("_lang").agg(F.percentile_approx(F.col("_cost") / F.col("_bytes"), 0.5, 10_000).alias("_mean"), F.count(F.lit(1)).alias("_n"))
+        few = own.join(middle.where(F.col("_n") >= least), "_lang").groupBy("_lang").agg(F.first("_mean").alias("_mean"), low_middle(F.col("_mean")).alias("_x"))
+        spread = F.col("_x")[1] + reach * (F.col("_x")[1] - F.col("_x")[0])
+        found = found.unionByName(few.select("_lang", "_mean", F.greatest(spread, F.col("_x")[1] * (all_limit / trusted[1])).alias("_limit")))
+    return written(found, "quality-limits")
+
+
+def judged(rows: DataFrame, found: DataFrame, prior: int) -> DataFrame:
     """`rows` with perplexity, limit and rejected as _perplexity, _limit and _rejected."""
-    mean, limit = (F.coalesce(F.col(c), F.lit(x)) for c, x in zip(("_mean", "_limit"), overall))
+    mean, limit = F.col("_mean"), F.col("_limit")
     level = (F.col("_cost") + prior * mean) / (F.col("_bytes") + prior)
     some = F.col("_bytes") > 0
     return rows.join(found, "_lang", "left").select(
         *[c for c in rows.columns if c not in ("_cost", "_bytes", "_lang")],
         F.when(some, F.exp(F.col("_cost") / F.col("_bytes"))).alias("_perplexity"),
         F.exp(limit).alias("_most"),
-        (some & (level > limit)).alias("_rejected"),
+        F.coalesce(some & (level > limit), F.lit(False)).alias("_rejected"),
     )
 
 
@@ -236,17 +248,17 @@ def assess(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: i
     table = model(trusted_texts(small_batches(docs), labels))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("_lang"), "text")
     scores = written(scored(rows, table).drop("text"), "quality-scores")
-    return table, scores, *limits(scores, labels, quantile, least, prior)
+    return table, scores, limits(scores, labels, quantile, least, prior)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 50, prior: int = 64) -> DataFrame:
     """Per row: doc_id, perplexity, max_perplexity (before the short-text prior) and rejected."""
-    _, scores, found, overall = assess(docs, labels, quantile, least, prior)
-    return judged(scores, found, overall, prior).select("doc_id", F.col("_perplexity").alias("perplexity"), F.col("_most").alias("max_perplexity"), F.col("_rejected").alias("rejected"))
+    _, scores, found = assess(docs, labels, quantile, least, prior)
+    return judged(scores, found, prior).select("doc_id", F.col("_perplexity").alias("perplexity"), F.col("_most").alias("max_perplexity"), F.col("_rejected").alias("rejected"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 50, prior: int = 64) -> DataFrame:
     """The rows of `docs` that aren't rejected, with the columns of `docs`."""
-    table, _, found, overall = assess(docs, labels, quantile, least, prior)
+    table, _, found = assess(docs, labels, quantile, least, prior)
     rows = scored(docs.withColumn("_lang", F.coalesce("lang", F.lit(""))), table)
-    return judged(rows, found, overall, prior).where(~F.col("_rejected")).select(*docs.columns)
+    return judged(rows, found, prior).where(~F.col("_rejected")).select(*docs.columns)
