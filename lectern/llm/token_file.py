@@ -1,26 +1,34 @@
 """Token-id output: an adaptive context-mixing range coder in independent, checksummed blocks.
 
-Three predictors guess each id: order 2 (the id that last followed the same two ids), order 1 (the
-same one id) and order 0 (the most frequent id so far). What came true - order 2, 1, 0 or none - is
-one symbol of four, whose probabilities mix three adaptive tables, one an order, looked up by how
-often that order's guess has held. A range coder codes the symbol, and the id itself where no guess
-held. All state starts anew with each block of BLOCK ids, so that any block can be read alone; the
-blocks of a group are coded side by side, one array operation a step for all of them.
-
-Format. A container is a Parquet table with a row a group: part and group order the groups, docs
-lists (doc_id, n), and data holds the group: magic "LTK1", u32 number of blocks, and per block u32
-number of ids, u32 number of payload bytes, u32 crc32 of the ids as little-endian u32; then the
-payloads. Groups follow ascending doc_id: parts are ranges of ids.
+The probability of an id is a mixture of three adaptive distributions. Order 0 holds the counts of
+all ids so far; order 1 and order 2 hold, for each context of one or two ids (the latter hashed),
+its two leading ids with counts. The weights of the three are learned: each set of weights, chosen
+by how sure the two contexts are, moves to the share that each order had in what came true. The
+mixture is a distribution over all 2**16 ids, so that a range coder codes every id directly; no id
+is coded flat. All arithmetic is on integers.
+
+A block holds the ids of whole documents, BLOCK of them or a little more, dealt to lanes that are coded side by side, one
+array operation a step for all lanes; lanes share the block's model, which learns after each step.
+Each block starts from nothing and can be read alone.
+
+Format. A container is a Parquet table with a row a block: part and block order the blocks, doc_ids
+and sizes list the documents, and data holds the ids: magic "LTK2", u32 number of ids, u32 number of
+lanes, u32 crc32 of the ids as little-endian u32, u32 number of 16-bit words of each lane, then the
+words. Lanes hold the ids in order, the first lanes one id more where they don't divide evenly.
 
 Defined cases: null and empty texts have the end id only; rows without id come first; rows that
 repeat an id follow each other, by the hash of their texts; an empty table gives an empty
-container; extra columns are not read; a block that doesn't match its checksum raises ValueError.
+container; extra columns are not read; a block that doesn't match its checksum raises ValueError;
+so do ids of 2**16 and more, and a vocabulary that doesn't part words at white space.
 """
 
 from __future__ import annotations
 
+import json
 import struct
+import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,281 +36,429 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, small_batches
-from .textbatch import buffer_of, per_text, slices, tidy, word_hashes, words_of
+from .textbatch import WHITE, buffer_of, per_text, slices, tidy
 
-MAGIC = b"LTK1"
-BLOCK = 4096
-GROUP = 1024 * BLOCK
+MAGIC = b"LTK2"
+BLOCK = 1 << 22
+LANES = 4096
+#: Steps that a block has at least, so that a small one still learns.
+STEPS = 256
 VALUES = 1 << 16
-SLOT_BITS = 12
-LEVELS = 8
+
+#: The mixture's probabilities are parts of 2**26, those of order 0 parts of 2**22.
+TOTAL_BITS, ZERO_BITS = 26, 22
+TOTAL, ZERO = 1 << TOTAL_BITS, 1 << ZERO_BITS
+#: Orders 1 and 2 together have at most this much, so that each id keeps a part of order 0.
+MOST = TOTAL - ZERO
+PAIR_BITS = 20
+COUNT_BITS = 5
 _TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
-_U16 = np.uint64(16)
+_U16, _U48, _UTOTAL = np.uint64(16), np.uint64(48), np.uint64(TOTAL_BITS)
+
+
+def _count_tables():
+    """What follows from the counts (first, second) of a context, the high and low half of the index.
+
+    Shares of its two ids in 2**10; a class of eight for how sure it is; and what it becomes after
+    its first id, its second id or another came, three tables in a row: the next counts from bit 32
+    on, then 16 bits that are set where the second id is replaced, then 16 where the two swap.
+    """
+    first, second = np.divmod(np.arange(1 << (2 * COUNT_BITS)), 1 << COUNT_BITS)
+    whole = 2 * (first + second) + 1
+    share = np.stack((2 * first, 2 * second)) * 1024 // whole
+    level = np.digitize(first, (1, 2, 4, 10))
+    sure = np.where(level < 2, level, 2 * level - 2 + (3 * second > first))
+    swap, replace = 0xFFFF, 0xFFFF << 16
+    join = lambda a, b: (a << COUNT_BITS | b) << 32
+    full = (1 << COUNT_BITS) - 1
+    over = first == full
+    hit = join(np.where(over, first // 2 + 1, first + 1), np.where(over, second // 2, second))
+    grown = np.minimum(second + 1, full)
+    other = np.where(grown > first, join(grown, first) | swap, join(first, grown))
+    kept = np.where(second <= 1, join(first, 1) | replace, join(first, np.maximum(second - 1, 0)))
+    miss = np.where(first == 0, join(np.ones_like(first), 0 * first) | swap | replace, kept)
+    return share, sure, np.concatenate((hit, other, miss))
+
+
+SHARE, SURE, NEXT = _count_tables()
 
 
 class _Model:
-    """The predictors and their tables for many blocks at once."""
+    """The three orders and their weights: one for all lanes of a block."""
+
+    def __init__(self):
+        # a context's two ids, and above them their counts; contexts of one id come first
+        self.slots = np.zeros(VALUES + (1 << PAIR_BITS), np.int64)
+        self.counts = np.zeros(VALUES, np.int64)
+        self.new, self.waiting, self.seen = [], 0, 0
+        self.part = np.tile(np.array([[1 << 14], [1 << 14], [1 << 15]], np.int64), 64)
+        self._weigh()
+        self._count()
+
+    def _weigh(self):
+        self.weights = self.part[:2] * (MOST >> 10) // self.part.sum(axis=0)
+
+    def _count(self):
+        if self.new:
+            self.counts += np.bincount(np.concatenate(self.new), minlength=VALUES)
+        self.seen, self.new, self.waiting = self.seen + self.waiting, [], 0
+        # each id has a sixteenth of a count from the start, and one part of ZERO at least
+        each = (16 * self.counts + 1) * ((ZERO - VALUES) / (16 * self.seen + VALUES))
+        self.zero = np.zeros(VALUES + 1, np.int64)
+        np.cumsum(each.astype(np.int64) + 1, out=self.zero[1:])
+        self.zero[-1] = ZERO
+        self.first = None
+        self.due = min(max(self.seen // 8, 1), 32 * LANES)
+
+    def predict(self, a, b):
+        """Mixture after the ids a, b of each lane, kept for `interval`, `found` and `learn`."""
+        k = len(a)
+        self.at = at = np.empty((2, k), np.int64)
+        np.bitwise_and((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 12, (1 << PAIR_BITS) - 1, out=at[0])
+        at[0] += VALUES
+        at[1] = b
+        held = self.slots.take(at)
+        self.q = q = held >> 32
+        self.ids = ids = np.empty((4, k), np.int64)
+        np.bitwise_and(held, 0xFFFF, out=ids[:2])
+        held >>= 16
+        np.bitwise_and(held, 0xFFFF, out=ids[2:])
+        sure = SURE.take(q)
+        self.set = sure[0] << 3 | sure[1]
+        self.mass = mass = np.empty((4, k), np.int64)
+        np.take(SHARE[0], q, out=mass[:2], mode="clip")
+        np.take(SHARE[1], q, out=mass[2:], mode="clip")
+        for order in (0, 1):
+            mass[order::2] *= self.weights[order].take(self.set)
+        self.rest = TOTAL - (mass[0] + mass[1] + mass[2] + mass[3])
+
+    def interval(self, x):
+        """(low, width) of the ids x in 2**26."""
+        mass = self.mass
+        self.hit = self.ids == x
+        own = mass * self.hit
+        self.two, self.one = own[0] + own[2], own[1] + own[3]
+        less = mass * (self.ids < x)
+        low = (self.zero.take(x) * self.rest) >> ZERO_BITS
+        self.width = ((self.zero.take(x + 1) * self.rest) >> ZERO_BITS) - low + self.two + self.one
+        return low + (less[0] + less[1] + less[2] + less[3]), self.width
+
+    def found(self, value):
+        """The ids whose intervals hold the values."""
+        key = self.ids << 32
+        key |= self.mass
+        for i, j in ((0, 1), (2, 3), (0, 2), (1, 3), (1, 2)):  # sorts the four of each lane
+            low = np.minimum(key[i], key[j])
+            np.maximum(key[i], key[j], out=key[j])
+            key[i] = low
+        ids, mass, rest = key >> 32, key & 0xFFFFFFFF, self.rest
+        begin = self.zero.take(ids)
+        begin *= rest
+        begin >>= ZERO_BITS
+        end = self.zero.take(ids + 1)
+        end *= rest
+        end >>= ZERO_BITS
+        below = 0  # where ids are equal, one ends where the next begins
+        for i in range(4):
+            begin[i] += below
+            below = below + mass[i]
+            end[i] += below
+        past = end <= value
+        inside = (begin <= value) > past
+        gone = mass * past
+        plain = value - (gone[0] + gone[1] + gone[2] + gone[3])
+        # quotients below 2**22 of numbers below 2**49: exact in doubles
+        spot = np.minimum(((((plain + 1) << ZERO_BITS) - 1) / rest).astype(np.int64), ZERO - 1)
+        if self.first is None:
+            # the last id that begins at or below each 64th part
+            begins = np.bincount((self.zero + 63) >> 6, minlength=(ZERO >> 6) + 1)
+            self.first = np.cumsum(begins) - 1
+        x = self.first.take(spot >> 6)
+        far = np.flatnonzero(self.zero.take(x + 1) <= spot)
+        x[far] = np.searchsorted(self.zero, spot[far], side="right") - 1
+        return np.where(inside.any(axis=0), (ids * inside).max(axis=0), x)
+
+    def learn(self, x):
+        """Take in the ids x, whose `interval` was asked last."""
+        # a part of the lanes tells the weights enough; sums of doubles run in a fixed order on both sides
+        few = slice(0, max(len(x) // 4, 64))
+        sets, width = self.set[few], self.width[few]
+        n = np.bincount(sets, minlength=64)
+        two, one = (np.bincount(sets, w[few] / width, 64) for w in (self.two, self.one))
+        part = self.part
+        part -= part >> 6
+        part += (np.stack((two, one, n - two - one)) * 4096).astype(np.int64)
+        np.maximum(part, 64, out=part)
+        self._weigh()
+        first, second = self.ids[:2], self.ids[2:]
+        hit = self.hit.view(np.int8)
+        what = np.where(hit[:2], 0, 2 - hit[2:]).astype(np.int64)
+        what <<= 2 * COUNT_BITS
+        what |= self.q
+        what = NEXT.take(what)
+        new = second ^ ((second ^ x) & (what >> 16) & 0xFFFF)
+        turn = (first ^ new) & what & 0xFFFF
+        new ^= turn
+        new <<= 16
+        what >>= 32
+        what <<= 32
+        what |= new
+        what |= first ^ turn
+        self.slots[self.at] = what
+        self.new.append(x)
+        self.waiting += len(x)
+        if self.waiting >= self.due:
+            self._count()
+
+
+class _Coder:
+    """Range coders that move 16 bits at a time, without carries."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
-        size = 1 << SLOT_BITS
-        self.base = self.lane << SLOT_BITS
-        # guess in the high bits, how often it held in the low three
-        self.two = np.zeros(lanes * size, np.int32)
-        self.one = np.zeros(lanes * size, np.int32)
-        self.seen = np.zeros(lanes * size, np.int16)
-        self.top = np.zeros(lanes, np.int64)
-        self.most = np.zeros(lanes, np.int16)
-        start = np.array([0.15, 0.15, 0.1, 0.6], np.float32)
-        self.odds = [np.tile(start, (lanes * LEVELS, 1)) for _ in range(3)]
-        self.levels = self.lane * LEVELS
-        self.a = np.zeros(lanes, np.int64)
-        self.b = np.zeros(lanes, np.int64)
-
-    def guess(self):
-        """(guesses of the three orders, bounds of the four outcomes in 2**16)."""
-        self.at2 = self.base + ((self.a * 40503 + self.b * 30011 >> 3) & ((1 << SLOT_BITS) - 1))
-        self.at1 = self.base + (self.b * 40503 >> 2 & ((1 << SLOT_BITS) - 1))
-        t2, t1 = self.two[self.at2], self.one[self.at1]
-        self.g = (t2 >> 3, t1 >> 3, self.top)
-        self.held = (t2 & 7, t1 & 7)
-        self.rows = (self.levels + self.held[0], self.levels + self.held[1], self.levels + np.minimum(self.most >> 4, LEVELS - 1))
-        p = self.odds[0][self.rows[0]]
-        p += self.odds[1][self.rows[1]]
-        p += self.odds[2][self.rows[2]]
-        self.parts = np.cumsum(p, axis=1)
-        scale = (65536 - 64) / self.parts[:, 3]
-        bounds = (self.parts[:, :3] * scale[:, None]).astype(np.uint64)
-        bounds += np.array([16, 32, 48], np.uint64)
-        return self.g, bounds
-
-    def outcome(self, x):
-        g2, g1, g0 = self.g
-        return np.where(x == g2, 0, np.where(x == g1, 1, np.where(x == g0, 2, 3)))
-
-    def learn(self, x, outcome):
-        hit = np.zeros((len(x), 4), np.float32)
-        hit[self.lane, outcome] = 1
-        for odds, rows in zip(self.odds, self.rows):
-            now = odds[rows]
-            odds[rows] = now + (hit - now) * np.float32(0.06)
-        for table, at, guess, held in ((self.two, self.at2, self.g[0], self.held[0]), (self.one, self.at1, self.g[1], self.held[1])):
-            same = x == guess
-            table[at] = (np.where(same | (held > 1), guess, x) << 3) | np.where(same, np.minimum(held + 1, 7), held >> 1)
-        spot = self.base + (x & ((1 << SLOT_BITS) - 1))
-        n = self.seen[spot] + np.int16(1)
-        self.seen[spot] = n
-        more = n >= self.most
-        self.most = np.where(more, n, self.most)
-        self.top = np.where(more, x, self.top)
-        self.a, self.b = self.b, x
-
-
-class _Writer:
-    """Range coders that put out 16 bits at a time, without carries."""
-
-    def __init__(self, lanes: int, steps: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
+
+    def narrow(self, low, width):
+        """Take the interval [low, low + width) of 2**26 in the first lanes."""
+        k = len(low)
+        r = self.range[:k] >> _UTOTAL
+        self.low[:k] += r * low.astype(np.uint64)
+        self.range[:k] = r * width.astype(np.uint64)
+        l, r = self.low[:k], self.range[:k]
+        go = np.flatnonzero(((l ^ (l + r)) < _TOP) | (r < _LOW))
+        while len(go):
+            l, r = self.low[go], self.range[go]
+            same = (l ^ (l + r)) < _TOP
+            r = np.where(same, r, (~l + np.uint64(1)) & (_LOW - np.uint64(1)))
+            self.move(go, l)
+            l, r = l << _U16, r << _U16
+            self.low[go], self.range[go] = l, r
+            go = go[((l ^ (l + r)) < _TOP) | (r < _LOW)]
+
+
+class _Writer(_Coder):
+    def __init__(self, lanes: int, steps: int):
+        super().__init__(lanes)
         self.out = np.zeros((lanes, 2 * steps + 8), np.uint16)
         self.n = np.zeros(lanes, np.int64)
 
-    def put(self, at, low, width):
-        """Code the interval [low, low + width) of 2**16 in the lanes `at`."""
-        r = self.range[at] >> _U16
-        l = self.low[at] + r * low
-        r = r * width
-        while True:
-            same = (l ^ (l + r)) < _TOP
-            small = ~same & (r < _LOW)
-            go = np.flatnonzero(same | small)
-            if not len(go):
-                break
-            cut = np.flatnonzero(small)
-            r[cut] = (~l[cut] + np.uint64(1)) & (_LOW - np.uint64(1))
-            lanes = at[go]
-            self.out[lanes, self.n[lanes]] = (l[go] >> np.uint64(48)).astype(np.uint16)
-            self.n[lanes] += 1
-            l[go] <<= _U16
-            r[go] <<= _U16
-        self.low[at], self.range[at] = l, r
-
-    def payloads(self) -> list[bytes]:
-        for _ in range(4):
-            self.out[np.arange(len(self.n)), self.n] = (self.low >> np.uint64(48)).astype(np.uint16)
+    def move(self, go, low):
+        self.out[go, self.n[go]] = low >> _U48
+        self.n[go] += 1
+
+    def finish(self) -> tuple[np.ndarray, bytes]:
+        """(words of each lane, all words): 48 bits more a lane name a value in its range."""
+        last = self.low + np.uint64(0xFFFF)
+        lanes = np.arange(len(self.n))
+        for _ in range(3):
+            self.out[lanes, self.n] = last >> _U48
             self.n += 1
-            self.low <<= _U16
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.out, self.n)]
-
-
-class _Reader:
-    def __init__(self, payloads: list[bytes]):
-        words = np.frombuffer(b"".join(payloads) + bytes(16), "<u2").astype(np.uint64)
-        size = np.fromiter((len(p) // 2 for p in payloads), np.int64, len(payloads))
-        self.words, self.n = words, np.cumsum(size) - size
-        self.low = np.zeros(len(size), np.uint64)
-        self.range = np.full(len(size), (1 << 64) - 1, np.uint64)
-        self.code = np.zeros(len(size), np.uint64)
+            last <<= _U16
+        used = np.arange(self.out.shape[1]) < self.n[:, None]
+        return self.n, self.out[used].astype("<u2").tobytes()
+
+
+class _Reader(_Coder):
+    def __init__(self, sizes: np.ndarray, words: bytes):
+        super().__init__(len(sizes))
+        self.words = np.concatenate((np.frombuffer(words, "<u2"), np.zeros(8, "<u2"))).astype(np.uint64)
+        self.n = np.cumsum(sizes) - sizes
+        self.code = np.zeros(len(sizes), np.uint64)
         for _ in range(4):
-            self.code = (self.code << _U16) | words[self.n]
+            self.code = (self.code << _U16) | self.words[self.n]
             self.n += 1
 
-    def value(self, at):
-        """Where in 2**16 the code of each lane lies."""
-        return np.minimum((self.code[at] - self.low[at]) // (self.range[at] >> _U16), np.uint64(65535))
+    def value(self, k: int) -> np.ndarray:
+        """Where in 2**26 the codes of the first lanes lie."""
+        at = (self.code[:k] - self.low[:k]) // (self.range[:k] >> _UTOTAL)
+        return np.minimum(at, np.uint64(TOTAL - 1)).astype(np.int64)
 
-    def skip(self, at, low, width):
-        r = self.range[at] >> _U16
-        l = self.low[at] + r * low
-        r = r * width
-        while True:
-            same = (l ^ (l + r)) < _TOP
-            small = ~same & (r < _LOW)
-            go = np.flatnonzero(same | small)
-            if not len(go):
-                break
-            cut = np.flatnonzero(small)
-            r[cut] = (~l[cut] + np.uint64(1)) & (_LOW - np.uint64(1))
-            lanes = at[go]
-            self.code[lanes] = (self.code[lanes] << _U16) | self.words[self.n[lanes]]
-            self.n[lanes] += 1
-            l[go] <<= _U16
-            r[go] <<= _U16
-        self.low[at], self.range[at] = l, r
-
-
-def _outcome_bounds(bounds, outcome, lane):
-    edges = np.empty((len(lane), 5), np.uint64)
-    edges[:, 0], edges[:, 4] = 0, 65536
-    edges[:, 1:4] = bounds
-    low = edges[lane, outcome]
-    return low, edges[lane, outcome + 1] - low
-
-
-def encode_group(ids: np.ndarray) -> bytes:
-    """The bytes of a group of ids below 2**16."""
-    if len(ids) and (ids.min() < 0 or ids.max() >= VALUES):
-        raise ValueError("ids must be in 0 .. 65535")
+    def move(self, go, low):
+        # a broken block may ask for more words than there are; its checksum tells
+        self.code[go] = (self.code[go] << _U16) | self.words[np.minimum(self.n[go], len(self.words) - 1)]
+        self.n[go] += 1
+
+
+def _dealt(n: int) -> tuple[int, int, int]:
+    """(lanes, whole steps of all lanes, lanes with one id more) of a block of n ids."""
+    lanes = min(max(n // STEPS, 1), LANES)
+    return lanes, *divmod(n, lanes)
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """The bytes of a block of ids below 2**16."""
+    ids = np.ascontiguousarray(ids, np.int64)
     n = len(ids)
-    sizes = np.full(-(-n // BLOCK), BLOCK, np.int64)
-    if n % BLOCK:
-        sizes[-1] = n % BLOCK
-    crcs = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) for i in range(len(sizes))]
-    grid = np.zeros((BLOCK, len(sizes)), np.int64)
-    lanes = np.arange(n) // BLOCK
-    grid[np.arange(n) % BLOCK, lanes] = ids
-    model, coder = _Model(len(sizes)), _Writer(len(sizes), BLOCK)
-    one = np.uint64(1)
-    last = int(sizes[-1]) if n else 0
-    for t in range(int(sizes.max()) if n else 0):
-        x = grid[t]
-        _, bounds = model.guess()
-        outcome = model.outcome(x)
-        live = model.lane if t < last else model.lane[:-1]  # only the last block may be short
-        low, width = _outcome_bounds(bounds, outcome, model.lane)
-        coder.put(live, low[live], width[live])
-        miss = live[outcome[live] == 3]
-        coder.put(miss, x[miss].astype(np.uint64), np.full(len(miss), one))
-        model.learn(x, outcome)
-    payloads = coder.payloads() if n else []
-    head = b"".join(struct.pack("<III", int(s), len(p), c) for s, p, c in zip(sizes, payloads, crcs))
-    return MAGIC + struct.pack("<I", len(sizes)) + head + b"".join(payloads)
-
-
-def decode_group(data: bytes) -> np.ndarray:
-    """The ids of a group; ValueError if it is broken."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a token group")
-    (count,) = struct.unpack_from("<I", data, 4)
-    heads = [struct.unpack_from("<III", data, 8 + 12 * i) for i in range(count)]
-    at, payloads = 8 + 12 * count, []
-    for _, size, _ in heads:
-        payloads.append(data[at : at + size])
-        at += size
-    if not count:
-        return np.zeros(0, np.int64)
-    sizes = np.array([h[0] for h in heads], np.int64)
-    grid = np.zeros((BLOCK, count), np.int64)
-    model, coder = _Model(count), _Reader(payloads)
-    last, one = int(sizes[-1]), np.uint64(1)
-    for t in range(int(sizes.max())):
-        guesses, bounds = model.guess()
-        live = model.lane if t < last else model.lane[:-1]
-        value = coder.value(live)
-        outcome = np.full(count, 3, np.int64)
-        outcome[live] = (value[:, None] >= bounds[live]).sum(axis=1)
-        low, width = _outcome_bounds(bounds, outcome, model.lane)
-        coder.skip(live, low[live], width[live])
-        x = np.choose(outcome, (*[g.astype(np.int64) for g in guesses], 0))
-        miss = live[outcome[live] == 3]
-        plain = coder.value(miss)
-        coder.skip(miss, plain, np.full(len(miss), one))
-        x[miss] = plain.astype(np.int64)
-        if len(live) < count:
-            x[-1] = 0
-        grid[t] = x
-        model.learn(x, model.outcome(x) if len(live) < count else outcome)
-    ids = grid.T.ravel()[np.concatenate([i * BLOCK + np.arange(s) for i, s in enumerate(sizes)])]
-    for i, (s, _, crc) in enumerate(heads):
-        if zlib.crc32(ids[i * BLOCK : i * BLOCK + s].astype("<u4").tobytes()) != crc:
-            raise ValueError(f"block {i} doesn't match its checksum")
+    if n and (ids.min() < 0 or ids.max() >= VALUES):
+        raise ValueError("ids must be in 0 .. 65535")
+    lanes, steps, more = _dealt(n)
+    starts = np.arange(lanes) * steps + np.minimum(np.arange(lanes), more)
+    model, coder = _Model(), _Writer(lanes, steps + 1)
+    a = b = np.zeros(lanes, np.int64)
+    for t in range(steps + (more > 0)):
+        k = lanes if t < steps else more
+        x = ids[starts[:k] + t]
+        model.predict(a[:k], b[:k])
+        coder.narrow(*model.interval(x))
+        model.learn(x)
+        a, b = b, x
+    sizes, words = coder.finish()
+    return MAGIC + struct.pack("<III", n, lanes, zlib.crc32(ids.astype("<u4").tobytes())) + sizes.astype("<u4").tobytes() + words
+
+
+def decode_block(data: bytes) -> np.ndarray:
+    """The ids of a block; ValueError if it is broken."""
+    if data[:4] != MAGIC or len(data) < 16:
+        raise ValueError("not a token block")
+    n, lanes, crc = struct.unpack_from("<III", data, 4)
+    sizes = np.frombuffer(data, "<u4", lanes, 16).astype(np.int64) if len(data) >= 16 + 4 * lanes else np.zeros(0, np.int64)
+    if (lanes, *divmod(n, max(lanes, 1))) != _dealt(n) or 16 + 4 * lanes + 2 * int(sizes.sum()) != len(data):
+        raise ValueError("broken head of a token block")
+    lanes, steps, more = _dealt(n)
+    starts = np.arange(lanes) * steps + np.minimum(np.arange(lanes), more)
+    model, coder = _Model(), _Reader(sizes, data[16 + 4 * lanes :])
+    ids = np.zeros(n, np.int64)
+    a = b = np.zeros(lanes, np.int64)
+    for t in range(steps + (more > 0)):
+        k = lanes if t < steps else more
+        model.predict(a[:k], b[:k])
+        x = model.found(coder.value(k))
+        coder.narrow(*model.interval(x))
+        model.learn(x)
+        ids[starts[:k] + t] = x
+        a, b = b, x
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        raise ValueError("a block doesn't match its checksum")
     return ids
 
 
 class WordEncoder:
-    """Ids of texts under a vocabulary that parts words at white space: each word is encoded once.
+    """Ids of texts under a vocabulary that parts words at white space: each piece is encoded once.
 
-    The encoder drops white space and no rule of it reaches over ASCII white space, so that a text's
-    ids are those of its words in a row.
+    The encoder drops white space, so that a text's ids are those of its words in a row. Words are cut
+    further where ASCII letters, digits and signs meet, apostrophes apart, if the encoder cuts there too.
     """
 
-    KEPT = 500_000
+    KEPT = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.forget()
+        # ids that end a word, where the vocabulary marks them
+        mark = json.loads(self.encoder.to_str())["model"].get("end_of_word_suffix")
+        vocab = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for word, i in vocab.items() if mark and word.endswith(mark)]] = True
+        ids = lambda text: self.encoder.encode(text, add_special_tokens=False).ids
+        words = ["don't", "a1b23", "x,y", "\u00e9!", "--Ab", "we'll.", "\u65e5\u672c", "e\u0301", "'s"]
+        for gap in (" ", "\t", "\n", "\v", "\f", "\r", " \n "):
+            if ids(gap + gap.join(words) + gap) != [i for w in words for i in ids(w)]:
+                raise ValueError(f"{path} doesn't part words at white space")
+        self.fine = True
+        text = " ".join(words) + " Ab12,x.Y-3/(z)='q' \u00e9a,\u0301b"
+        self.fine = self.encode([text.encode()])[0].tolist() == ids(text)
 
     def forget(self) -> None:
-        self.where: dict[int, tuple[int, int]] = {}
-        self.ids, self.used = np.zeros(1 << 20, np.int32), 0
+        self.where: dict[str, int] = {}
+        self.ids, self.cuts, self.known = np.zeros(1 << 20, np.int32), np.zeros(1 << 16, np.int64), 0
+
+    def pieces(self, texts: list[bytes]):
+        """(pieces of all texts as an array of strings, where each text's begin and at last their number)."""
+        buf, starts = buffer_of(texts)
+        kind = (KINDS if self.fine else GAPS)[buf]
+        gap = kind == 0
+        turn = (kind[1:] != kind[:-1]) & ((kind[1:] | kind[:-1]) < 4)
+        turn |= gap[1:] != gap[:-1]
+        begins = np.flatnonzero(np.concatenate((~gap[:1], turn & ~gap[1:])))
+        letters = np.cumsum(~gap, dtype=np.int64)
+        cuts = np.append(letters[begins] - 1, letters[-1]).astype(np.int32)
+        data = pa.py_buffer(buf[~gap])
+        return pa.Array.from_buffers(pa.string(), len(begins), [None, pa.py_buffer(cuts), data]), per_text(starts, begins)
+
+    def _singly(self, words: list[str]):
+        """(ids, number of ids of each word)."""
+        lists = [e.ids for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum())), n
+
+    def _together(self, words: list[str]):
+        """The same from one call for all words, where each of them is one match of the encoder."""
+        if not words or not self.ends.any():
+            return self._singly(words)
+        (got,) = self.encoder.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(got.ids, np.int32)
+        end = np.flatnonzero(self.ends[ids]) + 1
+        # what the encoder and this module take for letters may differ in a rare script
+        return (ids, np.diff(end, prepend=0)) if len(end) == len(words) and end[-1] == len(ids) else self._singly(words)
+
+    def _keep(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        self.where.update(zip(words, range(self.known, self.known + len(words))))
+        first, last = self.known, self.known + len(words)
+        used = int(self.cuts[first])
+        self.cuts = _room(self.cuts, last + 1)
+        self.cuts[first + 1 : last + 1] = used + np.cumsum(n)
+        self.ids = _room(self.ids, used + len(ids))
+        self.ids[used : used + len(ids)] = ids
+        self.known = last
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and at last their number)."""
-        import pandas as pd
-
-        buf, starts = buffer_of(texts)
-        begins, ends = words_of(buf)
-        cut = per_text(starts, begins)
-        if not len(begins):
+        pieces, cut = self.pieces(texts)
+        if not len(pieces):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        code, keys = pd.factorize(word_hashes(buf, begins, ends))
-        first = np.zeros(len(keys), np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
-        if len(self.where) > self.KEPT:
+        coded = pieces.dictionary_encode()
+        if self.known > self.KEPT:
             self.forget()
-        names = keys.tolist()
-        new = [i for i, k in enumerate(names) if k not in self.where]
-        raw = buf.tobytes()
-        words = [raw[begins[j] : ends[j]].decode("utf-8", "replace") for j in first[new].tolist()]
-        for i, e in zip(new, self.encoder.encode_batch_fast(words, add_special_tokens=False)):
-            got = e.ids
-            if self.used + len(got) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(got)), np.int32)))
-            self.ids[self.used : self.used + len(got)] = got
-            self.where[names[i]] = (self.used, len(got))
-            self.used += len(got)
-        at, n = np.array([self.where[k] for k in names]).T
-        n, at = n[code], at[code]
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [name for name in names if name not in self.where]
+        plain, other = [], []
+        for name in new:
+            (plain if self.fine and _one_match(name) else other).append(name)
+        self._keep(plain, *self._together(plain))
+        self._keep(other, *self._singly(other))
+        which = np.array([self.where[name] for name in names], np.int64)[coded.indices.to_numpy()]
+        at = self.cuts[which]
+        n = self.cuts[which + 1] - at
         end = np.cumsum(n)
-        flat = self.ids[np.arange(end[-1]) - np.repeat(end - n - at, n)]
+        flat = self.ids[np.arange(end[-1]) + np.repeat(at - end + n, n)]
         return flat, np.concatenate(([0], end))[cut]
 
 
+def _one_match(piece: str) -> bool:
+    """Whether the encoder sees letters only, which it doesn't part, or one ASCII sign or digit."""
+    if len(piece) == 1 and piece.isascii():
+        return True
+    text = piece if piece.isascii() else unicodedata.normalize("NFC", piece).lower()
+    return text.isalpha()
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """`x` with room for `n` values."""
+    return x if n <= len(x) else np.concatenate((x, np.zeros(max(len(x), n - len(x)), x.dtype)))
+
+
+def _kinds() -> np.ndarray:
+    """0 white space, 1 letters, 2 digits, 3 signs; 4 what is never cut off: apostrophes and non-ASCII bytes."""
+    out = np.full(256, 3, np.uint8)
+    out[list(range(65, 91)) + list(range(97, 123))] = 1
+    out[48:58] = 2
+    out[WHITE] = 0
+    out[128:] = 4
+    out[ord("'")] = 4
+    return out
+
+
+KINDS = _kinds()
+GAPS = (~WHITE).astype(np.uint8)
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+ROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("before", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
+
+
 def word_encoder(path: str) -> WordEncoder:
     import os
 
@@ -316,22 +472,20 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
     """Encode and write `docs` in ascending doc_id order; the place of the container."""
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
+    if not 0 <= end_id < VALUES or word_encoder(vocabulary).encoder.get_vocab_size() > VALUES:
+        raise ValueError("ids must be in 0 .. 65535")
 
     def run(batches):
         from pyspark import TaskContext
 
         encoder, part = word_encoder(vocabulary), TaskContext.get().partitionId()
-        held, names, sizes, total, group = [], [], [], 0, 0
+        held, names, sizes, total, block, before = [], [], [], 0, 0, 0
 
         def flush():
-            nonlocal held, names, sizes, total, group
-            data = encode_group(np.concatenate(held).astype(np.int64))
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([group], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([total], pa.int64()), pa.array([data], pa.binary())],
-                names=["part", "group", "doc_ids", "sizes", "n_ids", "data"],
-            )
-            held, names, sizes, total, group = [], [], [], 0, group + 1
-            return row
+            nonlocal held, names, sizes, total, block, before
+            row = {"part": part, "block": block, "doc_ids": names, "sizes": sizes, "before": before, "n_ids": total, "data": encode_block(np.concatenate(held))}
+            held, names, sizes, total, block, before = [], [], [], 0, block + 1, before + total
+            return pa.RecordBatch.from_pylist([row], schema=ROW)
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -340,22 +494,22 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
                 flat = np.insert(flat, cut[1:], end_id)
                 cut = cut + np.arange(len(cut))
                 a = 0
-                while a < len(texts):  # a group ends with a document
-                    b = int(np.searchsorted(cut, cut[a] + GROUP - total))
+                while a < len(texts):  # a block ends with a document
+                    b = int(np.searchsorted(cut, cut[a] + BLOCK - total))
                     b = min(max(b, a + 1), len(texts))
                     held.append(flat[cut[a] : cut[b]])
                     names += ids[first + a : first + b]
                     sizes += np.diff(cut[a : b + 1]).tolist()
                     total += int(cut[b] - cut[a])
                     a = b
-                    if total >= GROUP:
+                    if total >= BLOCK:
                         yield flush()
         if names:
             yield flush()
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    out = ordered.mapInArrow(tidy(run), "part int, group int, doc_ids array<long>, sizes array<long>, n_ids long, data binary")
+    out = ordered.mapInArrow(tidy(run), "part int, block int, doc_ids array<long>, sizes array<long>, before long, n_ids long, data binary")
     out.write.option("compression", "none").parquet(path)
     return path
 
@@ -372,19 +526,20 @@ def read_digests(spark, path: str) -> DataFrame:
 
 
 def _read(spark, path: str, last: str, made) -> DataFrame:
-    groups = spark.read.parquet(path)
-    # a row a part, of which there are as many as tasks wrote
-    parts = groups.groupBy("part", "group").agg(F.sum("n_ids").alias("n"))
-    before = parts.select("part", "group", (F.sum("n").over(Window.orderBy("part", "group")) - F.col("n")).alias("before"))
+    blocks = spark.read.parquet(path)
+    # a row a part, of which there are as many as tasks that wrote; blocks know what stands before them in their part
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    starts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
     name = last.split()[0]
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 names, sizes = batch.column("doc_ids")[row].values, batch.column("sizes")[row].values.to_numpy()
-                ids = decode_group(batch.column("data")[row].as_py())
+                ids = decode_block(batch.column("data")[row].as_py())
                 cut = np.concatenate(([0], np.cumsum(sizes)))
-                start = batch.column("before")[row].as_py() + cut[:-1]
+                start = batch.column("start")[row].as_py() + cut[:-1]
                 yield pa.RecordBatch.from_arrays([names.cast(pa.int64()), pa.array(start), pa.array(sizes), made([ids[a:b] for a, b in zip(cut[:-1], cut[1:])])], names=["doc_id", "start", "n_tokens", name])
 
-    return groups.select("part", "group", "doc_ids", "sizes", "data").join(before, ["part", "group"]).mapInArrow(tidy(run), f"doc_id long, start long, n_tokens long, {last}")
+    placed = blocks.join(F.broadcast(starts), "part").select("doc_ids", "sizes", "data", (F.col("start") + F.col("before")).alias("start"))
+    return placed.mapInArrow(tidy(run), f"doc_id long, start long, n_tokens long, {last}")
