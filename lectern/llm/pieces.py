@@ -11,6 +11,12 @@ scores as its exact heuristic, and sums of the losses rank the text's segmentati
 
 Spaces are U+2581 inside, with one in front of the text, as the vocabulary wants it.
 
+A unigram model's file has log probabilities, and they are what paths sum up. A BPE model's file has
+the ranks of its merges instead, whose sums mean nothing: there a piece of rank r counts as having the
+probability (r + SHIFT) ** -1 / Z, Zipf's law over the ranks, so that a path's score is a log
+probability, few pieces beat many, and frequent ones beat rare ones. Nothing is trained on the texts. The library's own
+encoder follows the merges greedily; the best path agrees with it on most words, not on all.
+
 Defined cases: null and empty texts have no pieces, score 0 and no alternatives; U+2581 in a text
 decodes as a space; invalid ids decode to nothing; of equally good paths the one with the longest
 last pieces comes first; repeated rows are encoded each; extra columns are not read.
@@ -31,6 +37,22 @@ SPACE = "▁".encode()
 _P, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 _TABLE_BITS = 21
 NONE = -1e18
+#: Rank 0 is so much less frequent than a bare power law has it.
+SHIFT = 100.0
+#: Paths of units up to this many bytes are kept.
+KEPT_BYTES = 256
+
+
+def is_ranks(scores: np.ndarray) -> bool:
+    """Whether the scores are whole numbers, none twice but for the pieces that no merge makes."""
+    merged = scores[scores > -1e8]
+    return bool((merged == np.round(merged)).all() and len(np.unique(merged)) == len(merged) > 1)
+
+
+def zipf(ranks: np.ndarray) -> np.ndarray:
+    """Log probabilities by Zipf's law."""
+    weight = 1 / (ranks + SHIFT)
+    return np.log(weight / weight.sum())
 
 
 class Vocabulary:
@@ -53,7 +75,14 @@ class Vocabulary:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 piece = model.id_to_piece(i).encode()
                 self.surface[i], self.ids[piece], self.scores[i] = piece, i, model.get_score(i)
-        low = min((s for s in self.scores if s > -1e8), default=0.0)
+        own = np.array(sorted(self.ids.values()), np.int64)
+        if len(own) and is_ranks(self.scores[own]):
+            ranks = -self.scores[own]
+            last = ranks[ranks < 1e8].max() + 1
+            self.scores[own] = zipf(np.minimum(ranks, last))
+        #: n-best paths of units that came before
+        self.known: dict[tuple[bytes, int], list] = {}
+        low = self.scores[own].min() if len(own) else 0.0
         self.fallback = low - 10.0
         self.longest = max(map(len, self.ids), default=1)
         # bytes that a longer piece may hold; at others a text can be cut
@@ -88,6 +117,17 @@ class Vocabulary:
             left = np.setdiff1d(left, put)
             spot[left] = np.where(self.piece[spot[left]] != -2, (spot[left] + 1) % (1 << _TABLE_BITS), spot[left])
 
+    def nbest(self, unit: bytes, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """`nbest_unit`, kept for short units: most come again."""
+        got = self.known.get((unit, n))
+        if got is None:
+            got = nbest_unit(unit, n, self)
+            if len(unit) <= KEPT_BYTES:
+                if len(self.known) > 100_000:
+                    self.known.clear()
+                self.known[unit, n] = got
+        return got
+
     def look_up(self, keys: np.ndarray) -> np.ndarray:
         """Id of each substring; -1 for a mere prefix of a piece, -2 for none."""
         spot = (keys >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
@@ -301,9 +341,6 @@ def ranked(options: list[list[tuple[float, tuple[int, ...]]]], n: int):
     return out
 
 
-_KNOWN: dict[tuple[bytes, int], list] = {}
-
-
 def segment(texts: list[bytes], n: int, v: Vocabulary):
     """For each text: (ids, score, alternatives); all ids in one array with where each text's begin."""
     buf, begins, ends, cut = units_of(texts, v)
@@ -329,12 +366,7 @@ def segment(texts: list[bytes], n: int, v: Vocabulary):
         picks = [int(p) for p in picks if own[p] < np.inf]
         options = []
         for p in picks:
-            key = (units[code[a + p]], n)
-            if key not in _KNOWN:
-                if len(_KNOWN) > 100_000:
-                    _KNOWN.clear()
-                _KNOWN[key] = nbest_unit(*key, v)
-            options.append(_KNOWN[key])
+            options.append(v.nbest(units[code[a + p]], n))
         begin = flat_at[a]
         more.append(
             [
