@@ -3,13 +3,14 @@
 Paragraphs are runs of lines that have words, and also each line alone, so that a notice counts
 whether it is wrapped or stands among other lines. A multinomial logistic regression over hashed word unigrams and
 bigrams tells the licence family of a window of at most WINDOW words, one class being "unknown". It
-is trained here: on the templates below, cut and disturbed by fixed rules, and, for the unknown
-class, on lines of the corpus and on licence words out of order. Its temperature is fitted on
-examples kept apart. A window counts when the calibrated probability that it holds a licence reaches `sure`.
+is trained here: on the notices below, and on each name of a licence in several phrases, cut and
+disturbed by fixed rules; for the unknown class, on lines of the corpus and on licence words out of
+order. Its temperature is fitted on wordings kept apart, every fifth notice and phrase with all its
+disturbed copies. A window counts when the calibrated probability that it holds a licence reaches `sure`.
 Each family is then confirmed where `cover` or more of the bigrams of one of its templates stand in
 the window, at places that no better covered family took: so a window may hold several families.
 
-The unknown class is fitted on `sample` lines of the corpus at most, those of the documents whose
+The unknown class is fitted on at most SAMPLE_LINES lines of each of the `sample` documents whose
 hashed ids are smallest; every line of every document is then scored.
 
 Defined cases: null and empty texts have one empty line and no licence; a line may hold several
@@ -93,7 +94,24 @@ TEMPLATES = {
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
     ),
 }
+# What licences are called in running text.
+NAMES = {
+    "mit": ("MIT License", "MIT licence", "Expat License"),
+    "apache": ("Apache License", "Apache License 2.0", "Apache Software License", "Apache 2.0 licence"),
+    "gpl": ("GNU General Public License", "GNU GPL", "GPL version 3", "GPLv3 license", "GPL license"),
+    "lgpl": ("GNU Lesser General Public License", "GNU LGPL", "LGPL version 2.1", "LGPL license"),
+    "bsd": ("BSD License", "BSD licence", "3-Clause BSD License", "BSD 2-Clause License"),
+    "mpl": ("Mozilla Public License", "Mozilla Public License 2.0"),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0", "CC BY-NC 4.0", "CC BY-NC-SA 4.0", "Creative Commons BY-NC"),
+    "cc-by": ("Creative Commons Attribution 4.0", "Creative Commons Attribution", "CC BY 4.0", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike"),
+    "public-domain": ("CC0 1.0", "Creative Commons Zero", "Unlicense for the public domain"),
+}
+PHRASES = (
+    "{}", "under the {}", "Provided under the {}.", "This package is offered under the terms of the {}",
+    "The code is licensed under the {}", "released under {}", "available under a {} licence", "subject to the {}, see the file for details",
+)
 FAMILIES = tuple(TEMPLATES)
+SAMPLE_LINES = 20
 UNKNOWN = len(FAMILIES)
 
 
@@ -206,19 +224,25 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def examples(lines: list[str], rng: np.random.Generator) -> tuple[list[bytes], np.ndarray]:
-    """Training paragraphs and their classes: disturbed templates, corpus lines, shuffled words."""
+def wordings(family: str) -> list[str]:
+    """The family's notices, and its names in every phrase."""
+    return [*TEMPLATES[family], *(phrase.format(name) for name in NAMES.get(family, ()) for phrase in PHRASES)]
+
+
+def examples(lines: list[str], rng: np.random.Generator) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Training paragraphs, their classes and wordings: disturbed notices, corpus lines, shuffled words."""
     filler = [w for line in lines for w in line.split()] or ["lorem", "ipsum", "dolor"]
-    texts, labels = [], []
+    texts, labels, wording = [], [], []
     for label, family in enumerate(FAMILIES):
-        for template in TEMPLATES[family]:
+        for number, template in enumerate(wordings(family)):
             words = template.split()
-            for turn in range(24):
+            for turn in range(24 if template in TEMPLATES[family] else 6):
+                wording.append(number)
                 own = list(words)
                 if turn % 3 and len(own) > 4:
                     own = [w for w in own if rng.random() > 0.08] or own
                 if turn % 2:
-                    pad = [filler[i] for i in rng.integers(0, len(filler), rng.integers(1, 14))]
+                    pad = [filler[i] for i in rng.integers(0, len(filler), rng.integers(1, 30))]
                     own = pad + own if turn % 4 == 1 else own + pad
                 texts.append(" ".join(own))
                 labels.append(label)
@@ -230,12 +254,13 @@ def examples(lines: list[str], rng: np.random.Generator) -> tuple[list[bytes], n
         labels.append(UNKNOWN)
     texts += lines
     labels += [UNKNOWN] * len(lines)
-    return [t.encode() for t in texts], np.array(labels)
+    wording += range(len(texts) - len(wording))
+    return [t.encode() for t in texts], np.array(labels), np.array(wording)
 
 
 def fit(lines: list[str], steps: int = 150, ridge: float = 2e-4, seed: int = 7):
     """(weights with a zero row at the end, bias, temperature)."""
-    texts, labels = examples(lines, np.random.default_rng(seed))
+    texts, labels, wording = examples(lines, np.random.default_rng(seed))
     cut, one, two, _, _, _ = word_features([t.replace(b"\n", b" ") for t in texts])
     first, end = cut[:-1], cut[1:]
     some = end > first
@@ -245,7 +270,7 @@ def fit(lines: list[str], steps: int = 150, ridge: float = 2e-4, seed: int = 7):
     row, slot = row[slot >= 0], slot[slot >= 0]
     scale = 1 / np.sqrt(np.maximum(2 * (end - first) - 1, 1))
     k = UNKNOWN + 1
-    kept_apart = (np.arange(len(texts)) % 5 == 0) & some
+    kept_apart = (wording % 5 == 4) & some
     train = ~kept_apart & some
     y = np.eye(k)[labels]
     share = np.bincount(labels[train], minlength=k)
@@ -284,7 +309,7 @@ def template_pairs() -> list[list[np.ndarray]]:
     out = []
     for family in FAMILIES:
         own = []
-        for t in TEMPLATES[family]:
+        for t in (*TEMPLATES[family], *NAMES.get(family, ())):
             cut, _, two, pair, _, _ = word_features([t.encode()])
             own.append(np.unique(pair[two >= 0]))
         out.append(own)
@@ -296,15 +321,24 @@ _FOUND = pa.list_(pa.struct([("line", pa.int64()), ("family", pa.string()), ("pr
 
 
 def unknown_lines(docs: DataFrame, sample: int) -> list[str]:
-    """At most `sample` lines without licence words, cut to WINDOW words each, for the unknown class."""
-    line = F.explode(F.split("text", "\n")).alias("line")
-    lines = docs.select(F.xxhash64("doc_id", "text").alias("h"), line).where(~F.lower("line").rlike("licen[cs]e|copyright|rights reserved|public domain|permission|redistribut|spdx"))
-    words = F.array_join(F.slice(F.split("line", " "), 1, WINDOW), " ")
-    top = lines.select("h", F.substring(words, 1, 400).alias("line")).where("line <> ''").orderBy("h", "line").limit(sample)
-    return [r["line"] for r in top.collect()]
+    """Lines without licence words, cut to WINDOW words each, for the unknown class.
 
-
-def scan_licences(docs: DataFrame, sample: int = 2000, sure: float = 0.5, cover: float = 0.6) -> DataFrame:
+    They come from the `sample` rows whose hashed ids are smallest, SAMPLE_LINES from each: a fixed bound.
+    """
+    named = docs.where("text <> ''").select(F.xxhash64("doc_id").alias("h"), "text")
+    last = named.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    own = F.transform(F.split("text", "\n"), lambda x: F.array_join(F.slice(F.split(x, " "), 1, WINDOW), " "))
+    short = F.transform(own, lambda x: F.substring(x, 1, 400))
+    plain = F.filter(short, lambda x: (x != "") & ~F.lower(x).rlike("licen[cs]e|copyright|rights reserved|public domain|permission|redistribut|spdx|gpl|cc by|cc0|creative commons"))
+    picked = F.slice(F.array_sort(F.transform(plain, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("line")))), 1, SAMPLE_LINES)
+    # rows may repeat an id: the limit keeps their number
+    rows = named.where(F.col("h") <= last).select("h", picked.alias("lines")).orderBy("h", "lines").limit(sample)
+    return [x["line"] for r in rows.collect() for x in r["lines"]]
+
+
+def scan_licences(docs: DataFrame, sample: int = 200, sure: float = 0.5, cover: float = 0.6) -> DataFrame:
     """Per row: doc_id, n_lines, n_licences, families (sorted), found (line, family, probability, cover)."""
     weights, bias, temperature = fit(unknown_lines(docs, sample))
     pairs = template_pairs()
