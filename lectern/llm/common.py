@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,16 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share: what spark.checkpoint.dir names.
+
+    Where nothing is named a temporary folder serves a session of one process (tests); on a cluster,
+    whose executors would each write their own, that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="lectern-", dir="/tmp")
     return _LOCAL["dir"]
@@ -27,21 +34,56 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
 
 
+#: Lists of the tables that `written` makes, the innermost `temporary` last.
+_MADE: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _MADE:
+        _MADE[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by `written`."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables written inside are deleted at the end: what was made of them must be written by then.
+
+    Yields a function that keeps a table: the enclosing `temporary`, if any, then deletes it.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+    _MADE.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(f.rsplit("/", 2)[-2] for f in df.inputFiles())
+        return df
+
+    try:
+        yield keep
+    finally:
+        _MADE.pop()
+        for path in made:
+            if path.rsplit("/", 1)[-1] not in kept:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            elif _MADE:
+                _MADE[-1].append(path)
+
+
+def row_key():
+    """128 bits that name a row by its id and text, as a Column; null and empty texts count as one."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(part("doc_id"), F.lit("\n"), part("text"))))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose `row_key` isn't in `gone`, one column; columns of any name are kept."""
+    rows = docs.select(row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(gone.toDF("key"), "key", "left_anti").select("row.*")
 
 
 #: Bits of a membership bitmap: 2**25 bits are 4 MB whatever the number of keys.
@@ -92,6 +134,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 def small_batches(df: DataFrame) -> DataFrame:
     """`df`, after the session's Arrow batches were bounded: whole texts make wide rows.
 
+    The bound stays in the session, as plans read it when they run; a smaller one is left as it is.
     The tasks' Python is told where this package is, for drivers that run elsewhere.
     """
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)

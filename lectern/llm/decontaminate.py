@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, in_bitmap, membership_bitmap, small_batches, written
+from .common import BITMAP_BITS, bitmap_slot, in_bitmap, membership_bitmap, row_key, small_batches, without, written
 from .textbatch import GOLD, LOWER, buffer_of, mix, per_text, signed, slices, tidy, word_hashes, words_of
 
 # Seven positions each: in every stretch of 13 to 20 tokens one of them meets no substitution,
 # wherever a fifth of the tokens is substituted.
 MASKS = ("11110111", "110100010111", "110011001101", "10101101011", "1111010011", "1100101000111", "1110000100111")
 SPAN = 13
+#: Items that one list of candidates of a row holds, about.
+ITEMS = 1000
 
 _GAPS = np.ones(256, bool)
 _GAPS[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = False
@@ -67,7 +69,7 @@ def windows(texts: list[bytes], masks: list[str]):
 def _benchmark(items: DataFrame) -> DataFrame:
     """(item, text, key): texts once each; the key names the text."""
     one = items.where("text IS NOT NULL").groupBy("text").agg(F.min("item_id").cast("long").alias("item"))
-    return one.select("item", "text", F.xxhash64("text").alias("item_key"))
+    return one.select("item", "text", F.unhex(F.md5("text")).alias("item_key"))
 
 
 def short_masks(n: int) -> list[str]:
@@ -100,7 +102,7 @@ def _hashed(rows: DataFrame, key: str, masks: list[str], bits: np.ndarray | None
 
     def run(batches):
         for batch in batches:
-            keys = batch.column(key).to_numpy()
+            keys = batch.column(key).cast(pa.binary())
             for first, _, texts in slices(batch):
                 size = np.diff(tokens_of(texts)[1]) if bits is None else None
                 for mask, (owner, place, h) in zip(masks, windows(texts, masks)):
@@ -113,20 +115,9 @@ def _hashed(rows: DataFrame, key: str, masks: list[str], bits: np.ndarray | None
                         keep = in_bitmap(bits, slots[0])
                         keep[keep] = in_bitmap(bits, slots[1][keep])
                         owner, place, h = owner[keep], place[keep], h[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[first + owner]), pa.array(place.astype(np.int64)), pa.array(h)], names=[key, "place", "hash"])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(first + owner)), pa.array(place.astype(np.int64)), pa.array(h)], names=[key, "place", "hash"])
 
-    return rows.select(key, "text").mapInArrow(tidy(run), f"{key} long, place long, hash long")
-
-
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """(length, equal tokens) of the stretch with the most equal tokens less twice the others."""
-    if not len(equal):
-        return 0, 0
-    sums = np.concatenate(([0], np.cumsum(np.where(equal, 1, -2))))
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    begin = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
-    return end - begin, int(equal[begin:end].sum())
+    return rows.select(key, "text").mapInArrow(tidy(run), f"{key} binary, place long, hash long")
 
 
 def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
@@ -142,29 +133,32 @@ def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
 
 
 def _confirmed(rows: DataFrame, overlap: int, share: float) -> DataFrame:
-    """(row_key, item) of the candidates (item, text, at) in the list `hits` that hold on the text."""
+    """(row_key, item_key, item, length) of the candidates in the list `hits` that hold on the text.
+
+    A candidate is an item with its text and the diagonals `ats` on which windows met.
+    """
 
     def run(batches):
         for batch in batches:
-            keys, hits = batch.column("row_key").to_numpy(), batch.column("hits").to_pylist()
+            hits = batch.column("hits")
             out = []
             for first, end, texts in slices(batch):
                 tokens, cut = tokens_of(texts)
                 for i in range(first, end):
                     doc = tokens[cut[i - first] : cut[i - first + 1]]
-                    known = {}
-                    for hit in hits[i]:
-                        item = known.get(hit["item_key"])
-                        if item is None:
-                            item = known[hit["item_key"]] = tokens_of([hit["item_text"].encode()])[0]
-                        a, b = max(0, -hit["at"]), min(len(item), len(doc) - hit["at"])
-                        length, _ = longest_stretch(item[a:b] == doc[a + hit["at"] : b + hit["at"]], share)
-                        if length >= max(min(overlap, len(item)), 1):
-                            out.append((keys[i], hit["item_key"], hit["item"], length))
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row_key", "item_key", "item", "length"])
+                    for hit in hits[i].as_py():
+                        item, longest = tokens_of([hit["item_text"].encode()])[0], 0
+                        for at in hit["ats"]:
+                            a, b = max(0, -at), min(len(item), len(doc) - at)
+                            longest = max(longest, longest_stretch(item[a:b] == doc[a + at : b + at], share)[0])
+                        if longest >= max(min(overlap, len(item)), 1):
+                            out.append((i, hit["item_key"], hit["item"], longest))
+            at, *cols = list(zip(*out)) or [()] * 4
+            kinds = (pa.binary(), pa.int64(), pa.int64())
+            keys = batch.column("row_key").cast(pa.binary()).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["row_key", "item_key", "item", "length"])
 
-    return rows.mapInArrow(tidy(run), "row_key long, item_key long, item long, length long")
+    return rows.mapInArrow(tidy(run), "row_key binary, item_key binary, item long, length long")
 
 
 def leaks(keyed: DataFrame, items: DataFrame, overlap: int, share: float) -> DataFrame:
@@ -177,16 +171,21 @@ def leaks(keyed: DataFrame, items: DataFrame, overlap: int, share: float) -> Dat
     bits = membership_bitmap(seeds.select(F.explode(F.array(low, high)).alias("slot")))
     # the bitmap of fixed size only screens; this join decides
     found = _hashed(keyed, "row_key", masks, bits).join(seeds, "hash")
-    hits = found.select("row_key", "item_key", (F.col("place") - F.col("item_place")).alias("at")).distinct()
+    hits = found.select("row_key", "item_key", (F.col("place") - F.col("item_place")).alias("at"))
+    hits = hits.groupBy("row_key", "item_key").agg(F.collect_set("at").alias("ats"))
+    # a row that meets very many items is confirmed in several lists, so that none grows with the benchmark
+    parts = hits.groupBy("row_key").agg(F.ceil(F.count(F.lit(1)) / ITEMS).alias("parts"))
+    hits = written(hits.join(parts, "row_key").withColumn("part", F.pmod(F.xxhash64("item_key"), "parts")).drop("parts"), "leaks-met")
     told = hits.join(bench.select("item_key", "item", F.col("text").alias("item_text")), "item_key")
-    lists = written(told.groupBy("row_key").agg(F.collect_list(F.struct("item_key", "item", "item_text", "at")).alias("hits")), "leaks-hits")
-    near = membership_bitmap(lists.select(F.pmod("row_key", F.lit(1 << BITMAP_BITS)).alias("slot")))
+    lists = written(told.groupBy("row_key", "part").agg(F.collect_list(F.struct("item_key", "item", "item_text", "ats")).alias("hits")), "leaks-hits")
+    near = membership_bitmap(lists.select(bitmap_slot(F.col("row_key")).alias("slot")))
 
     def screen(batches):
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(near, batch.column("row_key").to_numpy() % (1 << BITMAP_BITS))))
+            yield batch.filter(pa.array(in_bitmap(near, batch.column("slot").to_numpy()))).drop_columns(["slot"])
 
-    rows = keyed.select("row_key", "text").mapInArrow(tidy(screen), "row_key long, text string").dropDuplicates(["row_key"])
+    slotted = keyed.select("row_key", "text", bitmap_slot(F.col("row_key")).alias("slot"))
+    rows = slotted.mapInArrow(tidy(screen), "row_key binary, text string").dropDuplicates(["row_key"])
     sure = _confirmed(rows.join(lists, "row_key").select("row_key", "text", "hits"), overlap, share)
     return written(
         sure.groupBy("row_key").agg(
@@ -198,14 +197,9 @@ def leaks(keyed: DataFrame, items: DataFrame, overlap: int, share: float) -> Dat
     )
 
 
-def _keyed(docs: DataFrame):
-    """Names a row by its id and text, so that repeated ids don't mix."""
-    return F.xxhash64(docs["doc_id"], docs["text"])
-
-
 def find_leaks(docs: DataFrame, items: DataFrame, overlap: int = 13, share: float = 0.8) -> DataFrame:
     """Per row: doc_id, contaminated, n_items, items (their ids, sorted), longest (tokens)."""
-    keyed = docs.select("doc_id", "text", _keyed(docs).alias("row_key"))
+    keyed = docs.select("doc_id", "text", row_key().alias("row_key"))
     found = leaks(keyed, items, overlap, share)
     return keyed.select("doc_id", "row_key").join(found, "row_key", "left").select(
         "doc_id",
@@ -218,6 +212,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, overlap: int = 13, share: floa
 
 def drop_leaks(docs: DataFrame, items: DataFrame, overlap: int = 13, share: float = 0.8) -> DataFrame:
     """The rows of `docs` that hold no benchmark passage, with the columns of `docs`."""
-    keyed = docs.select("text", _keyed(docs).alias("row_key"))
-    gone = leaks(keyed, items, overlap, share).select(F.col("row_key").alias("_leaking"))
-    return docs.join(gone, _keyed(docs) == F.col("_leaking"), "left_anti")
+    keyed = docs.select("text", row_key().alias("row_key"))
+    return without(docs, leaks(keyed, items, overlap, share).select("row_key"))

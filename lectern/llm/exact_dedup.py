@@ -63,9 +63,14 @@ def _split(norm: DataFrame, mixed: DataFrame) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns. Rows without an id stay."""
-    gone = exact_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """The rows of `docs` that stay, with all their columns. Rows without an id stay.
+
+    A row goes by its id and text: another text under the same id stays.
+    """
+    rows = docs.select(normalised(F.col("text")).alias("norm"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select(F.col("row.doc_id").alias("doc_id"), F.sha2("norm", 256).alias("text_sha256"), "row")
+    gone = exact_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", "text_sha256")
+    return rows.join(gone, ["doc_id", "text_sha256"], "left_anti").select("row.*")
 
 
 ORACLE = r"""

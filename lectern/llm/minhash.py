@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, in_bitmap, membership_bitmap, small_batches, written
+from .common import BITMAP_BITS, in_bitmap, membership_bitmap, row_key, small_batches, without, written
 from .textbatch import GOLD, LOWER, buffer_of, mix, per_text, signed, slices, tidy, word_hashes, words_of
 
 WORDS = 5
@@ -142,12 +142,13 @@ def _sketched(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(first, end - first).cast(pa.int64()),
+                    batch.column("key").slice(first, end - first).cast(pa.binary()),
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array(n),
                     pa.ListArray.from_arrays(pa.array(lists * BANDS), pa.array(bands_of(sketch).ravel())),
                     pa.ListArray.from_arrays(pa.array(lists * (BINS // 16)), pa.array(marks_of(sketch).ravel())),
                 ],
-                names=["doc_id", "node", "n", "bands", "marks"],
+                names=["doc_id", "key", "node", "n", "bands", "marks"],
             )
 
 
@@ -239,12 +240,18 @@ def _joined(links: DataFrame, parts: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
-    rows = written(small_batches(docs).select("doc_id", "text").mapInArrow(tidy(_sketched), "doc_id long, node binary, n long, bands array<long>, marks array<long>"), "near-rows")
+    return _grouped(docs.select("doc_id", "text"), F.lit(None).cast("binary"), percent).drop("key")
+
+
+def _grouped(docs: DataFrame, key, percent: int) -> DataFrame:
+    """`near_groups` with the column `key`, which names a row."""
+    schema = "doc_id long, key binary, node binary, n long, bands array<long>, marks array<long>"
+    rows = written(small_batches(docs).select("doc_id", "text", key.alias("key")).mapInArrow(tidy(_sketched), schema), "near-rows")
     one = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     spread = one.select("node", "n", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     members = _centred(written(spread.join(shared, "bucket"), "near-shared-buckets"))
-    out = rows.select("doc_id", "node", F.col("n").alias("n_shingles"))
+    out = rows.select("doc_id", "key", "node", F.col("n").alias("n_shingles"))
     nodes = written(one.select("node", "bands", "marks").join(members.select("node").distinct(), "node"), "near-nodes")
     ids = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     if nodes.isEmpty():
@@ -255,8 +262,8 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = ids.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("part"), "least")
     least = named.groupBy("part").agg(F.min("least").alias("component_id"))
     named = named.join(least, "part").select("node", "component_id")
-    alone = out.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    joined = out.where("node IS NOT NULL").join(named, "node").select("doc_id", "n_shingles", "component_id")
+    alone = out.where("node IS NULL").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"))
+    joined = out.where("node IS NOT NULL").join(named, "node").select("doc_id", "key", "n_shingles", "component_id")
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -321,6 +328,9 @@ def _components(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent:
 
 
 def drop_near(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row of each component stays, with the columns of `docs`; so do rows without id."""
-    gone = near_groups(docs.where("doc_id IS NOT NULL"), percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """One row of each component stays, with the columns of `docs`; so do rows without id.
+
+    A row goes by its id and text: another text under the same id stays.
+    """
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    return without(docs, _grouped(named, row_key(), percent).where(~F.col("kept")).select("key"))

@@ -1,96 +1,117 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text, by sharded count joins.
 
-The model is over characters, folded to an alphabet of 64 classes, so that an n-gram of four is a
-24-bit number. Tasks count the n-grams of all trusted text; joins of the counts with the totals of
-their contexts and with the next lower order, sharded by n-gram, give each n-gram's probability.
-The table of all of them has at most 2**24 entries whatever the corpus holds: that bound is why it
-may go to every task. A document's perplexity is held against a quantile of the trusted documents'
-perplexities in its language.
+The model is over characters, unfolded, with n-grams of ORDER. Half of the trusted documents, by a
+hash of their ids, are counted; the other half sets the limits, so that no limit rests on texts that
+the model has seen. Counts, continuation counts, context totals and back-off weights are tables
+keyed by n-gram and joined with each other; none of them goes to the driver or to every task, and
+all grow with the corpus.
+
+Documents meet the tables in slices: a slice is some 16 MB of whole texts, written compressed, with
+the distinct n-grams that it holds. Distinct n-grams of all slices are joined with the tables level
+by level, which gives each its cost, the negative log of its probability; costs are joined with the
+slices' n-grams and go back to the slices, both as tables bucketed by slice, so that texts aren't
+shuffled. A text's cost is the sum over its places.
+
+A document is rejected where its cost a character is above its language's limit: the `quantile` of
+the held-out trusted documents, or what lies `reach` times as far above their median as their
+lower tenth lies below it, whichever is higher; few documents tell a high quantile badly.
 
 Defined cases: null and empty texts have perplexity null and aren't rejected; so does a corpus
-without trusted text; a language that has fewer than `least` trusted documents takes the quantile
-over all languages, scaled by the median and the lower spread of its own documents; where it has fewer than `least`
-documents, or none is named and trusted, they aren't judged: max_perplexity is null and rejected false; rows without id are scored but never trusted; rows repeated
-are counted and scored again; extra columns are kept by `keep_good` and not read.
+without trusted text; a language with fewer than `least` held-out trusted documents takes median and
+lower tenth from its own documents; where it has fewer than `least` documents, or no language is
+named and held out, they aren't judged: max_perplexity is null and rejected false; rows without id
+are scored but never trusted; rows repeated are counted and scored again; NUL counts as U+FFFD;
+extra columns, of any name, are kept by `keep_good` and not read.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import bitmap_slot, in_bitmap, membership_bitmap, small_batches, written
-from .textbatch import slices, tidy
+from .common import fresh_path, row_key, small_batches, without, written
+from .textbatch import mix, tidy
 
 ORDER = 4
-BITS = 6
-SIZE = 1 << (ORDER * BITS)
-PART = 1 << 20
-
-
-def _alphabet() -> np.ndarray:
-    """Class of each byte of UTF-8 text: continuation bytes and letters keep apart where 64 allow it."""
-    out = np.full(256, 63, np.int32)  # other control bytes
-    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    out[ord("A") : ord("Z") + 1] = 27
-    out[ord("0") : ord("9") + 1] = 28
-    out[[0x20, 0x09, 0x0D, 0x0B, 0x0C]] = 29
-    out[0x0A] = 30
-    for i, group in enumerate((b".", b",", b"!", b"?", b";:", b"'\"`", b"()[]{}<>", b"-_", b"/\\|", b"*#", b"$%", b"&@", b"+=~^")):
-        out[list(group)] = 31 + i
-    out[0xC2], out[0xC3] = 44, 45
-    out[0xC4:0xE0] = 46
-    out[0xE0:0xF0] = 47
-    out[0xF0:] = 48
-    out[0x80:0xC0] = 49 + (np.arange(64) % 14)
-    return out
-
+PAD = "\x02"
+#: Bytes of text in a slice, unless one text is longer; a block is what arrays are made for at once.
+SLICE, BLOCK = 16 << 20, 1 << 20
+#: Trusted ids up to this number, 8 bytes each, may go to every task; more are joined by shuffles.
+FEW_IDS = 1 << 20
+_STEP = mix(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
 
-CLASSES = _alphabet()
 
+def blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n-gram hashes, n-grams as rows of code points, numbers of texts, n-grams of each) of blocks.
 
-def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram number that ends at each byte, and where each text begins.
-
-    A text begins with ORDER - 1 pad symbols of class 0, so that its first bytes have contexts.
+    A text longer than a block is in several, each with the characters before as context.
     """
-    pad = bytes(ORDER - 1)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    buf = np.frombuffer(pad + pad.join(texts), np.uint8)
-    starts = np.cumsum(sizes + ORDER - 1) - sizes
-    symbol = CLASSES[buf]
-    symbol[(starts[:, None] - np.arange(1, ORDER)).ravel()] = 0
-    code = np.zeros(len(buf), np.int32)
-    for k in range(ORDER):
-        code[k:] |= symbol[: len(buf) - k] << (BITS * k)
-    own = np.ones(len(buf), bool)
-    own[(starts[:, None] - np.arange(1, ORDER)).ravel()] = False
-    return code[own], np.append(np.cumsum(sizes) - sizes, sizes.sum())
+    held: list[tuple[int, str, int]] = []
+    size, pad = 0, PAD * (ORDER - 1)
+    for i, text in enumerate(texts):
+        for a in range(0, len(text), BLOCK):  # none of an empty text
+            body = (pad + text[:BLOCK]) if a == 0 else text[a - ORDER + 1 : a + BLOCK]
+            held.append((i, body, len(body) - ORDER + 1))
+            size += len(body)
+            if size >= BLOCK:
+                yield _block(held)
+                held, size = [], 0
+    if held:
+        yield _block(held)
+
+
+def _block(held: list[tuple[int, str, int]]):
+    n = np.array([k for _, _, k in held], np.int64)
+    points = np.frombuffer("".join(body for _, body, _ in held).encode("utf-32-le"), np.uint32)
+    points = np.where(points == 0, np.uint32(0xFFFD), points)
+    grams = np.lib.stride_tricks.sliding_window_view(points, ORDER)
+    hashes = np.zeros(len(grams), np.uint64)
+    for j in range(ORDER):
+        hashes += points[j : j + len(grams)] * _STEP[j]
+    # those that begin in one text and end in the next
+    own = np.ones(len(grams), bool)
+    ends = np.cumsum(n + ORDER - 1)[:-1]
+    own[(ends[:, None] - np.arange(1, ORDER)).ravel()] = False
+    at = np.flatnonzero(own)
+    return mix(hashes[at]), grams[at], np.array([i for i, _, _ in held], np.int64), n
+
+
+def distinct(hashes: np.ndarray):
+    """(place of each distinct hash's first, how often it comes, number of each place's hash)."""
+    import pandas as pd
+
+    code, names = pd.factorize(hashes)
+    at = np.zeros(len(names), np.int64)
+    at[code[::-1]] = np.arange(len(code))[::-1]
+    return at, np.bincount(code, minlength=len(names)), code
+
+
+def strings(grams: np.ndarray) -> list[str]:
+    return np.ascontiguousarray(grams).view(f"<U{ORDER}").ravel().tolist()
 
 
 def counted(batches):
-    """(gram, n) of a task's texts; each task sends an n-gram once a flush at most."""
-    total, held = np.zeros(SIZE, np.int32), 0
+    """(gram, n) of a task's texts, added up before they leave."""
+    total: dict[str, int] = {}
 
     def out():
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 18):
-            part = at[i : i + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], names=["gram", "n"])
+        made = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
+        total.clear()
+        return made
 
     for batch in batches:
-        for _, _, texts in slices(batch, limit=PART):
-            code, _ = codes(texts)
-            grams, n = np.unique(code, return_counts=True)
-            total[grams] += n.astype(np.int32)
-            held += len(code)
-            if held > 1 << 30:
-                yield from out()
-                total[:], held = 0, 0
-    yield from out()
+        for hashes, grams, _, _ in blocks([t or "" for t in batch.column("text").to_pylist()]):
+            at, n, _ = distinct(hashes)
+            for gram, k in zip(strings(grams[at]), n.tolist()):
+                total[gram] = total.get(gram, 0) + k
+            if len(total) > 1 << 19:
+                yield out()
+    yield out()
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -101,164 +122,191 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), top) for d, top in zip((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), (0.95, 1.95, 2.95)))
 
 
-def model(trusted: DataFrame) -> np.ndarray | None:
-    """A table of fixed size with the log probability of every possible n-gram; None without text.
+def model(texts: DataFrame) -> list[tuple[DataFrame, DataFrame]] | None:
+    """For n-grams of 1 to ORDER: (gram, own) and (context, spare); None without text.
 
-    counts of the full order are how often an n-gram stands in the text; those of lower orders how
-    many different symbols precede it.
+    own is what an n-gram's discounted count gives it, spare the weight its context leaves to the next
+    lower order. Counts of the full order are how often an n-gram stands in the text; those of lower
+    orders how many different characters precede it.
     """
-    counts = written(trusted.mapInArrow(tidy(counted), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "quality-counts")
-    levels = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy((F.col("gram") % (1 << (BITS * k))).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    lower = None
-    tables: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in range(1, ORDER + 1):
-        level = written(levels[k], f"quality-level{k}")
+    level = written(texts.mapInArrow(tidy(counted), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "quality-counts")
+    if level.isEmpty():
+        return None
+    tables = []
+    for k in range(ORDER, 0, -1):
         d1, d2, d3 = discounts(level)
         n = F.col("n")
         cut = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
-        context = F.shiftright(F.col("gram"), BITS)
-        totals = level.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(cut).alias("held"))
-        p = level.withColumn("context", context).join(totals, "context").select(
-            "gram", "context", ((n - cut) / F.col("total")).alias("own"), (F.col("held") / F.col("total")).alias("spare")
-        )
-        if lower is None:
-            p = p.withColumn("p", F.col("own") + F.col("spare") / float(1 << BITS))
-        else:
-            below = lower.select(F.col("gram").alias("tail"), F.col("p").alias("low"))
-            p = p.join(below, F.col("gram") % (1 << (BITS * (k - 1))) == F.col("tail"), "left").withColumn(
-                "p", F.col("own") + F.col("spare") * F.coalesce("low", F.lit(1.0 / (1 << BITS)))
-            )
-        lower = written(p.select("gram", "context", "p", "spare"), f"quality-p{k}")
-        # at most 2**(BITS * k) rows: the alphabet bounds what comes here
-        got = lower.select("gram", "context", F.log("p").cast("float").alias("p"), F.log("spare").cast("float").alias("spare")).toArrow()
-        seen = np.zeros(1 << (BITS * k), np.float16)
-        back = np.zeros(1 << (BITS * (k - 1)), np.float32)
-        seen[got.column("gram").to_numpy()] = got.column("p").to_numpy()
-        back[got.column("context").to_numpy()] = got.column("spare").to_numpy()
-        tables.append((seen, back))
-    return merged(tables)
-
-
-def merged(tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray | None:
-    """One log probability for each possible n-gram of the full order, in half precision.
-
-    Filled in place, a block for each oldest symbol: an unseen n-gram takes its context's back-off
-    weight and the probability of its younger symbols.
-    """
-    if not tables[-1][0].any():
-        return None
-    p = np.full(1, -np.log(1 << BITS), np.float16)
-    for seen, back in tables:
-        size = len(p)
-        for oldest in range(1 << BITS):
-            own = seen[oldest * size : (oldest + 1) * size]
-            if size == 1:  # the empty context is every first symbol's
-                weight = back
-            else:
-                weight = np.repeat(back[oldest * size >> BITS : (oldest + 1) * size >> BITS], 1 << BITS)
-            np.copyto(own, (p + weight).astype(np.float16), where=own == 0)
-        p = seen
-    return p
+        rows = level.select("gram", "n", cut.alias("cut"), F.substring("gram", 1, k - 1).alias("context"))
+        totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("held"))
+        own = rows.join(totals, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"))
+        tables.append((written(own, f"quality-own{k}"), written(totals.select("context", (F.col("held") / F.col("total")).alias("spare")), f"quality-spare{k}")))
+        if k > 1:
+            level = written(level.groupBy(F.substring("gram", 2, k - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"quality-level{k - 1}")
+    return tables[::-1]
+
+
+def probabilities(grams: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """`grams` (with the column gram) with p, by joins from the lowest order up."""
+    letters = tables[0][0].count() + 1  # and one for all others
+    out = grams.withColumn("p", F.lit(1.0 / letters))
+    for k, (own, spare) in enumerate(tables, 1):
+        out = out.join(own.withColumnRenamed("gram", "tail"), F.substring("gram", ORDER - k + 1, k) == F.col("tail"), "left")
+        out = out.join(spare, F.substring("gram", ORDER - k + 1, k - 1) == F.col("context"), "left")
+        p = F.coalesce("own", F.lit(0.0)) + F.coalesce("spare", F.lit(1.0)) * F.col("p")
+        out = out.select(*grams.columns, p.alias("p"))
+    return out
 
 
-def costs(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of the negative log probabilities, number of bytes) of each text."""
-    code, starts = codes(texts)
-    logs = np.concatenate(([0.0], np.cumsum(table[code], dtype=np.float64)))
-    return -np.diff(logs[starts]), np.diff(starts)
+_SLICE = "slice long, texts binary, sizes array<long>, names array<struct<key: binary, doc_id: long, lang: string>>, hashes array<long>, grams array<string>"
 
 
-def scored(docs: DataFrame, table: np.ndarray | None) -> DataFrame:
-    """`docs` with the columns _cost and _bytes."""
-    kinds = StructType([*docs.schema.fields, StructField("_cost", DoubleType()), StructField("_bytes", LongType())])
+def _sliced(batches):
+    """A row a slice: its texts compressed, what names its rows, and its distinct n-grams."""
+    from pyspark import TaskContext
 
-    def score(batches):
-        for batch in batches:
-            got = [costs(texts, table) if table is not None else (np.zeros(len(texts)), np.zeros(len(texts), np.int64)) for _, _, texts in slices(batch, limit=PART)]
-            cost, size = (np.concatenate(x) if got else np.zeros(0) for x in (zip(*got) if got else ((), ())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cost, pa.float64()), pa.array(size.astype(np.int64))], names=[*batch.schema.names, "_cost", "_bytes"])
+    part, number = TaskContext.get().partitionId(), 0
+    codec = pa.Codec("zstd", compression_level=6)
+    names, texts, size = [], [], 0
 
-    return docs.mapInArrow(tidy(score), kinds)
+    def out():
+        nonlocal names, texts, size, number
+        known: dict[int, str] = {}
+        for hashes, grams, _, _ in blocks(texts):
+            at, _, _ = distinct(hashes)
+            known.update(zip(hashes[at].view(np.int64).tolist(), strings(grams[at])))
+        raw = [t.encode() for t in texts]
+        row = {
+            "slice": part << 32 | number, "texts": codec.compress(b"".join(raw), asbytes=True), "sizes": [len(t) for t in raw], "names": names,
+            "hashes": list(known), "grams": list(known.values()),
+        }
+        names, texts, size, number = [], [], 0, number + 1
+        return pa.RecordBatch.from_pylist([row], schema=schema)
+
+    name = pa.struct([("key", pa.binary()), ("doc_id", pa.int64()), ("lang", pa.string())])
+    schema = pa.schema([("slice", pa.int64()), ("texts", pa.binary()), ("sizes", pa.list_(pa.int64())), ("names", pa.list_(name)), ("hashes", pa.list_(pa.int64())), ("grams", pa.list_(pa.string()))])
+    for batch in batches:
+        named = batch.select(["key", "doc_id", "lang"]).to_pylist()
+        for own, text in zip(named, batch.column("text").to_pylist()):
+            text = text or ""
+            if texts and size + len(text) > SLICE:
+                yield out()
+            names.append(own)
+            texts.append(text)
+            size += len(text)
+    if texts:
+        yield out()
+
+
+def _told(batches):
+    """(key, doc_id, lang, cost, n) of each row of the slices, from their n-grams' costs."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        for i in range(batch.num_rows):
+            sizes = batch.column("sizes")[i].values.to_numpy()
+            raw = codec.decompress(batch.column("texts")[i].as_py(), int(sizes.sum()), asbytes=True)
+            ends = np.cumsum(sizes)
+            texts = [raw[a:b].decode() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+            costs = batch.column("costs")[i]
+            known = costs.values.field(0).to_numpy() if costs.is_valid else np.zeros(0, np.int64)
+            worth = costs.values.field(1).to_numpy() if costs.is_valid else np.zeros(0)
+            order = np.argsort(known)
+            known, worth = known[order], worth[order]
+            cost, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for hashes, _, owner, n in blocks(texts):
+                at, _, code = distinct(hashes)
+                each = worth[np.searchsorted(known, hashes[at].view(np.int64))]
+                sums = np.concatenate(([0.0], np.cumsum(each[code])))
+                np.add.at(cost, owner, np.diff(sums[np.concatenate(([0], np.cumsum(n)))]))
+                np.add.at(count, owner, n)
+            names = batch.column("names")[i].values
+            cols = [names.field(0), names.field(1), names.field(2), pa.array(cost), pa.array(count)]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "lang", "cost", "n"])
+
+
+def _bucketed(df: DataFrame, name: str, buckets: int) -> tuple[DataFrame, str]:
+    """`df` as a table in the shared folder bucketed by slice, and the table's name."""
+    spark = df.sparkSession
+    table = f"lectern_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "slice").option("path", fresh_path(spark, table)).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table), table
+
+
+def scored(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]] | None) -> DataFrame:
+    """(key, doc_id, lang, cost, n) of all rows: the sum of the negative log probabilities of n characters."""
+    rows = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    if tables is None:
+        return rows.select("key", "doc_id", "lang", F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("n"))
+    spark = docs.sparkSession
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = int(min(max(size // SLICE, 4), 10_000))
+    slices, one = _bucketed(rows.mapInArrow(tidy(_sliced), _SLICE), "slices", buckets)
+    asked = slices.select(F.explode(F.arrays_zip("hashes", "grams")).alias("x")).groupBy(F.col("x.hashes").alias("hash")).agg(F.first("x.grams").alias("gram"))
+    costs = written(probabilities(written(asked, "quality-asked"), tables).select("hash", (-F.log("p")).alias("cost")), "quality-costs")
+    held = slices.select("slice", F.explode("hashes").alias("hash")).join(costs, "hash")
+    # a list has the distinct n-grams of one slice
+    told = held.groupBy("slice").agg(F.collect_list(F.struct("hash", "cost")).alias("costs"))
+    back, two = _bucketed(told.repartition(buckets, "slice"), "costs", buckets)
+    both = slices.select("slice", "texts", "sizes", "names").join(back, "slice", "left")
+    out = written(both.select("texts", "sizes", "names", "costs").mapInArrow(tidy(_told), "key binary, doc_id long, lang string, cost double, n long"), "quality-scores")
+    for df, table in ((slices, one), (back, two)):
+        place = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rsplit("/", 1)[0])
+        spark.sql(f"DROP TABLE {table}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return out
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_trusted")).distinct()
+    """(trusted, counted): ids of trusted documents, and whether the model counts them or they set the limits."""
+    ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("trusted")).distinct()
+    return ids.withColumn("counted", F.crc32(F.col("trusted").cast("string")) % 2 == 0)
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of the trusted rows. A bitmap of fixed size screens rows before the exact join moves texts."""
-    ids = trusted_ids(labels)
-    bits = membership_bitmap(ids.select(bitmap_slot(F.col("_trusted")).alias("slot")))
+def _with_ids(rows: DataFrame, ids: DataFrame, key) -> DataFrame:
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, key == F.col("trusted"), "left_semi")
 
-    def screen(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(bits, batch.column("slot").to_numpy())))
 
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", bitmap_slot(F.col("doc_id")).alias("slot"))
-    near = rows.mapInArrow(tidy(screen), "doc_id long, text string, slot long")
-    return near.join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi").select("text")
+def limits(scores: DataFrame, ids: DataFrame, quantile: float, least: int, prior: int, reach: float) -> DataFrame:
+    """(lang, mean, limit) of the languages that can be judged.
 
-
-def limits(scores: DataFrame, labels: DataFrame, quantile: float, least: int, prior: int) -> DataFrame:
-    """Per language that can be judged: _lang, _mean, _limit.
-
-    A text's cost a byte is taken together with `prior` bytes of the mean cost, so that chance
-    doesn't decide on short texts; the limit is a quantile of that figure over trusted documents. Where a language has few of those, mean and limit
-    over all languages are scaled by the median and the lower spread of its own documents.
+    A text's cost a character is taken together with `prior` characters of the language's median, so
+    that chance doesn't decide on short texts.
     """
-    known = written(scores.where("_bytes > 0").join(trusted_ids(labels), F.col("doc_id") == F.col("_trusted"), "left_semi").select("_lang", "_cost", "_bytes"), "quality-trusted")
-    mean = F.sum("_cost") / F.sum("_bytes")
-    level = lambda m: (F.col("_cost") + prior * m) / (F.col("_bytes") + prior)
-    cut = lambda m: F.percentile_approx(level(m), quantile, 100_000)
-    all_mean = known.agg(mean.alias("m")).first()["m"] or 0.0
-    all_limit = known.agg(cut(F.lit(all_mean)).alias("x")).first()["x"]
-    means = known.groupBy("_lang").agg(mean.alias("_mean"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    with_mean = known.join(F.broadcast(written(means, "quality-means")) if means.count() <= 10_000 else means, "_lang")
-    found = with_mean.groupBy("_lang").agg(F.first("_mean").alias("_mean"), cut(F.col("_mean")).alias("_limit"))
-    low_middle = lambda m: F.percentile_approx(level(m), [0.1, 0.5], 10_000)
-    trusted = known.agg(low_middle(F.lit(all_mean)).alias("x")).first()["x"]
-    if trusted:
-        # junk costs more than the median: what lies below it tells how widely good documents spread
-        reach = (all_limit - trusted[1]) / max(trusted[1] - trusted[0], 1e-9)
-        own = scores.where("_bytes > 0 AND _lang <> ''").join(means.select("_lang"), "_lang", "left_anti")
-        middle = own.groupBy("_lang").agg(F.percentile_approx(F.col("_cost") / F.col("_bytes"), 0.5, 10_000).alias("_mean"), F.count(F.lit(1)).alias("_n"))
-        few = own.join(middle.where(F.col("_n") >= least), "_lang").groupBy("_lang").agg(F.first("_mean").alias("_mean"), low_middle(F.col("_mean")).alias("_x"))
-        spread = F.col("_x")[1] + reach * (F.col("_x")[1] - F.col("_x")[0])
-        found = found.unionByName(few.select("_lang", "_mean", F.greatest(spread, F.col("_x")[1] * (all_limit / trusted[1])).alias("_limit")))
-    return written(found, "quality-limits")
-
-
-def judged(rows: DataFrame, found: DataFrame, prior: int) -> DataFrame:
-    """`rows` with perplexity, limit and rejected as _perplexity, _limit and _rejected."""
-    mean, limit = F.col("_mean"), F.col("_limit")
-    level = (F.col("_cost") + prior * mean) / (F.col("_bytes") + prior)
-    some = F.col("_bytes") > 0
-    return rows.join(found, "_lang", "left").select(
-        *[c for c in rows.columns if c not in ("_cost", "_bytes", "_lang")],
-        F.when(some, F.exp(F.col("_cost") / F.col("_bytes"))).alias("_perplexity"),
-        F.exp(limit).alias("_most"),
-        F.coalesce(some & (level > limit), F.lit(False)).alias("_rejected"),
+    some = scores.where("n > 0 AND lang <> ''")
+    known = written(_with_ids(scores.where("n > 0"), ids.where("NOT counted"), F.col("doc_id")).select("lang", "cost", "n"), "quality-held-out")
+    middle = lambda rows: rows.groupBy("lang").agg(F.percentile_approx(F.try_divide("cost", "n"), 0.5, 10_000).alias("mean"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least).select("lang", "mean")
+    trusted = middle(known)
+    scarce = middle(some.join(trusted.select("lang"), "lang", "left_anti"))
+    level = (F.col("cost") + prior * F.col("mean")) / (F.col("n") + prior)
+    marks = F.percentile_approx(level, [0.1, 0.5, quantile], 100_000)
+    tail = F.col("x")[1] + reach * (F.col("x")[1] - F.col("x")[0])
+    spread = lambda rows, means: rows.join(means, "lang").groupBy("lang").agg(F.first("mean").alias("mean"), marks.alias("x"))
+    of_trusted = spread(known, trusted).select("lang", "mean", F.greatest(F.col("x")[2], tail).alias("limit"))
+    of_scarce = spread(some, scarce).select("lang", "mean", tail.alias("limit"))
+    return written(of_trusted.unionByName(of_scarce), "quality-limits")
+
+
+def assess(docs: DataFrame, labels: DataFrame, quantile: float, least: int, prior: int, reach: float) -> DataFrame:
+    """(key, doc_id, perplexity, max_perplexity, rejected) of all rows."""
+    ids = written(trusted_ids(labels), "quality-ids")
+    texts = small_batches(docs).where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scores = scored(docs, model(_with_ids(texts, ids.where("counted"), F.col("doc_id")).select("text")))
+    found = limits(scores, ids, quantile, least, prior, reach)
+    level = (F.col("cost") + prior * F.col("mean")) / (F.col("n") + prior)
+    return scores.join(found, "lang", "left").select(
+        "key",
+        "doc_id",
+        F.when(F.col("n") > 0, F.exp(F.try_divide("cost", "n"))).alias("perplexity"),
+        F.exp("limit").alias("max_perplexity"),
+        F.coalesce((F.col("n") > 0) & (level > F.col("limit")), F.lit(False)).alias("rejected"),
     )
 
 
-def assess(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 50, prior: int = 64):
-    """(model table, scores of all rows, limits): what both entry points need."""
-    table = model(trusted_texts(small_batches(docs), labels))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("_lang"), "text")
-    scores = written(scored(rows, table).drop("text"), "quality-scores")
-    return table, scores, limits(scores, labels, quantile, least, prior)
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 50, prior: int = 64) -> DataFrame:
-    """Per row: doc_id, perplexity, max_perplexity (before the short-text prior) and rejected."""
-    _, scores, found = assess(docs, labels, quantile, least, prior)
-    return judged(scores, found, prior).select("doc_id", F.col("_perplexity").alias("perplexity"), F.col("_most").alias("max_perplexity"), F.col("_rejected").alias("rejected"))
+def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 20, prior: int = 64, reach: float = 2.5) -> DataFrame:
+    """Per row: doc_id, perplexity a character, max_perplexity (before the short-text prior) and rejected."""
+    return assess(docs, labels, quantile, least, prior, reach).drop("key")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 50, prior: int = 64) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 20, prior: int = 64, reach: float = 2.5) -> DataFrame:
     """The rows of `docs` that aren't rejected, with the columns of `docs`."""
-    table, _, found = assess(docs, labels, quantile, least, prior)
-    rows = scored(docs.withColumn("_lang", F.coalesce("lang", F.lit(""))), table)
-    return judged(rows, found, prior).where(~F.col("_rejected")).select(*docs.columns)
+    return without(docs, assess(docs, labels, quantile, least, prior, reach).where("rejected").select("key").distinct())
