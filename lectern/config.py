@@ -54,6 +54,18 @@ DAILY_MARKERS = {
     "recap_not_upgraded": "🔄（未升级为原子笔记）",
 }
 DOC_TYPES = ("daily", "zettel", "original", "topic", "digest", "deep_dive")
+#: Titles of blocks after which a fetched page has nothing of its own.
+BOILERPLATE_TITLES = ("References & Citations", "Bibliographic and Citation Tools", "Keep reading")
+SITE_HEADER = r"\[Skip to main content\]\([^)]*\).*?\[Try ChatGPT\(opens in a new window\)\]\(https://chatgpt\.com/\)Login\n*"
+TRACKING_DOMAINS = (
+    "bat.bing.com", "google-analytics.com", "googletagmanager.com", "doubleclick.net", "facebook.com", "connect.facebook.net",
+    "analytics.twitter.com", "px.ads.linkedin.com", "scorecardresearch.com", "hotjar.com",
+)
+#: Length of a summary by the number of its articles.
+WEEKLY_TIERS = ((0, "150-300字"), (5, "300-500字"), (15, "500-800字"))
+MONTHLY_TIERS = ((0, "400-700字"), (5, "600-1200字"), (15, "1000-1800字"))
+#: Rows that an annotator gets at once.
+ANNOTATED_ROWS = 20
 RESIDUE = (r"ltx_", r"<td[\s>]", r"<tr[\s>]", r'class="ltx')
 REFERENCE = r"\[\d{4}[a-z]?\]|\[\d{1,3}\]|doi\s*:|doi\.org|arxiv|\(\d{4}\)"
 ET_AL = r"等人|et al\.?"
@@ -63,6 +75,6 @@ MEDIA_SCHEME = "media-store://"
 MIRROR_HOST, MIRROR_SUMMARY_CHARS = "mp.weixin.qq.com", 200
 LIST_ENTRIES, LIST_BLOCK_CHARS = 20, 3000
 LIST_SKIPPED = ("/author/", "/tag/", "/category/", "/page/")
-CHUNK_CHARS, IMAGE_BYTES = 2000, 15 * 1024 * 1024
-NOTE_ID_MINUTES, SECTIONS_A_PAGE, HIGHLIGHTS, HEADLINE_WORDS = 60, 3, 5, 30
+CHUNK_CHARS = 2000
+NOTE_ID_MINUTES, HIGHLIGHTS, HEADLINE_WORDS = 60, 5, 30
 LABEL_CHARS, NODE_CHARS = 24, 30

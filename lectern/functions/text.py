@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 
 
+def _let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """`made` of a value that is computed once, however often `made` names it."""
+    return F.transform(F.array(value), made)[0]
+
+
 def tokens(text: Column) -> Column:
     """Distinct tokens: Han characters where there are any, else ASCII words; stop words go."""
     words = F.transform(F.regexp_extract_all(text, F.lit("[a-zA-Z0-9]+"), F.lit(0)), F.lower)
@@ -29,6 +36,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / F.size(F.array_union(a, b)))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def title_key(title: Column) -> Column:
     bare = F.regexp_replace(F.lower(title), r"(?U)[^\w\s]", "")
     return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
@@ -53,6 +65,10 @@ def code_fraction(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(1 - F.length(strip_code_links(text)) / F.length(text))
 
 
+def code_heavy(text: Column) -> Column:
+    return code_fraction(text) >= C.CODE_SHARE
+
+
 def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(strip_code_links(text), r"(?U)\s", "")).cast("long")
 
@@ -75,13 +91,12 @@ def reference_line(line: Column) -> Column:
 
 
 def noise_share(text: Column) -> Column:
-    own = F.filter(_lines(text), lambda x: ~_blank(x))
-    return _share(F.size(F.filter(own, noise_line)), F.size(own))
+    return _let(F.filter(_lines(text), lambda x: ~_blank(x)), lambda own: _share(F.size(F.filter(own, noise_line)), F.size(own)))
 
 
 def reference_share(text: Column) -> Column:
-    own = F.filter(_lines(text), lambda x: ~_blank(x) & (F.regexp_replace(x, r"(?U)^\s+|\s+$", "") != "-"))
-    return _share(F.size(F.filter(own, reference_line)), F.size(own))
+    own = F.filter(_lines(text), lambda x: ~_blank(x) & (stripped(x) != "-"))
+    return _let(own, lambda own: _share(F.size(F.filter(own, reference_line)), F.size(own)))
 
 
 def fallback_tail(chunks: Column) -> Column:
@@ -92,7 +107,8 @@ def fallback_tail(chunks: Column) -> Column:
 
 def cjk_ratio_clean(text: Column) -> Column:
     bare = F.array_join(F.filter(_lines(strip_code_links(text)), lambda x: ~noise_line(x)), "\n")
-    return _share(F.length(bare) - F.length(F.regexp_replace(bare, CJK_WIDE, "")), F.length(F.regexp_replace(bare, r"(?U)\s", "")))
+    solid = lambda x: F.length(F.regexp_replace(x, r"(?U)\s", ""))
+    return _let(bare, lambda x: _share(F.length(x) - F.length(F.regexp_replace(x, CJK_WIDE, "")), solid(x)))
 
 
 def has_residue(text: Column) -> Column:
@@ -112,6 +128,65 @@ def slugify(text: Column, seed: Column) -> Column:
     return F.when(F.size(words) > 0, F.array_join(words, "-")).otherwise(F.concat(F.lit("untitled-"), F.substring(F.sha2(seed, 256), 1, 8)))
 
 
+def display_title(translated: Column, fetched: Column) -> Column:
+    """The translated title unless there is none."""
+    return F.coalesce(F.nullif(translated, F.lit("")), fetched)
+
+
+def legacy_date(value: Column, as_of: Column) -> Column:
+    """The date of an ISO date or timestamp, by its first ten characters; `as_of` for all else."""
+    bare = stripped(value)
+    iso = bare.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}.*)?$")
+    return F.coalesce(F.when(iso, F.try_to_date(F.substring(bare, 1, 10), "yyyy-MM-dd")), as_of)
+
+
+def clean_markdown(text: Column) -> Column:
+    """Fetched text without its leading title, known blocks, site header, tracking images and repeated paragraphs, in this order."""
+    bare = F.regexp_replace(text, r"^#[ \t]+[^\n]+?\n+", "")
+    tail = r"[ \t]*#{1,6}[ \t]*(?:" + "|".join(C.BOILERPLATE_TITLES) + r")\b"
+    bare = F.when(bare.rlike(tail), F.regexp_replace(F.regexp_replace(bare, f"(?s){tail}.*$", ""), r"(?U)\s+$", "")).otherwise(bare)
+    bare = F.regexp_replace(bare, "(?s)^" + C.SITE_HEADER, "")
+    domains = "|".join(d.replace(".", r"\.") for d in C.TRACKING_DOMAINS)
+    bare = F.regexp_replace(bare, rf"!\[[^\]]*\]\(https?://(?:[\w.-]+\.)?(?:{domains})/[^)]*\)", "")
+    return dedup_paragraphs(bare)
+
+
+def clean_abstract(text: Column) -> Column:
+    """An abstract page without its header block, its link prefix and the side bar at its end."""
+    bare = F.regexp_replace(text, r"(?i)^#[^\n]*\n+\s*\[Submitted[^\]]*\]\n+\s*#+\s*Title:[^\n]*\n+", "")
+    bare = F.regexp_replace(bare, r"(?i)^\s*View PDF\s*Abstract:\s*", "")
+    return stripped(F.regexp_replace(bare, r"(?is)\n+\s*Full-text links:.*", ""))
+
+
+def insert_block(body: Column, heading: Column, lines: Column) -> Column:
+    """`body` with the array `lines` at the end of the block under `heading`.
+
+    Without that block a new one comes before the first heading of its level, or at the end.
+    """
+    own = F.split(body, "\n", -1)
+    at = F.array_position(own, heading)
+    opens = F.transform(own, lambda x, i: F.when(x.startswith("## ") & (i >= at), i + 1))
+    next_ = F.coalesce(F.array_min(opens), (F.size(own) + 1).cast("int"))
+    join = lambda *parts: F.array_join(F.concat(*parts), "\n")
+    upto, rest = F.slice(own, F.lit(1), next_ - 1), F.slice(own, next_, F.size(own))
+    new = F.concat(F.array(heading, F.lit("")), lines, F.array(F.lit("")))
+    last = F.concat(F.regexp_replace(body, r"\n+$", ""), F.lit("\n\n"), heading, F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n"))
+    return F.when(at > 0, join(upto, lines, rest)).when(next_ <= F.size(own), join(upto, new, rest)).otherwise(last)
+
+
+def article_count(body: Column) -> Column:
+    """Entries of a topic page: lines that begin with a linked item."""
+    return F.regexp_count(body, F.lit(r"\n- \[\[")).cast("long")
+
+
+def length_tier(articles: Column, tiers: tuple[tuple[int, str], ...]) -> Column:
+    """The label of the highest tier whose number of articles is reached; tiers ascend from 0."""
+    out = F.lit(tiers[0][1])
+    for least, label in tiers[1:]:
+        out = F.when(articles >= least, label).otherwise(out)
+    return out
+
+
 def humanize_slug(slug: Column) -> Column:
     return F.initcap(F.replace(slug, F.lit("-"), F.lit(" ")))
 
@@ -154,12 +229,19 @@ def truncate_blurb(text: Column, most: int = C.BLURB_CHARS) -> Column:
 
 
 def dedup_paragraphs(text: Column, separator: str = "\n\n", shortest: int = 40) -> Column:
-    """First occurrences of the long paragraphs, and all short ones, in order."""
-    parts = F.split(text, separator, -1)
-    bare = F.transform(parts, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    first = F.transform(bare, lambda x, i: (F.length(x) < shortest) | (F.array_position(bare, x) == i + 1))
-    pairs = F.arrays_zip(parts.alias("part"), first.alias("keep"))
-    return F.array_join(F.transform(F.filter(pairs, lambda x: x["keep"]), lambda x: x["part"]), separator)
+    """First occurrences of the long paragraphs, and all short ones, in order.
+
+    Paragraphs are sorted by their words and place; one whose neighbour says the same isn't the first.
+    """
+    item = lambda x, i: F.struct(stripped(x).alias("bare"), i.alias("i"), x.alias("part"))
+
+    def kept(own):
+        before = F.concat(F.array(F.get(own, F.lit(-1))), F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))))
+        first = lambda a, b: b.isNull() | (a["bare"] != b["bare"]) | (F.length(a["bare"]) < shortest)
+        told = F.zip_with(own, before, lambda a, b: F.struct(a["i"].alias("i"), a["part"].alias("part"), first(a, b).alias("keep")))
+        return F.array_join(F.transform(F.array_sort(F.filter(told, lambda x: x["keep"])), lambda x: x["part"]), separator)
+
+    return _let(F.array_sort(F.transform(F.split(text, separator, -1), item)), kept)
 
 
 def fulltext_url(url: Column, host: str = "arxiv.org") -> Column:

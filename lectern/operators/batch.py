@@ -15,6 +15,20 @@ def fresh(entries: DataFrame, as_of: Column, days: int = C.STALE_DAYS) -> DataFr
     return entries.where(F.col("published").isNull() | (F.datediff(as_of, "published") <= days))
 
 
+def active(registry: DataFrame) -> DataFrame:
+    """Sources that are still read."""
+    return registry.where(~F.coalesce(F.col("reliability") == "dead", F.lit(False)))
+
+
+def preflight(registry: DataFrame, health: DataFrame, as_of: Column, days: int = C.SOURCE_STALE_DAYS) -> DataFrame:
+    """(source_name, stale, reliability): stale where nobody has verified the source for more than `days`, or ever.
+
+    The running state in `health` (source_name, state) counts; a source seen first is seeded with the registry's.
+    """
+    old = F.coalesce(F.datediff(as_of, "last_verified") > days, F.lit(True))
+    return registry.join(health, "source_name", "left").select("source_name", old.alias("stale"), F.coalesce("state", "reliability").alias("reliability"))
+
+
 def keep_signal(url: Column, words: Column) -> Column:
     host = U.host(url)
     known = F.lit(False)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import config as C
 from lectern.functions import text as T
 from lectern.operators.batch import first_of
+from lectern.operators.folds import in_order
 
 
 def _lines(order: Column, line: Column, between: str = "\n") -> Column:
@@ -128,16 +130,45 @@ def repair_diff(stored: DataFrame, recomputed: DataFrame, key: str, fields: list
 
 
 def note_ids(rows: DataFrame, taken: DataFrame) -> DataFrame:
-    """Ids `yyyyMMddHHmm-slug` for rows (pos, ts, slug): the next free minute where one is taken.
+    """Ids `yyyyMMddHHmm-slug` for rows (pos, ts, slug): the first free minute from the row's own on, in order of pos.
 
-    Rows of one slug and minute get free minutes in order of pos; null beyond an hour.
+    Ids in `taken` (note_id) and of earlier rows aren't free. No id within NOTE_ID_MINUTES is an error.
     """
-    minute = F.date_trunc("minute", "ts")
-    steps = F.sequence(F.lit(0), F.lit(C.NOTE_ID_MINUTES))
-    name = lambda m, i: F.concat(F.date_format(m + F.make_dt_interval(mins=i), "yyyyMMddHHmm"), F.lit("-"), "slug")
-    bases = rows.select("slug", minute.alias("minute")).distinct()
-    free = bases.select("slug", "minute", F.explode(steps).alias("step")).withColumn("note_id", name(F.col("minute"), F.col("step")))
-    free = free.join(taken.select("note_id"), "note_id", "left_anti")
-    free = free.withColumn("turn", F.row_number().over(Window.partitionBy("slug", "minute").orderBy("step")))
-    asked = rows.withColumn("minute", minute).withColumn("turn", F.row_number().over(Window.partitionBy("slug", "minute").orderBy("pos")))
-    return asked.join(free, ["slug", "minute", "turn"], "left").select("pos", "slug", "note_id")
+    minute = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60)
+    parts = F.split("note_id", "-", 2)
+    held = taken.where(F.col("note_id").rlike(r"^\d{12}-")).select(F.lit(None).cast("long").alias("pos"), F.floor(F.unix_seconds(F.to_timestamp(parts[0], "yyyyMMddHHmm")) / 60).alias("minute"), parts[1].alias("slug"))
+    asked = rows.select("pos", minute.alias("minute"), "slug")
+    slugs = asked.select("slug").distinct()
+    both = held.join(slugs, "slug", "left_semi").select("pos", "minute", "slug").unionByName(asked)
+
+    def step(used: set, row: dict):
+        at = row["minute"]
+        if row["pos"] is not None:
+            last = at + C.NOTE_ID_MINUTES
+            while at in used and at <= last:
+                at += 1
+            if at > last:
+                raise ValueError(f"no free id for {row['slug']} within {C.NOTE_ID_MINUTES} minutes")
+            yield row["pos"], at, row["slug"]
+        used.add(at)
+
+    schema = pa.schema([("pos", pa.int64()), ("minute", pa.int64()), ("slug", pa.string())])
+    # nulls come first: what is taken is known before the first row asks
+    got = in_order(both, "slug", ["pos", "minute"], schema, set, step)
+    name = F.concat(F.date_format(F.timestamp_seconds(F.col("minute") * 60), "yyyyMMddHHmm"), F.lit("-"), "slug")
+    return got.select("pos", "slug", name.alias("note_id"))
+
+
+def decide_notes(rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """(pos, reused): the note that each row (pos, slug, zettel_id) takes up; null where one is to be made.
+
+    First the id that the index names, if that note exists; then of the notes (id, updated) that end in
+    `-slug` the one changed last. A slug is a run of an id's last parts, so that ends join by equality.
+    """
+    known = notes.select(F.col("id").alias("zettel_id"), F.lit(True).alias("there"))
+    parts = F.split("id", "-")
+    ends = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "-"))
+    each = notes.where(F.size(parts) > 1).select("id", "updated", F.explode(ends).alias("slug"))
+    last = each.join(rows.select("slug").distinct(), "slug", "left_semi").groupBy("slug").agg(F.max_by("id", F.struct("updated", "id")).alias("latest"))
+    got = rows.join(known, "zettel_id", "left").join(last, "slug", "left")
+    return got.select("pos", F.when(F.col("there"), F.col("zettel_id")).otherwise(F.col("latest")).alias("reused"))

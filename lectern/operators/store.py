@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import config as C
+from lectern.functions import text as T
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -14,6 +15,34 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(last.select(key), key, "left_anti").unionByName(last.select(*old.columns))
 
 
+def upsert_articles(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Articles by URL: all columns of a new row replace the old one's, and its status is `enriched`."""
+    texts = [f.name for f in new.schema.fields if f.dataType.simpleString() == "string" and f.name != "url"]
+    clean = new.withColumns({c: T.strip_nul(F.col(c)) for c in texts}).withColumn("status", F.lit("enriched"))
+    return upsert(old, clean, "url")
+
+
+def backfill_candidates(documents: DataFrame, articles: DataFrame, tags: DataFrame, cutoff: Column) -> DataFrame:
+    """Originals from `cutoff` on whose article waits for its full text: what a refresh must keep.
+
+    `documents` has id, doc_type, doc_date and frontmatter (JSON); `articles` url, title and pending,
+    which may be null and then isn't waited for; `tags` doc_id and tag. Documents without tags have [].
+    """
+    of = lambda field: F.get_json_object("frontmatter", f"$.{field}").alias(field)
+    own = tags.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    rows = documents.where((F.col("doc_type") == "original") & (F.col("doc_date") >= cutoff)).select("id", "doc_date", of("source_url"), of("topic_slug"), of("related_zettel_id"))
+    waiting = articles.where(F.coalesce("pending", F.lit(False))).select(F.col("url").alias("source_url"), "title")
+    got = rows.join(waiting, "source_url").join(own, "id", "left")
+    return got.select("id", "doc_date", F.col("source_url").alias("url"), "topic_slug", "related_zettel_id", "title", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+
+
+def members(rows: DataFrame, key: str, ids: list | DataFrame) -> DataFrame:
+    """Rows whose key is one of `ids`, a short list or a table of one column; none for an empty list."""
+    if isinstance(ids, DataFrame):
+        return rows.join(ids.toDF(key).distinct(), key, "left_semi")
+    return rows.where(F.col(key).isin(ids)) if ids else rows.limit(0)
+
+
 def replace_tags(old: DataFrame, records: DataFrame) -> DataFrame:
     """Tags of the documents in `records` (doc_id, tags) are replaced whole; an empty list clears them."""
     fresh = records.select("doc_id", F.explode("tags").alias("tag")).distinct()

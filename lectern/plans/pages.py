@@ -153,7 +153,14 @@ def _(spark, sf_dir):
     return rows.where(F.datediff(F.lit("2024-01-31").cast("date"), "doc_date") <= 14).join(late, "id").select("id", "doc_date", "topic_slug", F.sha2("late", 256).alias("body"))
 
 
-@query("zettel_id_bump", "SELECT seq AS pos, strftime(date_trunc('minute', ts) + INTERVAL 1 MINUTE * (n - 1), '%Y%m%d%H%M') || '-' || source_name AS note_id FROM (SELECT *, row_number() OVER (PARTITION BY source_name, date_trunc('minute', ts) ORDER BY seq) AS n FROM attempts)", V.ATTEMPTS)
+_BUMPED = "SELECT seq, slug, n + max(m - n) OVER (PARTITION BY slug ORDER BY n) AS at FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY m, seq) AS n FROM (SELECT seq, 's' || source_name AS slug, epoch(time_bucket(INTERVAL 20 MINUTE, ts)) // 60 AS m FROM attempts))"
+
+
+@query("zettel_id_bump", f"SELECT seq AS pos, strftime(make_timestamp(CAST(at * 60000000 AS BIGINT)), '%Y%m%d%H%M') || '-' || slug AS note_id FROM ({_BUMPED})", V.ATTEMPTS)
 def _(spark, sf_dir):
-    rows = V.attempts(spark, sf_dir).select(c("seq").alias("pos"), "ts", c("source_name").cast("string").alias("slug"))
-    return P.note_ids(rows, spark.createDataFrame([], "note_id string")).select("pos", "note_id")
+    """Attempts of twenty minutes ask for the same one; rows come in order of time, so the rule is a running maximum in SQL."""
+    ts = F.timestamp_seconds(F.floor(F.unix_seconds(c("ts").cast("timestamp")) / 1200) * 1200)
+    rows = V.attempts(spark, sf_dir).select("seq", ts.alias("ts"), F.concat(F.lit("s"), c("source_name").cast("string")).alias("slug"))
+    # order by (minute, seq) as one number
+    rows = rows.withColumn("pos", F.unix_seconds("ts") * 10_000_000 + c("seq"))
+    return P.note_ids(rows, spark.createDataFrame([], "note_id string")).select((c("pos") % 10_000_000).alias("pos"), "note_id")

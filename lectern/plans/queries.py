@@ -101,7 +101,6 @@ def _raw_date():
 
 scalar("flex_date", V.entries, "pos", lambda: T.flexible_date(_raw_date(), V.as_of()), V.ENTRIES, "CASE pos % 6 WHEN 0 THEN DATE '2026-07-05' - CAST(pos AS INTEGER) WHEN 1 THEN DATE '2026-07-05' - CAST(pos % 60 // 24 AS INTEGER) WHEN 2 THEN DATE '2026-07-04' WHEN 3 THEN DATE '2026-07-05' - CAST(pos % 9 AS INTEGER) WHEN 4 THEN DATE '2026-01-01' + CAST(pos % 28 AS INTEGER) END")
 scalar("low_confidence", V.entries, "pos", lambda: (F.trim("url") == "") | (F.trim("title") == "") | (F.trim("summary") == "") | c("published").isNull() | F.coalesce(c("published") > F.date_add(V.as_of(), 1), F.lit(False)), V.ENTRIES, "trim(url) = '' OR trim(title) = '' OR trim(summary) = '' OR published IS NULL OR coalesce(published > DATE '2026-07-06', false)")
-scalar("summary_length_tier", V.originals, "id", lambda: F.when(F.length("gist") >= 150, "500-800字").when(F.length("gist") >= 50, "300-500字").otherwise("150-300字"), V.ORIGINALS, "CASE WHEN length(gist) >= 150 THEN '500-800字' WHEN length(gist) >= 50 THEN '300-500字' ELSE '150-300字' END")
 scalar("src_listing_html", lambda s, d: V.table(s, d, "pages"), "page_id", lambda: F.sha2(F.substring(F.regexp_replace("html", r"(?is)<(script|style|noscript|svg)\b[^>]*>.*?</\1>", ""), 1, 40000), 256), "pages_ AS (SELECT * FROM pages)", "sha256(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style>', '', 'g'), '(?is)<noscript\\b[^>]*>.*?</noscript>', '', 'g'), '(?is)<svg\\b[^>]*>.*?</svg>', '', 'g'), 1, 40000))")
 
 
@@ -223,15 +222,16 @@ def _(spark, sf_dir):
 
 def registry(spark):
     """Sources by name: a fixed, small table."""
-    return spark.createDataFrame([(f"source-{i}", ("stable", "degraded", "unknown", "dead")[i % 4]) for i in range(7)], "source_name string, reliability string")
+    rows = spark.createDataFrame([(f"source-{i}", ("stable", "degraded", "unknown", "dead")[i % 4], i) for i in range(7)], "source_name string, reliability string, i int")
+    return rows.select("source_name", "reliability", F.when(c("i") != 6, F.date_sub(V.as_of(), c("i") * 10)).alias("last_verified"))
 
 
-_REGISTRY = "registry AS (SELECT 'source-' || i AS source_name, (['stable', 'degraded', 'unknown', 'dead'])[i % 4 + 1] AS reliability FROM range(7) t(i))"
+_REGISTRY = "registry AS (SELECT 'source-' || i AS source_name, (['stable', 'degraded', 'unknown', 'dead'])[i % 4 + 1] AS reliability, CASE WHEN i <> 6 THEN DATE '2026-07-05' - CAST(i * 10 AS INTEGER) END AS last_verified FROM range(7) t(i))"
 
 
 @query("src_registry_active", "SELECT * FROM registry WHERE reliability <> 'dead'", _REGISTRY)
 def _(spark, sf_dir):
-    return registry(spark).where("reliability <> 'dead'")
+    return B.active(registry(spark))
 
 
 @query("degraded_demote", "SELECT pos, low_confidence OR reliability = 'degraded' AS low_confidence FROM entries JOIN registry USING (source_name)", V.ENTRIES, _REGISTRY)
@@ -239,9 +239,9 @@ def _(spark, sf_dir):
     return V.entries(spark, sf_dir).join(registry(spark), "source_name").select("pos", (c("low_confidence") | (c("reliability") == "degraded")).alias("low_confidence"))
 
 
-@query("preflight_stale", "SELECT source_name, coalesce(DATE '2026-07-05' - max(published) > 10, true) AS stale FROM entries GROUP BY source_name", V.ENTRIES)
+@query("preflight_stale", "SELECT source_name, coalesce(DATE '2026-07-05' - last_verified > 30, true) AS stale, coalesce(state, reliability) AS reliability FROM registry LEFT JOIN (SELECT 'source-1' AS source_name, 'alive' AS state) USING (source_name)", _REGISTRY)
 def _(spark, sf_dir):
-    return V.entries(spark, sf_dir).groupBy("source_name").agg(F.coalesce(F.datediff(V.as_of(), F.max("published")) > 10, F.lit(True)).alias("stale"))
+    return B.preflight(registry(spark), spark.createDataFrame([("source-1", "alive")], "source_name string, state string"), V.as_of())
 
 
 @query("script_stats", "SELECT source_name, count(*) AS n, count(*) FILTER (summary <> '') AS with_summary FROM entries GROUP BY source_name", V.ENTRIES)
@@ -329,9 +329,9 @@ def _(spark, sf_dir):
     return V.tags(spark, sf_dir).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(c("n").desc(), "tag")
 
 
-@query("topic_article_count", r"SELECT doc_id, len(regexp_extract_all(body, '\n\[\[')) AS n FROM rich", V.RICH)
+@query("topic_article_count", r"SELECT doc_id, len(regexp_extract_all(body, '\n- \[\[')) AS n FROM rich", V.RICH)
 def _(spark, sf_dir):
-    return V.rich(spark, sf_dir).select("doc_id", F.regexp_count("body", F.lit(r"\n\[\[")).cast("long").alias("n"))
+    return V.rich(spark, sf_dir).select("doc_id", T.article_count(c("body")).alias("n"))
 
 
 @query("pipeline_summary", "SELECT source_name, count(*) AS attempted, count(*) FILTER (NOT success) AS failed FROM attempts GROUP BY 1", V.ATTEMPTS)
@@ -435,13 +435,6 @@ def _(spark, sf_dir):
     return rows.join(V.url_index(spark, sf_dir), "normalized_url", "left").select("pos", "first_seen_date", "zettel_id")
 
 
-@query("join_backfill_candidates", "SELECT c_custkey, coalesce(list_sort(list(o_orderpriority) FILTER (o_orderkey IS NOT NULL)), []) AS tags FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
-def _(spark, sf_dir):
-    orders = V.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(c("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list("o_orderpriority")).alias("tags"))
-    rows = V.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    return rows.join(orders, "c_custkey", "left").select("c_custkey", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
-
-
 @query("anti_existing_originals", "SELECT pos FROM entries WHERE 'original-' || substr(sha256(url), 1, 12) NOT IN (SELECT 'original-' || substr(sha256(url), 1, 12) FROM entries WHERE pos % 3 = 1)", V.ENTRIES)
 def _(spark, sf_dir):
     rows = V.entries(spark, sf_dir).withColumn("id", T.original_id(c("url")))
@@ -469,14 +462,6 @@ def _(spark, sf_dir):
     return V.entries(spark, sf_dir).select("pos", B.classify_daily(p % 3 == 0, F.when(p % 2 == 0, "n"), F.when(p % 5 == 0, "placeholder").otherwise("direct")).alias("class"))
 
 
-@query("decide_zettel", "SELECT pos, CASE WHEN z.note IS NOT NULL THEN zettel_id END AS reused, z.note IS NULL AS created FROM (SELECT pos, " + V.KEY("url") + " AS k FROM entries) LEFT JOIN url_index ON k = normalized_url LEFT JOIN (SELECT 'note-' || doc_id AS note FROM documents WHERE doc_id % 4 = 0) z ON zettel_id = z.note", V.ENTRIES, V.URL_INDEX)
-def _(spark, sf_dir):
-    notes = V.table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(F.concat(F.lit("note-"), c("doc_id").cast("string")).alias("zettel_id"), F.lit(True).alias("there"))
-    rows = V.entries(spark, sf_dir).select("pos", U.index_key(c("url")).alias("normalized_url"))
-    got = rows.join(V.url_index(spark, sf_dir).select("normalized_url", "zettel_id"), "normalized_url", "left").join(notes, "zettel_id", "left")
-    return got.select("pos", F.when(c("there"), c("zettel_id")).alias("reused"), c("there").isNull().alias("created"))
-
-
 @query("build_original", "SELECT 'original-' || substr(sha256(url), 1, 12) AS id, coalesce(nullif(summary, ''), title) AS body, coalesce(published, DATE '2026-07-05') AS doc_date FROM entries", V.ENTRIES)
 def _(spark, sf_dir):
     return V.entries(spark, sf_dir).select(T.original_id(c("url")).alias("id"), F.coalesce(F.nullif("summary", F.lit("")), "title").alias("body"), F.coalesce("published", V.as_of()).alias("doc_date"))
@@ -545,16 +530,24 @@ _TERMS = r"terms AS (SELECT doc_id AS id, unnest(w) AS term, generate_subscripts
 _MATCH = "SELECT id, count(*) AS hits FROM terms WHERE term IN ('the', 'of') GROUP BY id HAVING count(DISTINCT term) = 2"
 
 
-def _index(spark, sf_dir):
-    return S.terms(V.table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), "text"))
+def _texts(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), "text")
 
 
 @query("fts_match", f"SELECT * FROM ({_MATCH}) WHERE id IN (SELECT a.id FROM terms a JOIN terms b ON a.id = b.id AND a.at + 1 = b.at WHERE a.term = 'of' AND b.term = 'the') AND id NOT IN (SELECT id FROM terms WHERE term = 'license')", _TERMS)
 def _(spark, sf_dir):
-    return S.matches(_index(spark, sf_dir), ["the", "of"], none_of=["license"], phrase=["of", "the"])
+    return S.search(_texts(spark, sf_dir), 'the of "of the" -license').select("id", "hits")
 
 
 @query("fts_rank", f"SELECT m.id, hits, hits::DOUBLE / n AS rank FROM ({_MATCH}) m JOIN (SELECT id, count(*) AS n FROM terms GROUP BY id) s ON m.id = s.id ORDER BY rank DESC, m.id LIMIT 20", _TERMS)
 def _(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    return S.ranked(S.matches(index, ["the", "of"]), index)
+    return S.ranked(S.search(_texts(spark, sf_dir), "the of"))
+
+
+_AND = "SELECT id FROM terms WHERE term = 'license' INTERSECT SELECT id FROM terms WHERE term = 'under'"
+_PHRASE = "SELECT a.id FROM terms a JOIN terms b ON a.id = b.id AND a.at + 1 = b.at WHERE a.term = 'of' AND b.term = 'the' EXCEPT SELECT id FROM terms WHERE term = 'and'"
+
+
+@query("fts_web_search", f"SELECT id, count(*) FILTER (term IN ('license', 'under', 'of', 'the')) AS hits FROM terms WHERE id IN ({_AND}) OR id IN ({_PHRASE}) GROUP BY id", _TERMS)
+def _(spark, sf_dir):
+    return S.search(_texts(spark, sf_dir), 'license UNDER or "of  the" -and or').select("id", "hits")

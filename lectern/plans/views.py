@@ -28,7 +28,7 @@ def entries(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         p.alias("pos"),
         "url",
-        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.when(p % 9 == 4, " webinar").otherwise(""), F.when(p % 18 == 4, " open source").otherwise("")).alias("title"),
         F.regexp_extract("html", "<p>([^<]+)</p>", 1).alias("summary"),
         F.concat(F.lit("source-"), (p % 7).cast("string")).alias("source_name"),
         F.when(p % 11 != 0, F.date_sub(as_of(), (p % 25).cast("int"))).alias("published"),
@@ -53,11 +53,15 @@ def originals(spark, sf_dir) -> DataFrame:
 
 
 def rich(spark, sf_dir) -> DataFrame:
-    """Documents with code, links, Chinese text, references and wiki links."""
+    """Documents with code, links, Chinese text, references and wiki links; some of nothing else."""
     d, text = F.col("doc_id"), F.col("text")
     s = d.cast("string")
     body = (
-        F.when(d % 4 == 0, text)
+        F.when(d % 20 == 4, F.concat(F.lit("12 34\n-- 56 --\n\n"), s, F.lit("\n99")))
+        .when(d % 20 == 8, F.concat(F.lit("[37] A. Author (2019) et al.\n-\n[38] arXiv preprint 1901\n\ndoi: 10.1/"), s))
+        .when(d % 20 == 12, F.concat(F.lit("这是一段完整的中文译文 其中没有别的语言\n\n![图](media-store://a/"), s, F.lit(".png)\n对齐 开源")))
+        .when(d % 20 == 16, F.concat(F.lit("\n- [[note-"), s, F.lit("]] a\n- [[note-1]] b\n\n```\nlong code block\nof lines\n```")))
+        .when(d % 4 == 0, text)
         .when(d % 4 == 1, F.concat(text, F.lit("\n```\ncode "), s, F.lit("\n```\nsee https://example.org/p/"), s, F.lit("\n[[note-"), (d % 40).cast("string"), F.lit("|Note]] and ![i](x.png) [link](y)\n12 34\n<td >")))
         .when(d % 4 == 2, F.concat(F.lit("模型发布 安全对齐\n"), text, F.lit("\n12 34 56\n[37] Author: Title (2020) et al.\n[[topic-"), (d % 7).cast("string"), F.lit("#part]]")))
         .otherwise(F.concat(F.lit("这是一段关于模型的中文正文。开源 论文，对齐\n\n"), text, F.lit("\n\n"), text))
@@ -100,17 +104,22 @@ HOST = lambda c: f"lower(regexp_extract({c}, {_PARTS}, 2))"
 HOST_PATH = lambda c: f"lower(regexp_extract({c}, {_PARTS}, 1)) || '://' || {HOST(c)} || regexp_replace(regexp_replace(regexp_extract({c}, {_PARTS}, 3), ';[^/]*$', ''), '/+$', '')"
 quoted = lambda items: ", ".join("'" + x.replace("'", "''") + "'" for x in items)
 
-ENTRIES = """entries AS (SELECT page_id AS pos, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+ENTRIES = """entries AS (SELECT page_id AS pos, url, regexp_extract(html, '<title>([^<]*)</title>', 1) || CASE WHEN page_id % 9 = 4 THEN ' webinar' ELSE '' END || CASE WHEN page_id % 18 = 4 THEN ' open source' ELSE '' END AS title,
  regexp_extract(html, '<p>([^<]+)</p>', 1) AS summary, 'source-' || (page_id % 7) AS source_name,
  CASE WHEN page_id % 11 <> 0 THEN DATE '2026-07-05' - CAST(page_id % 25 AS INTEGER) END AS published,
  page_id % 13 = 0 AS low_confidence FROM pages)"""
 ORIGINALS = f"""originals AS (SELECT CAST(doc_id AS VARCHAR) AS id, DATE '2024-01-01' + CAST(doc_id % 31 AS INTEGER) AS doc_date,
  ([{quoted((*C.TOPICS, C.OVERFLOW_TOPIC))}])[doc_id % 11 + 1] AS topic_slug, ([{quoted(C.DOC_TYPES)}])[doc_id % 6 + 1] AS doc_type,
  source AS source_name, split_part(text, chr(10), 1) AS title, substr(text, 1, 200) AS gist, text FROM documents)"""
-RICH = """rich AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, CASE doc_id % 4 WHEN 0 THEN text
+RICH = """rich AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, CASE
+ WHEN doc_id % 20 = 4 THEN E'12 34\\n-- 56 --\\n\\n' || doc_id || E'\\n99'
+ WHEN doc_id % 20 = 8 THEN E'[37] A. Author (2019) et al.\\n-\\n[38] arXiv preprint 1901\\n\\ndoi: 10.1/' || doc_id
+ WHEN doc_id % 20 = 12 THEN E'这是一段完整的中文译文 其中没有别的语言\\n\\n![图](media-store://a/' || doc_id || E'.png)\\n对齐 开源'
+ WHEN doc_id % 20 = 16 THEN E'\\n- [[note-' || doc_id || E']] a\\n- [[note-1]] b\\n\\n```\\nlong code block\\nof lines\\n```'
+ ELSE CASE doc_id % 4 WHEN 0 THEN text
  WHEN 1 THEN text || E'\\n```\\ncode ' || doc_id || E'\\n```\\nsee https://example.org/p/' || doc_id || E'\\n[[note-' || (doc_id % 40) || E'|Note]] and ![i](x.png) [link](y)\\n12 34\\n<td >'
  WHEN 2 THEN E'模型发布 安全对齐\\n' || text || E'\\n12 34 56\\n[37] Author: Title (2020) et al.\\n[[topic-' || (doc_id % 7) || '#part]]'
- ELSE E'这是一段关于模型的中文正文。开源 论文，对齐\\n\\n' || text || E'\\n\\n' || text END AS body FROM documents)"""
+ ELSE E'这是一段关于模型的中文正文。开源 论文，对齐\\n\\n' || text || E'\\n\\n' || text END END AS body FROM documents)"""
 LINKS = "links AS (SELECT DISTINCT l_orderkey AS from_id, l_partkey AS to_id FROM lineitem)"
 TAGS = "tags AS (SELECT o_orderkey AS doc_id, o_orderpriority AS tag FROM orders)"
 ATTEMPTS = "attempts AS (SELECT user_id AS source_name, ts, event_id AS seq, event_type <> 'error' AS success FROM events)"
