@@ -51,13 +51,34 @@ class Cuckoo:
 
     @classmethod
     def of(cls, keys: list[bytes]) -> Cuckoo:
+        """A filter of all keys: arrays fill free slots at each key's two places, the few left over are moved about."""
         n = len(keys)
         while True:
             new = cls.for_keys(n)
-            if all(new.insert(k) for k in keys):
+            if all(new.insert(keys[i]) for i in new._fill(keys).tolist()):
                 return new
             n *= 2
 
+    def _fill(self, keys: list[bytes]) -> np.ndarray:
+        """Put keys into an empty filter where they have a free slot; the numbers of the others."""
+        raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
+        mark = np.maximum(np.ascontiguousarray(raw[:, :2]).view("<u2").ravel(), 1).astype(np.int64)
+        one = np.ascontiguousarray(raw[:, 2:10]).view("<u8").ravel() & np.uint64(self.mask)
+        one = one.astype(np.int64)
+        used = np.zeros(len(self.cells), np.int64)
+        left = np.arange(len(keys))
+        for spot in (one, one ^ (mark * 0x5BD1E995 & self.mask)):
+            at = spot[left]
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            first = np.searchsorted(at, at)
+            slot = used[at] + np.arange(len(at)) - first
+            fits = slot < SLOTS
+            self.cells[at[fits], slot[fits]] = mark[left[order[fits]]]
+            np.add.at(used, at[fits], 1)
+            left = left[order[~fits]]
+        return left
+
     def _spots(self, key: bytes) -> tuple[int, int, int]:
         mark = int.from_bytes(key[:2], "little") or 1
         one = int.from_bytes(key[2:10], "little") & self.mask
@@ -135,6 +156,20 @@ class LineIndex:
         self.refs = spark.createDataFrame([], "key binary, shard int, n_docs long, last_doc long")
         self.filters = spark.createDataFrame([], "shard int, cells binary")
 
+    def save(self, path: str) -> None:
+        """Write the index below `path`, where `open` finds it, in this session or another."""
+        for name in ("postings", "refs", "filters"):
+            getattr(self, name).write.parquet(f"{path}/{name}")
+        # last: an index without it isn't whole
+        self.postings.sparkSession.createDataFrame([(self.shards, self.shortest)], "shards int, shortest int").write.parquet(f"{path}/settings")
+
+    @classmethod
+    def open(cls, spark, path: str) -> LineIndex:
+        settings = spark.read.parquet(f"{path}/settings").first()
+        index = cls(spark, settings["shards"], settings["shortest"])
+        index.postings, index.refs, index.filters = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "refs", "filters"))
+        return index
+
     def _counted(self, postings: DataFrame) -> DataFrame:
         return postings.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc")).select("key", _shard(self.shards).alias("shard"), "n_docs", "last_doc")
 
