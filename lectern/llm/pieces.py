@@ -181,9 +181,10 @@ def nbest_unit(unit: bytes, n: int, v: Vocabulary) -> list[tuple[float, tuple[in
             into[b].append((a, score, ids))
             best[b] = max(best[b], best[a] + score)
     found, tick = [], 0
-    heap = [(-best[size], 0, size, 0.0, None)]
+    # among equals, but for rounding, what is nearest to the start goes first: ties are never all opened
+    heap = [(-round(best[size], 8), size, 0, 0.0, None)]
     while heap and len(found) < n:
-        _, _, at, behind, path = heapq.heappop(heap)
+        _, at, _, behind, path = heapq.heappop(heap)
         if at == 0:
             ids: list[int] = []
             while path:
@@ -193,7 +194,7 @@ def nbest_unit(unit: bytes, n: int, v: Vocabulary) -> list[tuple[float, tuple[in
             continue
         for a, score, ids in sorted(into[at]):
             tick += 1
-            heapq.heappush(heap, (-(best[a] + score + behind), tick, a, score + behind, (ids, path)))
+            heapq.heappush(heap, (-round(best[a] + score + behind, 8), a, tick, score + behind, (ids, path)))
     return found
 
 

@@ -108,6 +108,50 @@ def test_random_strings_and_known_digests():
     assert not spans("an_ordinary_long_identifier_2 and-some-dashed-words")
 
 
+def brute_random(text, count, most):
+    """Maximal runs of key characters, by a loop over the text."""
+    out, at = [], 0
+    keys = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")
+    for k, g in itertools.groupby(text, keys.__contains__):
+        run = "".join(g)
+        bare = run.strip("=-_/+")
+        digest = len(bare) in (32, 40, 56, 64, 96, 128) and (set(bare) <= set("0123456789abcdef") or set(bare) <= set("0123456789ABCDEF"))
+        uuid = [len(x) for x in bare.split("-")] == [8, 4, 4, 4, 12] and set(bare.replace("-", "").lower()) <= set("0123456789abcdef")
+        if k and len(run) >= 16 and not digest and not uuid and any(c.isalpha() for c in run) and len(run) / count(run) <= most:
+            out.append((at, 3, at + len(run)))
+        at += len(run)
+    return out
+
+
+def test_random_spans_against_brute_force(texts):
+    import random
+
+    count = secret_scan.token_counter(vocabulary("byte_bpe_50k.tiktoken"))
+    rng = random.Random(2)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    made = [draw("abcXYZ0189+/_=- .é", 200) for _ in range(100)]
+    made += [f"x {draw('0123456789abcdef', n)} y {draw('0123456789ABCDEF', n)}== z" for n in (16, 31, 32, 33, 40, 64)]
+    made += [f"{draw('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 26)} {draw('qwertzuiopasdfghjklyxcvbnmQWERTZ', 24)} QZ8X-7KLM-92PQ-VB31"] * 2
+    for text in [*texts.values(), *made]:
+        assert secret_scan.random_spans(text or "", count, 2.2) == brute_random(text or "", count, 2.2)
+    assert all(len(secret_scan.random_spans(t, count, 2.2)) == 3 for t in made[-2:])
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    count = secret_scan.token_counter(vocabulary("byte_bpe_50k.tiktoken"))
+    took = []
+    for n in (125_000, 1_000_000):
+        runs = ("7" * n, "A1" * (n // 2), "x" * n, "0-" * (n // 2), "f0" * (n // 2))
+        begin = time.process_time()
+        for run in runs:
+            secret_scan.base_spans(run)
+            secret_scan.random_spans(run, count, 2.2)
+        took.append(time.process_time() - begin)
+    assert took[1] < 24 * took[0] + 1, took
+
+
 # --- near duplicates
 
 
@@ -146,8 +190,14 @@ def test_near_chains_and_strays(spark):
         rows.append((i, " ".join(base[i // 2 : i // 2 + 60 + i % 3])))
     for i in range(40, 80):
         rows.append((i, " ".join(base[:60] + [word() for _ in range(18 + i % 7)])))
-    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got)) == sorted(brute_near(rows))
+    for options in ({}, {"sigmas": None}):
+        got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+        assert sorted(map(tuple, got)) == sorted(brute_near(rows))
+
+
+def test_large_buckets_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SPLIT", 3)
+    test_near_chains_and_strays(spark)
 
 
 def test_sketches_have_no_empty_bins():
@@ -212,6 +262,19 @@ def test_line_index_is_reversible(spark):
     assert sum(int((c.cells > 0).sum()) for c in cells.values()) == len(refs)
 
 
+def test_line_index_opens_again(spark, tmp_path):
+    frame = spark.createDataFrame(LINES[:20], "doc_id long, text string")
+    index = line_dedup.LineIndex(spark, shards=4, shortest=3)
+    index.insert(frame.where("doc_id < 12"))
+    index.save(f"file://{tmp_path}/index")
+    again = line_dedup.LineIndex.open(spark, f"file://{tmp_path}/index")
+    for x in (index, again):
+        x.insert(frame.where("doc_id >= 12"))
+        x.delete(frame.where("doc_id < 3"))
+    assert sorted(map(str, again.refs.collect())) == sorted(map(str, index.refs.collect()))
+    assert sorted(map(str, again.kept(frame).collect())) == sorted(map(str, index.kept(frame).collect()))
+
+
 def test_cuckoo():
     keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(4000)]
     there = line_dedup.Cuckoo.of(keys[:3000])
@@ -420,6 +483,42 @@ def test_pieces_are_n_best(spark, texts, odd, empty):
     assert pieces.encode_pieces(empty, model).count() == 0
 
 
+def test_scores_are_log_probabilities():
+    """Of a file with ranks of merges; the library's own encoder takes the same pieces for most words."""
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    v, own = pieces.vocabulary_at(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = sorted(v.ids.values())
+    assert np.exp(v.scores[ids]).sum() == pytest.approx(1)
+    assert pieces.segment([b"internationalization of the world"], 1, v)[0].tolist() == own.encode("internationalization of the world")
+    words = [w for (t,) in duckdb.sql(f"SELECT text FROM '{SMALL}/documents.parquet' WHERE text IS NOT NULL").fetchall() for w in t.split()[:40]]
+    same = [pieces.nbest_unit(pieces.SPACE + w.encode(), 1, v)[0][1] == tuple(own.encode(w)) for w in words]
+    assert np.mean(same) > 0.7
+    # unigram scores are taken as they are
+    assert not pieces.is_ranks(np.array([-1.5, -2.25, -3.0])) and pieces.is_ranks(np.array([-2.0, -0.0, -1e9, -1.0]))
+
+
+def test_paths_are_kept_by_vocabulary():
+    one, two = (pieces.Vocabulary(vocabulary("piece_bpe_32k.model")) for _ in range(2))
+    two.scores = two.scores * 2
+    a, b = (pieces.segment([b"other words"], 3, v)[3][0][0]["score"] for v in (one, two))
+    assert b == pytest.approx(2 * a)
+
+
+def test_long_units_take_linear_time():
+    import time
+
+    v, took = pieces.vocabulary_at(vocabulary("piece_bpe_32k.model")), []
+    for n in (4_000, 32_000):
+        text = "".join(np.random.default_rng(n).choice(list("abcdefghijklmnop"), n)).encode()
+        begin = time.process_time()
+        flat, cut, _, more = pieces.segment([text], 3, v)
+        took.append(time.process_time() - begin)
+        assert pieces.decode(flat, cut, v)[0] == text and len(more[0]) == 2
+    assert took[1] < 24 * took[0] + 1, took
+
+
 def all_paths(unit, v):
     if not unit:
         yield 0.0
