@@ -10,7 +10,8 @@ follow around the members outside the bucket's largest component, from one a buc
 times as many in each round, until every bucket is one component or all its cross-component pairs
 have been compared, or ruled out: by the triangle inequality over the distances to the bucket's
 centre, by the number of a set's shingles that other components hold at all, or by sketches that
-differ in more bins than those of linked sets do but for a chance of 3e-7. Nothing is capped.
+differ in more bins than those of linked sets do but for a chance of 3e-7 (none of the last with
+`sigmas` None). Nothing is capped.
 
 Defined cases: null, empty and blank texts have an empty set, n_shingles 0, and link with nothing;
 fewer than five words form one shingle; repeated rows and equal sets share a component; rows
@@ -33,6 +34,10 @@ from .textbatch import GOLD, LOWER, buffer_of, mix, per_text, signed, slices, ti
 WORDS = 5
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
+#: How far beyond the mean of linked sets' sketches a pair's must differ to be ruled out unseen.
+SIGMAS = 5.0
+#: Members of a bucket that one task compares with its strays, about.
+SPLIT = 1000
 _STEP = mix(np.arange(1, WORDS + 1, dtype=np.uint64))
 _ROW = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -110,7 +115,7 @@ def _unlike(a, b):
     return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, x: total + x)
 
 
-def _most_unlike(n, percent: int, sigmas: float = 5.0):
+def _most_unlike(n, percent: int, sigmas: float = SIGMAS):
     """Bins in which sets of `n` or more shingles that are alike enough differ at most, but for a chance of 3e-7.
 
     Three things spread the share of equal bins: a sketch samples a part of the shingles only, and
@@ -238,12 +243,12 @@ def _joined(links: DataFrame, parts: DataFrame) -> DataFrame:
     return parts
 
 
-def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
-    return _grouped(docs.select("doc_id", "text"), F.lit(None).cast("binary"), percent).drop("key")
+def near_groups(docs: DataFrame, percent: int = 75, sigmas: float | None = SIGMAS) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept. With `sigmas` None no sketch rules a pair out: all left are compared."""
+    return _grouped(docs.select("doc_id", "text"), F.lit(None).cast("binary"), percent, sigmas).drop("key")
 
 
-def _grouped(docs: DataFrame, key, percent: int) -> DataFrame:
+def _grouped(docs: DataFrame, key, percent: int, sigmas: float | None) -> DataFrame:
     """`near_groups` with the column `key`, which names a row."""
     schema = "doc_id long, key binary, node binary, n long, bands array<long>, marks array<long>"
     rows = written(small_batches(docs).select("doc_id", "text", key.alias("key")).mapInArrow(tidy(_sketched), schema), "near-rows")
@@ -257,7 +262,7 @@ def _grouped(docs: DataFrame, key, percent: int) -> DataFrame:
     if nodes.isEmpty():
         parts = nodes.select("node", F.col("node").alias("part"))
     else:
-        parts = _components(docs, members, nodes, percent)
+        parts = _components(docs, members, nodes, percent, sigmas)
     # names of parts are nodes; rows of other classes stand alone in their class
     named = ids.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("part"), "least")
     least = named.groupBy("part").agg(F.min("least").alias("component_id"))
@@ -278,7 +283,7 @@ def _centred(members: DataFrame) -> DataFrame:
     return written(members.select("bucket", "node", "n").join(centre, "bucket"), "near-members")
 
 
-def _components(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _components(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent: int, sigmas: float | None = SIGMAS) -> DataFrame:
     """(node, part) of the candidate classes."""
     sets = written(_sets_of(docs, nodes.select("node")), "near-sets")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -302,9 +307,9 @@ def _components(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent:
     while True:
         now = rest.join(parts, "node")
         sizes = now.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("held"))
-        mixed = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("held", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", "main")
+        mixed = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("held", "part")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("held").alias("rows")).where("parts > 1").select("bucket", "main", "rows")
         now = written(now.join(mixed, "bucket"), "near-mixed")
-        strays = now.where("part <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("part").alias("a_part"), F.col("from_").alias("a_from"), F.col("to").alias("a_to"))
+        strays = now.where("part <> main").select("bucket", "rows", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("part").alias("a_part"), F.col("from_").alias("a_from"), F.col("to").alias("a_to"))
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("a"))
         # a stray that is among the first of one bucket is a centre of all buckets in which it is a stray, and done there
         chosen = strays.withColumn("rank", rank).where(F.col("rank") <= centres).select("a").distinct()
@@ -313,24 +318,29 @@ def _components(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent:
             return parts
         in_others = _shared(now.select("node", "part").distinct(), sets)
         known = nodes.join(in_others, "node")
+        told = strays.select("bucket", "a")
         strays = strays.join(known.select(*[F.col(c).alias(f"a_{c}") for c in known.columns]).withColumnRenamed("a_node", "a"), "a")
         now = now.join(known, "node")
         once = F.array_min(F.array_intersect("bands", "a_bands")) == F.col("bucket")
-        like = _unlike(F.col("marks"), F.col("a_marks")) <= _most_unlike(F.least("n", "a_n"), percent)
+        like = F.lit(True) if sigmas is None else _unlike(F.col("marks"), F.col("a_marks")) <= _most_unlike(F.least("n", "a_n"), percent, sigmas)
         # an intersection has at most the shingles that other components hold too
         enough = (100 + percent) * F.least("shared", "a_shared") >= percent * (F.col("n") + F.col("a_n"))
         near = (F.col("from_") - F.col("a_to") <= reach) & (F.col("a_from") - F.col("to") <= reach)
-        pairs = strays.join(now, "bucket").where((F.col("part") != F.col("a_part")) & fits(F.col("n"), F.col("a_n")) & enough & near & once & like)
+        # the members of a large bucket are dealt to several tasks, and its strays go to each of them
+        parts_of = F.ceil(F.col("rows") / SPLIT).cast("int")
+        dealt = now.withColumn("deal", F.pmod(F.xxhash64("node"), parts_of).cast("int")).drop("rows")
+        strays = strays.withColumn("deal", F.explode(F.sequence(F.lit(0), parts_of - 1)))
+        pairs = strays.join(dealt, ["bucket", "deal"]).where((F.col("part") != F.col("a_part")) & fits(F.col("n"), F.col("a_n")) & enough & near & once & like)
         pairs = written(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "near-pairs")
         parts = _joined(written(_links(_distances(pairs, sets), percent), "near-links"), parts)
-        rest = written(now.select("bucket", "node", "n", "from_", "to").join(strays.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti"), "near-rest")
+        rest = written(now.select("bucket", "node", "n", "from_", "to").join(told.withColumnRenamed("a", "node"), ["bucket", "node"], "left_anti"), "near-rest")
         centres *= 4
 
 
-def drop_near(docs: DataFrame, percent: int = 75) -> DataFrame:
+def drop_near(docs: DataFrame, percent: int = 75, sigmas: float | None = SIGMAS) -> DataFrame:
     """One row of each component stays, with the columns of `docs`; so do rows without id.
 
     A row goes by its id and text: another text under the same id stays.
     """
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    return without(docs, _grouped(named, row_key(), percent).where(~F.col("kept")).select("key"))
+    return without(docs, _grouped(named, row_key(), percent, sigmas).where(~F.col("kept")).select("key"))
