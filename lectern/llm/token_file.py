@@ -181,7 +181,7 @@ class _Model:
     def learn(self, x):
         """Take in the ids x, whose `interval` was asked last."""
         # a part of the lanes tells the weights enough; sums of doubles run in a fixed order on both sides
-        few = slice(0, max(len(x) // 4, 64))
+        few = slice(0, max(len(x) // 8, 64))
         sets, width = self.set[few], self.width[few]
         n = np.bincount(sets, minlength=64)
         two, one = (np.bincount(sets, w[few] / width, 64) for w in (self.two, self.one))
@@ -339,7 +339,7 @@ class WordEncoder:
     further where ASCII letters, digits and signs meet, apostrophes apart, if the encoder cuts there too.
     """
 
-    KEPT = 800_000
+    KEPT = 1_200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -347,10 +347,17 @@ class WordEncoder:
         self.encoder = Tokenizer.from_file(path)
         self.forget()
         # ids that end a word, where the vocabulary marks them
-        mark = json.loads(self.encoder.to_str())["model"].get("end_of_word_suffix")
+        spec = json.loads(self.encoder.to_str())
+        mark = spec["model"].get("end_of_word_suffix")
         vocab = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for word, i in vocab.items() if mark and word.endswith(mark)]] = True
+        # for lower-case ASCII letters, which need no rules: the same model without them
+        self.light = self.encoder
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1]["use_regex"]:
+            spec["normalizer"], steps[0] = None, {"type": "WhitespaceSplit"}
+            self.light = Tokenizer.from_str(json.dumps(spec))
         ids = lambda text: self.encoder.encode(text, add_special_tokens=False).ids
         words = ["don't", "a1b23", "x,y", "\u00e9!", "--Ab", "we'll.", "\u65e5\u672c", "e\u0301", "'s"]
         for gap in (" ", "\t", "\n", "\v", "\f", "\r", " \n "):
@@ -383,11 +390,11 @@ class WordEncoder:
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum())), n
 
-    def _together(self, words: list[str]):
-        """The same from one call for all words, where each of them is one match of the encoder."""
+    def _together(self, words: list[str], encoder, text: str):
+        """The same from one call for all words as one text, where each of them is one match of the encoder."""
         if not words or not self.ends.any():
             return self._singly(words)
-        (got,) = self.encoder.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        (got,) = encoder.encode_batch_fast([text], add_special_tokens=False)
         ids = np.array(got.ids, np.int32)
         end = np.flatnonzero(self.ends[ids]) + 1
         # what the encoder and this module take for letters may differ in a rare script
@@ -413,10 +420,14 @@ class WordEncoder:
             self.forget()
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [name for name in names if name not in self.where]
-        plain, other = [], []
+        letters, plain, other = [], [], []
         for name in new:
-            (plain if self.fine and _one_match(name) else other).append(name)
-        self._keep(plain, *self._together(plain))
+            if self.fine and name.isascii() and name.isalpha():
+                letters.append(name)
+            else:
+                (plain if self.fine and _one_match(name) else other).append(name)
+        self._keep(letters, *self._together(letters, self.light, " ".join(letters).lower()))
+        self._keep(plain, *self._together(plain, self.encoder, " ".join(plain)))
         self._keep(other, *self._singly(other))
         which = np.array([self.where[name] for name in names], np.int64)[coded.indices.to_numpy()]
         at = self.cuts[which]
@@ -428,10 +439,9 @@ class WordEncoder:
 
 def _one_match(piece: str) -> bool:
     """Whether the encoder sees letters only, which it doesn't part, or one ASCII sign or digit."""
-    if len(piece) == 1 and piece.isascii():
-        return True
-    text = piece if piece.isascii() else unicodedata.normalize("NFC", piece).lower()
-    return text.isalpha()
+    if piece.isascii():
+        return piece.isalpha() or len(piece) == 1
+    return unicodedata.normalize("NFC", piece).lower().isalpha()
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
@@ -489,7 +499,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for first, end, texts in slices(batch):
+            for first, end, texts in slices(batch, limit=8 << 20):
                 flat, cut = encoder.encode(texts)
                 flat = np.insert(flat, cut[1:], end_id)
                 cut = cut + np.arange(len(cut))
