@@ -61,6 +61,8 @@ TRACKING_DOMAINS = (
     "bat.bing.com", "google-analytics.com", "googletagmanager.com", "doubleclick.net", "facebook.com", "connect.facebook.net",
     "analytics.twitter.com", "px.ads.linkedin.com", "scorecardresearch.com", "hotjar.com",
 )
+ICON_PATHS = (r"/static/browse/.*?/icons/", r"arxiv\.org/static/base/.*?/images/")
+VIDEO_ENDINGS = (".mp4", ".webm", ".mov", ".avi", ".mkv", ".m4v")
 #: Length of a summary by the number of its articles.
 WEEKLY_TIERS = ((0, "150-300字"), (5, "300-500字"), (15, "500-800字"))
 MONTHLY_TIERS = ((0, "400-700字"), (5, "600-1200字"), (15, "1000-1800字"))

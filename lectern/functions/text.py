@@ -11,6 +11,7 @@ from lectern import config as C
 
 CJK_WIDE = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}]"
 HAN = r"[\x{4E00}-\x{9FFF}]"
+IMAGE_TAG = r"(?is)<img\b[^>]*>"
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -351,7 +352,7 @@ def headline(text: Column, words: list[str], most: int = C.HEADLINE_WORDS) -> Co
 
 def images(html: Column) -> Column:
     """Images of a page: where each is, its text, its file ending, and whether it shows anything."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(html, F.lit(IMAGE_TAG), F.lit(0))
     of = lambda tag, name: F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*["']([^"']*)["']""", 1)
     inline = lambda x: F.when((x != "") & ~x.startswith("data:"), x)
 

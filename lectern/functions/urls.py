@@ -24,3 +24,15 @@ def host_path(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _PARTS, 2))
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """A link as an absolute URL, given the page it stands on; without `..` steps."""
+    root = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
+    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([^:/?#]+://[^/]*(?:/.*)?)/[^/]*$", 1)
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:/?#]+:)", 1), link))
+        .when(link.startswith("/"), F.concat(root, link))
+        .otherwise(F.concat(F.when(F.length(folder) > F.length(root), folder).otherwise(root), F.lit("/"), link))
+    )

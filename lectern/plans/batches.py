@@ -12,6 +12,7 @@ from lectern.operators import batch as B
 from lectern.operators import daily_batch as D
 from lectern.operators import migrate as M
 from lectern.operators import pages as P
+from lectern.operators import reports as R
 from lectern.operators import same_batch as N
 from lectern.operators import store as K
 from lectern.plans import views as V
@@ -293,3 +294,69 @@ def _(spark, sf_dir):
     source = docs.where(d % 5 != 0).select("source_url")
     new = docs.where(d % 4 != 0).select("source_url", F.concat(F.lit("new words "), "id").alias("body"))
     return M.refetch_plan(docs, source, new, "src3").select("id", "status", "title", "doc_date", "topic_slug", F.sha2("body", 256).alias("body"))
+
+
+# --- reports and images
+_WINDOW = "w AS (SELECT * FROM originals WHERE doc_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14')"
+_TOP = "t AS (SELECT topic_slug, count(*) AS total_count, count(DISTINCT doc_date) AS active_days FROM w WHERE topic_slug <> 'uncategorized' GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT doc_date) >= 2 ORDER BY 2 DESC, 1 LIMIT 8)"
+_MARKED = f"map([{V.quoted(C.TOPIC_MARKS)}], [{V.quoted(C.TOPIC_MARKS.values())}])[topic_slug] || ' ' || map([{V.quoted(C.TOPIC_LABELS)}], [{V.quoted(C.TOPIC_LABELS.values())}])[topic_slug]"
+
+
+def _report(spark, sf_dir):
+    day = lambda x: F.to_date(F.lit(x))
+    return R.weekly_sections(V.originals(spark, sf_dir).select("id", "doc_date", "topic_slug", "title"), day("2024-01-08"), day("2024-01-14"))
+
+
+@query(
+    "build_weekly_topics",
+    f"""SELECT topic_slug, '## ' || {_MARKED} || ' [[' || topic_slug || ']]' || E'\\n\\n' || total_count || ' 篇，' || active_days || ' 天，' || CASE WHEN total_count >= 15 THEN '500-800字' WHEN total_count >= 5 THEN '300-500字' ELSE '150-300字' END
+        || E'\\n\\n' || (SELECT string_agg('- [[' || id || ']] ' || title, chr(10) ORDER BY n) FROM (SELECT id, title, row_number() OVER (ORDER BY doc_date DESC, id) AS n FROM w WHERE w.topic_slug = t.topic_slug) WHERE n <= 3) AS section FROM t""",
+    V.ORIGINALS, _WINDOW, _TOP,
+)
+def _(spark, sf_dir):
+    return _report(spark, sf_dir).where("part = 4").select("topic_slug", "section")
+
+
+@query("build_weekly_figures", "SELECT '## 本周数据统计' || E'\\n\\n- 窗口范围：2024-01-08 ~ 2024-01-14\\n- 原文总数：' || count(*) || E'\\n- 话题：' || count(DISTINCT topic_slug) AS section FROM w", V.ORIGINALS, _WINDOW)
+def _(spark, sf_dir):
+    return _report(spark, sf_dir).where("part = 5").select("section")
+
+
+@query(
+    "build_monthly",
+    """SELECT topic_slug, CAST(part AS INTEGER) AS part, cited FROM (SELECT topic_slug, 1 AS part, [topic_slug] AS cited FROM m UNION ALL SELECT topic_slug, 3, [] FROM m
+       UNION ALL SELECT topic_slug, 2, [min(id), max(id)] FROM originals WHERE topic_slug IN (SELECT topic_slug FROM m) GROUP BY topic_slug)""",
+    V.ORIGINALS, "m AS (SELECT topic_slug FROM originals WHERE topic_slug <> 'uncategorized' GROUP BY 1 HAVING count(*) >= 8 AND count(DISTINCT doc_date) >= 4)",
+)
+def _(spark, sf_dir):
+    """One cluster a topic, whose analysis cites its last and first id, an unknown one and one twice."""
+    rows = V.originals(spark, sf_dir).select("id", "doc_date", "topic_slug", "title")
+    ends = rows.groupBy("topic_slug").agg(F.min("id").alias("a"), F.max("id").alias("z"))
+    words = F.concat(F.lit("[["), "z", F.lit("]] then [["), "a", F.lit("|it]], [[gone]] and [["), "z", F.lit("]]"))
+    clusters = ends.select("topic_slug", F.lit(1).alias("place"), F.lit("All").alias("heading"), F.array("a", "z").alias("ids"), words.alias("analysis"))
+    return R.monthly_sections(rows, clusters, F.to_date(F.lit("2024-01-01")), F.to_date(F.lit("2024-01-31"))).select("topic_slug", "part", "cited")
+
+
+@query(
+    "image_rewrite",
+    """SELECT page_id AS id, sha256(html || '<p>a</p>' || '<img src="media/' || page_id || '.png" alt="A &amp; B"/>' || '<p>b</p>' || '<p>📷 配图 <a href="https://img.example/' || page_id || '.jpg?x=1&amp;y=2">查看原图</a></p>'
+       || '' || '' || '<p>🎬 Film（演示视频未归档）<a href="https://pages.example/dir/v' || page_id || '.MP4">查看视频</a></p>' || 'end') AS html FROM pages WHERE NOT regexp_matches(html, '(?i)<img')""",
+)
+def _(spark, sf_dir):
+    s = text("page_id")
+    j = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    tags = j(
+        c("html"), '<p>a</p><img alt="A & B" src="/img/', s, '.png"><p>b</p><IMG data-src="https://img.example/', s, '.jpg?x=1&y=2" src="data:image/gif;base64,AA"/>',
+        '<img width="1" height="1" src="https://a.example/p.gif"><img src="https://px.doubleclick.net/', s, '"><img alt="Film" src="v', s, '.MP4">end',
+    )
+    rows = V.table(spark, sf_dir, "pages").where(~F.lower("html").contains("<img"))
+    pages = rows.select(c("page_id").alias("id"), F.lit("https://pages.example/dir/page.html?q=1").alias("base_url"), tags.alias("html"))
+    stored = rows.select(j("https://pages.example/img/", s, ".png").alias("src"), j("media/", s, ".png").alias("path"))
+    return R.with_images(pages, stored).select("id", F.sha2("html", 256).alias("html"))
+
+
+@query("dangling_links", "SELECT count(*) FILTER (from_id = to_id) AS own, count(*) FILTER (from_id <> to_id AND to_id NOT IN (SELECT doc_id FROM documents)) AS dangling FROM links", V.LINKS)
+def _(spark, sf_dir):
+    ids = V.table(spark, sf_dir, "documents").select(c("doc_id").alias("to_id"), F.lit(True).alias("there"))
+    rows = V.links(spark, sf_dir).join(ids, "to_id", "left")
+    return rows.agg(F.count_if(c("from_id") == c("to_id")).alias("own"), F.count_if((c("from_id") != c("to_id")) & c("there").isNull()).alias("dangling"))

@@ -153,10 +153,10 @@ def _(spark, sf_dir):
     return rows.where(F.datediff(F.lit("2024-01-31").cast("date"), "doc_date") <= 14).join(late, "id").select("id", "doc_date", "topic_slug", F.sha2("late", 256).alias("body"))
 
 
-_BUMPED = "SELECT seq, slug, n + max(m - n) OVER (PARTITION BY slug ORDER BY n) AS at FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY m, seq) AS n FROM (SELECT seq, 's' || source_name AS slug, epoch(time_bucket(INTERVAL 20 MINUTE, ts)) // 60 AS m FROM attempts))"
+_BUMPED = "SELECT seq, slug, n + max(m - n) OVER (PARTITION BY slug ORDER BY n) AS taken FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY m, seq) AS n FROM (SELECT seq, 's' || source_name AS slug, epoch(time_bucket(INTERVAL 20 MINUTE, ts)) // 60 AS m FROM attempts))"
 
 
-@query("zettel_id_bump", f"SELECT seq AS pos, strftime(make_timestamp(CAST(at * 60000000 AS BIGINT)), '%Y%m%d%H%M') || '-' || slug AS note_id FROM ({_BUMPED})", V.ATTEMPTS)
+@query("zettel_id_bump", f"SELECT seq AS pos, strftime(make_timestamp(CAST(taken * 60000000 AS BIGINT)), '%Y%m%d%H%M') || '-' || slug AS note_id FROM ({_BUMPED})", V.ATTEMPTS)
 def _(spark, sf_dir):
     """Attempts of twenty minutes ask for the same one; rows come in order of time, so the rule is a running maximum in SQL."""
     ts = F.timestamp_seconds(F.floor(F.unix_seconds(c("ts").cast("timestamp")) / 1200) * 1200)
