@@ -22,6 +22,9 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -110,6 +113,8 @@ PHRASES = (
     "{}", "under the {}", "Provided under the {}.", "This package is offered under the terms of the {}",
     "The code is licensed under the {}", "released under {}", "available under a {} licence", "subject to the {}, see the file for details",
 )
+# Words that stand in any prose, too.
+COMMON = frozenset("a an and any be by can file for free from in is it may not of or other out part published see software source that the this to use version with without you your work".split())
 FAMILIES = tuple(TEMPLATES)
 SAMPLE_LINES = 20
 UNKNOWN = len(FAMILIES)
@@ -168,6 +173,15 @@ def wrapped(cut: np.ndarray, pair: np.ndarray, owner: np.ndarray) -> tuple[np.nd
     return first[own], last[own], (pair % np.uint64(FEATURES)).astype(np.int32)
 
 
+def with_any(pair: np.ndarray, first: np.ndarray, end: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """Which windows hold one of the sorted bigrams `sought`."""
+    low = np.zeros(1 << 16, bool)
+    low[(sought & np.uint64(0xFFFF)).astype(np.int64)] = True
+    near = np.flatnonzero(low[(pair & np.uint64(0xFFFF)).astype(np.int64)])
+    at = near[np.isin(pair[near], sought)]
+    return np.searchsorted(at, np.maximum(end - 1, first)) > np.searchsorted(at, first)
+
+
 def shortest_span(own: np.ndarray, template: np.ndarray) -> tuple[int, int]:
     """(begin, end) of the shortest stretch of bigrams that has all those of `template` that are there."""
     at = np.flatnonzero(np.isin(own, template))
@@ -211,12 +225,13 @@ def confirmed(own: np.ndarray, pairs: list[list[np.ndarray]], cover: float) -> l
 
 def logits(first: np.ndarray, end: np.ndarray, one: np.ndarray, two: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Class scores of windows; weights has a last row of zeros for slot -1."""
-    sums = np.zeros((len(one) + 1, len(bias)))
-    np.cumsum(weights[one], axis=0, out=sums[1:])
-    pairs = np.zeros_like(sums)
-    np.cumsum(weights[two], axis=0, out=pairs[1:])
-    size = np.maximum(2 * (end - first) - 1, 1)[:, None]
-    return (sums[end] - sums[first] + pairs[np.maximum(end - 1, first)] - pairs[first]) / np.sqrt(size) + bias
+    n = end - first
+    starts = np.cumsum(n) - n
+    flat = np.arange(int(n.sum())) - np.repeat(starts - first, n)
+    pairs = two[flat]
+    pairs[starts + n - 1] = -1  # the bigram over a window's end isn't its own
+    sums = np.add.reduceat(weights[one[flat]] + weights[pairs], starts, axis=0).astype(np.float64)
+    return sums / np.sqrt(np.maximum(2 * n - 1, 1))[:, None] + bias
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -316,6 +331,25 @@ def template_pairs() -> list[list[np.ndarray]]:
     return out
 
 
+def telling_pairs(cover: float) -> np.ndarray:
+    """Sorted bigrams of which a window must hold one before any template can be confirmed.
+
+    `cover` of a template's n bigrams leave out fewer than the n - ceil(cover * n) + 1 chosen here: those
+    with the fewest common words, so that prose has few of them.
+    """
+    out = []
+    for family in FAMILIES:
+        for t in (*TEMPLATES[family], *NAMES.get(family, ())):
+            _, _, two, pair, _, _ = word_features([t.encode()])
+            words = re.findall("[a-z0-9]+", t.lower())
+            common = {}
+            for i in np.flatnonzero(two >= 0).tolist():
+                common[int(pair[i])] = sum(w in COMMON or w.isdigit() for w in words[i : i + 2])
+            ranked = sorted(common, key=lambda p: (common[p], p))
+            out += ranked[: len(ranked) - math.ceil(cover * len(ranked)) + 1]
+    return np.unique(np.array(out, np.uint64))
+
+
 SCHEMA = "doc_id long, n_lines long, n_licences long, families array<string>, found array<struct<line: long, family: string, probability: double, cover: double>>"
 _FOUND = pa.list_(pa.struct([("line", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("cover", pa.float64())]))
 
@@ -342,14 +376,20 @@ def scan_licences(docs: DataFrame, sample: int = 200, sure: float = 0.5, cover:
     """Per row: doc_id, n_lines, n_licences, families (sorted), found (line, family, probability, cover)."""
     weights, bias, temperature = fit(unknown_lines(docs, sample))
     pairs = template_pairs()
+    telling = telling_pairs(cover)
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
             for first_row, end_row, texts in slices(batch):
                 cut, one, two, pair, owner, n_lines = word_features(texts)
-                line, first, end = windows_of(cut)
+                _, first, end = windows_of(cut)
                 more, more_end, over = wrapped(cut, pair, owner)
+                # no template can be confirmed in the other windows
+                some = with_any(pair, first, end, telling)
+                first, end = first[some], end[some]
+                some = with_any(pair, more, more_end, telling)
+                more, more_end = more[some], more_end[some]
                 scored = [logits(a, b, one, slots, weights, bias) for a, b, slots in ((first, end, two), (more, more_end, over)) if len(a)]
                 p = softmax(np.concatenate(scored) / temperature) if scored else np.zeros((0, UNKNOWN + 1))
                 first, end = np.concatenate((first, more)), np.concatenate((end, more_end))
