@@ -245,8 +245,9 @@ def scored(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]] | None) ->
     costs = written(probabilities(written(asked, "quality-asked"), tables).select("hash", (-F.log("p")).alias("cost")), "quality-costs")
     held = slices.select("slice", F.explode("hashes").alias("hash")).join(costs, "hash")
     # a list has the distinct n-grams of one slice
-    told = held.groupBy("slice").agg(F.collect_list(F.struct("hash", "cost")).alias("costs"))
-    back, two = _bucketed(told.repartition(buckets, "slice"), "costs", buckets)
+    # dealt as the buckets are, so that no second shuffle follows
+    told = held.repartition(buckets, "slice").groupBy("slice").agg(F.collect_list(F.struct("hash", "cost")).alias("costs"))
+    back, two = _bucketed(told, "costs", buckets)
     both = slices.select("slice", "texts", "sizes", "names").join(back, "slice", "left")
     out = written(both.select("texts", "sizes", "names", "costs").mapInArrow(tidy(_told), "key binary, doc_id long, lang string, cost double, n long"), "quality-scores")
     for df, table in ((slices, one), (back, two)):
