@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontaminate, exact_dedup, minhash, pieces, quality
-from lectern.llm.common import written
+from lectern.llm.common import temporary, written
 from lectern.llm.queries import table, vocabulary
 
 
@@ -44,12 +44,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each but the last is written and read again."""
+    """All stages over `documents`; each but the last is written and read again.
+
+    What a stage writes on its way is deleted when its result is there, and each result when the next is.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with temporary(spark) as keep_last:
+        for name, stage in STAGES[:-1]:
+            with temporary(spark) as keep:
+                docs = keep(written(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        keep_last(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Perplexities and n-best segmentations have no SQL; tests/llm compares the stages with brute force.
+#: Perplexities and n-best segmentations have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
