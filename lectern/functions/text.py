@@ -250,6 +250,11 @@ def fulltext_url(url: Column, host: str = "arxiv.org") -> Column:
     return F.when(found != "", F.concat(F.lit(f"https://{host}/html/"), found))
 
 
+def fulltext_pending(url: Column, got_fulltext: Column) -> Column:
+    """Whether a full text is still to come; null for pages that have none elsewhere."""
+    return F.when(fulltext_url(url).isNotNull(), ~F.coalesce(got_fulltext, F.lit(False)))
+
+
 def translate_timeout(chunks: Column) -> Column:
     return F.least(F.greatest(300 + 30 * chunks, F.lit(1800)), F.lit(5400)).cast("long")
 

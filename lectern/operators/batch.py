@@ -91,6 +91,12 @@ def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct(order, *[c for c in rest if c != order])).alias("_row")).select(*keys, "_row.*")
 
 
+def latest_file(rows: DataFrame, key: str, file: str) -> DataFrame:
+    """The row of each key whose file name comes last."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.col(file)).alias("_row"))
+    return last.select("_row.*")
+
+
 def alike_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, of rows (pos, tokens) whose token sets have that Jaccard share, without false negatives.
 

@@ -360,3 +360,29 @@ def _(spark, sf_dir):
     ids = V.table(spark, sf_dir, "documents").select(c("doc_id").alias("to_id"), F.lit(True).alias("there"))
     rows = V.links(spark, sf_dir).join(ids, "to_id", "left")
     return rows.agg(F.count_if(c("from_id") == c("to_id")).alias("own"), F.count_if((c("from_id") != c("to_id")) & c("there").isNull()).alias("dangling"))
+
+
+@query(
+    "relationship_chart",
+    r"""SELECT doc_id AS page, E'```mermaid\nflowchart LR\n    n0["From ' || doc_id || E'"]\n    n1["To it"]\n    n0 ' || CASE WHEN doc_id % 2 = 0 THEN '-->|"✅ ' ELSE '-.->|"⚡ ' END || 'why ' || doc_id
+        || E'"| n1\n    n1 -.->|"⚡ back"| n0\n```' AS chart FROM documents""",
+)
+def _(spark, sf_dir):
+    d, s = c("doc_id"), text("doc_id")
+    edge = lambda pos, a, b, kind, label: F.struct(F.lit(pos).alias("pos"), *[F.lit(x).alias(f"{n}_{f}") if isinstance(x, str) else x.alias(f"{n}_{f}") for n, own in (("from", a), ("to", b)) for f, x in zip(("id", "title"), own)], kind.alias("relation"), label.alias("label"))
+    one, two = ("a", F.concat(F.lit("From "), s)), ("b", "To [it]")
+    both = F.array(
+        edge(0, one, two, F.when(d % 2 == 0, "corroborates").otherwise("contradicts"), F.concat(F.lit("why "), s)),
+        edge(1, two, one, F.lit("contradicts"), F.lit("back")),
+    )
+    return P.relationship_chart(V.table(spark, sf_dir, "documents").select(d.alias("page"), F.explode(both).alias("e")).select("page", "e.*"))
+
+
+scalar(
+    "mermaid_lint", V.entries, "pos",
+    lambda: T.chart_is_sound(
+        F.when(c("pos") % 5 == 0, '```mermaid\npie showData\n    "a" : 1\n```').when(c("pos") % 5 == 1, "```mermaid\nflowchart LR\n    n0[x\n```").when(c("pos") % 5 == 2, "```mermaid\nquadrantChart\n    a: [1.0, 0.5]\n```")
+        .when(c("pos") % 5 == 3, "```mermaid\nquadrantChart\n    a: [1, 0.5]\n```").otherwise("```\npie\n```")
+    ),
+    V.ENTRIES, "pos % 5 IN (0, 3)",
+)

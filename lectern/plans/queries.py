@@ -75,7 +75,7 @@ scalar("topic_heading", V.originals, "id", lambda: T.topic_heading(c("topic_slug
 scalar("fallback_notice", V.entries, "pos", lambda: T.fallback_notice(F.element_at(F.array(*map(F.lit, ("jina", "playwright", "placeholder", "direct"))), (c("pos") % 4 + 1).cast("int")), F.when(c("pos") % 3 == 0, "x")), V.ENTRIES, f"nullif(concat_ws('；', map([{V.quoted(C.CHANNEL_NOTICES)}], [{V.quoted(C.CHANNEL_NOTICES.values())}])[(['jina', 'playwright', 'placeholder', 'direct'])[pos % 4 + 1]], CASE WHEN pos % 3 = 0 THEN 'x' END), '')")
 scalar("dedup_paragraphs", V.rich, "doc_id", lambda: F.sha2(T.dedup_paragraphs(c("body")), 256), V.RICH, "(SELECT sha256(string_agg(p, chr(10) || chr(10) ORDER BY i)) FROM (SELECT p, i, row_number() OVER (PARTITION BY trim(p) ORDER BY i) AS n FROM (SELECT unnest(string_split(body, chr(10) || chr(10))) AS p, generate_subscripts(string_split(body, chr(10) || chr(10)), 1) AS i)) WHERE n = 1 OR length(trim(p)) < 40)")
 scalar("fulltext_url", V.entries, "pos", lambda: T.fulltext_url(F.concat(F.lit("https://arxiv.org/"), F.when(c("pos") % 2 == 0, "abs/").otherwise("pdf/"), c("pos").cast("string"), F.lit("/"))), V.ENTRIES, "CASE WHEN pos % 2 = 0 THEN 'https://arxiv.org/html/' || pos END")
-scalar("fulltext_pending", V.entries, "pos", lambda: F.when(c("pos") % 3 == 0, c("pos") % 2 == 0), V.ENTRIES, "CASE WHEN pos % 3 = 0 THEN pos % 2 = 0 END")
+scalar("fulltext_pending", V.entries, "pos", lambda: T.fulltext_pending(F.concat(F.lit("https://arxiv.org/"), F.when(c("pos") % 2 == 0, "abs/").otherwise("pdf/"), c("pos").cast("string")), F.when(c("pos") % 3 == 0, True).when(c("pos") % 3 == 1, False)), V.ENTRIES, "CASE WHEN pos % 2 = 0 THEN pos % 3 <> 0 END")
 scalar("translate_timeout", V.rich, "doc_id", lambda: T.translate_timeout(F.ceil(F.length("body") / 2000)), V.RICH, "least(greatest(300 + 30 * CAST(ceil(length(body) / 2000.0) AS BIGINT), 1800), 5400)")
 scalar("markdown_plain", V.rich, "doc_id", lambda: F.sha2(T.markdown_plain(c("body")), 256), V.RICH, r"sha256(regexp_replace(regexp_replace(body, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'))")
 scalar("excerpt90", V.originals, "id", lambda: T.excerpt(c("gist")), V.ORIGINALS, "CASE WHEN length(gist) > 90 THEN substr(gist, 1, 90) || '…' ELSE gist END")
@@ -215,9 +215,10 @@ def _(spark, sf_dir):
     return B.first_of(rows.select("url", "pos"), ["url"], "pos")
 
 
-@query("dedup_latest_file", "SELECT source_name, max(pos) AS pos FROM entries GROUP BY source_name", V.ENTRIES)
+@query("dedup_latest_file", "SELECT source_name, pos, 'page-' || lpad(CAST(pos * 7919 % 10007 AS VARCHAR), 5, '0') || '.md' AS file FROM entries QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY file DESC) = 1", V.ENTRIES)
 def _(spark, sf_dir):
-    return V.entries(spark, sf_dir).groupBy("source_name").agg(F.max("pos").alias("pos"))
+    name = F.concat(F.lit("page-"), F.lpad((c("pos") * 7919 % 10007).cast("string"), 5, "0"), F.lit(".md"))
+    return B.latest_file(V.entries(spark, sf_dir).select("source_name", "pos", name.alias("file")), "source_name", "file")
 
 
 def registry(spark):
