@@ -284,10 +284,24 @@ def strip_nul(text: Column) -> Column:
     return F.translate(text, "\x00", "")
 
 
+def absolute_date(raw: Column) -> Column:
+    """The first date written out: ISO, with dots, strokes or Chinese units, or with an English month; else null."""
+    part = lambda pattern, *groups: F.concat_ws(" ", *[F.regexp_extract(raw, pattern, g) for g in groups])
+    month = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+    numbers = r"(\d{4})[-/.年]\s*(\d{1,2})[-/.月]\s*(\d{1,2})"
+    first = month + r"\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b"
+    last = r"(?i)\b(\d{1,2})(?:st|nd|rd|th)?\s+(?:of\s+)?" + month[6:] + r",?\s+(\d{4})\b"
+    return F.coalesce(
+        F.try_to_date(part(numbers, 1, 2, 3), "yyyy M d"),
+        F.try_to_date(F.initcap(part(first, 1, 2, 3)), "MMM d yyyy"),
+        F.try_to_date(F.initcap(part(last, 2, 1, 3)), "MMM d yyyy"),
+    )
+
+
 def flexible_date(raw: Column, fetched: Column) -> Column:
-    """Relative dates in Chinese or English first, then ISO dates within ten years of `fetched`."""
+    """Relative dates in Chinese or English first, then dates written out within ten years of `fetched`."""
     number = lambda p: F.try_to_number(F.nullif(F.regexp_extract(raw, p, 1), F.lit("")), F.lit("99999")).cast("int")
-    iso = F.try_to_date(F.regexp_extract(raw, r"(\d{4}-\d{2}-\d{2})", 1))
+    iso = absolute_date(raw)
     return (
         F.when(raw.rlike(r"\d+\s*天前"), F.date_sub(fetched, number(r"(\d+)\s*天前")))
         .when(raw.rlike(r"(?i)\d+\s*days?\s*ago"), F.date_sub(fetched, number(r"(?i)(\d+)\s*days?\s*ago")))
