@@ -170,5 +170,5 @@ def test_repaired_turns_follow_the_grammar(spark):
     got = {}
     for r in sorted(turns.collect(), key=lambda r: (r.conv_id, r.part, r.at)):
         got.setdefault(r.conv_id, []).append((r.role, r.text))
-    assert got == {1: [("user", "A."), ("assistant", "B.")]}
-    assert {r.conv_id: (r.cost, r.audit) for r in figures.collect()} == {1: (4, "RRD"), 2: (2, "D"), 3: (2, "D")}
+    assert got == {1: [("user", "B."), ("assistant", "C.")]}
+    assert {r.conv_id: (r.cost, r.audit) for r in figures.collect()} == {1: (3, "DKR"), 2: (2, "D"), 3: (2, "D")}
