@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversations, decontaminate, exact_dedup, licences, line_dedup, minhash, pieces, quality, secret_scan, token_file, toxicity
+from . import byte_bpe, conversations, decontaminate, exact_dedup, hard_negatives, licences, line_dedup, minhash, pieces, quality, secret_scan, token_file, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_digests(spark, token_file.write_tokens(docs, vocabulary("word_bpe_49k.json"), end_id=2))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -87,6 +91,7 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate,
         "op9_licences": op9_licences,
         "op10_token_file": op10_token_file,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_byte_bpe": op12_byte_bpe,
         "op13_conversations": op13_conversations,
         "pipeline": pipeline,
@@ -94,4 +99,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
