@@ -13,7 +13,7 @@ Decoding gathers the bytes of the ids and reads them as UTF-8, what isn't UTF-8
 
 Null texts count as empty and give no ids; null ids give an empty text. Ids that the vocabulary doesn't have are skipped.
 Rows are dealt with one by one: repeated rows and ids, null doc_ids and columns of any other name make no
-difference. An empty table gives no rows. No shuffle; a slice is 4 MB of texts, or one text.
+difference. An empty table gives no rows. No shuffle; a slice is 3 MB of texts, or one text.
 """
 
 from __future__ import annotations
@@ -43,9 +43,9 @@ SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Places up to which a rank's merges are done one by one; arrays pay off beyond.
 FEW = 24
 #: Bytes of texts whose places are indexed together.
-SLICE = 4 << 20
+SLICE = 3 << 20
 #: Bytes of units that a task remembers at most.
-KNOWN_BYTES = 16 << 20
+KNOWN_BYTES = 4 << 20
 
 
 def byte_letters() -> list[str]:
