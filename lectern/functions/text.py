@@ -229,6 +229,11 @@ def truncate_blurb(text: Column, most: int = C.BLURB_CHARS) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(out)
 
 
+def original_body(translated: Column, original: Column) -> Column:
+    """An article's text: the translation, else what was read, else nothing."""
+    return F.coalesce(F.nullif(translated, F.lit("")), original, F.lit(""))
+
+
 def dedup_paragraphs(text: Column, separator: str = "\n\n", shortest: int = 40) -> Column:
     """First occurrences of the long paragraphs, and all short ones, in order.
 

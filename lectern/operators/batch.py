@@ -171,6 +171,34 @@ def source_health(attempts: DataFrame) -> DataFrame:
     return ran.select("source_name", "seq", failures.alias("failures"), health_state(failures).alias("state"))
 
 
+def current_health(attempts: DataFrame) -> DataFrame:
+    """(source_name, failures, state) of each source after its last attempt."""
+    at = F.struct("ts", "seq")
+    last = attempts.where("success").groupBy(F.col("source_name").alias("name")).agg(F.max(at).alias("last"))
+    rows = attempts.join(last, F.col("source_name") == F.col("name"), "left")
+    failures = F.count_if(~F.col("success") & (F.col("last").isNull() | (at > F.col("last"))))
+    return rows.groupBy("source_name").agg(failures.alias("failures")).withColumn("state", health_state(F.col("failures")))
+
+
+def digest_lines(entries: DataFrame, registry: DataFrame) -> DataFrame:
+    """(pos, line) of a digest's entries: those with a URL, of a registered source, the first of each URL.
+
+    Nothing is made up or merged; the source's name is the registry's own, the blurb is cut by rule.
+    `entries`: pos, url, title, source_name, gist.
+    """
+    known = registry.select("source_name").distinct()
+    rows = first_of(entries.where("url <> ''").join(known, "source_name", "left_semi"), ["url"], "pos")
+    line = F.concat(F.lit("- **"), "title", F.lit("**（来源："), "source_name", F.lit("）"), T.truncate_blurb(F.col("gist")), F.lit(" "), "url")
+    return rows.select("pos", line.alias("line"))
+
+
+def digest_record(lines: DataFrame, as_of: Column) -> DataFrame:
+    """The digest of a run as one document; `digest_lines` has it line by line for runs of any size."""
+    own = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    body = F.concat(F.array_join(F.transform("own", lambda x: x["line"]), "\n"), F.lit("\n"))
+    return lines.agg(F.count(F.lit(1)).alias("entry_count"), own.alias("own")).select(F.concat(F.lit("digest-"), as_of.cast("string")).alias("id"), "entry_count", body.alias("body"))
+
+
 def classify_daily(is_recap: Column, zettel_id: Column, channel: Column) -> Column:
     noted = zettel_id.isNotNull()
     return (

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a fold gives out at once.
@@ -46,14 +47,24 @@ def in_order(rows: DataFrame, key: str, order: list[str], schema: pa.Schema, beg
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ddl)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; one of its own in sessions of one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named.rstrip("/") if named else _own()
+
+
+@lru_cache(1)
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="lectern-", dir="/tmp")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` from a checkpoint: its lineage ends there. A folder of its own only in sessions of one process."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-", dir="/tmp"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

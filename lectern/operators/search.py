@@ -1,7 +1,7 @@
 """Full-text search: words, phrases, alternatives and exclusions from one string; rank. No stemming, no stop words.
 
-A document's words are one string with a space around each, so that words and phrases are substrings
-and a search is one pass over the texts, without a shuffle.
+`search` reads every text: a document's words are one string with a space around each, so that words
+and phrases are substrings. `text_index` finds the same rows from lists of the words asked for.
 """
 
 from __future__ import annotations
@@ -49,7 +49,8 @@ def search(docs: DataFrame, asked: str) -> DataFrame:
     """(id, hits, words): the documents (id, text) that `asked` finds; hits are words that it wants."""
     alternatives = parts(asked)
     sought = sorted({w for own in alternatives for wanted, x in own if wanted for w in x})
-    own = docs.select("id", words(F.col("text")).alias("own"))
+    # from a generator, through which no filter is pushed: each text is cut once
+    own = docs.select("id", F.explode(F.array(words(F.col("text")))).alias("own"))
     found = own.where(holds(F.concat(F.lit(" "), F.array_join("own", " "), F.lit(" ")), alternatives))
     hits = F.size(F.filter("own", lambda w: w.isin(sought)))
     return found.select("id", hits.cast("long").alias("hits"), F.size("own").cast("long").alias("words"))

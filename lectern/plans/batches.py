@@ -19,7 +19,7 @@ from lectern.plans import views as V
 from lectern.plans.queries import _bare, _tokens, query, scalar
 
 c = F.col
-text = lambda x: c(x).cast("string")
+text = lambda x: (c(x) if isinstance(x, str) else x).cast("string")
 
 
 # --- dedup in order: tests hold the whole rule against a plain fold; its four kinds of links have SQL
@@ -28,18 +28,28 @@ def _(spark, sf_dir):
     return N.dedup_same_batch(V.entries(spark, sf_dir))
 
 
+#: A sixth of the entries share a URL with others, another sixth a host and path.
+_AGAIN = "again AS (SELECT * REPLACE (CASE WHEN pos % 6 = 5 THEN ' https://again.example/p/' || (pos % 15) || ' ' WHEN pos % 6 = 2 THEN 'https://Again.example/q/?n=' || pos ELSE url END AS url) FROM entries)"
+
+
+def _again(spark, sf_dir):
+    p = c("pos")
+    url = F.when(p % 6 == 5, F.concat(F.lit(" https://again.example/p/"), text(p % 15), F.lit(" "))).when(p % 6 == 2, F.concat(F.lit("https://Again.example/q/?n="), text(p))).otherwise(c("url"))
+    return V.entries(spark, sf_dir).withColumn("url", url)
+
+
 def _stars(key: str) -> str:
-    return f"SELECT first AS a, pos AS b FROM (SELECT pos, min(pos) OVER (PARTITION BY {key}) AS first FROM entries) WHERE pos <> first"
+    return f"SELECT first AS a, pos AS b FROM (SELECT pos, min(pos) OVER (PARTITION BY {key}) AS first FROM again) WHERE pos <> first"
 
 
-@query("sim_self_join_url", _stars("trim(url)"), V.ENTRIES)
+@query("sim_self_join_url", _stars("trim(url)"), V.ENTRIES, _AGAIN)
 def _(spark, sf_dir):
-    return N.duplicate_links(V.entries(spark, sf_dir))["url"]
+    return N.duplicate_links(_again(spark, sf_dir))["url"]
 
 
-@query("sim_self_join_host_path", _stars(V.HOST_PATH("url")), V.ENTRIES)
+@query("sim_self_join_host_path", _stars(V.HOST_PATH("trim(url)")), V.ENTRIES, _AGAIN)
 def _(spark, sf_dir):
-    return N.duplicate_links(V.entries(spark, sf_dir))["host_path"]
+    return N.duplicate_links(_again(spark, sf_dir))["host_path"]
 
 
 @query(
@@ -103,7 +113,7 @@ def _(spark, sf_dir):
 
 
 scalar("code_heavy", V.rich, "doc_id", lambda: T.code_heavy(c("body")), V.RICH, f"length(body) > 0 AND 1 - length({_bare('body')})::DOUBLE / length(body) >= 0.35")
-scalar("display_title", V.entries, "pos", lambda: T.display_title(F.when(c("pos") % 3 == 0, "").when(c("pos") % 3 == 1, F.upper("title")), c("title")), V.ENTRIES, "CASE WHEN pos % 3 = 1 AND title <> '' THEN upper(title) ELSE title END")
+scalar("display_title", V.entries, "pos", lambda: T.display_title(F.when(c("pos") % 3 == 0, "").when((c("pos") % 3 == 1) & (c("title") != ""), F.concat(F.lit("Of "), "title")), c("title")), V.ENTRIES, "CASE WHEN pos % 3 = 1 AND title <> '' THEN 'Of ' || title ELSE title END")
 scalar(
     "legacy_date", V.entries, "pos",
     lambda: T.legacy_date(F.when(c("pos") % 4 == 0, F.concat(F.lit(" "), text("published"), F.lit(" "))).when(c("pos") % 4 == 1, F.concat(text("published"), F.lit(" 08:30:00"))).when(c("pos") % 4 == 2, "2024-02-30").otherwise("soon"), V.as_of()),
@@ -139,12 +149,12 @@ def _(spark, sf_dir):
 
 
 # --- store
-@query("upsert_articles", "SELECT url, title, CASE WHEN version = 2 THEN 'enriched' ELSE 'fetched' END AS status FROM (SELECT url, CASE WHEN pos % 2 = 0 THEN upper(title) ELSE title END AS title, CASE WHEN pos % 2 = 0 THEN 2 ELSE 1 END AS version, pos FROM entries) QUALIFY row_number() OVER (PARTITION BY url ORDER BY version DESC, CASE WHEN version = 2 THEN -pos ELSE pos END) = 1", V.ENTRIES)
+@query("upsert_articles", "SELECT url, title, CASE WHEN version = 2 THEN 'enriched' ELSE 'fetched' END AS status FROM (SELECT url, CASE WHEN pos % 2 = 0 THEN 'Of ' || title ELSE title END AS title, CASE WHEN pos % 2 = 0 THEN 2 ELSE 1 END AS version, pos FROM entries) QUALIFY row_number() OVER (PARTITION BY url ORDER BY version DESC, CASE WHEN version = 2 THEN -pos ELSE pos END) = 1", V.ENTRIES)
 def _(spark, sf_dir):
     """Rows of even pos come in after the others, later ones last."""
     rows = V.entries(spark, sf_dir)
     old = B.first_of(rows.where("pos % 2 = 1").select("url", "title", "pos"), ["url"], "pos").select("url", "title", F.lit("fetched").alias("status"))
-    new = rows.where("pos % 2 = 0").select("url", F.concat(F.upper("title"), F.lit("\x00")).alias("title"), c("pos").alias("version"))
+    new = rows.where("pos % 2 = 0").select("url", F.concat(F.lit("Of "), "title", F.lit("\x00")).alias("title"), c("pos").alias("version"))
     return K.upsert_articles(old, new.withColumn("status", F.lit("fetched")).select("url", "title", "status", "version"))
 
 
@@ -214,12 +224,15 @@ def _batch(spark, sf_dir):
     return rows, docs.unionByName(topics), V.url_index(spark, sf_dir)
 
 
-@query(
-    "aggregate_batch",
-    f"""SELECT f.pos, CASE WHEN f.pos % 4 = 0 THEN 'research-papers' WHEN t.topic_slug NOT IN ('agents', 'research-papers') AND count(*) FILTER (f.pos % 4 <> 0) OVER (PARTITION BY t.topic_slug) < 3 THEN 'uncategorized' ELSE t.topic_slug END AS topic_slug,
+_CONTEXT = f"""SELECT f.pos, CASE WHEN f.pos % 4 = 0 THEN 'research-papers' WHEN t.topic_slug NOT IN ('agents', 'research-papers') AND count(*) FILTER (f.pos % 4 <> 0) OVER (PARTITION BY t.topic_slug) < 3 THEN 'uncategorized' ELSE t.topic_slug END AS topic_slug,
         coalesce(i.first_seen_date <> DATE '2026-07-05', false) AS is_recap, f.pos % 4 <> 0 AND a.zettel_worthy AS noted
         FROM (SELECT url, min(pos) AS pos, arg_min(title, pos) AS title FROM entries GROUP BY url) f JOIN told t USING (url)
-        JOIN (SELECT url, length(url) % 7 <> 0 AND length(title) % 5 = 0 AS zettel_worthy, pos FROM entries) a ON a.pos = f.pos LEFT JOIN url_index i ON {V.KEY('f.url')} = i.normalized_url""",
+        JOIN (SELECT url, length(url) % 7 <> 0 AND length(title) % 5 = 0 AS zettel_worthy, pos FROM entries) a ON a.pos = f.pos LEFT JOIN url_index i ON {V.KEY('f.url')} = i.normalized_url"""
+
+
+@query(
+    "aggregate_batch",
+    _CONTEXT,
     V.ENTRIES,
     V.URL_INDEX,
     _ANSWERED,
@@ -230,7 +243,15 @@ def _(spark, sf_dir):
     return got.select("pos", "topic_slug", "is_recap", c("note_id").isNotNull().alias("noted"))
 
 
-@query("day_figures", None)
+@query(
+    "day_figures",
+    f"""SELECT count(*) AS processed, count(DISTINCT topic_slug) AS topics, count(DISTINCT topic_slug) FILTER (topic_slug NOT IN ('agents', 'research-papers')) AS new_topics,
+        count(*) FILTER (noted AND note IS NULL) AS notes_created, count(*) FILTER (noted AND note IS NOT NULL) AS notes_reused
+        FROM ({_CONTEXT}) c LEFT JOIN (SELECT pos AS p, CAST(NULL AS VARCHAR) AS note FROM entries) n ON c.pos = n.p""",
+    V.ENTRIES,
+    V.URL_INDEX,
+    _ANSWERED,
+)
 def _(spark, sf_dir):
     rows, docs, index = _batch(spark, sf_dir)
     return D.day_figures(D.aggregate_batch(rows, docs, index, V.as_of())["context"], docs.where("doc_type = 'topic'").select(c("id").alias("topic_slug")))
@@ -285,15 +306,15 @@ def _(spark, sf_dir):
 
 @query(
     "refetch_plan",
-    "SELECT id, CASE WHEN d % 5 = 0 THEN 'not_found' WHEN d % 4 = 0 THEN 'pending' ELSE 'updated' END AS status, title, doc_date, topic_slug, CASE WHEN d % 5 = 0 OR d % 4 = 0 THEN sha256(text) ELSE sha256('new words ' || d) END AS body FROM (SELECT *, CAST(id AS BIGINT) AS d FROM originals) WHERE source_name = 'src3' AND doc_type = 'original' AND d % 3 <> 0 AND d % 8 <> 1",
+    "SELECT id, CASE WHEN k % 3 = 0 THEN 'not_found' WHEN k % 3 = 1 THEN 'pending' ELSE 'updated' END AS status, title, doc_date, topic_slug, CASE WHEN k % 3 < 2 THEN sha256(text) ELSE sha256('new words ' || id) END AS body FROM (SELECT *, CAST(id AS BIGINT) // 60 AS k FROM originals) WHERE source_name = 'src8' AND doc_type = 'original' AND k % 7 <> 6 AND k % 5 <> 4",
     V.ORIGINALS,
 )
 def _(spark, sf_dir):
-    d = c("id").cast("long")
-    docs = V.originals(spark, sf_dir).withColumns({"source_url": c("id"), "body": c("text"), "migrated": d % 3 == 0, "refetched": F.when(d % 8 == 1, True)})
-    source = docs.where(d % 5 != 0).select("source_url")
-    new = docs.where(d % 4 != 0).select("source_url", F.concat(F.lit("new words "), "id").alias("body"))
-    return M.refetch_plan(docs, source, new, "src3").select("id", "status", "title", "doc_date", "topic_slug", F.sha2("body", 256).alias("body"))
+    k = F.floor(c("id").cast("long") / 60)
+    docs = V.originals(spark, sf_dir).withColumns({"source_url": c("id"), "body": c("text"), "migrated": k % 7 == 6, "refetched": F.when(k % 5 == 4, True)})
+    source = docs.where(k % 3 != 0).select("source_url")
+    new = docs.where(k % 3 == 2).select("source_url", F.concat(F.lit("new words "), "id").alias("body"))
+    return M.refetch_plan(docs, source, new, "src8").select("id", "status", "title", "doc_date", "topic_slug", F.sha2("body", 256).alias("body"))
 
 
 # --- reports and images
@@ -338,18 +359,18 @@ def _(spark, sf_dir):
 
 
 @query(
-    "image_rewrite",
-    """SELECT page_id AS id, sha256(html || '<p>a</p>' || '<img src="media/' || page_id || '.png" alt="A &amp; B"/>' || '<p>b</p>' || '<p>📷 配图 <a href="https://img.example/' || page_id || '.jpg?x=1&amp;y=2">查看原图</a></p>'
-       || '' || '' || '<p>🎬 Film（演示视频未归档）<a href="https://pages.example/dir/v' || page_id || '.MP4">查看视频</a></p>' || 'end') AS html FROM pages WHERE NOT regexp_matches(html, '(?i)<img')""",
+    "images_in_place",
+    """SELECT page_id AS id, sha256(regexp_replace(html, '(?i)<img', '<image', 'g') || '<p>a</p>' || '<img src="media/' || page_id || '.png" alt="A &amp; B"/>' || '<p>b</p>' || '<p>📷 配图 <a href="https://img.example/' || page_id || '.jpg?x=1&amp;y=2">查看原图</a></p>'
+       || '' || '' || '<p>🎬 Film（演示视频未归档）<a href="https://pages.example/dir/v' || page_id || '.MP4">查看视频</a></p>' || 'end') AS html FROM pages""",
 )
 def _(spark, sf_dir):
     s = text("page_id")
     j = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     tags = j(
-        c("html"), '<p>a</p><img alt="A & B" src="/img/', s, '.png"><p>b</p><IMG data-src="https://img.example/', s, '.jpg?x=1&y=2" src="data:image/gif;base64,AA"/>',
+        F.regexp_replace("html", "(?i)<img", "<image"), '<p>a</p><img alt="A & B" src="/img/', s, '.png"><p>b</p><IMG data-src="https://img.example/', s, '.jpg?x=1&y=2" src="data:image/gif;base64,AA"/>',
         '<img width="1" height="1" src="https://a.example/p.gif"><img src="https://px.doubleclick.net/', s, '"><img alt="Film" src="v', s, '.MP4">end',
     )
-    rows = V.table(spark, sf_dir, "pages").where(~F.lower("html").contains("<img"))
+    rows = V.table(spark, sf_dir, "pages")
     pages = rows.select(c("page_id").alias("id"), F.lit("https://pages.example/dir/page.html?q=1").alias("base_url"), tags.alias("html"))
     stored = rows.select(j("https://pages.example/img/", s, ".png").alias("src"), j("media/", s, ".png").alias("path"))
     return R.with_images(pages, stored).select("id", F.sha2("html", 256).alias("html"))

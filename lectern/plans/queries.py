@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern import config as C
@@ -10,6 +12,8 @@ from lectern.functions import urls as U
 from lectern.operators import batch as B
 from lectern.operators import search as S
 from lectern.operators import store as K
+from lectern.operators import text_index as I
+from lectern.operators.folds import shared_dir
 from lectern.plans import views as V
 
 QUERIES: dict = {}
@@ -17,6 +21,9 @@ SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None, *ctes: str):
+    if name in QUERIES:
+        raise ValueError(f"two queries are named {name}")
+
     def add(function):
         QUERIES[name] = function
         if sql is not None:
@@ -83,10 +90,9 @@ scalar("doc_href", V.originals, "id", lambda: T.doc_href(c("doc_type"), c("id"))
 scalar("rewrite_media", V.rich, "doc_id", lambda: F.sha2(F.replace("body", F.lit(C.MEDIA_SCHEME), F.lit("/media/")), 256), V.RICH, f"sha256(replace(body, '{C.MEDIA_SCHEME}', '/media/'))")
 scalar("strip_nul", V.entries, "pos", lambda: T.strip_nul(c("title")), V.ENTRIES, "title")
 _even = lambda x: f"(CASE WHEN len(string_split({x}, '**')) % 2 = 0 THEN substr({x}, 1, length({x}) - strpos(reverse({x}), '**') - 1) ELSE {x} END)"
-scalar(
-    "truncate_blurb", V.originals, "id", lambda: T.truncate_blurb(F.regexp_replace("gist", "\\. ", "。")), V.ORIGINALS,
-    f"(SELECT CASE WHEN length(g) <= 120 THEN g WHEN strpos(t, '。') > 1 THEN {_even('u')} ELSE {_even('v')} || '…' END FROM (SELECT g, t, substr(t, 1, 121 - strpos(reverse(t), '。')) AS u, rtrim(t, E' \\n\\t') AS v FROM (SELECT g, substr(g, 1, 120) AS t FROM (SELECT regexp_replace(gist, '\\. ', '。', 'g') AS g))))",
-)
+# gists with full stops of another kind, so that a cut finds one
+_BLURB = f"(SELECT CASE WHEN length(g) <= 120 THEN g WHEN strpos(t, '。') > 1 THEN {_even('u')} ELSE {_even('v')} || '…' END FROM (SELECT g, t, substr(t, 1, 121 - strpos(reverse(t), '。')) AS u, rtrim(t, E' \\n\\t') AS v FROM (SELECT g, substr(g, 1, 120) AS t FROM (SELECT regexp_replace(gist, '\\. ', '。', 'g') AS g))))"
+scalar("truncate_blurb", V.originals, "id", lambda: T.truncate_blurb(F.regexp_replace("gist", "\\. ", "。")), V.ORIGINALS, _BLURB)
 _raw = "CASE pos % 6 WHEN 0 THEN pos || ' days ago' WHEN 1 THEN (pos % 60) || ' hours ago' WHEN 2 THEN '昨天' WHEN 3 THEN (pos % 9) || '天前' WHEN 4 THEN 'on 2026-01-' || lpad(CAST(pos % 28 + 1 AS VARCHAR), 2, '0') ELSE 'no date' END"
 
 
@@ -210,7 +216,7 @@ def _(spark, sf_dir):
 
 @query("dedup_digest", "SELECT url, min(pos) AS pos FROM entries WHERE url <> '' AND source_name <> 'source-3' GROUP BY url", V.ENTRIES)
 def _(spark, sf_dir):
-    known = registry(spark).where("reliability <> 'dead'").select("source_name")
+    known = registry(spark, sf_dir).where("reliability <> 'dead'").select("source_name")
     rows = V.entries(spark, sf_dir).where("url <> ''").join(known, "source_name", "left_semi")
     return B.first_of(rows.select("url", "pos"), ["url"], "pos")
 
@@ -221,28 +227,35 @@ def _(spark, sf_dir):
     return B.latest_file(V.entries(spark, sf_dir).select("source_name", "pos", name.alias("file")), "source_name", "file")
 
 
-def registry(spark):
-    """Sources by name: a fixed, small table."""
-    rows = spark.createDataFrame([(f"source-{i}", ("stable", "degraded", "unknown", "dead")[i % 4], i) for i in range(7)], "source_name string, reliability string, i int")
-    return rows.select("source_name", "reliability", F.when(c("i") != 6, F.date_sub(V.as_of(), c("i") * 10)).alias("last_verified"))
+def registry(spark, sf_dir):
+    """Sources by name, one for each supplier; the first seven are those of the entries."""
+    i = c("s_suppkey")
+    kind = F.element_at(F.array(*map(F.lit, ("stable", "degraded", "unknown", "dead"))), (i % 4 + 1).cast("int"))
+    seen = F.when(i % 7 != 6, F.date_sub(V.as_of(), (i * 10 % 90).cast("int")))
+    return V.table(spark, sf_dir, "supplier").select(F.concat(F.lit("source-"), i.cast("string")).alias("source_name"), kind.alias("reliability"), seen.alias("last_verified"))
 
 
-_REGISTRY = "registry AS (SELECT 'source-' || i AS source_name, (['stable', 'degraded', 'unknown', 'dead'])[i % 4 + 1] AS reliability, CASE WHEN i <> 6 THEN DATE '2026-07-05' - CAST(i * 10 AS INTEGER) END AS last_verified FROM range(7) t(i))"
+_REGISTRY = "registry AS (SELECT 'source-' || s_suppkey AS source_name, (['stable', 'degraded', 'unknown', 'dead'])[s_suppkey % 4 + 1] AS reliability, CASE WHEN s_suppkey % 7 <> 6 THEN DATE '2026-07-05' - CAST(s_suppkey * 10 % 90 AS INTEGER) END AS last_verified FROM supplier)"
 
 
 @query("src_registry_active", "SELECT * FROM registry WHERE reliability <> 'dead'", _REGISTRY)
 def _(spark, sf_dir):
-    return B.active(registry(spark))
+    return B.active(registry(spark, sf_dir))
 
 
 @query("degraded_demote", "SELECT pos, low_confidence OR reliability = 'degraded' AS low_confidence FROM entries JOIN registry USING (source_name)", V.ENTRIES, _REGISTRY)
 def _(spark, sf_dir):
-    return V.entries(spark, sf_dir).join(registry(spark), "source_name").select("pos", (c("low_confidence") | (c("reliability") == "degraded")).alias("low_confidence"))
+    return V.entries(spark, sf_dir).join(registry(spark, sf_dir), "source_name").select("pos", (c("low_confidence") | (c("reliability") == "degraded")).alias("low_confidence"))
+
+
+_HEALTH = f"""health AS (SELECT 'source-' || source_name AS source_name, CASE WHEN f >= 3 THEN 'dead' WHEN f >= 1 THEN 'degraded' ELSE 'alive' END AS state
+ FROM (SELECT a.source_name, count(*) FILTER (NOT success AND (last IS NULL OR (ts, seq) > last)) AS f FROM attempts a JOIN (SELECT source_name, max((ts, seq)) FILTER (success) AS last FROM attempts GROUP BY 1) USING (source_name) GROUP BY 1))"""
 
 
-@query("preflight_stale", "SELECT source_name, coalesce(DATE '2026-07-05' - last_verified > 30, true) AS stale, coalesce(state, reliability) AS reliability FROM registry LEFT JOIN (SELECT 'source-1' AS source_name, 'alive' AS state) USING (source_name)", _REGISTRY)
+@query("preflight_stale", "SELECT source_name, coalesce(DATE '2026-07-05' - last_verified > 30, true) AS stale, coalesce(state, reliability) AS reliability FROM registry LEFT JOIN health USING (source_name)", _REGISTRY, V.ATTEMPTS, _HEALTH)
 def _(spark, sf_dir):
-    return B.preflight(registry(spark), spark.createDataFrame([("source-1", "alive")], "source_name string, state string"), V.as_of())
+    health = B.current_health(V.attempts(spark, sf_dir)).select(F.concat(F.lit("source-"), c("source_name").cast("string")).alias("source_name"), "state")
+    return B.preflight(registry(spark, sf_dir), health, V.as_of())
 
 
 @query("script_stats", "SELECT source_name, count(*) AS n, count(*) FILTER (summary <> '') AS with_summary FROM entries GROUP BY source_name", V.ENTRIES)
@@ -463,9 +476,13 @@ def _(spark, sf_dir):
     return V.entries(spark, sf_dir).select("pos", B.classify_daily(p % 3 == 0, F.when(p % 2 == 0, "n"), F.when(p % 5 == 0, "placeholder").otherwise("direct")).alias("class"))
 
 
-@query("build_original", "SELECT 'original-' || substr(sha256(url), 1, 12) AS id, coalesce(nullif(summary, ''), title) AS body, coalesce(published, DATE '2026-07-05') AS doc_date FROM entries", V.ENTRIES)
+@query("build_original", "SELECT 'original-' || substr(sha256(url), 1, 12) AS id, CASE WHEN pos % 5 = 0 AND summary <> '' THEN 'translated ' || pos WHEN pos % 7 <> 0 THEN summary ELSE '' END AS body, coalesce(published, DATE '2026-07-05') AS doc_date FROM entries", V.ENTRIES)
 def _(spark, sf_dir):
-    return V.entries(spark, sf_dir).select(T.original_id(c("url")).alias("id"), F.coalesce(F.nullif("summary", F.lit("")), "title").alias("body"), F.coalesce("published", V.as_of()).alias("doc_date"))
+    """A fifth has a translation, a seventh no text of its own."""
+    rows = V.entries(spark, sf_dir)
+    done = F.when((c("pos") % 5 == 0) & (c("summary") != ""), F.concat(F.lit("translated "), c("pos").cast("string"))).when(c("pos") % 2 == 0, "")
+    rows = rows.withColumns({"translated": done, "original": F.when(c("pos") % 7 != 0, c("summary"))})
+    return rows.select(T.original_id(c("url")).alias("id"), T.original_body(c("translated"), c("original")).alias("body"), F.coalesce("published", V.as_of()).alias("doc_date"))
 
 
 @query("build_zettel", "SELECT id, '# ' || title || chr(10) || chr(10) || gist || chr(10) || chr(10) || '[[' || id || ']]' AS body FROM originals", V.ORIGINALS)
@@ -473,11 +490,23 @@ def _(spark, sf_dir):
     return V.originals(spark, sf_dir).select("id", F.concat(F.lit("# "), "title", F.lit("\n\n"), "gist", F.lit("\n\n[["), "id", F.lit("]]")).alias("body"))
 
 
-@query("build_digest", "SELECT published AS doc_date, count(*) AS entry_count, string_agg('- [' || title || '](' || url || ')', chr(10) ORDER BY pos) AS body FROM entries WHERE url <> '' GROUP BY 1", V.ENTRIES)
+_DIGEST = f"""digest AS (SELECT pos, '- **' || title || '**（来源：' || source_name || '）' || {_BLURB} || ' ' || url AS line FROM (SELECT pos, url, title, source_name, summary AS gist
+   FROM entries WHERE url <> '' AND source_name IN (SELECT source_name FROM registry) QUALIFY row_number() OVER (PARTITION BY url ORDER BY pos) = 1))"""
+
+
+def _digest(spark, sf_dir):
+    rows = V.entries(spark, sf_dir).withColumn("gist", F.regexp_replace("summary", "\\. ", "。"))
+    return B.digest_lines(rows.select("pos", "url", "title", "source_name", "gist"), registry(spark, sf_dir))
+
+
+@query("digest_lines", "SELECT * FROM digest", V.ENTRIES, _REGISTRY, _DIGEST)
 def _(spark, sf_dir):
-    line = F.struct("pos", F.concat(F.lit("- ["), "title", F.lit("]("), "url", F.lit(")")).alias("line"))
-    got = V.entries(spark, sf_dir).where("url <> ''").groupBy(c("published").alias("doc_date")).agg(F.count(F.lit(1)).alias("entry_count"), F.array_sort(F.collect_list(line)).alias("own"))
-    return got.select("doc_date", "entry_count", F.array_join(F.transform("own", lambda x: x["line"]), "\n").alias("body"))
+    return _digest(spark, sf_dir)
+
+
+@query("build_digest", "SELECT 'digest-2026-07-05' AS id, count(*) AS entry_count, sha256(string_agg(line, chr(10) ORDER BY pos) || chr(10)) AS body FROM digest", V.ENTRIES, _REGISTRY, _DIGEST)
+def _(spark, sf_dir):
+    return B.digest_record(_digest(spark, sf_dir), V.as_of()).select("id", "entry_count", F.sha2("body", 256).alias("body"))
 
 
 # --- store
@@ -531,18 +560,33 @@ _TERMS = r"terms AS (SELECT doc_id AS id, unnest(w) AS term, generate_subscripts
 _MATCH = "SELECT id, count(*) AS hits FROM terms WHERE term IN ('the', 'of') GROUP BY id HAVING count(DISTINCT term) = 2"
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
 def _texts(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), "text")
 
 
+def text_index(spark, sf_dir) -> str:
+    """Folder of the documents' index: made in two batches when first asked for, read by every search after."""
+    docs = _texts(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    if key not in _INDEXES:
+        folder = f"{shared_dir(spark)}/lectern-index-{uuid.uuid4().hex}"
+        for batch in (0, 1):
+            I.add_batch(folder, docs.where(F.pmod(F.xxhash64("id"), F.lit(2)) == batch), batch)
+        _INDEXES[key] = folder
+    return _INDEXES[key]
+
+
 @query("fts_match", f"SELECT * FROM ({_MATCH}) WHERE id IN (SELECT a.id FROM terms a JOIN terms b ON a.id = b.id AND a.at + 1 = b.at WHERE a.term = 'of' AND b.term = 'the') AND id NOT IN (SELECT id FROM terms WHERE term = 'license')", _TERMS)
 def _(spark, sf_dir):
-    return S.search(_texts(spark, sf_dir), 'the of "of the" -license').select("id", "hits")
+    return I.find(spark, text_index(spark, sf_dir), 'the of "of the" -license').select("id", "hits")
 
 
 @query("fts_rank", f"SELECT m.id, hits, hits::DOUBLE / n AS rank FROM ({_MATCH}) m JOIN (SELECT id, count(*) AS n FROM terms GROUP BY id) s ON m.id = s.id ORDER BY rank DESC, m.id LIMIT 20", _TERMS)
 def _(spark, sf_dir):
-    return S.ranked(S.search(_texts(spark, sf_dir), "the of"))
+    return S.ranked(I.find(spark, text_index(spark, sf_dir), "the of"))
 
 
 _AND = "SELECT id FROM terms WHERE term = 'license' INTERSECT SELECT id FROM terms WHERE term = 'under'"
@@ -551,4 +595,4 @@ _PHRASE = "SELECT a.id FROM terms a JOIN terms b ON a.id = b.id AND a.at + 1 = b
 
 @query("fts_web_search", f"SELECT id, count(*) FILTER (term IN ('license', 'under', 'of', 'the')) AS hits FROM terms WHERE id IN ({_AND}) OR id IN ({_PHRASE}) GROUP BY id", _TERMS)
 def _(spark, sf_dir):
-    return S.search(_texts(spark, sf_dir), 'license UNDER or "of  the" -and or').select("id", "hits")
+    return I.find(spark, text_index(spark, sf_dir), 'license UNDER or "of  the" -and or').select("id", "hits")

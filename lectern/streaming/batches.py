@@ -82,6 +82,9 @@ def cross_day(entries: DataFrame, folder: str) -> DataStreamWriter:
 
     def one(batch: DataFrame, number: int) -> None:
         day = batch.agg(F.max("run_date")).first()[0]
+        if day is None:  # nothing to judge, no day to expire by: the state goes on as it is
+            _put(_before(batch, folder, number, _INDEX), f"{folder}/state/{number}")
+            return
         as_of = F.lit(day).cast("date")
         index = _before(batch, folder, number, _INDEX)
         _put(B.dedup_cross_day(batch, index, as_of), f"{folder}/out/{number}")
