@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern import config as C
 from lectern.functions import text as T
 from lectern.functions import urls as U
+from lectern.operators.scans import in_blocks, running
 
 
 def fresh(entries: DataFrame, as_of: Column, days: int = C.STALE_DAYS) -> DataFrame:
@@ -162,13 +163,23 @@ def health_state(failures: Column) -> Column:
     return F.when(failures >= C.DEAD_FAILURES, "dead").when(failures >= C.DEGRADED_FAILURES, "degraded").otherwise("alive")
 
 
+def failures_so_far(attempts: DataFrame) -> DataFrame:
+    """Attempts (source_name, ts, seq, success) with `failures` since the source's last success, and whether there was one (`succeeded`).
+
+    A source with many attempts spreads over tasks: failures are counted along its blocks, less those counted
+    at the last success. (ts, seq) tells a source's attempts apart.
+    """
+    keys, order = ["source_name"], ["ts", "seq"]
+    rows = in_blocks(attempts.select(*keys, *order, "success"), keys, order)
+    one = lambda x: F.when(x, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    ran = running(rows, keys, order, failed=("sum", one(~F.col("success")), 0), passed=("sum", one(F.col("success")), 0))
+    ran = running(ran, keys, order, base=("max", F.when(F.col("success"), F.col("failed")), 0))
+    return ran.select(*keys, *order, "success", (F.col("failed") - F.col("base")).alias("failures"), (F.col("passed") > 0).alias("succeeded"))
+
+
 def source_health(attempts: DataFrame) -> DataFrame:
     """After each attempt of a source: failures since its last success, and its state."""
-    w = Window.partitionBy("source_name").orderBy("ts", "seq")
-    ran = attempts.withColumn("island", F.sum(F.col("success").cast("long")).over(w))
-    inside = Window.partitionBy("source_name", "island").orderBy("ts", "seq")
-    failures = F.sum((~F.col("success")).cast("long")).over(inside)
-    return ran.select("source_name", "seq", failures.alias("failures"), health_state(failures).alias("state"))
+    return failures_so_far(attempts).select("source_name", "seq", "failures", health_state(F.col("failures")).alias("state"))
 
 
 def current_health(attempts: DataFrame) -> DataFrame:

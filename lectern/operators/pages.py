@@ -10,6 +10,7 @@ from lectern import config as C
 from lectern.functions import text as T
 from lectern.operators.batch import first_of
 from lectern.operators.folds import in_order
+from lectern.operators.scans import in_blocks, running
 
 
 def _lines(order: Column, line: Column, between: str = "\n") -> Column:
@@ -129,17 +130,38 @@ def repair_diff(stored: DataFrame, recomputed: DataFrame, key: str, fields: list
     return both.select(key, F.explode(F.array(*own)).alias("d")).select(key, "d.*").where(~F.col("stored").eqNullSafe(F.col("recomputed")))
 
 
+def _pieces(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(slug, minute, piece): stretches of a slug's minutes that no row is moved out of, so that each can be dealt with alone.
+
+    Free minutes are numbered; in order of minutes, whoever asks gets the number of its minute or the one after
+    the last given, so that what is given out runs as a maximum of (number - rows before). Who gets which
+    depends on `pos`, how far rows are moved at all doesn't. A piece begins where nothing reaches over.
+    """
+    both = asked.select("slug", "minute", F.lit(1).alias("asks"), F.lit(0).alias("held")).unionByName(held.select("slug", "minute", F.lit(0).alias("asks"), F.lit(1).alias("held")))
+    keys, order = ["slug"], ["minute"]
+    minutes = in_blocks(both.groupBy("slug", "minute").agg(F.sum("asks").alias("asks"), F.max("held").alias("held")), keys, order)
+    ran = running(minutes, keys, order, asked_now=("sum", F.col("asks"), 0), held_now=("sum", F.col("held"), 0))
+    number = F.col("minute") - (F.col("held_now") - F.col("held"))
+    lead = F.when(F.col("asks") > 0, number - (F.col("asked_now") - F.col("asks")))
+    least = -(1 << 40)
+    ran = running(ran.withColumn("lead", lead), keys, order, most=("max", F.col("lead"), least))
+    ran = running(ran, keys, order, piece=("max", F.when(F.col("lead") == F.col("most"), F.col("minute")), least))
+    return ran.select("slug", "minute", "piece")
+
+
 def note_ids(rows: DataFrame, taken: DataFrame) -> DataFrame:
     """Ids `yyyyMMddHHmm-slug` for rows (pos, ts, slug): the first free minute from the row's own on, in order of pos.
 
     Ids in `taken` (note_id) and of earlier rows aren't free. No id within NOTE_ID_MINUTES is an error.
+    A slug with many rows falls into pieces of minutes that don't touch; each is one fold in order.
     """
     minute = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60)
     parts = F.split("note_id", "-", 2)
-    held = taken.where(F.col("note_id").rlike(r"^\d{12}-")).select(F.lit(None).cast("long").alias("pos"), F.floor(F.unix_seconds(F.to_timestamp(parts[0], "yyyyMMddHHmm")) / 60).alias("minute"), parts[1].alias("slug"))
+    held = taken.where(F.col("note_id").rlike(r"^\d{12}-")).select(F.floor(F.unix_seconds(F.to_timestamp(parts[0], "yyyyMMddHHmm")) / 60).alias("minute"), parts[1].alias("slug")).distinct()
     asked = rows.select("pos", minute.alias("minute"), "slug")
-    slugs = asked.select("slug").distinct()
-    both = held.join(slugs, "slug", "left_semi").select("pos", "minute", "slug").unionByName(asked)
+    held = held.join(asked.select("slug").distinct(), "slug", "left_semi")
+    both = held.select(F.lit(None).cast("long").alias("pos"), "minute", "slug").unionByName(asked).join(_pieces(asked, held), ["slug", "minute"])
+    both = both.select("pos", "minute", "slug", F.concat_ws("@", F.col("piece").cast("string"), "slug").alias("key"))
 
     def step(used: set, row: dict):
         at = row["minute"]
@@ -154,7 +176,7 @@ def note_ids(rows: DataFrame, taken: DataFrame) -> DataFrame:
 
     schema = pa.schema([("pos", pa.int64()), ("minute", pa.int64()), ("slug", pa.string())])
     # nulls come first: what is taken is known before the first row asks
-    got = in_order(both, "slug", ["pos", "minute"], schema, set, step)
+    got = in_order(both, "key", ["pos", "minute"], schema, set, step)
     name = F.concat(F.date_format(F.timestamp_seconds(F.col("minute") * 60), "yyyyMMddHHmm"), F.lit("-"), "slug")
     return got.select("pos", "slug", name.alias("note_id"))
 

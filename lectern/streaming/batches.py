@@ -8,7 +8,7 @@ later batch is committed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -32,13 +32,9 @@ def _put(frame: DataFrame, path: str) -> None:
 
 def health_of_batch(attempts: DataFrame, carried: DataFrame) -> DataFrame:
     """After each attempt: failures since the last success, those of earlier batches included."""
-    seen = attempts.withColumn("source_name", F.col("source_name").cast("string"))
-    w = Window.partitionBy("source_name").orderBy("ts", "seq")
-    ran = seen.withColumn("island", F.sum(F.col("success").cast("long")).over(w))
-    inside = Window.partitionBy("source_name", "island").orderBy("ts", "seq")
-    own = ran.withColumn("own", F.sum((~F.col("success")).cast("long")).over(inside))
+    own = B.failures_so_far(attempts.withColumn("source_name", F.col("source_name").cast("string")))
     rows = own.join(carried.withColumnRenamed("failures", "carried"), "source_name", "left")
-    failures = F.col("own") + F.when(F.col("island") == 0, F.coalesce("carried", F.lit(0))).otherwise(0)
+    failures = F.col("failures") + F.when(F.col("succeeded"), 0).otherwise(F.coalesce("carried", F.lit(0)))
     return rows.select("source_name", "ts", "seq", failures.alias("failures"), B.health_state(failures).alias("state"))
 
 
