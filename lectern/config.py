@@ -80,3 +80,11 @@ LIST_SKIPPED = ("/author/", "/tag/", "/category/", "/page/")
 CHUNK_CHARS = 2000
 NOTE_ID_MINUTES, HIGHLIGHTS, HEADLINE_WORDS = 60, 5, 30
 LABEL_CHARS, NODE_CHARS = 24, 30
+#: Translation: tokens of a call, twice as many for the second model; shares and lengths that decide.
+CALL_TOKENS, RETRY_SHARE, RETRIES, SPLIT_CHARS = 8000, 0.10, 2, 400
+#: Notices and placeholders of translations that aren't whole; fixed, as readers see them.
+KEPT_CHUNKS = "{}/{} 个分块因翻译调用异常保留原文未翻译"
+PART_NOTICE = "翻译完整性机械校验未通过，仅完整翻译首尾部分，其余章节保留原文提示"
+CODE_NOTICE = "原文结构复杂（大量代码/技术实现内容），机器翻译难以完整覆盖，已展示开头与结尾内容，建议查看原文获取完整教程"
+PART_PLACEHOLDER = "（原文中间部分因翻译完整性校验未通过，未逐段翻译，可通过原文链接查阅完整内容）"
+CODE_PLACEHOLDER = "（原文包含大量代码/技术实现内容，机器翻译难以逐段覆盖，完整代码请查阅原文链接）"

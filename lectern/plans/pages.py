@@ -9,6 +9,7 @@ from lectern.functions import blocks as K
 from lectern.functions import text as T
 from lectern.operators import batch as B
 from lectern.operators import pages as P
+from lectern.operators import translate as N
 from lectern.plans import views as V
 from lectern.plans.queries import query, scalar
 
@@ -40,6 +41,13 @@ def _(spark, sf_dir):
     return V.rich(spark, sf_dir).select("doc_id", K.safe_split("body").alias("halves")).select("doc_id", F.transform("halves", lambda x: F.sha2(x, 256)).alias("halves"))
 
 
+# answers of the offline model; tests hold it against a plain recursion
+@query("translate_articles", None)
+def _(spark, sf_dir):
+    got = N.translate_articles(V.rich(spark, sf_dir).select("doc_id", "body"))
+    return got.select("doc_id", "notice", "chunks", "failed", "retries", F.sha2("body", 256).alias("body"))
+
+
 @query("image_rewrite", "SELECT page_id, 'https://img.example.org/' || page_id || '.jpeg?w=3' AS src, '.jpg' AS ending, page_id % 2 = 0 AS shown FROM pages")
 def _(spark, sf_dir):
     dots = F.when(c("page_id") % 2 == 0, '"640" height="1').otherwise('"1" height="0')
