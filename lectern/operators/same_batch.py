@@ -4,7 +4,13 @@ An entry is a duplicate of the first slot whose entry has the same stripped URL,
 path, a title or a summary's beginning with enough common tokens. It takes the slot if it is more
 complete, and goes otherwise. Likeness isn't transitive and slots change hands, so the order counts;
 but an entry only ever meets entries of its own connected component. Components come from joins;
-each is then folded in one ordered pass.
+each of up to BLOCK entries is then folded in one ordered pass.
+
+A larger component is taken in rounds, BLOCK of its entries in order at a time. What came before counts only
+by the entries that now stand in slots, so a round's entries meet each other and those of the standing ones
+that are like one of them. The links among these fall into components of their own, as links over entries that
+went are gone; each is folded by a task, from its standing entries on. No task holds more than BLOCK entries
+and the standing ones next to them.
 """
 
 from __future__ import annotations
@@ -19,7 +25,12 @@ from lectern import config as C
 from lectern.functions import text as T
 from lectern.functions import urls as U
 from lectern.operators.batch import alike_pairs
-from lectern.operators.folds import components, in_order
+from lectern.operators.folds import components, cut, in_order
+from lectern.operators.scans import BLOCK as BLOCK_COLUMN
+from lectern.operators.scans import in_blocks, running
+
+#: Entries of a component that are folded by one task.
+BLOCK = 100_000
 
 
 def _keyed(entries: DataFrame) -> DataFrame:
@@ -85,6 +96,11 @@ class _Slots:
                 return True
         return False
 
+    def stand(self, slot: int, row: dict) -> None:
+        """An entry that stands in a slot already; slots come in order."""
+        self.put(len(self.entries), row)
+        self.first[-1] = slot
+
     def match(self, row: dict) -> int | None:
         near = set().union(*(self.where.get(mark, ()) for mark in self._marks(row)))
         return next((i for i in sorted(near) if self._alike(row, self.entries[i])), None)
@@ -102,6 +118,9 @@ class _Slots:
 
 
 def _step(slots: _Slots, row: dict):
+    if row["slot"] is not None:
+        slots.stand(row["slot"], row)
+        return ()
     i = slots.match(row)
     if i is None:
         slots.put(len(slots.entries), row)
@@ -110,7 +129,73 @@ def _step(slots: _Slots, row: dict):
     return ()
 
 
-def dedup_same_batch(entries: DataFrame) -> DataFrame:
+_KEPT = pa.schema([("slot", pa.int64()), ("pos", pa.int64())])
+
+
+def _folded(rows: DataFrame, key: str) -> DataFrame:
+    """(slot, pos) after the fold of each key's rows: those with a slot first, in its order, then the others by pos."""
+    ordered = rows.withColumn("late", F.col("slot").isNull()).withColumn("at", F.coalesce("slot", "pos"))
+    return in_order(ordered, key, ["late", "at"], _KEPT, _Slots, _step, lambda slots: [(first, row["pos"]) for first, row in zip(slots.first, slots.entries)])
+
+
+_KINDS = ("url", "host_path", "title", "summary")
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(pos, kind, class) of the rows: a class is named by the first entry of the batch with that value; no tokens, no class."""
+    out = None
+    for kind in _KINDS:
+        own = rows.select("pos", F.col(kind).alias("value"))
+        own = own.where(F.size("value") > 0) if kind in ("title", "summary") else own
+        # equal values meet by a digest, and their number is reduced before the shuffle
+        own = own.select("pos", F.sha2(F.to_json(F.struct("value")), 256).alias("value"))
+        first = own.groupBy("value").agg(F.min("pos").alias("class"))
+        own = own.join(first, "value").select("pos", F.lit(kind).alias("kind"), "class")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _units(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pos, unit) of members (pos, kind, class): what is connected by classes, or by pairs (kind, a, b) of classes, among them."""
+    first = cut(members.groupBy("kind", "class").agg(F.min("pos").alias("first")))
+    equal = members.join(first, ["kind", "class"]).where("pos <> first").select(F.col("first").alias("a"), F.col("pos").alias("b"))
+    end = lambda name, to: first.select("kind", F.col("class").alias(name), F.col("first").alias(to))
+    alike = pairs.join(end("a", "x"), ["kind", "a"]).join(end("b", "y"), ["kind", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = components(equal.unionByName(alike).where("a <> b")).select(F.col("node").alias("pos"), F.col("component").alias("unit"))
+    return members.select("pos").distinct().join(found, "pos", "left").select("pos", F.coalesce("unit", "pos").alias("unit"))
+
+
+def _in_rounds(rows: DataFrame, links: dict[str, DataFrame], block: int) -> DataFrame:
+    """(slot, pos) for rows of components (component, pos, ...) too large for one fold."""
+    numbered = running(in_blocks(rows, ["component"], ["pos"]), ["component"], ["pos"], rank=("sum", F.lit(1).cast("long"), 0))
+    rows = cut(numbered.withColumn("turn", F.floor((F.col("rank") - 1) / block)).drop("rank", "component", BLOCK_COLUMN))
+    classes = cut(_classes(rows))
+    names = classes.select("kind", "class").distinct()
+    # likeness of classes: the links between those that are first of their kind
+    alike = links["title"].withColumn("kind", F.lit("title")).unionByName(links["summary"].withColumn("kind", F.lit("summary")))
+    for end in ("a", "b"):
+        alike = alike.join(names.withColumnRenamed("class", end), ["kind", end], "left_semi")
+    pairs = cut(alike.select("kind", "a", "b"))
+    both = pairs.unionByName(pairs.select("kind", F.col("b").alias("a"), F.col("a").alias("b")))
+    standing = None
+    for turn in range((rows.agg(F.max("turn")).first()[0] or 0) + 1):
+        fresh = rows.where(F.col("turn") == turn).select(F.lit(None).cast("long").alias("slot"), "pos")
+        if standing is None:
+            now = fresh
+        else:
+            own = classes.join(fresh.select("pos"), "pos", "left_semi").select("kind", "class").distinct()
+            asked = own.unionByName(own.withColumnRenamed("class", "a").join(both, ["kind", "a"]).select("kind", F.col("b").alias("class"))).distinct()
+            near = classes.join(standing.select("pos"), "pos", "left_semi").join(asked, ["kind", "class"], "left_semi").select("pos").distinct()
+            near = cut(standing.join(near, "pos", "left_semi").select("slot", "pos"))
+            now = fresh.unionByName(near)
+        now = cut(now)
+        units = _units(classes.join(now.select("pos"), "pos", "left_semi"), pairs)
+        got = _folded(rows.drop("turn").join(now, "pos").join(units, "pos"), "unit")
+        standing = cut(got if standing is None else standing.join(now.select("pos"), "pos", "left_anti").unionByName(got))
+    return standing
+
+
+def dedup_same_batch(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     """(slot, pos): the entry that stays in each slot; a slot is named by the entry that opened it.
 
     `entries` has pos, url, title, summary, published and low_confidence.
@@ -120,8 +205,10 @@ def dedup_same_batch(entries: DataFrame) -> DataFrame:
     edges = links["url"].unionByName(links["host_path"]).unionByName(links["title"]).unionByName(links["summary"])
     found = components(edges).withColumnRenamed("node", "pos")
     alone = rows.join(found, "pos", "left_anti").select(F.col("pos").alias("slot"), "pos")
-    kept = in_order(
-        rows.join(found, "pos"), "component", ["pos"], pa.schema([("slot", pa.int64()), ("pos", pa.int64())]), _Slots, _step,
-        lambda slots: [(first, row["pos"]) for first, row in zip(slots.first, slots.entries)],
-    )
-    return kept.unionByName(alone)
+    # names of the large ones, of which there are at most rows / block
+    large = cut(found.groupBy("component").count().where(F.col("count") > block).select("component"))
+    some = rows.join(found, "pos").withColumn("slot", F.lit(None).cast("long"))
+    kept = _folded(some.join(large, "component", "left_anti"), "component").unionByName(alone)
+    if large.isEmpty():
+        return kept
+    return kept.unionByName(_in_rounds(some.drop("slot").join(large, "component", "left_semi"), links, block))

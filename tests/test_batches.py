@@ -228,3 +228,35 @@ def test_nul_goes_before_articles_are_stored(spark):
     new = spark.createDataFrame([("u", "n\x00ew", "x", 1), ("u", "newest", "x", 2), ("w", "a\x00", "x", 1)], "url string, title string, status string, version int")
     got = {tuple(r) for r in K.upsert_articles(old, new).collect()}
     assert got == {("u", "newest", "enriched"), ("v", "stays", "fetched"), ("w", "a", "enriched")}
+
+
+@pytest.mark.parametrize("seed, block", [(0, 7), (1, 13)])
+def test_dedup_same_batch_in_rounds(spark, seed, block):
+    """Components larger than a block are taken in rounds; what stands in slots is carried on."""
+    entries = batch(seed)
+    frame = spark.createDataFrame([tuple(e.values()) for e in entries], ENTRY)
+    assert sorted(map(tuple, N.dedup_same_batch(frame, block).collect())) == folded(entries)
+
+
+def _by_slots(frame):
+    """The plain fold of a whole batch, one entry after another."""
+    slots = N._Slots()
+    for r in sorted((r.asDict(True) for r in N._keyed(frame).collect()), key=lambda r: r["pos"]):
+        N._step(slots, r | {"slot": None})
+    return sorted(zip(slots.first, (r["pos"] for r in slots.entries)))
+
+
+@pytest.mark.parametrize("kind", ["chain", "hot url", "star"])
+def test_a_component_spreads_over_rounds(spark, kind):
+    """A chain of titles and a URL that all share, 100,000 entries each; a title that others, unlike each other, are like."""
+    rng = random.Random(5)
+    n, block = (300, 110) if kind == "star" else (100_000, 60_000)
+    title = {
+        "chain": lambda i: " ".join(f"w{k}" for k in range(i, i + 20)),
+        "hot url": lambda i: f"only {i}",
+        "star": lambda i: " ".join([f"w{k}" for k in range(20) if k != i % 20 or not i] + [f"x{i}"] * (i > 0)),
+    }[kind]
+    url = lambda i: "https://o.com/one" if kind == "hot url" else f"https://o.com/{i}"
+    rows = [(i, url(i), title(i), "s" * rng.randrange(4) if kind != "hot url" else "t" * (i // 9000), "s", None, bool(i % 2)) for i in range(n)]
+    frame = spark.createDataFrame(rows, ENTRY)
+    assert sorted(map(tuple, N.dedup_same_batch(frame, block).collect())) == _by_slots(frame)
