@@ -6,12 +6,16 @@ bigrams tells the licence family of a window of at most WINDOW words, one class
 is trained here: on the notices below, and on each name of a licence in several phrases, cut and
 disturbed by fixed rules; for the unknown class, on lines of the corpus and on licence words out of
 order. Its temperature is fitted on wordings kept apart, every fifth notice and phrase with all its
-disturbed copies. A window counts when the calibrated probability that it holds a licence reaches `sure`.
-Each family is then confirmed where `cover` or more of the bigrams of one of its templates stand in
-the window, at places that no better covered family took: so a window may hold several families.
+disturbed copies. Every window of every document is scored. One counts when the calibrated probability that it
+holds a licence reaches `sure`; the classifier then names the families, those that it gives at least
+`likely`. Templates only confirm: a named family stays where `cover` or more of the bigrams of one of its
+templates are in the window (all of them, of templates with three or fewer; one that only its name has, where the
+template holds the name); the best covered one is taken, and what stands before and after it is scored and
+named again. So a window may hold several families, and one whose families all fail is unknown.
 
 The unknown class is fitted on at most SAMPLE_LINES lines of each of the `sample` documents whose
-hashed ids are smallest; every line of every document is then scored.
+hashed ids are smallest, on licence words out of order, and on PROSE, which uses them in other senses. Bigrams
+don't run over the end of a sentence.
 
 Defined cases: null and empty texts have one empty line and no licence; a line may hold several
 families, each reported once with its best window; a notice over several lines is reported at the
@@ -22,9 +26,6 @@ extra columns are not read.
 
 from __future__ import annotations
 
-import math
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +46,7 @@ TEMPLATES = {
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "SPDX-License-Identifier: MIT",
+        "License: MIT",
     ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
@@ -52,6 +54,7 @@ TEMPLATES = {
         "Released under the Apache 2.0 license.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "License: Apache-2.0",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -59,6 +62,29 @@ TEMPLATES = {
         "Released under the GNU GPL v3.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "License: GPL-3.0",
+    ),
+    "agpl": (
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
+    "isc": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "zlib": (
+        "Licensed under the zlib License.",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "SPDX-License-Identifier: Zlib",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
@@ -70,6 +96,7 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software.",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -90,9 +117,11 @@ TEMPLATES = {
         "This is free and unencumbered software released into the public domain.",
         "This work has been dedicated to the public domain under CC0 1.0 Universal.",
         "Released into the public domain by its authors.",
+        "This file is placed in the public domain.",
     ),
     "proprietary": (
         "All rights reserved.",
+        "All rights are reserved.",
         "Copyright by the authors. All rights reserved. No part of this publication may be reproduced without prior permission.",
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
     ),
@@ -102,6 +131,10 @@ NAMES = {
     "mit": ("MIT License", "MIT licence", "Expat License"),
     "apache": ("Apache License", "Apache License 2.0", "Apache Software License", "Apache 2.0 licence"),
     "gpl": ("GNU General Public License", "GNU GPL", "GPL version 3", "GPLv3 license", "GPL license"),
+    "agpl": ("GNU Affero General Public License", "GNU AGPL", "AGPL version 3"),
+    "isc": ("ISC License", "ISC licence"),
+    "epl": ("Eclipse Public License", "Eclipse Public License 2.0"),
+    "zlib": ("zlib License", "zlib licence", "zlib/libpng License"),
     "lgpl": ("GNU Lesser General Public License", "GNU LGPL", "LGPL version 2.1", "LGPL license"),
     "bsd": ("BSD License", "BSD licence", "3-Clause BSD License", "BSD 2-Clause License"),
     "mpl": ("Mozilla Public License", "Mozilla Public License 2.0"),
@@ -113,13 +146,26 @@ PHRASES = (
     "{}", "under the {}", "Provided under the {}.", "This package is offered under the terms of the {}",
     "The code is licensed under the {}", "released under {}", "available under a {} licence", "subject to the {}, see the file for details",
 )
-# Words that stand in any prose, too.
-COMMON = frozenset("a an and any be by can file for free from in is it may not of or other out part published see software source that the this to use version with without you your work".split())
+#: Other uses of the names: what follows a name then tells.
+ELSEWHERE = ("{} plates", "{} fees were paid", "the {} holder was fined", "{} exam on Monday", "{} office hours", "their {} number expired")
+# Prose that holds licences' words and names in other senses.
+PROSE = (
+    "He has a licence to fish in the river.", "The driving licence was renewed for a fee.", "She studied at MIT and paid licence fees.", "MIT license plates were stolen from the car.",
+    "The Apache people had no licence to hunt there.", "The general public has a license to enter the park.", "The public domain of the village was sold.", "A BSD conference issued license badges.",
+    "Creative work in common rooms needs attribution.", "All seats are reserved on the right.", "The rights of the king were reserved by law.", "Permission was granted to any person who came.",
+    "Eclipse watchers need a public permit.", "An ISC officer read the license aloud.", "The Mozilla office is open to the public.", "The TV licence pays for public radio.",
+    "Distribution of food and use of water are permitted.", "This program is on free television in general.", "The software company lost its licence to sell.", "Redistribution of land was permitted by the state.",
+)
 FAMILIES = tuple(TEMPLATES)
 SAMPLE_LINES = 20
+#: Bigrams up to which a template must be there whole.
+SHORT = 3
 UNKNOWN = len(FAMILIES)
 
 
+_STOPS, _SPACES = np.frombuffer(b".!?", np.uint8), np.frombuffer(b" \n\t\r", np.uint8)
+
+
 def word_features(texts: list[bytes]):
     """(line begins in words, unigram slots, bigram slots, bigram hashes, line owner, number of lines a text).
 
@@ -140,6 +186,9 @@ def word_features(texts: list[bytes]):
     two = (pair % np.uint64(FEATURES)).astype(np.int32)
     last = cut[1:][cut[1:] > cut[:-1]] - 1
     two[last] = -1
+    after = np.minimum(ends, len(buf) - 1)
+    stop = np.isin(buf[after], _STOPS) & np.isin(buf[np.minimum(after + 1, len(buf) - 1)], _SPACES)
+    two[stop], pair[stop] = -1, 0
     return cut, one, two, pair, owner, np.bincount(owner, minlength=len(texts))
 
 
@@ -170,16 +219,9 @@ def wrapped(cut: np.ndarray, pair: np.ndarray, owner: np.ndarray) -> tuple[np.nd
     begin, end = cut[line], cut[stop]
     nth, first, last = windows_of(np.stack((begin, end), axis=1).ravel()) if len(line) else (np.zeros(0, int),) * 3
     own = nth % 2 == 0  # the others lie between paragraphs
-    return first[own], last[own], (pair % np.uint64(FEATURES)).astype(np.int32)
-
-
-def with_any(pair: np.ndarray, first: np.ndarray, end: np.ndarray, sought: np.ndarray) -> np.ndarray:
-    """Which windows hold one of the sorted bigrams `sought`."""
-    low = np.zeros(1 << 16, bool)
-    low[(sought & np.uint64(0xFFFF)).astype(np.int64)] = True
-    near = np.flatnonzero(low[(pair & np.uint64(0xFFFF)).astype(np.int64)])
-    at = near[np.isin(pair[near], sought)]
-    return np.searchsorted(at, np.maximum(end - 1, first)) > np.searchsorted(at, first)
+    slots = (pair % np.uint64(FEATURES)).astype(np.int32)
+    slots[pair == 0] = -1  # a sentence ends there
+    return first[own], last[own], slots
 
 
 def shortest_span(own: np.ndarray, template: np.ndarray) -> tuple[int, int]:
@@ -201,26 +243,18 @@ def shortest_span(own: np.ndarray, template: np.ndarray) -> tuple[int, int]:
     return best
 
 
-def confirmed(own: np.ndarray, pairs: list[list[np.ndarray]], cover: float) -> list[tuple[int, float]]:
-    """(family, cover) of the families with a template in a window's bigrams, each at places of its own."""
-    free = np.ones(len(own), bool)
-    out: list[tuple[int, float]] = []
-    while True:
-        best = (0.0, 0, 0.0, own)
-        there = own[free]
-        for family, templates in enumerate(pairs):
-            if any(f == family for f, _ in out):
-                continue
-            for t in templates:
-                held = np.isin(t, there)
-                share = float(held.mean())
-                if share >= cover and (share * int(held.sum()), -family) > (best[0], -best[1]):
-                    best = (share * int(held.sum()), family, share, t)
-        if not best[0]:
-            return out
-        out.append((best[1], best[2]))
-        begin, end = shortest_span(np.where(free, own, 0), best[3])
-        free[begin:end] = False
+def confirmed(own: np.ndarray, pairs: list[list[tuple[np.ndarray, np.ndarray]]], cover: float, named: list[int]) -> tuple[int, float, int, int] | None:
+    """(family, cover, begin, end) of the best covered of the `named` families in a window's bigrams, and where it stands; None if none is."""
+    best = (0.0, 0, 0.0, own)
+    for family in named:
+        for t, name in pairs[family]:
+            held = np.isin(t, own)
+            share = float(held.mean())
+            if len(name) and not np.isin(name, own).any():
+                continue  # words of a relative's notice
+            if share >= (cover if len(t) > SHORT else 1.0) and (share * int(held.sum()), -family) > (best[0], -best[1]):
+                best = (share * int(held.sum()), family, share, t)
+    return (best[1], best[2], *shortest_span(own, best[3])) if best[0] else None
 
 
 def logits(first: np.ndarray, end: np.ndarray, one: np.ndarray, two: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -267,6 +301,15 @@ def examples(lines: list[str], rng: np.random.Generator) -> tuple[list[bytes], n
         more = [filler[i] for i in rng.integers(0, len(filler), rng.integers(3, 25))]
         texts.append(" ".join(rng.permutation(few + more)))
         labels.append(UNKNOWN)
+    for sentence in PROSE:  # alone, and within lines of the corpus
+        for turn in range(6):
+            pad = [filler[i] for i in rng.integers(0, len(filler), rng.integers(0, 20))] if turn else []
+            texts.append(" ".join([*pad, *sentence.split()]))
+            labels.append(UNKNOWN)
+    for phrase in ELSEWHERE:
+        for name in (n for names in NAMES.values() for n in names[:2]):
+            texts.append(phrase.format(name))
+            labels.append(UNKNOWN)
     texts += lines
     labels += [UNKNOWN] * len(lines)
     wording += range(len(texts) - len(wording))
@@ -319,35 +362,19 @@ def fit(lines: list[str], steps: int = 150, ridge: float = 2e-4, seed: int = 7):
     return weights, b, temperature
 
 
-def template_pairs() -> list[list[np.ndarray]]:
-    """For each family the bigram hashes of each template."""
-    out = []
-    for family in FAMILIES:
-        own = []
-        for t in (*TEMPLATES[family], *NAMES.get(family, ())):
-            cut, _, two, pair, _, _ = word_features([t.encode()])
-            own.append(np.unique(pair[two >= 0]))
-        out.append(own)
-    return out
-
+def template_pairs() -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each family the bigram hashes of each template, and those of them that only this family's names have."""
 
-def telling_pairs(cover: float) -> np.ndarray:
-    """Sorted bigrams of which a window must hold one before any template can be confirmed.
+    def bigrams(text: str) -> np.ndarray:
+        _, _, two, pair, _, _ = word_features([text.encode()])
+        return np.unique(pair[two >= 0])
 
-    `cover` of a template's n bigrams leave out fewer than the n - ceil(cover * n) + 1 chosen here: those
-    with the fewest common words, so that prose has few of them.
-    """
+    named = [np.unique(np.concatenate([bigrams(n) for n in NAMES.get(f, ())] or [np.zeros(0, np.uint64)])) for f in FAMILIES]
     out = []
-    for family in FAMILIES:
-        for t in (*TEMPLATES[family], *NAMES.get(family, ())):
-            _, _, two, pair, _, _ = word_features([t.encode()])
-            words = re.findall("[a-z0-9]+", t.lower())
-            common = {}
-            for i in np.flatnonzero(two >= 0).tolist():
-                common[int(pair[i])] = sum(w in COMMON or w.isdigit() for w in words[i : i + 2])
-            ranked = sorted(common, key=lambda p: (common[p], p))
-            out += ranked[: len(ranked) - math.ceil(cover * len(ranked)) + 1]
-    return np.unique(np.array(out, np.uint64))
+    for i, family in enumerate(FAMILIES):
+        own = np.setdiff1d(named[i], np.concatenate([n for j, n in enumerate(named) if j != i]))
+        out.append([(t, np.intersect1d(t, own)) for t in map(bigrams, (*TEMPLATES[family], *NAMES.get(family, ())))])
+    return out
 
 
 SCHEMA = "doc_id long, n_lines long, n_licences long, families array<string>, found array<struct<line: long, family: string, probability: double, cover: double>>"
@@ -372,11 +399,10 @@ def unknown_lines(docs: DataFrame, sample: int) -> list[str]:
     return [x["line"] for r in rows.collect() for x in r["lines"]]
 
 
-def scan_licences(docs: DataFrame, sample: int = 200, sure: float = 0.5, cover: float = 0.6) -> DataFrame:
+def scan_licences(docs: DataFrame, sample: int = 200, sure: float = 0.5, cover: float = 0.6, likely: float = 0.05) -> DataFrame:
     """Per row: doc_id, n_lines, n_licences, families (sorted), found (line, family, probability, cover)."""
     weights, bias, temperature = fit(unknown_lines(docs, sample))
     pairs = template_pairs()
-    telling = telling_pairs(cover)
 
     def run(batches):
         for batch in batches:
@@ -385,11 +411,6 @@ def scan_licences(docs: DataFrame, sample: int = 200, sure: float = 0.5, cover:
                 cut, one, two, pair, owner, n_lines = word_features(texts)
                 _, first, end = windows_of(cut)
                 more, more_end, over = wrapped(cut, pair, owner)
-                # no template can be confirmed in the other windows
-                some = with_any(pair, first, end, telling)
-                first, end = first[some], end[some]
-                some = with_any(pair, more, more_end, telling)
-                more, more_end = more[some], more_end[some]
                 scored = [logits(a, b, one, slots, weights, bias) for a, b, slots in ((first, end, two), (more, more_end, over)) if len(a)]
                 p = softmax(np.concatenate(scored) / temperature) if scored else np.zeros((0, UNKNOWN + 1))
                 first, end = np.concatenate((first, more)), np.concatenate((end, more_end))
@@ -398,15 +419,26 @@ def scan_licences(docs: DataFrame, sample: int = 200, sure: float = 0.5, cover:
                 told_at: dict[tuple[int, int], list[tuple[int, int]]] = {}
                 line_at = np.cumsum(n_lines) - n_lines
                 for w in np.flatnonzero(1 - p[:, UNKNOWN] >= sure):
-                    own = pair[first[w] : max(end[w] - 1, first[w])]
                     doc = int(owner[line[w]])
-                    for family, share in confirmed(own, pairs, cover):
+                    slots = two if w < len(first) - len(more) else over
+                    todo = [(int(first[w]), int(end[w]), p[w])]
+                    while todo:
+                        a, b, q = todo.pop()
+                        named = np.flatnonzero(q[:UNKNOWN] >= likely).tolist() if 1 - q[UNKNOWN] >= sure else []
+                        got = confirmed(pair[a : max(b - 1, a)], pairs, cover, named)
+                        if got is None:
+                            continue
+                        family, share, begin, stop = got
+                        # what stands before and after is scored alone
+                        for x, y in ((a, a + begin), (a + stop + 1, b)):
+                            if y - x > 1:
+                                todo.append((x, y, softmax(logits(np.array([x]), np.array([y]), one, slots, weights, bias) / temperature)[0]))
                         spots = told_at.setdefault((doc, family), [])
-                        if last[w] > line[w] and any(a <= last[w] and line[w] <= b for a, b in spots):
+                        if last[w] > line[w] and any(c <= last[w] and line[w] <= d for c, d in spots):
                             continue
                         spots.append((int(line[w]), int(last[w])))
                         key = (int(line[w] - line_at[doc]), family)
-                        found[doc][key] = max(found[doc].get(key, (0.0, 0.0)), (float(p[w, family]), share))
+                        found[doc][key] = max(found[doc].get(key, (0.0, 0.0)), (float(q[family]), share))
                 told = [[{"line": k[0], "family": FAMILIES[k[1]], "probability": v[0], "cover": v[1]} for k, v in sorted(f.items())] for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [
