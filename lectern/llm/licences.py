@@ -243,17 +243,17 @@ def shortest_span(own: np.ndarray, template: np.ndarray) -> tuple[int, int]:
     return best
 
 
-def confirmed(own: np.ndarray, pairs: list[list[tuple[np.ndarray, np.ndarray]]], cover: float, named: list[int]) -> tuple[int, float, int, int] | None:
+def confirmed(own: np.ndarray, pairs: list[list[tuple[np.ndarray, frozenset, frozenset]]], cover: float, named: list[int]) -> tuple[int, float, int, int] | None:
     """(family, cover, begin, end) of the best covered of the `named` families in a window's bigrams, and where it stands; None if none is."""
-    best = (0.0, 0, 0.0, own)
+    best, there = (0.0, 0, 0.0, own), set(own.tolist())
     for family in named:
-        for t, name in pairs[family]:
-            held = np.isin(t, own)
-            share = float(held.mean())
-            if len(name) and not np.isin(name, own).any():
+        for t, whole, name in pairs[family]:
+            held = len(whole & there)
+            share = held / len(whole)
+            if name and not name & there:
                 continue  # words of a relative's notice
-            if share >= (cover if len(t) > SHORT else 1.0) and (share * int(held.sum()), -family) > (best[0], -best[1]):
-                best = (share * int(held.sum()), family, share, t)
+            if share >= (cover if len(whole) > SHORT else 1.0) and (share * held, -family) > (best[0], -best[1]):
+                best = (share * held, family, share, t)
     return (best[1], best[2], *shortest_span(own, best[3])) if best[0] else None
 
 
@@ -362,8 +362,8 @@ def fit(lines: list[str], steps: int = 150, ridge: float = 2e-4, seed: int = 7):
     return weights, b, temperature
 
 
-def template_pairs() -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """For each family the bigram hashes of each template, and those of them that only this family's names have."""
+def template_pairs() -> list[list[tuple[np.ndarray, frozenset, frozenset]]]:
+    """For each family the bigram hashes of each template, twice, and those of them that only this family's names have."""
 
     def bigrams(text: str) -> np.ndarray:
         _, _, two, pair, _, _ = word_features([text.encode()])
@@ -373,7 +373,7 @@ def template_pairs() -> list[list[tuple[np.ndarray, np.ndarray]]]:
     out = []
     for i, family in enumerate(FAMILIES):
         own = np.setdiff1d(named[i], np.concatenate([n for j, n in enumerate(named) if j != i]))
-        out.append([(t, np.intersect1d(t, own)) for t in map(bigrams, (*TEMPLATES[family], *NAMES.get(family, ())))])
+        out.append([(t, frozenset(t.tolist()), frozenset(np.intersect1d(t, own).tolist())) for t in map(bigrams, (*TEMPLATES[family], *NAMES.get(family, ())))])
     return out
 
 

@@ -51,15 +51,15 @@ def test_the_classifier_names_and_templates_confirm():
     assert licences.confirmed(own, pairs, 0.6, [gpl]) is None and licences.confirmed(own, pairs, 0.6, []) is None
     # against counting: random bags of bigrams, every family named
     rng = np.random.default_rng(1)
-    every = np.concatenate([t for f in pairs for t, _ in f])
+    every = np.concatenate([t for f in pairs for t, _, _ in f])
 
     def holds(t, name, own):
         share = sum(x in own for x in t.tolist()) / len(t)
-        return share >= (0.6 if len(t) > licences.SHORT else 1) and (not len(name) or any(x in own for x in name.tolist()))
+        return share >= (0.6 if len(t) > licences.SHORT else 1) and (not name or any(x in own for x in name))
 
     for _ in range(200):
         own = rng.choice(every, 25)
-        could = {f for f, ts in enumerate(pairs) if any(holds(t, name, set(own.tolist())) for t, name in ts)}
+        could = {f for f, ts in enumerate(pairs) if any(holds(t, name, set(own.tolist())) for t, _, name in ts)}
         got = licences.confirmed(own, pairs, 0.6, list(range(len(pairs))))
         assert got[0] in could if could else got is None
 
