@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern import config as C
@@ -9,12 +11,14 @@ from lectern.functions import text as T
 from lectern.functions import urls as U
 from lectern.operators import annotate as A
 from lectern.operators import batch as B
+from lectern.operators import bucket_store as S
 from lectern.operators import daily_batch as D
 from lectern.operators import migrate as M
 from lectern.operators import pages as P
 from lectern.operators import reports as R
 from lectern.operators import same_batch as N
 from lectern.operators import store as K
+from lectern.operators.folds import shared_dir
 from lectern.plans import views as V
 from lectern.plans.queries import _bare, _tokens, query, scalar
 
@@ -423,3 +427,40 @@ def _written():
 
 
 scalar("flex_date_written", V.entries, "pos", lambda: T.flexible_date(_written(), V.as_of()), V.ENTRIES, "CASE WHEN pos % 7 < 5 THEN make_date(2025, CAST(pos % 12 + 1 AS BIGINT), 5) END")
+
+
+# --- a store cut into buckets
+_HELD = """x AS (SELECT doc_id AS d, 'd' || doc_id AS a FROM documents), r AS (SELECT * FROM x WHERE d % 3 = 0),
+ held AS (SELECT a FROM x WHERE d % 5 <> 0 OR d % 3 = 0)"""
+
+
+@query(
+    "write_batch",
+    """SELECT 'documents' AS part, a, CASE WHEN d % 3 = 0 THEN 'new ' ELSE 'old ' END || a AS b FROM x WHERE d % 5 <> 0 OR d % 3 = 0
+       UNION ALL SELECT 'tags', a, 'old' FROM x WHERE d % 5 <> 0 AND d % 3 <> 0
+       UNION ALL SELECT 'tags', a, unnest(['x', 'y']) FROM r WHERE d % 2 = 0
+       UNION ALL SELECT 'links', a, b FROM (SELECT a, unnest(['d' || (d + 1), 'd' || (d // 2)]) AS b FROM r) WHERE b IN (SELECT a FROM held)
+       UNION ALL SELECT 'url_index', 'old.example/' || d, CASE WHEN d % 3 = 0 AND d % 4 = 0 THEN 'note-' || d END FROM x WHERE d % 2 = 0""",
+    _HELD,
+)
+def _(spark, sf_dir):
+    """A store of four fifths of the documents; every third one comes in a batch, which is written twice."""
+    d = c("doc_id")
+    j = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    name = j("d", d).alias("doc_id")
+    rows = V.table(spark, sf_dir, "documents").select("doc_id")
+    old, new = rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 3 = 0")
+    tables = {
+        "documents": old.select(name, j("old d", d).alias("title"), F.lit("{}").alias("frontmatter")),
+        "tags": old.select(name, F.lit("old").alias("tag")),
+        "links": old.limit(0).select(name.alias("from_id"), name.alias("to_id")),
+        "url_index": rows.where("doc_id % 2 = 0").select(j("old.example/", d).alias("normalized_url"), F.lit(None).cast("string").alias("zettel_id")),
+    }
+    front = F.to_json(F.struct(j("https://Old.example/", d, "?x=1").alias("source_url"), F.when(d % 4 == 0, j("note-", d)).alias("related_zettel_id")))
+    record = lambda title, tags, version: new.select(name, title.alias("title"), front.alias("frontmatter"), F.lit(version).alias("version"), tags.alias("tags"), F.array(j("d", d + 1), j("d", F.floor(d / 2))).alias("link_targets"))
+    records = record(j("stale d", d), F.array(F.lit("stale")), 1).unionByName(record(j("new d", d), F.when(d % 2 == 0, F.array(F.lit("x"), F.lit("y"), F.lit("x"))), 2))
+    store = S.BucketStore(spark, f"{shared_dir(spark)}/lectern-store-{uuid.uuid4().hex}", 16)
+    store.create(tables)
+    for _ in range(2):
+        store.write("batch", records)
+    return S.rows_of(store)
