@@ -13,12 +13,13 @@ from lectern.operators import annotate as A
 from lectern.operators import batch as B
 from lectern.operators import bucket_store as S
 from lectern.operators import daily_batch as D
+from lectern.operators import filter_run as Q
 from lectern.operators import migrate as M
 from lectern.operators import pages as P
 from lectern.operators import reports as R
 from lectern.operators import same_batch as N
 from lectern.operators import store as K
-from lectern.operators.folds import shared_dir
+from lectern.operators.folds import cut, shared_dir
 from lectern.plans import views as V
 from lectern.plans.queries import _bare, _tokens, query, scalar
 
@@ -464,3 +465,15 @@ def _(spark, sf_dir):
     for _ in range(2):
         store.write("batch", records)
     return S.rows_of(store)
+
+
+# --- a run's figures; tests hold the fates of entries against planted ones, and that rows lost on the way raise
+@query("run_figures", None)
+def _(spark, sf_dir):
+    """Every tenth entry that is kept fails to be enriched; the others are written."""
+    entries = V.entries(spark, sf_dir)
+    told = cut(Q.fates(entries, V.url_index(spark, sf_dir), V.as_of(), V.PAPERS, V.CANONICAL))
+    audit = Q.audited(entries, told)
+    enriched = told.where("fate = 'kept'").select("pos", (c("pos") % 10 != 0).alias("ok"))
+    figures = Q.run_figures(V.attempts(spark, sf_dir), entries, told, enriched, enriched.where("ok"))
+    return figures.join(audit.select(c("total").alias("fetched"), *Q.STAGES), "fetched")
