@@ -389,3 +389,8 @@ def images(html: Column) -> Column:
         return F.struct(src.alias("src"), of(tag, "alt").alias("alt"), kind.alias("ending"), (src.isNotNull() & ~(dot("width") & dot("height"))).alias("shown"))
 
     return F.transform(tags, one)
+
+
+def strip_nul_all(texts: Column) -> Column:
+    """An array of texts, each without NUL characters; null stays null."""
+    return F.transform(texts, strip_nul)

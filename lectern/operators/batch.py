@@ -219,3 +219,14 @@ def classify_daily(is_recap: Column, zettel_id: Column, channel: Column) -> Colu
         .when(noted, "has_zettel_has_original")
         .otherwise("no_zettel_has_original")
     )
+
+
+def paged(rows: DataFrame, limit: int, offset: int) -> DataFrame:
+    """A page of documents, latest day first, then latest update, then id; `total` counts all. Past the end there is no row."""
+    page = rows.orderBy(F.col("doc_date").desc_nulls_last(), F.col("updated").desc_nulls_last(), "id").offset(offset).limit(limit)
+    return page.withColumn("total", rows.agg(F.count(F.lit(1))).scalar())
+
+
+def daily_marker(kind: Column) -> Column:
+    """What a daily page's line shows for its class; null for another class."""
+    return F.create_map(*[F.lit(x) for pair in C.DAILY_MARKERS.items() for x in pair])[kind]

@@ -596,3 +596,31 @@ _PHRASE = "SELECT a.id FROM terms a JOIN terms b ON a.id = b.id AND a.at + 1 = b
 @query("fts_web_search", f"SELECT id, count(*) FILTER (term IN ('license', 'under', 'of', 'the')) AS hits FROM terms WHERE id IN ({_AND}) OR id IN ({_PHRASE}) GROUP BY id", _TERMS)
 def _(spark, sf_dir):
     return I.find(spark, text_index(spark, sf_dir), 'license UNDER or "of  the" -and or').select("id", "hits")
+
+
+# --- pages with their total, marks of lines, arrays of texts
+_UPDATED = "CAST(id AS BIGINT) % 10"
+
+
+@query("page_by_type_total", f"SELECT id, doc_date, {_UPDATED} AS updated, (SELECT count(*) FROM originals WHERE doc_type = 'original') AS total FROM originals WHERE doc_type = 'original' ORDER BY doc_date DESC NULLS LAST, {_UPDATED} DESC, id LIMIT 24 OFFSET 12", V.ORIGINALS)
+def _(spark, sf_dir):
+    rows = V.originals(spark, sf_dir).where("doc_type = 'original'").select("id", "doc_date", (c("id").cast("long") % 10).alias("updated"))
+    return B.paged(rows, 24, 12)
+
+
+@query("cluster_fulltext_week", "SELECT topic_slug, id, CAST(row_number() OVER (PARTITION BY topic_slug ORDER BY doc_date DESC, id) AS INTEGER) AS rank FROM originals WHERE doc_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' QUALIFY rank <= 5", V.ORIGINALS)
+def _(spark, sf_dir):
+    rows = V.originals(spark, sf_dir).where(c("doc_date").between("2024-01-08", "2024-01-14"))
+    return B.top_by_date(rows.select("topic_slug", "id", "doc_date"), "topic_slug", 5).select("topic_slug", "id", "rank")
+
+
+scalar(
+    "daily_marker", V.entries, "pos",
+    lambda: B.daily_marker(B.classify_daily(c("pos") % 3 == 0, F.when(c("pos") % 2 == 0, "n"), F.when(c("pos") % 5 == 0, "placeholder").otherwise("direct"))),
+    V.ENTRIES, "CASE WHEN pos % 6 = 0 THEN '🔄' WHEN pos % 3 = 0 THEN '🔄（未升级为原子笔记）' WHEN pos % 10 = 0 THEN '（原文缺失）' ELSE '' END",
+)
+scalar(
+    "strip_nul_all", V.entries, "pos",
+    lambda: F.array_join(T.strip_nul_all(F.array(F.concat(F.lit("\x00"), "title", F.lit("\x00\x00")), F.when(c("pos") % 2 == 0, F.concat_ws("\x00", F.lit("a"), "summary")), F.lit("\x00"))), "|", "-"),
+    V.ENTRIES, "coalesce(title, '-') || '|' || CASE WHEN pos % 2 = 0 THEN 'a' || coalesce(summary, '') ELSE '-' END || '|'",
+)
