@@ -76,6 +76,9 @@ MEDIA_SCHEME = "media-store://"
 #: Where the mirrored feed's direct links go, and what its list pages hold.
 MIRROR_HOST, MIRROR_SUMMARY_CHARS = "mp.weixin.qq.com", 200
 LIST_ENTRIES, LIST_BLOCK_CHARS = 20, 3000
+LISTING_CHARS, LISTING_DATE_CHARS = 40_000, 80
+SECTION_LINES = 1000
+BACKFILL_DAYS = 14
 LIST_SKIPPED = ("/author/", "/tag/", "/category/", "/page/")
 CHUNK_CHARS = 2000
 NOTE_ID_MINUTES, HIGHLIGHTS, HEADLINE_WORDS = 60, 5, 30

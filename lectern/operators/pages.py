@@ -34,6 +34,26 @@ def topic_days(entries: DataFrame) -> DataFrame:
     return days.select("topic_slug", "entry_date", "entry_count", place.alias("place"), section.alias("section"))
 
 
+def lines_in_parts(rows: DataFrame, keys: list[str], order: list[str], line: str, most: int = C.SECTION_LINES) -> DataFrame:
+    """(*keys, part, line_count, lines): each key's lines in order, `most` to a row, parts from 1.
+
+    A hot key's lines are numbered in blocks, so that no row and no task holds all of them. `order` tells a key's rows apart.
+    """
+    numbered = running(in_blocks(rows.select(*keys, *order, F.col(line).alias("_line")), keys, order), keys, order, n=("sum", F.lit(1).cast("long"), 0))
+    part = (F.floor((F.col("n") - 1) / most) + 1).cast("int").alias("part")
+    return numbered.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("line_count"), _lines(F.col("n"), F.col("_line")).alias("lines"))
+
+
+def topic_day_parts(entries: DataFrame, most: int = C.SECTION_LINES) -> DataFrame:
+    """`topic_days` for days of any size: a section falls into rows of at most `most` lines, the first with the heading.
+
+    A section's text is its parts in order, joined by newlines.
+    """
+    parts = lines_in_parts(entries, ["topic_slug", "entry_date"], ["seq", "link_id"], "line", most)
+    head = F.when(F.col("part") == 1, F.concat(F.lit("## "), F.date_format("entry_date", "yyyy-MM-dd"), F.lit("\n\n"))).otherwise("")
+    return parts.select("topic_slug", "entry_date", "part", "line_count", F.concat(head, "lines").alias("section"))
+
+
 def topic_heads(entries: DataFrame, topics: DataFrame) -> DataFrame:
     """Front matter of topics that got entries: created_date of known ones stays, counts are counted anew."""
     got = entries.groupBy("topic_slug").agg(F.min("entry_date").alias("first"), F.max("entry_date").alias("last_updated_date"), F.count(F.lit(1)).alias("article_count"))

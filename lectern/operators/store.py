@@ -36,6 +36,29 @@ def backfill_candidates(documents: DataFrame, articles: DataFrame, tags: DataFra
     return got.select("id", "doc_date", F.col("source_url").alias("url"), "topic_slug", "related_zettel_id", "title", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
+def refreshed(candidates: DataFrame, articles: DataFrame) -> DataFrame:
+    """Records of originals whose full text has come since: (id, title, body, doc_date, topic_slug, related_zettel_id, tags).
+
+    `candidates` are those of `backfill_candidates`, `articles` (url, title, translated, original) what was read
+    anew. Only title and body come from the article; an article's own date, even a missing one, moves nothing.
+    A candidate without an article gives no record, so that its document stays; of two articles with one URL
+    the greatest counts.
+    """
+    one = articles.groupBy("url").agg(F.max(F.struct("translated", "original", F.col("title").alias("new_title"))).alias("now"))
+    rows = candidates.join(one, "url")
+    title = T.strip_nul(F.coalesce(F.nullif("now.new_title", F.lit("")), F.col("title")))
+    body = T.strip_nul(T.original_body(F.col("now.translated"), F.col("now.original")))
+    return rows.select("id", title.alias("title"), body.alias("body"), "doc_date", "topic_slug", "related_zettel_id", "tags")
+
+
+def refresh(documents: DataFrame, records: DataFrame) -> DataFrame:
+    """`documents` with the title and body that `records` of `refreshed` have for them; no row is added, no other column changes."""
+    new = records.select("id", F.struct("title", "body").alias("_new"))
+    rows = documents.join(new, "id", "left")
+    changed = lambda c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select(*[changed(c) if c in ("title", "body") else c for c in documents.columns])
+
+
 def members(rows: DataFrame, key: str, ids: list | DataFrame) -> DataFrame:
     """Rows whose key is one of `ids`, a short list or a table of one column; none for an empty list."""
     if isinstance(ids, DataFrame):

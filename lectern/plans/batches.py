@@ -172,6 +172,17 @@ def _(spark, sf_dir):
 _FRONT = "fronts AS (SELECT 'original-' || substr(sha256(url), 1, 12) AS id, url, min(pos) AS pos FROM entries GROUP BY url)"
 
 
+def _waiting(spark, sf_dir):
+    """Documents, articles and tags of the entries' URLs; a third of the articles wait for their full text."""
+    rows = B.first_of(V.entries(spark, sf_dir).select("url", "pos"), ["url"], "pos").withColumn("id", T.original_id(c("url")))
+    p = c("pos")
+    front = F.to_json(F.struct(c("url").alias("source_url"), F.lit("agents").alias("topic_slug"), F.when(p % 2 == 0, F.concat(F.lit("note-"), text("pos"))).alias("related_zettel_id")))
+    docs = rows.select("id", F.when(p % 5 == 0, "zettel").otherwise("original").alias("doc_type"), F.date_sub(V.as_of(), (p % 20).cast("int")).alias("doc_date"), front.alias("frontmatter"))
+    articles = rows.select("url", F.concat(F.lit("title "), text("pos")).alias("title"), F.when(p % 3 == 0, True).when(p % 3 == 1, False).alias("pending"))
+    tags = rows.where("pos % 4 = 0").select(c("id").alias("doc_id"), F.explode(F.array(F.lit("b"), F.lit("a"))).alias("tag"))
+    return docs, articles, tags
+
+
 @query(
     "join_backfill_candidates",
     """SELECT f.id, DATE '2026-07-05' - CAST(f.pos % 20 AS INTEGER) AS doc_date, f.url, 'agents' AS topic_slug, CASE WHEN f.pos % 2 = 0 THEN 'note-' || f.pos END AS related_zettel_id,
@@ -180,13 +191,28 @@ _FRONT = "fronts AS (SELECT 'original-' || substr(sha256(url), 1, 12) AS id, url
     _FRONT,
 )
 def _(spark, sf_dir):
-    rows = B.first_of(V.entries(spark, sf_dir).select("url", "pos"), ["url"], "pos").withColumn("id", T.original_id(c("url")))
-    p = c("pos")
-    front = F.to_json(F.struct(c("url").alias("source_url"), F.lit("agents").alias("topic_slug"), F.when(p % 2 == 0, F.concat(F.lit("note-"), text("pos"))).alias("related_zettel_id")))
-    docs = rows.select("id", F.when(p % 5 == 0, "zettel").otherwise("original").alias("doc_type"), F.date_sub(V.as_of(), (p % 20).cast("int")).alias("doc_date"), front.alias("frontmatter"))
-    articles = rows.select("url", F.concat(F.lit("title "), text("pos")).alias("title"), F.when(p % 3 == 0, True).when(p % 3 == 1, False).alias("pending"))
-    tags = rows.where("pos % 4 = 0").select(c("id").alias("doc_id"), F.explode(F.array(F.lit("b"), F.lit("a"))).alias("tag"))
-    return K.backfill_candidates(docs, articles, tags, F.date_sub(V.as_of(), 14))
+    docs, articles, tags = _waiting(spark, sf_dir)
+    return K.backfill_candidates(docs, articles, tags, F.date_sub(V.as_of(), C.BACKFILL_DAYS))
+
+
+@query(
+    "refresh_originals",
+    """SELECT id, CASE WHEN pos % 5 = 0 THEN 'zettel' ELSE 'original' END AS doc_type, DATE '2026-07-05' - CAST(pos % 20 AS INTEGER) AS doc_date,
+       CASE WHEN come AND pos % 12 = 0 THEN 'full title ' || pos ELSE 'title ' || pos END AS title, CASE WHEN NOT come THEN 'abstract ' || pos WHEN pos % 2 = 0 THEN 'translated ' || pos ELSE 'full ' || pos END AS body
+       FROM (SELECT *, pos % 5 <> 0 AND pos % 3 = 0 AND pos % 20 <= 14 AND pos % 9 <> 0 AS come FROM fronts)""",
+    V.ENTRIES,
+    _FRONT,
+)
+def _(spark, sf_dir):
+    """What waits is read anew, but for every ninth; an article that came has no date of its own, its document keeps the one it had."""
+    docs, articles, tags = _waiting(spark, sf_dir)
+    number = F.regexp_extract("title", r"(\d+)$", 1)
+    n = number.cast("long")
+    j = lambda word: F.concat(F.lit(f"{word} "), number)
+    came = articles.where(n % 9 != 0).select("url", F.when(n % 12 == 0, j("full title")).otherwise("").alias("title"), F.when(n % 2 == 0, j("translated")).alias("translated"), j("full").alias("original"))
+    held = docs.join(articles.select(T.original_id(c("url")).alias("id"), "title", j("abstract").alias("body")), "id")
+    waiting = K.backfill_candidates(docs, articles, tags, F.date_sub(V.as_of(), C.BACKFILL_DAYS))
+    return K.refresh(held, K.refreshed(waiting, came)).select("id", "doc_type", "doc_date", "title", "body")
 
 
 _SLUGS = "slugs AS (SELECT pos, CASE WHEN pos % 3 = 0 THEN 'note-' || pos END AS zettel_id, 'part-' || (pos % 50) AS slug FROM entries)"

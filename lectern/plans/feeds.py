@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.plans import views as V
 from lectern.plans.queries import query
 from lectern.sources import feeds as R
+from lectern.sources import listings as L
 
 c = F.col
 _escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -80,3 +81,63 @@ def _(spark, sf_dir):
     text = F.concat(F.lit('---\ntitle: "A: '), c("pos").cast("string"), F.lit('"\ntags: [x, y]\nbroken line\n---\n'), "summary")
     meta = R.front_matter(text)
     return V.entries(spark, sf_dir).select("pos", meta["title"].alias("title"), meta["tags"].alias("tags"), F.sha2(R.note_body(text), 256).alias("body"))
+
+
+# --- listing pages, all kinds of payloads together, figures of readers
+_PLAIN = lambda x: f"trim(regexp_replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_SHOWN_PAGES = """shown AS (SELECT page_id, url, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN page_id % 3 = 0 THEN replace(html, '</a></li>', '</a> ' || (page_id % 9) || ' days ago</li>') ELSE html END,
+ '(?is)<script\\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style>', '', 'g'), '(?is)<noscript\\b[^>]*>.*?</noscript>', '', 'g'), '(?is)<svg\\b[^>]*>.*?</svg>', '', 'g'), 1, 40000) AS html FROM pages)"""
+_PARTS = "parts AS (SELECT page_id, url, unnest(string_split(html, '<a ')[2:]) AS p FROM shown)"
+_ITEMS = f"""items AS (SELECT page_id, {_PLAIN("regexp_extract(p, '(?s)^[^>]*>(.*?)</a>', 1)")} AS title, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || replace(regexp_extract(p, '^href="([^"]*)"', 1), '&amp;', '&') AS url,
+ CASE WHEN page_id % 3 = 0 AND regexp_matches(p, '</a> \\d days ago</li>') THEN DATE '2026-07-05' - CAST(page_id % 9 AS INTEGER) END AS published FROM parts)"""
+
+
+@query("src_listing_links", "SELECT CAST(page_id AS VARCHAR) AS source_name, title, url, published, title = '' OR published IS NULL AS low_confidence FROM items", _SHOWN_PAGES, _PARTS, _ITEMS)
+def _(spark, sf_dir):
+    """The links of the provided pages; a third of the pages say how old each is."""
+    p = c("page_id")
+    dated = F.replace("html", F.lit("</a></li>"), F.concat(F.lit("</a> "), (p % 9).cast("string"), F.lit(" days ago</li>")))
+    landed = V.table(spark, sf_dir, "pages").select(p.cast("string").alias("source_name"), "url", F.when(p % 3 == 0, dated).otherwise(c("html")).alias("payload"))
+    return L.listing(landed, V.as_of()).drop("summary", "guid")
+
+
+def _mixed(spark, sf_dir):
+    """A payload an entry, of five kinds in turn; every fifth list item has no date on its own page."""
+    p, s = c("pos"), c("pos").cast("string")
+    j = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    link = j("https://mixed.example/p/", s)
+    rss = j("<rss><channel><item><title>t", s, "</title><link>", link, "</link><description>d</description><pubDate>Sat, 04 Jul 2026 10:00:00 GMT</pubDate></item></channel></rss>")
+    atom = j("<feed><entry><id>", link, "</id><title>t", s, "</title><summary>d</summary><published>2026-07-03T00:00:00Z</published></entry></feed>")
+    direct = F.when(p % 2 == 0, j('&lt;a href="http://mp.weixin.qq.com/s?b=', s, '"&gt;go&lt;/a&gt;')).otherwise("none")
+    mirror = j('<rss xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><item><title>t', s, "</title><link>", link, "</link><content:encoded>", direct, "</content:encoded><pubDate>Thu, 02 Jul 2026 10:00:00 GMT</pubDate></item></channel></rss>")
+    page = j('<nav></nav><ul><li><a class="x" href="/p/', s, '"><b>t', s, "</b></a> yesterday</li></ul>")
+    listed = j('<div data-feed-item><a href="', link, '/">t', s, "</a></div>")
+    kind = F.element_at(F.array(*map(F.lit, ("rss", "atom", "mirror", "page", "list"))), (p % 5 + 1).cast("int"))
+    payload = F.when(p % 5 == 0, rss).when(p % 5 == 1, atom).when(p % 5 == 2, mirror).when(p % 5 == 3, page).otherwise(listed)
+    rows = V.entries(spark, sf_dir)
+    landed = rows.select(F.concat_ws("-", kind, s).alias("source_name"), kind.alias("reader"), F.lit("https://mixed.example/all?x=1").alias("url"), F.lit(None).cast("date").alias("query_date"), payload.alias("payload"))
+    details = rows.where(p % 5 == 4).select(link.alias("url"), F.when(p % 25 != 4, '{"datePublished": "2026-07-01T01:00:00+00:00"}').otherwise("{}").alias("payload"))
+    return L.dispatched(landed, details, V.as_of(), "papers", "https://papers.example.org/abs/", "mixed.example")
+
+
+_MIXED = """mixed AS (SELECT (['rss', 'atom', 'mirror', 'page', 'list'])[pos % 5 + 1] AS kind, pos, 't' || pos AS title, CASE WHEN pos % 5 = 2 AND pos % 2 = 0 THEN 'https://mp.weixin.qq.com/s?b=' || pos ELSE 'https://mixed.example/p/' || pos END AS url,
+ CASE WHEN pos % 25 <> 4 THEN ([DATE '2026-07-04', DATE '2026-07-03', DATE '2026-07-02', DATE '2026-07-04', DATE '2026-07-01'])[pos % 5 + 1] END AS published FROM entries)"""
+
+
+@query("src_dispatch", "SELECT kind || '-' || pos AS source_name, title, url, published, published IS NULL OR (kind = 'mirror' AND pos % 2 <> 0) AS low_confidence FROM mixed", V.ENTRIES, _MIXED)
+def _(spark, sf_dir):
+    return _mixed(spark, sf_dir).drop("summary", "guid")
+
+
+def _by_kind(spark, sf_dir, kind):
+    return _mixed(spark, sf_dir).where(F.startswith("source_name", F.lit(kind))).withColumn("source_name", F.lit(kind))
+
+
+@query("script_stats_mirror", "SELECT kind AS source_name, count(*) AS total, count(*) FILTER (pos % 2 = 0) AS with_direct_link, count(*) FILTER (pos % 2 <> 0) AS fallback_link FROM mixed WHERE kind = 'mirror' GROUP BY 1", V.ENTRIES, _MIXED)
+def _(spark, sf_dir):
+    return L.mirror_stats(_by_kind(spark, sf_dir, "mirror"))
+
+
+@query("script_stats_list", "SELECT kind AS source_name, count(*) AS list_parsed, count(published) AS detail_fetched, count(*) FILTER (published IS NULL) AS detail_failed FROM mixed WHERE kind = 'list' GROUP BY 1", V.ENTRIES, _MIXED)
+def _(spark, sf_dir):
+    return L.list_stats(_by_kind(spark, sf_dir, "list"))

@@ -85,6 +85,18 @@ def build_topic(spark, sf_dir):
     return P.topic_days(_topic_entries(spark, sf_dir))
 
 
+@query(
+    "topic_day_parts",
+    f"""SELECT topic_slug, entry_date, CAST(part AS INTEGER) AS part, count(*) AS line_count, CASE WHEN part = 1 THEN '## ' || strftime(entry_date, '%Y-%m-%d') || chr(10) || chr(10) ELSE '' END || string_agg({_LINE}, chr(10) ORDER BY pos) AS section
+        FROM (SELECT *, doc_date AS entry_date, (row_number() OVER (PARTITION BY topic_slug, doc_date ORDER BY pos) - 1) // 2 + 1 AS part FROM pos) GROUP BY topic_slug, entry_date, part""",
+    V.ORIGINALS,
+    _IDS,
+)
+def _(spark, sf_dir):
+    """Two lines a part, so that the days of a small table fall into several."""
+    return P.topic_day_parts(_topic_entries(spark, sf_dir), 2)
+
+
 @query("topic_sections", "SELECT topic_slug, max(doc_date) AS newest, count(DISTINCT doc_date) AS n FROM originals GROUP BY 1", V.ORIGINALS)
 def _(spark, sf_dir):
     """A page's text cut again into its sections."""
