@@ -16,6 +16,7 @@ from lectern.operators import daily_batch as D
 from lectern.operators import filter_run as Q
 from lectern.operators import migrate as M
 from lectern.operators import pages as P
+from lectern.operators import repair as W
 from lectern.operators import reports as R
 from lectern.operators import same_batch as N
 from lectern.operators import store as K
@@ -348,6 +349,41 @@ def _(spark, sf_dir):
     return M.refetch_plan(docs, source, new, "src8").select("id", "status", "title", "doc_date", "topic_slug", F.sha2("body", 256).alias("body"))
 
 
+_SEE = lambda d, name: f"'see [[{name}-' || {d} || '|it]] and [[keep]]'"
+_REPAIRS = f"""SELECT id, 'body' AS field, sha256(CASE k WHEN 0 THEN '> meta' || chr(10) || chr(10) || b ELSE {_SEE("d", "old")} END) AS stored, sha256(CASE k WHEN 0 THEN b ELSE {_SEE("d", "new")} END) AS recomputed FROM m WHERE k <> 1 AND d % 8 < 4
+ UNION ALL SELECT id, 'doc_date', '2026-07-05', CAST(DATE '2024-03-01' + CAST(d % 28 AS INTEGER) AS VARCHAR) FROM m WHERE k = 0 AND d % 3 = 0
+ UNION ALL SELECT id, 'word_count', '0', CAST(n AS VARCHAR) FROM m WHERE k = 0 AND d % 5 = 0 AND n <> 0
+ UNION ALL SELECT id, 'gist', NULL, g FROM m WHERE k = 0 AND d % 7 = 0
+ UNION ALL SELECT id, 'article_count', CAST(d % 3 AS VARCHAR), '2' FROM m WHERE k = 1 AND d % 3 <> 2
+ UNION ALL SELECT id, unnest(['articles_processed', 'topics_touched']), NULL, unnest([CAST(d AS VARCHAR), '2']) FROM m WHERE k = 2 AND d % 3 = 0"""
+_MIGRATED = f"""m AS (SELECT *, CASE WHEN length(l) <= 200 THEN l ELSE regexp_replace(substr(l, 1, 200), '\\s+$', '') || '…' END AS g
+ FROM (SELECT doc_id AS d, doc_id % 4 AS k, ltrim(text, chr(10)) AS b, length(regexp_replace({_bare("ltrim(text, chr(10))")}, '\\s', '', 'g')) AS n, replace(regexp_replace(ltrim(text, chr(10)), '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS l,
+  CASE doc_id % 4 WHEN 0 THEN 'original-' || substr(sha256('https://old.example/' || doc_id), 1, 12) WHEN 1 THEN 'topic-' || doc_id WHEN 2 THEN 'day-' || doc_id ELSE 'digest-' || doc_id END AS id FROM documents WHERE doc_id % 11 <> 0))"""
+
+
+@query("repair_plan", _REPAIRS, _MIGRATED)
+def _(spark, sf_dir):
+    """The documents as originals, topics, days and digests of an older folder, taken over with several faults; a second file of each original is older."""
+    d, s, n = c("doc_id"), text("doc_id"), lambda x: F.lit(x).cast("long")
+    j = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    rows = V.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\A\n+", "").alias("text"))
+    k, url, see = d % 4, j("https://old.example/", s), lambda name: j(f"see [[{name}-", s, "|it]] and [[keep]]")
+    day = F.date_add(F.lit("2024-03-01").cast("date"), (d % 28).cast("int"))
+    kind = F.when(k == 0, "original").when(k == 2, "daily").when(k == 3, "digest")
+    file = rows.where(k != 1).select(kind.alias("kind"), F.when(k == 0, j("f", s, "-2")).when(k == 2, j("day-", s)).otherwise(s).alias("name"), F.when(k == 0, url).alias("source_url"), text(day).alias("dated"), F.when(k == 0, j("# T\n> meta\n\n", c("text"))).otherwise(j("# D\n\n", see("old"))).alias("body"))
+    file = file.unionByName(rows.where(k == 0).select(F.lit("original").alias("kind"), j("f", s, "-1").alias("name"), url.alias("source_url"), F.lit("2020-01-01").alias("dated"), F.lit("older").alias("body")))
+    wrong = d % 8 < 4
+    body = F.when(k == 0, F.when(wrong, j("> meta\n\n", c("text"))).otherwise(c("text"))).when(k == 1, "x\n- [[a]] one\n- [[b]] two").otherwise(F.when(wrong, see("old")).otherwise(see("new")))
+    held = rows.select(
+        F.when(k == 0, T.original_id(url)).when(k == 1, j("topic-", s)).when(k == 2, j("day-", s)).otherwise(j("digest-", s)).alias("id"), F.coalesce(kind, F.lit("topic")).alias("doc_type"), (d % 11 != 0).alias("migrated"),
+        F.when((k == 0) & (d % 3 == 0), V.as_of()).otherwise(day).alias("doc_date"), F.when((k == 0) & (d % 5 != 0), T.word_count(c("text")).cast("long")).when(k == 0, n(0)).alias("word_count"),
+        F.when((k == 0) & (d % 7 != 0), T.legacy_gist(c("text"))).alias("gist"), F.when(k == 1, d % 3).cast("long").alias("article_count"), d.cast("long").alias("entry_count"), F.array(F.lit("a"), F.lit("b")).alias("topics"),
+        F.when((k == 2) & (d % 3 != 0), d).cast("long").alias("articles_processed"), F.when((k == 2) & (d % 3 != 0), n(2)).alias("topics_touched"), body.alias("body"),
+    )
+    renamed = rows.select(j("old-", s).alias("old_id"), j("new-", s).alias("new_id"))
+    return W.repair_plan(held, W.recomputed(file, held, renamed, V.as_of()))
+
+
 # --- reports and images
 _WINDOW = "w AS (SELECT * FROM originals WHERE doc_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14')"
 _TOP = "t AS (SELECT topic_slug, count(*) AS total_count, count(DISTINCT doc_date) AS active_days FROM w WHERE topic_slug <> 'uncategorized' GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT doc_date) >= 2 ORDER BY 2 DESC, 1 LIMIT 8)"
