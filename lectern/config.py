@@ -77,7 +77,7 @@ MEDIA_SCHEME = "media-store://"
 MIRROR_HOST, MIRROR_SUMMARY_CHARS = "mp.weixin.qq.com", 200
 LIST_ENTRIES, LIST_BLOCK_CHARS = 20, 3000
 LISTING_CHARS, LISTING_DATE_CHARS = 40_000, 80
-SECTION_LINES = 1000
+SECTION_LINES, SELECTED_ROWS = 1000, 200
 BACKFILL_DAYS = 14
 LIST_SKIPPED = ("/author/", "/tag/", "/category/", "/page/")
 CHUNK_CHARS = 2000

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import config as C
+from lectern.operators.folds import cut
+from lectern.operators.scans import in_blocks, running
 
 Annotator = Callable[[list[dict]], list[dict]]
 ANSWER = "url string, topic_slug string, zettel_worthy boolean, rationale string"
@@ -56,6 +59,52 @@ def assigned(rows: DataFrame, came: DataFrame) -> DataFrame:
     )
 
 
+#: Takes a day's rows (link_id, title, gist), as dictionaries, and returns the link_ids it would show, best first.
+Selector = Callable[[list[dict]], list[str]]
+
+
+def by_third(rows: list[dict]) -> list[str]:
+    """The offline selector: of ids that are multiples of three the largest come first; and one of no row."""
+    return ["of no row", *sorted((r["link_id"] for r in rows if int(r["link_id"]) % 3 == 0), key=int, reverse=True)]
+
+
+def highlights(rows: DataFrame, selector: Selector = by_third, most: int = C.HIGHLIGHTS, size: int = C.SELECTED_ROWS) -> DataFrame:
+    """(doc_date, place, pos, link_id, gist): what a day's page shows first. `rows`: doc_date, pos, link_id, title, gist.
+
+    A day of at most `most` rows shows them all, in order of pos, and the selector isn't asked. Of what it says
+    for others the first `most` that the day has count; a link named twice counts once, and it may name
+    fewer or none. It is shown at most `size` rows at a time: a day with more is dealt to several calls, and
+    what they choose to further ones, until one call sees all that is left. Of rows with one link the first counts.
+    """
+    if size <= most:
+        raise ValueError("a call must see more rows than it may choose")
+    keys, order = ["doc_date"], ["pos", "link_id"]
+    fields = ["doc_date", "pos", "link_id", "title", "gist"]
+    first = rows.groupBy("doc_date", "link_id").agg(F.min(F.struct("pos", "title", "gist")).alias("x")).select("doc_date", "x.pos", "link_id", "x.title", "x.gist")
+    counts = first.groupBy("doc_date").agg(F.count(F.lit(1)).alias("held"))
+    left = cut(first.join(counts, "doc_date"))
+    small = left.where(F.col("held") <= most)
+    place = F.row_number().over(Window.partitionBy("doc_date").orderBy("pos", "link_id"))
+    shown = small.select("doc_date", place.alias("place"), "pos", "link_id", "gist")
+    left = left.where(F.col("held") > most).select(*fields)
+
+    def chosen(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["pos", "link_id"])
+        own = group.set_index("link_id", drop=False)
+        named = [x for x in dict.fromkeys(selector(group[["link_id", "title", "gist"]].to_dict("records"))) if x in own.index][:most]
+        out = own.loc[named].reset_index(drop=True)
+        out["place"] = range(1, len(out) + 1)
+        return out[[*fields, "place"]]
+
+    schema = f"{', '.join(f'{n} {t}' for n, t in left.dtypes)}, place int"
+    while True:
+        numbered = cut(running(in_blocks(left, keys, order), keys, order, n=("sum", F.lit(1).cast("long"), 0)).withColumn("call", F.floor((F.col("n") - 1) / size)))
+        got = cut(numbered.groupBy("doc_date", "call").applyInPandas(lambda g: chosen(g), schema))
+        if numbered.where("call > 0").isEmpty():
+            return shown.unionByName(got.select("doc_date", "place", "pos", "link_id", "gist"))
+        left = got.select(*fields)
+
+
 def sound_clusters(clusters: DataFrame, valid: DataFrame) -> DataFrame:
     """(page, cluster, ids): ids that the page's `valid` rows (page, id) have, in their order `pos`; empty clusters go.
 

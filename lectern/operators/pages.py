@@ -61,16 +61,17 @@ def topic_heads(entries: DataFrame, topics: DataFrame) -> DataFrame:
     return got.join(known, "topic_slug", "left").select("topic_slug", T.humanize_slug(F.col("topic_slug")).alias("title"), F.coalesce("known_date", "first").alias("created_date"), "last_updated_date", "article_count")
 
 
-def daily_sections(rows: DataFrame, days: DataFrame) -> DataFrame:
+def daily_sections(rows: DataFrame, days: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Sections of each day's page, in order of (part, topic_slug): highlights, look back, topics, figures.
 
     `rows` (doc_date, pos, topic_slug, link_id, gist); `days` (doc_date) are pages there are already.
+    `chosen` (doc_date, place, gist) are the highlights that a selector named; without it a day's first ones are taken.
     """
     order = Window.partitionBy("doc_date").orderBy("pos")
-    top = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= C.HIGHLIGHTS)
+    top = chosen if chosen is not None else rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= C.HIGHLIGHTS)
     head = lambda title, body: F.concat(F.lit(f"## {title}\n\n"), body)
     section = lambda frame, part, slug, text: frame.select("doc_date", F.lit(part).alias("part"), slug.alias("topic_slug"), text.alias("section"))
-    gists = top.groupBy("doc_date").agg(_lines(F.col("pos"), F.concat(F.lit("- "), "gist")).alias("lines"))
+    gists = top.groupBy("doc_date").agg(_lines(F.col("place"), F.concat(F.lit("- "), "gist")).alias("lines"))
     own = rows.select("doc_date").distinct()
     before = own.join(days.select(F.date_add("doc_date", 1).alias("doc_date")).distinct(), "doc_date", "left_semi")
     topics = rows.groupBy("doc_date", "topic_slug").agg(_lines(F.col("pos"), F.concat(F.lit("- [["), "link_id", F.lit("]] "), "gist")).alias("lines"))

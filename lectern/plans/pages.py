@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern import config as C
 from lectern.functions import blocks as K
 from lectern.functions import text as T
+from lectern.operators import annotate as A
 from lectern.operators import batch as B
 from lectern.operators import pages as P
 from lectern.operators import translate as N
@@ -126,6 +127,21 @@ def _(spark, sf_dir):
     return P.daily_sections(rows, rows.select("doc_date"))
 
 
+@query(
+    "daily_highlights",
+    """SELECT doc_date, CAST(row_number() OVER (PARTITION BY doc_date ORDER BY CASE WHEN held > 5 THEN -pos ELSE pos END) AS INTEGER) AS place, id AS link_id
+       FROM (SELECT *, count(*) OVER (PARTITION BY doc_date) AS held FROM (SELECT id, pos, doc_date - CAST(CASE WHEN pos % 31 = 3 THEN 60 + pos % 40 ELSE 0 END AS INTEGER) AS doc_date FROM pos)) WHERE held <= 5 OR pos % 3 = 0 QUALIFY place <= 5""",
+    V.ORIGINALS,
+    _IDS,
+)
+def _(spark, sf_dir):
+    """One day's documents are dealt to forty, so that some have few; the selector sees eight rows at a time."""
+    pos = c("id").cast("long")
+    day = F.date_sub("doc_date", F.when(pos % 31 == 3, 60 + pos % 40).otherwise(0).cast("int"))
+    rows = V.originals(spark, sf_dir).select(day.alias("doc_date"), pos.alias("pos"), c("id").alias("link_id"), "title", "gist")
+    return A.highlights(rows, size=8).select("doc_date", "place", "link_id")
+
+
 _WEEK = "SELECT d::DATE AS doc_date, count(o.id) AS n FROM generate_series(DATE '2024-01-08', DATE '2024-01-14', INTERVAL 1 DAY) t(d) LEFT JOIN originals o ON o.doc_date = d::DATE GROUP BY 1"
 
 
