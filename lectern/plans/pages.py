@@ -135,11 +135,11 @@ def _(spark, sf_dir):
     _IDS,
 )
 def _(spark, sf_dir):
-    """One day's documents are dealt to forty, so that some have few; the selector sees eight rows at a time."""
+    """One day's documents are dealt to forty, so that some have few."""
     pos = c("id").cast("long")
     day = F.date_sub("doc_date", F.when(pos % 31 == 3, 60 + pos % 40).otherwise(0).cast("int"))
     rows = V.originals(spark, sf_dir).select(day.alias("doc_date"), pos.alias("pos"), c("id").alias("link_id"), "title", "gist")
-    return A.highlights(rows, size=8).select("doc_date", "place", "link_id")
+    return A.highlights(rows).select("doc_date", "place", "link_id")
 
 
 _WEEK = "SELECT d::DATE AS doc_date, count(o.id) AS n FROM generate_series(DATE '2024-01-08', DATE '2024-01-14', INTERVAL 1 DAY) t(d) LEFT JOIN originals o ON o.doc_date = d::DATE GROUP BY 1"
