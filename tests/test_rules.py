@@ -129,3 +129,12 @@ def test_links_stay_and_tags_are_replaced(spark):
     tags = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, tag string")
     got = K.replace_tags(tags, spark.createDataFrame([(1, [])], "doc_id long, tags array<string>"))
     assert list(map(tuple, got.collect())) == [(2, "b")]
+
+
+def test_latest_file_with_equal_names(spark):
+    """Of files with one name the first row stays, however the rows are dealt."""
+    rows = [("a", pos, f"page-{pos % 5}.md") for pos in range(40)] + [("b", 7, None)]
+    for n in (1, 2, 7):
+        for order in (rows, rows[::-1]):
+            got = B.latest_file(spark.createDataFrame(order, "source_name string, pos long, file string").repartition(n), "source_name", "file")
+            assert sorted(tuple(r) for r in got.collect()) == [("a", 4, "page-4.md"), ("b", 7, None)]
