@@ -138,3 +138,11 @@ def test_latest_file_with_equal_names(spark):
         for order in (rows, rows[::-1]):
             got = B.latest_file(spark.createDataFrame(order, "source_name string, pos long, file string").repartition(n), "source_name", "file")
             assert sorted(tuple(r) for r in got.collect()) == [("a", 4, "page-4.md"), ("b", 7, None)]
+
+
+def test_flexible_date_of_any_number(spark):
+    """Numbers of six digits and more count; what no int holds gives null."""
+    made = lambda raw: T.flexible_date(raw, F.lit(TODAY))
+    back = lambda n: TODAY - datetime.timedelta(days=n)
+    got = values(spark, made, "99999 days ago", "100000 days ago", "128202 天前", "2400047 hours ago", "2400048小时前", "99999999999 days ago", "9" * 30 + " hours ago", "7 days ago")
+    assert got == [back(99999), back(100000), back(128202), back(100001), back(100002), None, None, back(7)]
