@@ -6,7 +6,7 @@ takes the minimum of a bin that a hash of its number and of the attempt picks. D
 sets form a class and are compared once. Classes that share a band's bucket are candidates: every
 bucket is a star, each member paired with the centre only, the one that meets most others, and pairs
 are verified on full sets. Where a verified star leaves a bucket in several components, further stars
-follow around the members outside the bucket's largest component, from one a bucket on and four
+follow around the members outside the bucket's largest component, from FIRST a bucket on and MORE
 times as many in each round, until every bucket is one component or all its cross-component pairs
 have been compared, or ruled out: by the triangle inequality over the distances to the bucket's
 centre, by the number of a set's shingles that other components hold at all, or by sketches that
@@ -36,6 +36,10 @@ BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
 #: How far beyond the mean of linked sets' sketches a pair's must differ to be ruled out unseen.
 SIGMAS = 5.0
+#: Stars of a bucket in the first round after its centre's, and how many times as many in each further one.
+FIRST, MORE = 4, 8
+#: Rows of a table of names that is sent to all tasks rather than shuffled, at most: about 2 MB.
+FEW = 20_000
 #: Members of a bucket that one task compares with its strays, about.
 SPLIT = 1000
 _STEP = mix(np.arange(1, WORDS + 1, dtype=np.uint64))
@@ -215,6 +219,11 @@ def _shared(parts: DataFrame, sets: DataFrame) -> DataFrame:
     return written(parts.select("node").join(counts, "node", "left").na.fill(0, ["shared"]), "near-shared")
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """`df`, a written table of names, to be joined: where it has few rows no shuffle is needed."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def _joined(links: DataFrame, parts: DataFrame) -> DataFrame:
     """(node, part) after merging the parts that links connect: each takes the smallest name.
 
@@ -229,12 +238,12 @@ def _joined(links: DataFrame, parts: DataFrame) -> DataFrame:
         points = written(live.groupBy("high").agg(F.min("low").alias("low")).select(F.col("high").alias("part"), F.col("low").alias("to")), "near-points")
         onward = points.select(F.col("part").alias("to"), F.col("to").alias("further"))
         while True:
-            step = written(points.join(onward, "to", "left").select("part", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "near-points")
+            step = written(points.join(_sent(onward), "to", "left").select("part", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "near-points")
             points = step.select("part", "to")
             if step.where("moved").isEmpty():
                 break
             onward = points.select(F.col("part").alias("to"), F.col("to").alias("further"))
-        new = points.withColumnRenamed("to", "new")
+        new = _sent(points.withColumnRenamed("to", "new"))
         parts = written(parts.join(new, "part", "left").select("node", F.coalesce("new", "part").alias("part")), "near-parts")
         to = lambda c: new.select(F.col("part").alias(c), F.col("new").alias(f"{c}_to"))
         moved = live.join(to("low"), "low", "left").join(to("high"), "high", "left")
@@ -303,7 +312,7 @@ def _components(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent:
     # members but the centre, which has met all of its bucket
     rest = members.where("node <> low").join(far, ["low", "node"]).select("bucket", "node", "n", "from_", "to")
     reach = 1 - percent / 100 + 1e-9
-    centres = 1
+    centres, known = FIRST, None
     while True:
         now = rest.join(parts, "node")
         sizes = now.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("held"))
@@ -316,9 +325,11 @@ def _components(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent:
         strays = written(strays.join(chosen, "a"), "near-strays")
         if strays.isEmpty():
             return parts
-        in_others = _shared(now.select("node", "part").distinct(), sets)
-        known = nodes.join(in_others, "node")
+        if known is None:
+            # later rounds meet these nodes only, in parts that have merged: what parts share can but shrink
+            known = nodes.join(_shared(now.select("node", "part").distinct(), sets), "node")
         told = strays.select("bucket", "a")
+        rest = now.select("bucket", "node", "n", "from_", "to").join(told.withColumnRenamed("a", "node"), ["bucket", "node"], "left_anti")
         strays = strays.join(known.select(*[F.col(c).alias(f"a_{c}") for c in known.columns]).withColumnRenamed("a_node", "a"), "a")
         now = now.join(known, "node")
         once = F.array_min(F.array_intersect("bands", "a_bands")) == F.col("bucket")
@@ -333,8 +344,7 @@ def _components(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent:
         pairs = strays.join(dealt, ["bucket", "deal"]).where((F.col("part") != F.col("a_part")) & fits(F.col("n"), F.col("a_n")) & enough & near & once & like)
         pairs = written(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "near-pairs")
         parts = _joined(written(_links(_distances(pairs, sets), percent), "near-links"), parts)
-        rest = written(now.select("bucket", "node", "n", "from_", "to").join(told.withColumnRenamed("a", "node"), ["bucket", "node"], "left_anti"), "near-rest")
-        centres *= 4
+        centres *= MORE
 
 
 def drop_near(docs: DataFrame, percent: int = 75, sigmas: float | None = SIGMAS) -> DataFrame:

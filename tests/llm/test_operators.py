@@ -200,6 +200,22 @@ def test_large_buckets_are_dealt(spark, monkeypatch):
     test_near_chains_and_strays(spark)
 
 
+def test_names_are_shuffled_where_they_are_many(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FEW", 0)
+    test_near_chains_and_strays(spark)
+
+
+def test_strays_take_few_rounds(spark, monkeypatch):
+    """Thirty strays of one bucket: after the centre's star two rounds of stars, and shares are counted once."""
+    tables = []
+    monkeypatch.setattr(minhash, "written", lambda df, name, put=minhash.written: (tables.append(name), put(df, name))[1])
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base + [f"x{i}y{j}" for j in range(20)])) for i in range(30)]
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), sigmas=None).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_near(rows))
+    assert (tables.count("near-mixed"), tables.count("near-shared"), tables.count("near-rest")) == (3, 1, 0)
+
+
 def test_sketches_have_no_empty_bins():
     sets = [np.unique(np.random.default_rng(i).integers(0, 2**63, n).astype(np.uint64)) for i, n in enumerate((1, 2, 30, 5000))]
     for s, sketch in zip(sets, minhash.sketches(sets)):
