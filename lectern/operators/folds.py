@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 #: Rows that a fold gives out at once.
 OUT_ROWS = 10_000
+#: Narrow rows that a task groups, sorts or joins, about.
+PART_ROWS = 500_000
+#: Rows with whole texts that go to a task's Python at once.
+TEXT_ROWS = 500
 
 
 def in_order(rows: DataFrame, key: str, order: list[str], schema: pa.Schema, begin: Callable, step: Callable, end: Callable | None = None) -> DataFrame:
@@ -47,6 +51,22 @@ def in_order(rows: DataFrame, key: str, order: list[str], schema: pa.Schema, beg
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ddl)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose rows hold whole texts, after the session's Arrow batches were bounded, so that Python holds few of them.
+
+    The bound stays in the session, as plans read it when they run; a smaller one is left as it is.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """In how many parts so many narrow rows are grouped, sorted or joined, so that a task's share doesn't grow with them."""
+    return max(spark.sparkContext.defaultParallelism, rows // PART_ROWS + 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it; one of its own in sessions of one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern import config as C
 from lectern.functions import text as T
+from lectern.operators.folds import parts_for
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -72,11 +73,13 @@ def replace_tags(old: DataFrame, records: DataFrame) -> DataFrame:
     return old.join(records.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fresh.select(*old.columns))
 
 
-def add_links(old: DataFrame, new: DataFrame, documents: DataFrame) -> DataFrame:
-    """Links are only ever added; both ends must exist."""
+def add_links(old: DataFrame, new: DataFrame, documents: DataFrame, parts: int | None = None) -> DataFrame:
+    """Links are only ever added; both ends must exist. `parts`, as `parts_for` has it, bounds what a task holds of many links."""
     ids = documents.select("id").distinct()
-    sound = new.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-    return old.unionByName(sound.select(*old.columns)).distinct()
+    dealt = lambda rows, *keys: rows.repartition(parts, *keys) if parts else rows
+    sound = dealt(new, "from_id").join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi")
+    sound = dealt(sound, "to_id").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    return dealt(old.unionByName(sound.select(*old.columns)), "from_id", "to_id").distinct()
 
 
 def upsert_index(index: DataFrame, seen: DataFrame, batch: Column) -> DataFrame:
@@ -118,6 +121,6 @@ def write_batch(tables: dict[str, DataFrame], records: DataFrame, folder: str) -
     own = put("tags", replace_tags(tags, last.select("doc_id", "tags")))
     wanted = last.select(F.col("doc_id").alias("from_id"), F.explode("link_targets").alias("to_id")).where("from_id <> to_id").distinct()
     ids = now.select(F.col("doc_id").alias("id"))
-    both = put("links", add_links(links, wanted, ids))
+    both = put("links", add_links(links, wanted, ids, parts_for(spark, links.count())))
     dangling = put("dangling", wanted.join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id"))
     return {"documents": now, "tags": own, "links": both, "dangling": dangling}

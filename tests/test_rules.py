@@ -146,3 +146,18 @@ def test_flexible_date_of_any_number(spark):
     back = lambda n: TODAY - datetime.timedelta(days=n)
     got = values(spark, made, "99999 days ago", "100000 days ago", "128202 天前", "2400047 hours ago", "2400048小时前", "99999999999 days ago", "9" * 30 + " hours ago", "7 days ago")
     assert got == [back(99999), back(100000), back(128202), back(100001), back(100002), None, None, back(7)]
+
+
+def test_links_are_dealt_by_their_number(spark, monkeypatch):
+    """A task's share of the links stays as it is where there are more of them."""
+    from lectern.operators import folds
+    from lectern.plans import views as V
+
+    sf_dir = "/root/testdata/sf0.001"
+    monkeypatch.setattr(folds, "PART_ROWS", 50)
+    rows = V.table(spark, sf_dir, "lineitem").count()
+    assert V.links(spark, sf_dir).rdd.getNumPartitions() == folds.parts_for(spark, rows) == rows // 50 + 1
+    links = spark.createDataFrame([(a, a + 1) for a in range(300)] * 2, "from_id long, to_id long")
+    got = K.add_links(links, links.selectExpr("to_id AS from_id", "from_id AS to_id"), spark.range(200), folds.parts_for(spark, 600))
+    assert got.rdd.getNumPartitions() >= 13
+    assert sorted(map(tuple, got.collect())) == sorted({(a, a + 1) for a in range(300)} | {(a + 1, a) for a in range(199)})
