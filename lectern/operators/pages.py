@@ -135,13 +135,18 @@ def relationship_chart(edges: DataFrame) -> DataFrame:
 def rewrite_wikilinks(pages: DataFrame, mapping: DataFrame) -> DataFrame:
     """(id, body) with link targets replaced by the mapping (old_id, new_id); others and all else stay.
 
-    Bodies are cut where a link opens; the targets join the mapping, and the parts are put together.
+    The targets alone join the mapping; a page meets its own new targets by id, and is put together where it is.
     """
-    parts = pages.select("id", F.posexplode(F.split("body", r"\[\[", -1)).alias("at", "part"))
-    target = F.when(F.col("at") > 0, F.regexp_extract("part", r"(?s)^([^\]|#]+)(?=[\]|#])", 1))
-    found = parts.withColumn("old_id", target).join(mapping.select("old_id", "new_id").dropDuplicates(["old_id"]), "old_id", "left")
-    shown = F.when(F.col("new_id").isNotNull(), F.concat("new_id", F.substring("part", F.length("old_id") + 1, F.length("part")))).otherwise(F.col("part"))
-    return found.groupBy("id").agg(_lines(F.col("at"), shown, "[[").alias("body"))
+    parts = F.split("body", r"\[\[", -1)
+    target = lambda part: F.regexp_extract(part, r"(?s)^([^\]|#]+)(?=[\]|#])", 1)
+    after = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    asked = pages.select("id", F.explode(F.array_distinct(F.transform(after, target))).alias("old_id")).where("old_id <> ''")
+    known = mapping.select("old_id", "new_id").dropDuplicates(["old_id"]).where("new_id IS NOT NULL")
+    found = asked.join(F.broadcast(known) if known.count() <= 10_000 else known, "old_id").distinct()
+    own = found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("old_id", "new_id"))).alias("_new"))
+    moved = lambda part: F.concat(F.try_element_at("_new", target(part)), F.substring(part, F.length(target(part)) + 1, F.length(part)))
+    body = F.array_join(F.transform(parts, lambda part, i: F.when(i > 0, F.coalesce(moved(part), part)).otherwise(part)), "[[")
+    return pages.select("id", "body").join(own, "id", "left").select("id", F.when(F.col("_new").isNull(), F.col("body")).otherwise(body).alias("body"))
 
 
 def repair_diff(stored: DataFrame, recomputed: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from lectern.functions import blocks as K
 from lectern.functions import text as T
 from lectern.operators import batch as B
 from lectern.operators import pages as P
+from lectern.plans.catalog import QUERIES
 from lectern.sources import feeds as R
 from lectern.streaming import batches as Z
 
@@ -212,3 +213,15 @@ def test_topic_entries_come_once(spark):
     new = spark.createDataFrame([("t", "a", d, 5, "x"), ("t", "b", d, 7, "second"), ("t", "b", d, 6, "first"), ("u", "a", d, 8, "other")], schema)
     got = sorted((r.topic_slug, r.link_id, r.line) for r in P.add_topic_entries(old, new).collect())
     assert got == [("t", "a", "- [[a]]"), ("t", "b", "first"), ("u", "a", "other")]
+
+
+def test_links_of_texts_that_no_shuffle_gathers(spark):
+    """Texts without links and targets that aren't mapped meet no common key: nothing but ids and targets is dealt by target."""
+    pages = spark.createDataFrame([(1, "a [[x|y]] b"), (2, None), (3, ""), (4, "[[x]][[y#z]][[x"), (5, "[[]] [[n|[[x]]"), (5, "other [[y]]")], "id long, body string")
+    mapping = spark.createDataFrame([("x", "new x"), ("y", "$1\\"), ("n", None)], "old_id string, new_id string")
+    got = P.rewrite_wikilinks(pages, mapping)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, "a [[new x|y]] b"), (2, None), (3, ""), (4, "[[new x]][[$1\\#z]][[x"), (5, "[[]] [[n|[[new x]]"), (5, "other [[$1\\]]")], key=str
+    )
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
