@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lectern import config as C
 from lectern.functions import blocks as K
 from lectern.functions import text as T
-from lectern.operators.folds import cut
+from lectern.operators.folds import cut, small_batches
 
 Translator = Callable[[list[dict]], list[str | None]]
 Reviewer = Callable[[list[tuple[str, str]]], list[bool]]
@@ -109,7 +109,7 @@ def translate_articles(articles: DataFrame, translator: Translator = offline, re
     review finds whole taken back. Else its first chunk stays, a placeholder and the last chunk that isn't
     references; the notice says so, after the number of chunks that failed. Null bodies give an empty text.
     """
-    parts = articles.select("doc_id", F.posexplode(K.chunks(F.coalesce("body", F.lit("")))).alias("chunk", "text"))
+    parts = small_batches(articles).select("doc_id", F.posexplode(K.chunks(F.coalesce("body", F.lit("")))).alias("chunk", "text"))
     got = translated_chunks(parts, translator)
     own = F.array_sort(F.collect_list(F.struct("chunk", "translated")))
     docs = got.groupBy("doc_id").agg(

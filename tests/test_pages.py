@@ -225,3 +225,16 @@ def test_links_of_texts_that_no_shuffle_gathers(spark):
     )
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan
+
+
+def test_python_holds_few_texts(spark):
+    """Queries that hand whole texts to Python bound its batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for query in ("chunk_paragraphs", "atomic_blocks", "safe_split"):
+            spark.conf.set(name, "10000")
+            QUERIES[query](spark, "/root/testdata/sf0.001")
+            assert int(spark.conf.get(name)) <= 500
+    finally:
+        spark.conf.set(name, before)
