@@ -21,6 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.folds import small_batches
 from lectern.operators.search import parts, words
 
 BUCKETS = 64
@@ -28,6 +29,10 @@ BUCKETS = 64
 WORDS = 1 << 20
 #: Tasks over which the rows of a word are dealt.
 SPREAD = 16
+#: Parts in which a batch's rows are sorted, at least: small ones, so that no sort spills.
+PARTS = 192
+#: Ids given more than once that are sent to all tasks, at most; texts of more are joined by a shuffle.
+REPEATS = 10_000
 
 
 def bucket_of(term: Column) -> Column:
@@ -80,14 +85,27 @@ def _put(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def _one_text(docs: DataFrame) -> DataFrame:
+    """(id, text): the least text of each id, nulls aside. Only texts whose id comes again are shuffled."""
+    docs = docs.where("text IS NOT NULL")
+    counted = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    again = counted.limit(REPEATS + 1).collect()
+    if not again:
+        return docs
+    ids = counted if len(again) > REPEATS else F.broadcast(docs.sparkSession.createDataFrame(again, counted.schema))
+    least = docs.join(ids, docs["id"].eqNullSafe(ids["id"]), "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return docs.join(ids, docs["id"].eqNullSafe(ids["id"]), "left_anti").unionByName(least)
+
+
 def add_batch(folder: str, docs: DataFrame, batch: int) -> None:
     """Adds documents (id, text) as batch number `batch`; what they replace is of smaller numbers."""
     spark = docs.sparkSession
-    one = docs.groupBy("id").agg(F.min("text").alias("text")).where("text IS NOT NULL").select("id", words(F.col("text")).alias("own"))
-    salt = F.pmod(F.xxhash64("id"), F.lit(SPREAD))
-    rows = _places(one).withColumn("batch", F.lit(batch)).withColumn("bucket", bucket_of(F.col("term")))
-    rows = rows.repartition("bucket", salt).sortWithinPartitions("bucket", "term", "id")
-    _put(rows, f"{folder}/postings", "batch", "bucket")
+    one = small_batches(_one_text(docs.select("id", "text"))).select("id", words(F.col("text")).alias("own"))
+    bucket, salt = bucket_of(F.col("term")), F.pmod(F.xxhash64("id"), F.lit(SPREAD))
+    dealt = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the bucket is made anew after the shuffle; the batch is in the path, as the write would else sort again, by batch and bucket alone
+    rows = _places(one).repartition(dealt, bucket, salt).withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "id")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{folder}/postings/batch={batch}")
     _put(one.select("id", F.size("own").cast("long").alias("words"), F.lit(batch).alias("batch")), f"{folder}/docs", "batch")
     before = spark.read.parquet(f"{folder}/docs").where(F.col("batch") < batch).select("id", "batch")
     replaced = before.join(docs.select("id").distinct(), "id", "left_semi")

@@ -63,3 +63,28 @@ def test_one_cut_a_text(spark):
     texts = spark.createDataFrame([(1, "a b c")], "id long, text string")
     plan = S.search(texts, 'a "b c" -d')._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_texts_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Only texts whose id comes again are grouped; many such ids or few, the least text counts."""
+    rows = [(i, f"ab {i}") for i in range(30)] + [(3, "aa first"), (3, None), (4, "zz last"), (None, "none b"), (None, "none a"), (31, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    plain = docs.groupBy("id").agg(F.min("text").alias("text")).where("text IS NOT NULL")
+    want = sorted(map(str, plain.collect()))
+    for most in (I.REPEATS, 1):
+        monkeypatch.setattr(I, "REPEATS", most)
+        assert sorted(map(str, I._one_text(docs).collect())) == want
+    plan = I._one_text(docs.where("id > 9"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+
+
+def test_sorts_are_small(spark, tmp_path):
+    """A batch's rows are sorted in many parts, by word, without a second sort for the write."""
+    folder = str(tmp_path / "index")
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 50))) for i in range(200)], "id long, text string")
+    I.add_batch(folder, docs, 0)
+    store = spark.read.parquet(f"{folder}/postings")
+    assert store.groupBy(F.input_file_name()).count().count() > I.BUCKETS / 2
+    for name in [r[0] for r in store.select(F.input_file_name()).distinct().limit(5).collect()]:
+        terms = [r.term for r in spark.read.parquet(name).collect()]
+        assert terms == sorted(terms)
