@@ -28,7 +28,7 @@ import json
 import struct
 import unicodedata
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -379,9 +379,12 @@ class WordEncoder:
         turn = (kind[1:] != kind[:-1]) & ((kind[1:] | kind[:-1]) < 4)
         turn |= gap[1:] != gap[:-1]
         begins = np.flatnonzero(np.concatenate((~gap[:1], turn & ~gap[1:])))
-        letters = np.cumsum(~gap, dtype=np.int64)
-        cuts = np.append(letters[begins] - 1, letters[-1]).astype(np.int32)
-        data = pa.py_buffer(buf[~gap])
+        solid = ~gap
+        # a piece's bytes stand between its begin and the next one's, with gaps only behind them
+        cuts = np.zeros(len(begins) + 1, np.int32)
+        if len(begins):
+            np.cumsum(np.add.reduceat(solid.view(np.int8), begins, dtype=np.int32), out=cuts[1:])
+        data = pa.py_buffer(buf[solid])
         return pa.Array.from_buffers(pa.string(), len(begins), [None, pa.py_buffer(cuts), data]), per_text(starts, begins)
 
     def _singly(self, words: list[str]):
@@ -419,7 +422,9 @@ class WordEncoder:
         if self.known > self.KEPT:
             self.forget()
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [name for name in names if name not in self.where]
+        which = np.fromiter(map(self.where.get, names, repeat(-1)), np.int64, len(names))
+        unmet = np.flatnonzero(which < 0)
+        new = [names[i] for i in unmet.tolist()]
         letters, plain, other = [], [], []
         for name in new:
             if self.fine and name.isascii() and name.isalpha():
@@ -429,7 +434,8 @@ class WordEncoder:
         self._keep(letters, *self._together(letters, self.light, " ".join(letters).lower()))
         self._keep(plain, *self._together(plain, self.encoder, " ".join(plain)))
         self._keep(other, *self._singly(other))
-        which = np.array([self.where[name] for name in names], np.int64)[coded.indices.to_numpy()]
+        which[unmet] = np.fromiter(map(self.where.__getitem__, new), np.int64, len(new))
+        which = which[coded.indices.to_numpy()]
         at = self.cuts[which]
         n = self.cuts[which + 1] - at
         end = np.cumsum(n)
