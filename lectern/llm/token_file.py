@@ -25,6 +25,7 @@ so do ids of 2**16 and more, and a vocabulary that doesn't part words at white s
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 import zlib
@@ -59,9 +60,10 @@ _U16, _U48, _UTOTAL = np.uint64(16), np.uint64(48), np.uint64(TOTAL_BITS)
 def _count_tables():
     """What follows from the counts (first, second) of a context, the high and low half of the index.
 
-    Shares of its two ids in 2**10; a class of eight for how sure it is; and what it becomes after
-    its first id, its second id or another came, three tables in a row: the next counts from bit 32
-    on, then 16 bits that are set where the second id is replaced, then 16 where the two swap.
+    What it tells: a class of eight for how sure it is from bit 32 on, then its second id's share in
+    2**10 from bit 16 on, then its first id's. And what it becomes after its first id, its second id or
+    another came, three tables in a row: the next counts from bit 32 on, then 16 bits that are set where
+    the second id is replaced, then 16 where the two swap.
     """
     first, second = np.divmod(np.arange(1 << (2 * COUNT_BITS)), 1 << COUNT_BITS)
     whole = 2 * (first + second) + 1
@@ -77,14 +79,17 @@ def _count_tables():
     other = np.where(grown > first, join(grown, first) | swap, join(first, grown))
     kept = np.where(second <= 1, join(first, 1) | replace, join(first, np.maximum(second - 1, 0)))
     miss = np.where(first == 0, join(np.ones_like(first), 0 * first) | swap | replace, kept)
-    return share, sure, np.concatenate((hit, other, miss))
+    return sure << 32 | share[1] << 16 | share[0], np.concatenate((hit, other, miss))
 
 
-SHARE, SURE, NEXT = _count_tables()
+TOLD, NEXT = _count_tables()
 
 
 class _Model:
-    """The three orders and their weights: one for all lanes of a block."""
+    """The three orders and their weights: one for all lanes of a block.
+
+    What is below 2**31 is kept in 32 bits, which numpy works through about twice as fast.
+    """
 
     def __init__(self):
         # a context's two ids, and above them their counts; contexts of one id come first
@@ -96,7 +101,7 @@ class _Model:
         self._count()
 
     def _weigh(self):
-        self.weights = self.part[:2] * (MOST >> 10) // self.part.sum(axis=0)
+        self.weights = (self.part[:2] * (MOST >> 10) // self.part.sum(axis=0)).astype(np.int32)
 
     def _count(self):
         if self.new:
@@ -119,54 +124,71 @@ class _Model:
         at[1] = b
         held = self.slots.take(at)
         self.q = q = held >> 32
-        self.ids = ids = np.empty((4, k), np.int64)
-        np.bitwise_and(held, 0xFFFF, out=ids[:2])
-        held >>= 16
-        np.bitwise_and(held, 0xFFFF, out=ids[2:])
-        sure = SURE.take(q)
+        both = held.astype(np.int32)
+        self.ids = ids = np.empty((4, k), np.int32)
+        np.bitwise_and(both, 0xFFFF, out=ids[:2])
+        both >>= 16
+        np.bitwise_and(both, 0xFFFF, out=ids[2:])
+        told = TOLD.take(q)
+        sure = told >> 32
         self.set = sure[0] << 3 | sure[1]
-        self.mass = mass = np.empty((4, k), np.int64)
-        np.take(SHARE[0], q, out=mass[:2], mode="clip")
-        np.take(SHARE[1], q, out=mass[2:], mode="clip")
-        for order in (0, 1):
-            mass[order::2] *= self.weights[order].take(self.set)
-        self.rest = TOTAL - (mass[0] + mass[1] + mass[2] + mass[3])
+        both = told.astype(np.int32)
+        weights = self.weights.take(self.set, axis=1)
+        self.mass = mass = np.empty((4, k), np.int32)
+        np.multiply(both & 0xFFFF, weights, out=mass[:2])
+        both >>= 16
+        np.multiply(both, weights, out=mass[2:])
+        self.rest = (TOTAL - (mass[0] + mass[1] + mass[2] + mass[3])).astype(np.int64)
 
     def interval(self, x):
         """(low, width) of the ids x in 2**26."""
         mass = self.mass
-        self.hit = self.ids == x
+        self.x = few = x.astype(np.int32)
+        self.hit = self.ids == few
         own = mass * self.hit
         self.two, self.one = own[0] + own[2], own[1] + own[3]
-        less = mass * (self.ids < x)
-        low = (self.zero.take(x) * self.rest) >> ZERO_BITS
-        self.width = ((self.zero.take(x + 1) * self.rest) >> ZERO_BITS) - low + self.two + self.one
-        return low + (less[0] + less[1] + less[2] + less[3]), self.width
+        less = mass * (self.ids < few)
+        low = self.zero.take(x)
+        low *= self.rest
+        low >>= ZERO_BITS
+        self.width = width = self.zero.take(x + 1)
+        width *= self.rest
+        width >>= ZERO_BITS
+        width -= low
+        width += self.two + self.one
+        low += less[0] + less[1] + less[2] + less[3]
+        return low, width
 
     def found(self, value):
         """The ids whose intervals hold the values."""
-        key = self.ids << 32
+        key = self.ids.astype(np.int64)
+        key <<= 32
         key |= self.mass
         for i, j in ((0, 1), (2, 3), (0, 2), (1, 3), (1, 2)):  # sorts the four of each lane
             low = np.minimum(key[i], key[j])
             np.maximum(key[i], key[j], out=key[j])
             key[i] = low
-        ids, mass, rest = key >> 32, key & 0xFFFFFFFF, self.rest
-        begin = self.zero.take(ids)
+        mass = key.astype(np.int32)
+        key >>= 32
+        rest = self.rest
+        begin = self.zero.take(key)
         begin *= rest
         begin >>= ZERO_BITS
-        end = self.zero.take(ids + 1)
+        ids = key.astype(np.int32)
+        key += 1
+        end = self.zero.take(key)
         end *= rest
         end >>= ZERO_BITS
-        below = 0  # where ids are equal, one ends where the next begins
+        begin, end, wanted = begin.astype(np.int32), end.astype(np.int32), value.astype(np.int32)
+        below = np.zeros(len(value), np.int32)  # where ids are equal, one ends where the next begins
         for i in range(4):
             begin[i] += below
-            below = below + mass[i]
+            below += mass[i]
             end[i] += below
-        past = end <= value
-        inside = (begin <= value) > past
-        gone = mass * past
-        plain = value - (gone[0] + gone[1] + gone[2] + gone[3])
+        past = end <= wanted
+        inside = (begin <= wanted) > past
+        mass *= past
+        plain = value - (mass[0] + mass[1] + mass[2] + mass[3])
         # quotients below 2**22 of numbers below 2**49: exact in doubles
         spot = np.minimum(((((plain + 1) << ZERO_BITS) - 1) / rest).astype(np.int64), ZERO - 1)
         if self.first is None:
@@ -176,7 +198,9 @@ class _Model:
         x = self.first.take(spot >> 6)
         far = np.flatnonzero(self.zero.take(x + 1) <= spot)
         x[far] = np.searchsorted(self.zero, spot[far], side="right") - 1
-        return np.where(inside.any(axis=0), (ids * inside).max(axis=0), x)
+        ids *= inside  # of one lane all that are left are equal
+        np.copyto(x, ids[0] | ids[1] | ids[2] | ids[3], where=inside[0] | inside[1] | inside[2] | inside[3])
+        return x
 
     def learn(self, x):
         """Take in the ids x, whose `interval` was asked last."""
@@ -192,18 +216,20 @@ class _Model:
         self._weigh()
         first, second = self.ids[:2], self.ids[2:]
         hit = self.hit.view(np.int8)
-        what = np.where(hit[:2], 0, 2 - hit[2:]).astype(np.int64)
+        what = (2 - 2 * hit[:2] - hit[2:]).astype(np.int64)
         what <<= 2 * COUNT_BITS
         what |= self.q
         what = NEXT.take(what)
-        new = second ^ ((second ^ x) & (what >> 16) & 0xFFFF)
-        turn = (first ^ new) & what & 0xFFFF
+        turns = what.astype(np.int32)
+        # ids have 16 bits, so that they mask what stands above
+        new = second ^ ((second ^ self.x) & (turns >> 16))
+        turn = (first ^ new) & turns
         new ^= turn
         new <<= 16
+        new |= first ^ turn
         what >>= 32
         what <<= 32
-        what |= new
-        what |= first ^ turn
+        what |= new.view(np.uint32)
         self.slots[self.at] = what
         self.new.append(x)
         self.waiting += len(x)
@@ -220,20 +246,23 @@ class _Coder:
 
     def narrow(self, low, width):
         """Take the interval [low, low + width) of 2**26 in the first lanes."""
-        k = len(low)
-        r = self.range[:k] >> _UTOTAL
-        self.low[:k] += r * low.astype(np.uint64)
-        self.range[:k] = r * width.astype(np.uint64)
-        l, r = self.low[:k], self.range[:k]
-        go = np.flatnonzero(((l ^ (l + r)) < _TOP) | (r < _LOW))
-        while len(go):
-            l, r = self.low[go], self.range[go]
+        l, r = self.low[: len(low)], self.range[: len(low)]
+        part = r >> _UTOTAL
+        l += part * low.view(np.uint64)
+        np.multiply(part, width.view(np.uint64), out=r)
+        while True:
             same = (l ^ (l + r)) < _TOP
-            r = np.where(same, r, (~l + np.uint64(1)) & (_LOW - np.uint64(1)))
-            self.move(go, l)
-            l, r = l << _U16, r << _U16
-            self.low[go], self.range[go] = l, r
-            go = go[((l ^ (l + r)) < _TOP) | (r < _LOW)]
+            go = same | (r < _LOW)
+            at = np.flatnonzero(go)
+            if not len(at):
+                return
+            cut = np.flatnonzero(go > same)
+            if len(cut):
+                r[cut] = (~l[cut] + np.uint64(1)) & (_LOW - np.uint64(1))
+            self.move(at, l)
+            by = go * _U16
+            l <<= by
+            r <<= by
 
 
 class _Writer(_Coder):
@@ -243,8 +272,9 @@ class _Writer(_Coder):
         self.n = np.zeros(lanes, np.int64)
 
     def move(self, go, low):
-        self.out[go, self.n[go]] = low >> _U48
-        self.n[go] += 1
+        n = self.n[go]
+        self.out[go, n] = low[go] >> _U48
+        self.n[go] = n + 1
 
     def finish(self) -> tuple[np.ndarray, bytes]:
         """(words of each lane, all words): 48 bits more a lane name a value in its range."""
@@ -261,11 +291,11 @@ class _Writer(_Coder):
 class _Reader(_Coder):
     def __init__(self, sizes: np.ndarray, words: bytes):
         super().__init__(len(sizes))
-        self.words = np.concatenate((np.frombuffer(words, "<u2"), np.zeros(8, "<u2"))).astype(np.uint64)
+        self.words = np.concatenate((np.frombuffer(words, "<u2"), np.zeros(8, "<u2")))
         self.n = np.cumsum(sizes) - sizes
         self.code = np.zeros(len(sizes), np.uint64)
         for _ in range(4):
-            self.code = (self.code << _U16) | self.words[self.n]
+            self.code = (self.code << _U16) | self.words[self.n].astype(np.uint64)
             self.n += 1
 
     def value(self, k: int) -> np.ndarray:
@@ -275,8 +305,9 @@ class _Reader(_Coder):
 
     def move(self, go, low):
         # a broken block may ask for more words than there are; its checksum tells
-        self.code[go] = (self.code[go] << _U16) | self.words[np.minimum(self.n[go], len(self.words) - 1)]
-        self.n[go] += 1
+        n = self.n[go]
+        self.code[go] = (self.code[go] << _U16) | self.words.take(n, mode="clip").astype(np.uint64)
+        self.n[go] = n + 1
 
 
 def _dealt(n: int) -> tuple[int, int, int]:
@@ -336,7 +367,7 @@ class WordEncoder:
     """Ids of texts under a vocabulary that parts words at white space: each piece is encoded once.
 
     The encoder drops white space, so that a text's ids are those of its words in a row. Words are cut
-    further where ASCII letters, digits and signs meet, apostrophes apart, if the encoder cuts there too.
+    further where Latin-1 letters, ASCII digits and signs meet, apostrophes apart, if the encoder cuts there too.
     """
 
     KEPT = 1_200_000
@@ -352,14 +383,14 @@ class WordEncoder:
         vocab = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for word, i in vocab.items() if mark and word.endswith(mark)]] = True
-        # for lower-case ASCII letters, which need no rules: the same model without them
+        # for lower-case Latin-1 letters, which need no rules: the same model without them
         self.light = self.encoder
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         if [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1]["use_regex"]:
             spec["normalizer"], steps[0] = None, {"type": "WhitespaceSplit"}
             self.light = Tokenizer.from_str(json.dumps(spec))
         ids = lambda text: self.encoder.encode(text, add_special_tokens=False).ids
-        words = ["don't", "a1b23", "x,y", "\u00e9!", "--Ab", "we'll.", "\u65e5\u672c", "e\u0301", "'s"]
+        words = ["don't", "a1b23", "x,y", "\u00e9!", "--Ab", "we'll.", "\u65e5\u672c", "e\u0301", "'s", "\u00c9t\u00e9,"]
         for gap in (" ", "\t", "\n", "\v", "\f", "\r", " \n "):
             if ids(gap + gap.join(words) + gap) != [i for w in words for i in ids(w)]:
                 raise ValueError(f"{path} doesn't part words at white space")
@@ -375,6 +406,10 @@ class WordEncoder:
         """(pieces of all texts as an array of strings, where each text's begin and at last their number)."""
         buf, starts = buffer_of(texts)
         kind = (KINDS if self.fine else GAPS)[buf]
+        if self.fine:  # U+00C0 to U+00FF but two signs are letters like those of ASCII
+            lead = np.flatnonzero(buf == 0xC3)
+            lead = lead[LATIN[buf[lead + 1]]]
+            kind[lead] = kind[lead + 1] = 1
         gap = kind == 0
         turn = (kind[1:] != kind[:-1]) & ((kind[1:] | kind[:-1]) < 4)
         turn |= gap[1:] != gap[:-1]
@@ -427,7 +462,7 @@ class WordEncoder:
         new = [names[i] for i in unmet.tolist()]
         letters, plain, other = [], [], []
         for name in new:
-            if self.fine and name.isascii() and name.isalpha():
+            if self.fine and LETTERS(name):
                 letters.append(name)
             else:
                 (plain if self.fine and _one_match(name) else other).append(name)
@@ -456,7 +491,7 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _kinds() -> np.ndarray:
-    """0 white space, 1 letters, 2 digits, 3 signs; 4 what is never cut off: apostrophes and non-ASCII bytes."""
+    """0 white space, 1 letters, 2 digits, 3 signs; 4 what is never cut off: apostrophes and, here, non-ASCII bytes."""
     out = np.full(256, 3, np.uint8)
     out[list(range(65, 91)) + list(range(97, 123))] = 1
     out[48:58] = 2
@@ -467,6 +502,10 @@ def _kinds() -> np.ndarray:
 
 
 KINDS = _kinds()
+#: Second bytes of what stands for a letter behind a byte C3, and names of such and ASCII letters.
+LATIN = np.ones(256, bool)
+LATIN[[0x97, 0xB7]] = False
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 GAPS = (~WHITE).astype(np.uint8)
 
 _ENCODERS: dict[str, WordEncoder] = {}

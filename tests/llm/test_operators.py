@@ -663,6 +663,34 @@ def test_words_have_the_encoder_s_ids():
         assert encoder.encode([text.encode()])[0].tolist() == encoder.encoder.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_accented_words_are_met_once():
+    """Signs and digits are cut off Latin-1 letters too, so that a word is encoded once whatever stands at it."""
+    encoder = token_file.WordEncoder(vocabulary("word_bpe_49k.json"))
+    text = "Fritté. (Fritté), fritté12 =Fritté! à\u0301. ×é÷ µ.ª l'été's =\u0338é \u00a0Ñ"
+    assert encoder.encode([text.encode()])[0].tolist() == encoder.encoder.encode(text, add_special_tokens=False).ids
+    assert [w for w in encoder.where if "r" in w] == ["Fritté", "fritté"]
+    rng = np.random.default_rng(9)
+    signs = [chr(i) for i in (*range(33, 127), *range(0xA0, 0x180))] + list("éüßÄñ") * 20 + ["'s", "\u0301", "\u0338", "\u0327", " ", "\n"] * 8
+    for _ in range(600):
+        text = "".join(rng.choice(signs, rng.integers(1, 40)))
+        assert encoder.encode([text.encode()])[0].tolist() == encoder.encoder.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_a_model_s_parts_fit_32_bits():
+    """Under the surest contexts and the most lopsided weights nothing overflows, and ids are found again."""
+    full = (1 << token_file.COUNT_BITS) - 1
+    for counts, part in ((full << 5, (1 << 40, 64, 64)), (full << 5 | full, (64, 1 << 40, 64)), (full << 5 | full, (1 << 20, 1 << 20, 64))):
+        model = token_file._Model()
+        model.slots[:] = counts << 32 | 65535 << 16 | 65534
+        model.part[:] = np.array(part)[:, None]
+        model._weigh()
+        model.predict(np.full(token_file.VALUES, 65535), np.full(token_file.VALUES, 7))
+        assert model.mass.dtype == model.ids.dtype == np.int32
+        low, width = model.interval(np.arange(token_file.VALUES))
+        assert low[0] == 0 and (width > 0).all() and (low[1:] == (low + width)[:-1]).all() and low[-1] + width[-1] == token_file.TOTAL
+        assert (model.found(low) == np.arange(token_file.VALUES)).all() and (model.found(low + width - 1) == np.arange(token_file.VALUES)).all()
+
+
 def test_sf_tables_exist():
     assert os.path.exists(SMALL)
 
