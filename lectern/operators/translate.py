@@ -68,38 +68,48 @@ def asked(rows: DataFrame, translator: Translator, model, again: bool = False, s
 def translated_chunks(chunks: DataFrame, translator: Translator = offline) -> DataFrame:
     """(doc_id, chunk, text, translated, skipped, failed, retries) of chunks (doc_id, chunk, text)."""
     chunks = cut(chunks.select("doc_id", "chunk", "text", (T.noise_share(F.col("text")) >= C.NOISE_SHARE).alias("skipped")))
-    leaf = lambda rows, text, failed: rows.select("doc_id", "chunk", "path", text.alias("piece"), F.lit(failed).alias("failed"), "model")
-
-    todo = chunks.where("NOT skipped").select("doc_id", "chunk", F.lit("").alias("path"), "text")
-    came = asked(todo, translator, F.lit(FIRST))
-    done = leaf(came.where("answer IS NOT NULL"), F.col("answer"), False)
-    came = asked(came.where("answer IS NULL").drop("answer", "model"), translator, F.lit(SECOND))
-    while True:
-        done = done.unionByName(leaf(came.where("answer IS NOT NULL"), F.col("answer"), False))
+    names = ["doc_id", "chunk", "text", "translated", "skipped", "failed", "model", "retries"]
+    first = {"skipped": F.lit(False), "failed": F.lit(False), "retries": F.lit(0)}
+    whole = lambda rows, text, **more: rows.withColumns(first | {"translated": text} | more).select(names)
+    leaf = lambda rows, text, failed: rows.select("doc_id", "chunk", "path", text.alias("piece"), F.lit(failed).alias("failed"))
+    ok, none = "answer IS NOT NULL", "answer IS NULL"
+
+    def split(came):
+        """Rows of failed calls, with their halves if they may be split."""
         short = F.length("text") <= C.SPLIT_CHARS
         # only what may be split is handed to the cut
-        rest = cut(came.where("answer IS NULL").withColumn("halves", K.safe_split(F.when(~short, F.col("text")))).drop("answer"))
-        done = done.unionByName(leaf(rest.where("halves IS NULL"), F.col("text"), True))
+        return cut(came.where(none).withColumn("halves", K.safe_split(F.when(~short, F.col("text")))).drop("answer"))
+
+    # a chunk that isn't split has its text beside its answer all the way; only pieces are put together
+    now = whole(chunks.where("skipped"), F.col("text"), skipped=F.lit(True), model=F.lit(None).cast("string"))
+    came = asked(chunks.where("NOT skipped").select("doc_id", "chunk", F.lit("").alias("path"), "text"), translator, F.lit(FIRST))
+    now = now.unionByName(whole(came.where(ok), F.col("answer")))
+    came = asked(came.where(none).drop("answer", "model"), translator, F.lit(SECOND))
+    now = now.unionByName(whole(came.where(ok), F.col("answer")))
+    rest = split(came)
+    now = now.unionByName(whole(rest.where("halves IS NULL"), F.col("text"), failed=F.lit(True)))
+    texts, done = rest.where("halves IS NOT NULL").select("doc_id", "chunk", "text"), None
+    while not rest.where("halves IS NOT NULL").isEmpty():
         pieces = rest.where("halves IS NOT NULL").select("doc_id", "chunk", "path", F.posexplode("halves").alias("side", "text"))
-        if rest.where("halves IS NOT NULL").isEmpty():
-            break
         came = asked(pieces.select("doc_id", "chunk", F.concat("path", F.col("side").cast("string")).alias("path"), "text"), translator, F.lit(SECOND))
-
-    own = F.array_sort(F.collect_list(F.struct("path", "piece")))
-    whole = done.groupBy("doc_id", "chunk").agg(F.array_join(F.transform(own, lambda x: x["piece"]), "\n\n").alias("translated"), F.max("failed").alias("failed"), F.max("model").alias("model"))
-    now = cut(chunks.join(whole, ["doc_id", "chunk"], "left").withColumn("retries", F.lit(0)))
-    poor = (T.cjk_ratio_clean(F.col("translated")) < C.RETRY_SHARE) & ~F.col("failed")
-    open_ = now.where(~F.col("skipped") & poor)
-    for _ in range(C.RETRIES):
-        came = asked(open_.select("doc_id", "chunk", F.lit("").alias("path"), "text", F.col("model").alias("by")), translator, F.col("by"), again=True)
-        better = came.where("answer IS NOT NULL").select("doc_id", "chunk", "answer")
-        # a chunk has one row here: what comes back replaces it
-        now = cut(now.join(better, ["doc_id", "chunk"], "left").select(
-            "doc_id", "chunk", "text", "skipped", F.coalesce("answer", "translated").alias("translated"), "failed", "model",
-            (F.col("retries") + F.col("answer").isNotNull().cast("int")).alias("retries"),
-        ))
-        open_ = now.join(better.select("doc_id", "chunk"), ["doc_id", "chunk"], "left_semi").where(poor)
-    return now.select("doc_id", "chunk", "text", F.when(F.col("skipped"), F.col("text")).otherwise(F.col("translated")).alias("translated"), "skipped", F.coalesce("failed", F.lit(False)).alias("failed"), "retries")
+        rest = split(came)
+        new = leaf(came.where(ok), F.col("answer"), False).unionByName(leaf(rest.where("halves IS NULL"), F.col("text"), True))
+        done = done.unionByName(new) if done is not None else new
+    if done is not None:
+        own = F.array_sort(F.collect_list(F.struct("path", "piece")))
+        joined = F.array_join(F.transform(own, lambda x: x["piece"]), "\n\n")
+        together = done.groupBy("doc_id", "chunk").agg(joined.alias("joined"), F.max("failed").alias("any"))
+        now = now.unionByName(whole(texts.join(together, ["doc_id", "chunk"]), F.col("joined"), failed=F.col("any"), model=F.lit(SECOND)))
+
+    poor = ~F.col("skipped") & ~F.col("failed") & (T.cjk_ratio_clean(F.col("translated")) < C.RETRY_SHARE)
+    now = cut(now.withColumn("open", poor))
+    for left in reversed(range(C.RETRIES)):
+        # what comes back replaces what was there; rows that are closed are read no more
+        came = asked(now.where("open").select(F.lit("").alias("path"), F.col("model").alias("by"), *[n for n in names if n != "model"]), translator, F.col("by"), again=True)
+        closed = now.where("NOT open").unionByName(came.where(none).select(*names, F.lit(False).alias("open")))
+        came = came.where(ok).withColumns({"translated": F.col("answer"), "retries": F.col("retries") + 1})
+        now = closed.unionByName(came.select(*names, (poor if left else F.lit(False)).alias("open")))
+    return now.select("doc_id", "chunk", "text", "translated", "skipped", "failed", "retries")
 
 
 def translate_articles(articles: DataFrame, translator: Translator = offline, reviewer: Reviewer = offline_review) -> DataFrame:
@@ -109,13 +119,14 @@ def translate_articles(articles: DataFrame, translator: Translator = offline, re
     review finds whole taken back. Else its first chunk stays, a placeholder and the last chunk that isn't
     references; the notice says so, after the number of chunks that failed. Null bodies give an empty text.
     """
-    parts = small_batches(articles).select("doc_id", F.posexplode(K.chunks(F.coalesce("body", F.lit("")))).alias("chunk", "text"))
+    parts = small_batches(articles).select("doc_id", F.posexplode(K.chunked(F.coalesce("body", F.lit("")))).alias("chunk", "text"))
     got = translated_chunks(parts, translator)
     own = F.array_sort(F.collect_list(F.struct("chunk", "translated")))
     docs = got.groupBy("doc_id").agg(
         F.transform(own, lambda x: x["translated"]).alias("parts"), F.count(F.lit(1)).alias("chunks"), F.count_if("failed").alias("failed"), F.sum("retries").alias("retries")
     )
-    docs = cut(docs.withColumn("joined", F.array_join("parts", "\n\n")).withColumns({"residue": T.has_residue(F.col("joined")), "whole": T.translation_complete(F.col("joined"))}))
+    docs = docs.withColumn("joined", F.array_join("parts", "\n\n")).withColumn("residue", T.has_residue(F.col("joined")))
+    docs = cut(docs.withColumn("whole", ~F.col("residue") & (T.cjk_ratio_clean(F.col("joined")) >= C.COMPLETE_SHARE)))
     asks = docs.where("NOT whole AND NOT residue").select("doc_id", "joined").join(articles.select("doc_id", F.coalesce("body", F.lit("")).alias("body")), "doc_id")
 
     def run(batches):
@@ -126,9 +137,8 @@ def translate_articles(articles: DataFrame, translator: Translator = offline, re
     reviewed = cut(asks.mapInArrow(run, f"doc_id {articles.schema['doc_id'].dataType.simpleString()}, reviewed boolean"))
     code = articles.select("doc_id", T.code_heavy(F.coalesce("body", F.lit(""))).alias("code"))
     rows = docs.join(reviewed, "doc_id", "left").join(code, "doc_id").withColumn("short", ~F.col("whole") & ~F.coalesce("reviewed", F.lit(False)))
-    rows = rows.withColumn("tail", T.fallback_tail(F.col("parts")))
     either = lambda a, b: F.when(F.col("code"), a).otherwise(b)
-    ends = F.array_join(F.array(F.col("parts")[0], either(C.CODE_PLACEHOLDER, C.PART_PLACEHOLDER), F.col("tail")), "\n\n")
+    ends = F.array_join(F.array(F.col("parts")[0], either(C.CODE_PLACEHOLDER, C.PART_PLACEHOLDER), T.fallback_tail(F.col("parts"))), "\n\n")
     kept = F.when(F.col("failed") > 0, F.format_string(C.KEPT_CHUNKS.format("%d", "%d"), "failed", "chunks"))
     notice = F.nullif(F.concat_ws("；", kept, F.when(F.col("short"), either(C.CODE_NOTICE, C.PART_NOTICE))), F.lit(""))
     return rows.select("doc_id", F.when(F.col("short") & (F.col("chunks") > 2), ends).otherwise(F.col("joined")).alias("body"), notice.alias("notice"), "chunks", "failed", "retries")

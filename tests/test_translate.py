@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern import config as C
+from lectern.functions import blocks as K
+from lectern.functions import text as T
 from lectern.functions.blocks import halves, packed
 from lectern.operators import translate as N
 from lectern.plans.catalog import QUERIES
@@ -127,6 +129,41 @@ def test_odd_articles(spark):
     assert N.translate_articles(rows.limit(0)).count() == 0
 
 
+def test_whole_chunks_meet_no_join(spark, monkeypatch):
+    """Chunks that aren't split keep their text beside the answer, through the rounds of retries too."""
+    made_joins = []
+    rows = spark.createDataFrame([(i, 0, f"some words {i}") for i in range(40)] + [(99, 0, "12 34\n56")], "doc_id long, chunk int, text string")
+    join = type(rows).join
+    monkeypatch.setattr(type(rows), "join", lambda self, *a, **k: made_joins.append(a) or join(self, *a, **k))
+
+    def answers(questions):
+        """Every third text is left to the second model, every other answer has no Chinese until it is asked again; one stays as it was."""
+        n = [int(q["text"].split()[-1]) for q in questions]
+        return [None if (i % 3 == 0 and q["model"] == N.FIRST) or (i == 7 and q["again"]) else "plain" if i % 2 and not q["again"] else f"译文{i}" for i, q in zip(n, questions)]
+
+    got = {r.doc_id: (r.text, r.translated, r.skipped, r.failed, r.retries) for r in N.translated_chunks(rows, answers).collect()}
+    want = {i: (f"some words {i}", "plain" if i == 7 else f"译文{i}", False, False, i % 2 if i != 7 else 0) for i in range(40)}
+    # the model that answered is asked again, so that of the first model's texts none is divisible by 3
+    assert got == want | {99: ("12 34\n56", "12 34\n56", True, False, 0)}
+    assert not made_joins
+
+
+def test_chunks_beside_python(spark):
+    """Texts of one chunk aren't handed to Python, and come out as it gives them."""
+    edge = [C.CHUNK_CHARS + d for d in range(-5, 4)]
+    texts = ["", None, "\n\n", "a\n\nb"] + ["é" * n for n in edge] + ["x" * 700 + "\n\n" + "字" * (n - 702) for n in edge] + ["```\n" + "y" * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.c for r in rows.select("i", K.chunked(F.col("t")).alias("c")).collect()}
+    assert got == {i: None if t is None else packed(t) for i, t in enumerate(texts)}
+
+
+def test_tail_before_references(spark):
+    refs = "[12] A. Author et al.\n[13] arXiv"
+    rows = [["a", "b", "c"], ["a", "b", refs], ["a", refs, refs], [refs, "b", "", refs], ["a"], [refs], []]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c array<string>")
+    assert [r[1] for r in sorted(frame.select("i", T.fallback_tail(F.col("c"))).collect())] == ["c", "b", None, "", None, None, None]
+
+
 def test_query(spark):
     got = QUERIES["translate_articles"](spark, "/root/testdata/sf0.001")
     assert got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
