@@ -43,3 +43,13 @@ def test_abstract_page_without_an_abstract(spark):
     bar = "\n\n    Full-text links:\nAccess the paper"
     got = values(spark, T.clean_abstract, head + "  " + bar, head + " \n \n" + bar, head + "\u3000of it\u00a0" + bar, head + "\n one\n\n two \n" + bar, "plain " + bar, head)
     assert got == ["", "", "of it", "one\n\n two", "plain", ""]
+
+
+def test_fts_headline(spark, tables):
+    same_rows(spark, tables, "fts_headline")
+
+
+def test_headline_of_a_text_that_ends_with_the_word(spark):
+    made = lambda x: T.headline(x, ["zzzz"], 3)
+    got = values(spark, made, "one Zzzz, ", "one Zzzz,", "Zzzz two three four ", "", "one \u00bdzzzz", "one\u3000(ZZZZ)\ntwo \u2028")
+    assert got == ["<mark>Zzzz,</mark> ", "<mark>Zzzz,</mark>", "<mark>Zzzz</mark> two three", "", "one \u00bdzzzz", "<mark>(ZZZZ)</mark> two "]
