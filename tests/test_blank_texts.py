@@ -9,7 +9,7 @@ from lectern.functions import text as T
 from lectern.plans.catalog import QUERIES, SQL
 
 WHITE = ("", " ", " \n \n", "\n", "\n\n\n", "\t", "\r", "\r\n", "\f", "\v", "\x1c", "\x85", "\u00a0", "\u2003", "\u2028", "\u3000")
-TEXTS = (None, *WHITE, *(f"{w}one{w}two{w}" for w in WHITE), *(f"a b\n{w}\n" for w in WHITE))
+TEXTS = (None, "## one\n\ntwo", "one\n## two\nthree", "one\n\n##", *WHITE, *(f"{w}one{w}two{w}" for w in WHITE), *(f"a b\n{w}\n" for w in WHITE))
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,15 @@ def test_headline_of_a_text_that_ends_with_the_word(spark):
     made = lambda x: T.headline(x, ["zzzz"], 3)
     got = values(spark, made, "one Zzzz, ", "one Zzzz,", "Zzzz two three four ", "", "one \u00bdzzzz", "one\u3000(ZZZZ)\ntwo \u2028")
     assert got == ["<mark>Zzzz,</mark> ", "<mark>Zzzz,</mark>", "<mark>Zzzz</mark> two three", "", "one \u00bdzzzz", "<mark>(ZZZZ)</mark> two "]
+
+
+def test_legacy_gist(spark, tables):
+    same_rows(spark, tables, "legacy_gist")
+
+
+def test_gist_of_an_empty_section(spark):
+    head = "x\n## 概念 / 事件\n"
+    got = values(spark, T.legacy_gist, head + "## y\nz", head + "\n \n## y\nz", head + "\n", head + "\n\u3000\n## y", "## y\nz ")
+    assert got == ["", "", "", "", "## y z"]
+    got = values(spark, T.legacy_gist, head + "\n one\ntwo\u3000\n## y", head + "\n### Part\none\n### Other", head + "##", head + "\none", head + "\n" + "a" * 250)
+    assert got == ["one two", "### Part one", "##", "one", "a" * 200 + "…"]
