@@ -43,6 +43,9 @@ def test_abstract_page_without_an_abstract(spark):
     bar = "\n\n    Full-text links:\nAccess the paper"
     got = values(spark, T.clean_abstract, head + "  " + bar, head + " \n \n" + bar, head + "\u3000of it\u00a0" + bar, head + "\n one\n\n two \n" + bar, "plain " + bar, head)
     assert got == ["", "", "of it", "one\n\n two", "plain", ""]
+    # a run of new lines is passed once
+    run = "a" + "\n" * 20_000 + "b"
+    assert values(spark, T.clean_abstract, run, run + " \n \n\n \nFull-text links: x\n") == [run, run]
 
 
 def test_fts_headline(spark, tables):
